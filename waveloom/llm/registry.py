@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import packing, quality, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_token_counts": token_counts.op1_token_counts,
+        "op4_token_ids": packing.op4_token_ids,
         "op5_quality_rules": quality.op5_quality_rules,
     }
 
