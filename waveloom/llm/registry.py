@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import packing, quality, token_counts
+from . import decontaminate, packing, quality, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
+        "op3_decontamination": decontaminate.op3_decontamination,
         "op4_token_ids": packing.op4_token_ids,
         "op5_quality_rules": quality.op5_quality_rules,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op3_decontamination": decontaminate.ORACLE_SQL,
+    }
