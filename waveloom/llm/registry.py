@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, quality, token_counts
+from . import decontaminate, jaccard, packing, quality, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_token_counts": token_counts.op1_token_counts,
         "op3_decontamination": decontaminate.op3_decontamination,
         "op4_token_ids": packing.op4_token_ids,
+        "op9_jaccard_join": jaccard.op9_jaccard_join,
         "op5_quality_rules": quality.op5_quality_rules,
     }
 
