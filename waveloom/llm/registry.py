@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, packing, quality, token_counts
+from . import decontaminate, jaccard, mixing, packing, pseudonyms, quality, sharding, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,9 @@ def queries() -> dict:
         "op1_token_counts": token_counts.op1_token_counts,
         "op3_decontamination": decontaminate.op3_decontamination,
         "op4_token_ids": packing.op4_token_ids,
+        "op7_ring_shards": sharding.op7_ring_shards,
+        "op8_pseudonyms": pseudonyms.op8_pseudonyms,
+        "op10_mix_sources": mixing.op10_mix_sources,
         "op9_jaccard_join": jaccard.op9_jaccard_join,
         "op5_quality_rules": quality.op5_quality_rules,
     }
@@ -18,4 +21,5 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op3_decontamination": decontaminate.ORACLE_SQL,
+        "op10_mix_sources": mixing.ORACLE_SQL,
     }
