@@ -126,8 +126,10 @@ def phone(m: Column, key: str, inverse: bool = False) -> Column:
     good = (area >= 200) & (rest >= 2_000_000)
     low_a, low_b = F.when(good, 200).otherwise(0), F.when(good, 2_000_000).otherwise(0)
     x = permute_pair(area - low_a, rest - low_b, 1000 - low_a, 10_000_000 - low_b, key, "phone", inverse)
-    # a number outside the good range may not come into it: such a pair is permuted by its own digits alone
-    odd = permute_string(d, key, "phone-odd", inverse)
+    # a number outside that range is permuted until it is outside again, which keeps the two ranges apart
+    once = lambda x: permute_string(x, key, "phone-odd", inverse)
+    inside = lambda x: x.rlike("^[2-9]..[2-9]")
+    odd = F.aggregate(F.sequence(F.lit(1), F.lit(120)), once(d), lambda x, _: F.when(inside(x), once(x)).otherwise(x))
     return _refill(m, F.concat(lead, F.when(good, F.concat(_pad(x["a"] + low_a, 3), _pad(x["b"] + low_b, 7))).otherwise(odd)))
 
 

@@ -13,7 +13,7 @@ from .shared import save, table
 
 #: Ring places, cells of each place, virtual nodes of a shard, and how far a shard may exceed the mean.
 #: The driver sees PLACES sums, and tables of at most PLACES * CELLS + PLACES * shards rows are broadcast.
-PLACES, CELLS, NODES, SLACK = 4096, 16, 128, 0.01
+PLACES, CELLS, NODES, SLACK = 16384, 16, 512, 0.002
 
 
 def ring(shards: int, nodes: int = NODES, places: int = PLACES) -> list[tuple[int, int]]:
