@@ -21,7 +21,7 @@ def _at(uri: str):
 def open_write(uri: str) -> BinaryIO:
     store, path = _at(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)
 
 
 def open_read(uri: str) -> BinaryIO:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, packing, pseudonyms, quality, sharding, token_counts
+from . import decontaminate, jaccard, mixing, packing, pseudonyms, quality, sharding, token_counts, warc
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
+        "op2_warc": warc.op2_warc,
         "op3_decontamination": decontaminate.op3_decontamination,
         "op4_token_ids": packing.op4_token_ids,
         "op7_ring_shards": sharding.op7_ring_shards,
@@ -20,6 +21,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op2_warc": warc.ORACLE_SQL,
         "op3_decontamination": decontaminate.ORACLE_SQL,
         "op10_mix_sources": mixing.ORACLE_SQL,
     }
