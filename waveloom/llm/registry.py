@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, packing, pseudonyms, quality, sharding, token_counts, warc
+import corpus_pipeline
+
+from . import decontaminate, extract, jaccard, mixing, packing, pseudonyms, quality, sharding, token_counts, warc
 
 
 def queries() -> dict:
@@ -11,9 +13,11 @@ def queries() -> dict:
         "op2_warc": warc.op2_warc,
         "op3_decontamination": decontaminate.op3_decontamination,
         "op4_token_ids": packing.op4_token_ids,
+        "op6_html_extraction": extract.op6_html_extraction,
         "op7_ring_shards": sharding.op7_ring_shards,
         "op8_pseudonyms": pseudonyms.op8_pseudonyms,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "pipeline": corpus_pipeline.run,
         "op9_jaccard_join": jaccard.op9_jaccard_join,
         "op5_quality_rules": quality.op5_quality_rules,
     }
