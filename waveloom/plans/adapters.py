@@ -57,10 +57,6 @@ SNRS = [-5, 0, 5, 10, 20, 40]
 GAINS = [-6, 0, 6]
 
 
-def _mod_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").agg(F.countDistinct("user_id").alias("n_users"))
-
-
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clip_id, clean, noise (of another user, as long as clean), snr and gain drawn, noisy, enhanced.
 
@@ -68,7 +64,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     sig = signals(spark, sf_dir)
     other = sig.select(F.col("clip_id").alias("other"), F.col("x").alias("y"))
-    both = sig.crossJoin(F.broadcast(_mod_partner(spark, sf_dir))).withColumn("other", (F.col("clip_id") * 7 + 3) % F.col("n_users")).join(other, "other")  # one row of counts
+    n_users = table(spark, sf_dir, "events").agg(F.countDistinct("user_id")).first()[0]
+    both = sig.withColumn("other", (F.col("clip_id") * 7 + 3) % max(n_users, 1)).join(other, "other")
     both = both.select("clip_id", F.col("x").alias("clean"), S.fit_length("y", F.size("x")).alias("noise"), draws.choice(SNRS, 1, F.col("clip_id"), "snr").alias("snr"), draws.choice(GAINS, 1, F.col("clip_id"), "gain").alias("gain"))
     k = S.mix_gain("clean", "noise", "snr")
     both = both.withColumn("k", k)
