@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_queries, score_queries, signal_queries, spectral_queries, synthesis_queries  # noqa: F401
+from . import catalog_queries, score_queries, signal_queries, spectral_queries, stream_queries, synthesis_queries  # noqa: F401
 from .adapters import QUERIES, SQL
 
 
