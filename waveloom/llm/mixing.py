@@ -34,10 +34,10 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, total: int | None,
     else:
         weight = F.coalesce(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])[F.col("source")], F.lit(0.0)) if weights else F.lit(0.0)
     counts = counts.withColumn("weight", weight)
-    sums = counts.agg(F.sum("weight").alias("weights"), F.sum("n").alias("rows"))
-    goal = F.col("rows").cast("double") if total is None else F.lit(float(total))
-    mean = F.when(F.col("weights") > 0, goal * F.col("weight") / F.col("weights") / F.col("n")).otherwise(0.0)
-    out = counts.crossJoin(F.broadcast(sums)).select("source", mean.alias("mean"))  # one row of sums
+    sums = counts.agg(F.sum("weight").alias("weights"), F.sum("n").alias("rows")).first()
+    goal = float((sums.rows or 0) if total is None else total)
+    mean = F.lit(goal) * F.col("weight") / F.lit(float(sums.weights)) / F.col("n") if sums.weights else F.lit(0.0)
+    out = counts.select("source", mean.alias("mean"))
     out = out.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("mean") / LARGEST_MEAN)).cast("int")).withColumn("m", F.col("mean") / F.col("parts"))
     steps = F.sequence(F.lit(1), (F.col("m") + 12 * F.sqrt("m") + 24).cast("int"))
     first = F.exp(-F.col("m"))

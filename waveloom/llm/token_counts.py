@@ -64,7 +64,7 @@ def count_by_section(docs: DataFrame, tokenizer: str, rule: str = "majority") ->
 
     Returns doc_id, section (0-based; -1 holds tokens that touch no section), start, stop, n_tokens, and
     n_crossing, how many of them also touch characters outside the section. The sections of a
-    document sum to its whole count. Empty sections have no tokens. A null or empty text gives one
+    document sum to its whole count; what a section claims past the end of the text is cut off. Empty sections have no tokens. A null or empty text gives one
     section of nothing when lines are used, and none if its given sections are null or empty;
     repeated rows give repeated results; other columns are not read.
     """
@@ -85,7 +85,7 @@ def count_by_section(docs: DataFrame, tokenizer: str, rule: str = "majority") ->
                     lists = [part.column(c).fill_null([]) if part.column(c).null_count else part.column(c) for c in ("s", "e")]
                     n_sections = np.asarray(lists[0].value_lengths())
                     srow = np.repeat(np.arange(len(counts)), n_sections)
-                    s, e = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + before[srow] for x in lists)
+                    s, e = (np.minimum(x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + before[srow], before[srow + 1]) for x in lists)
                 else:
                     # lines tile the text, so byte offsets of line feeds are all that is needed to find them
                     feed = np.flatnonzero(buf == 10) + 1
@@ -102,8 +102,6 @@ def count_by_section(docs: DataFrame, tokenizer: str, rule: str = "majority") ->
                     e = np.append(s[1:], before[-1])
                     e[np.append(head[1:] - 1, len(e) - 1)] = before[1:]
                 to = attribute(first, last, s, e, rule)
-                if given:  # a token of one row never touches the sections of another: offsets are apart
-                    assert not len(to) or np.all((to < 0) | (srow[np.maximum(to, 0)] == row))
                 crossing = (to >= 0) & ((first < s[np.maximum(to, 0)]) | (last > e[np.maximum(to, 0)])) if len(s) else np.zeros(len(to), bool)
                 n = np.bincount(to[to >= 0], minlength=len(s))
                 c = np.bincount(to[crossing], minlength=len(s))
