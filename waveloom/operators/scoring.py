@@ -69,6 +69,9 @@ MOS_MAPS = {
     "sig_personal": (-0.01019296, 0.02751166, 1.19576786, -0.24348726),
     "bak_personal": (-0.04976499, 0.44276479, -0.1644611, 0.96883132),
     "ovr_personal": (-0.00533021, 0.005101, 1.18058466, -0.11236046),
+    "sig_older": (7.572372955623894730e-02, 6.592637550310214145e-01, 9.651228012789436761e-01),
+    "bak_older": (-1.721332907340922813e-01, 2.700114234092929166, -3.733460011101781717),
+    "ovr_older": (7.600269530243179694e-02, 6.609981731940616223e-01, 8.924546794696789354e-01),
 }
 
 

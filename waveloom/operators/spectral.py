@@ -336,3 +336,8 @@ def mask_distance(predicted, target, gamma: float = 0.6, under: float = 2.0, pow
         d = F.zip_with(p, t, lambda a, b: F.pow(F.pow(g(a) - g(b), 2) * F.when(g(a) < g(b), under).otherwise(1.0), n / 2))
         out = out + f * S.mean(d)
     return out
+
+
+def lsnr_error(predicted, target) -> Column:
+    """Mean squared error of local SNRs; an aggregate."""
+    return F.avg(F.pow(S.col(predicted) - S.col(target), 2))

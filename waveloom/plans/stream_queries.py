@@ -79,7 +79,7 @@ def w5_live_controls(spark, d):
 
 
 @query("""with recursive c as (select o_orderpriority as stream_id, row_number() over (partition by o_orderpriority order by o_orderkey) as seq, o_totalprice / (o_custkey * 200 + 250000) as rtf from orders),
-f(stream_id, seq, delay, n) as (select distinct stream_id, 0::bigint, 100::bigint, 0::bigint from c union all
+f(stream_id, seq, delay, n) as (select distinct stream_id, 0::bigint, 100::bigint, (-1)::bigint from c union all
   select f.stream_id, c.seq, case when rtf >= 1 then delay + 100 when rtf < 0.5 and n + 1 > 10 and delay > 100 then greatest(100, delay - 100) else delay end,
   case when rtf >= 1 or (rtf < 0.5 and n + 1 > 10 and delay > 100) then 0 else n + 1 end from f join c on c.stream_id = f.stream_id and c.seq = f.seq + 1)
 select stream_id, seq, delay, delay >= 400 as failed from f where seq > 0 and seq <= 1000""")

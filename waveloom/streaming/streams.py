@@ -105,9 +105,11 @@ def stream_features(packets: DataFrame, fft: int, hop: int, widths: list[int], n
 def silence_gate(frames: DataFrame, threshold: float = 1e-7, run: int = 5, **kw) -> DataFrame:
     """frames (stream_id, t, level: mean square) with silent: more than `run` frames in a row under the threshold.
 
-    As a batch, the run is counted by windows; as a stream, a counter is kept.
+    As a batch, the run is counted by windows; as a stream, a counter is kept. With a column skipped (the frame got no mask; false: it
+    got one), a skipped frame counts up as well and a masked one ends the run.
     """
-    if not frames.isStreaming:
+    masks = "skipped" in frames.columns
+    if not frames.isStreaming and not masks:
         w = W.partitionBy("stream_id").orderBy("t")
         quiet = F.col("level") < threshold
         last = F.coalesce(F.max(F.when(~quiet, F.col("_n"))).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
@@ -115,9 +117,11 @@ def silence_gate(frames: DataFrame, threshold: float = 1e-7, run: int = 5, **kw)
 
     def step(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
         out, n = [], state.get("n", 0)
-        for v in pdf["level"]:
+        for v, skipped in zip(pdf["level"], pdf["skipped"] if masks else [None] * len(pdf)):
             n = n + 1 if v < threshold else 0
             out.append(n > run)
+            if skipped is not None and n <= run:  # silent frames end before their masks
+                n = n + 1 if skipped else 0
         state["n"] = n
         return pd.DataFrame({"t": pdf["t"].to_numpy(), "silent": out})
 
@@ -189,7 +193,7 @@ def latency_adapt(calls: DataFrame, sr: int, frame: int, start: int | None = Non
     low = frame if start is None else start
 
     def step(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
-        delay, n, out = state.get("delay", low), state.get("n", 0), []
+        delay, n, out = state.get("delay", low), state.get("n", -1), []
         for rtf in pdf["rtf"]:
             n += 1
             if rtf >= 1:
