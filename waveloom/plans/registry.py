@@ -17,4 +17,4 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["q1_si_sdr"](spark, sf_dir)
+    return QUERIES["sdr_by_snr"](spark, sf_dir)

@@ -157,3 +157,11 @@ def m8_clipping(spark, d):
 def m5_remove_dc(spark, d):
     p = pairs(spark, d).withColumn("y", S.remove_dc(F.array("clean", "noise")))
     return p.select("clip_id", r(S.total(F.get("y", F.lit(0)))).alias("first"), r(S.total(F.get("y", F.lit(1)))).alias("second"))
+
+
+@query(f"with {PAIRS}, n as (select *, {_A('clean', 'noisy')} as a from pairs), m as (select snr, clean, enhanced, {_SISDR('clean', 'noisy')} as noisy_sdr, {_A('clean', 'enhanced')} as a from n), "
+       f"v as (select snr, noisy_sdr, {_SISDR('clean', 'enhanced')} as enhanced_sdr from m) select snr, count(*) as n, {R('avg(noisy_sdr)', 4)} as noisy_sdr, {R('avg(enhanced_sdr)', 4)} as enhanced_sdr, {R('avg(enhanced_sdr - noisy_sdr)', 4)} as gain from v group by snr")
+def sdr_by_snr(spark, d):
+    """Mixtures at drawn ratios, their SI-SDR before and after enhancement, and the means per asked ratio."""
+    p = pairs(spark, d).select("snr", S.si_sdr("clean", "noisy").alias("a"), S.si_sdr("clean", "enhanced").alias("b"))
+    return p.groupBy("snr").agg(F.count(F.lit(1)).alias("n"), r(F.avg("a"), 4).alias("noisy_sdr"), r(F.avg("b"), 4).alias("enhanced_sdr"), r(F.avg(F.col("b") - F.col("a")), 4).alias("gain"))
