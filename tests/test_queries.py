@@ -28,7 +28,7 @@ def _value(v):
         v = v.tolist()
     if isinstance(v, list):
         return str([_value(x) for x in v])
-    return "None" if v is None or v is pd.NaT or v != v else str(v)
+    return "None" if pd.isna(v) else str(v).removesuffix(".0")
 
 
 def rows(df):
