@@ -22,13 +22,13 @@ def duck():
 
 
 def _value(v):
-    if isinstance(v, float):
-        return f"{v:.9g}"
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, list):
         return str([_value(x) for x in v])
-    return "None" if pd.isna(v) else str(v).removesuffix(".0")
+    if pd.isna(v):
+        return "None"
+    return f"{v:.9g}" if isinstance(v, float) else str(v)
 
 
 def rows(df):
