@@ -139,8 +139,11 @@ def _least(n, percent: int):
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough: both hash orders' prefixes first, then whole sets."""
-    a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    few = pairs.count() <= BROADCAST_ROWS
+    side = lambda ids: F.broadcast(ids) if few else ids
+    # only the sets that are asked for are shuffled
+    a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")).join(side(pairs.select("a").distinct()), "a", "left_semi")
+    b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")).join(side(pairs.select("b").distinct()), "b", "left_semi")
     both = pairs.select("a", "b").join(b, "b").join(a, "a")
     pa_, pb = F.col("na") - _least(F.col("na"), percent) + 1, F.col("nb") - _least(F.col("nb"), percent) + 1
     up = F.arrays_overlap(F.slice("ta", F.lit(1), pa_), F.slice("tb", F.lit(1), pb))
@@ -178,7 +181,7 @@ def _components(sets: DataFrame, percent: int) -> DataFrame:
     found = found.withColumn("shared", F.count(F.lit(1)).over(by_node)).where(F.col("shared") >= _least(F.col("n"), percent))
     # tokens of no other node stand before all others
     found = found.withColumn("pos", F.col("n") - F.col("shared") + F.row_number().over(by_node.orderBy("often", "token")) - 1)
-    prefix = save(found.where(F.col("pos") <= F.col("n") - _least(F.col("n"), percent)).select("token", "node", F.col("n").cast("int"), F.col("pos").cast("int")), "prefixes")
+    prefix = save(found.where(F.col("pos") <= F.col("n") - _least(F.col("n"), percent)).select("token", "node", F.col("n").cast("int"), F.col("pos").cast("int"), (1 - F.col("shared") / F.col("n")).alias("own")), "prefixes")
     labels = save(prefix.select("node").distinct().withColumn("comp", F.col("node")), "labels")
     nodes = labels.count()
     sets = sets.select("node", "n", "tokens")
@@ -193,15 +196,20 @@ def _components(sets: DataFrame, percent: int) -> DataFrame:
             break
         active = now.join(open_.select("token"), "token")
         if turn < HUB_ROUNDS and left > PAIRS_A_NODE * nodes:
-            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "comp")
+            # the documents with the least of their own are the likeliest centres; later rounds take them from a half of all
+            h = F.xxhash64("node", F.lit(turn))
+            order = F.struct((F.pmod(h, F.lit(2)) if turn else F.lit(0)).alias("half"), "own", h.alias("h"), "node", "n", "pos", "comp")
             hubs = active.groupBy("token").agg(F.min(order).alias("hub")).select("token", F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("hub.pos").alias("pa"), F.col("hub.comp").alias("ca"))
             pairs = active.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb")).join(hubs, "token").where(F.col("ca") != F.col("cb")).where(fits)
             shared = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-            best = shared.groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+            best = save(shared.groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"), "pairs")
             labels = merge_labels(labels, save(_linked(best, sets, percent), "links"))
             continue
-        kinds = groups.join(open_.select("token"), "token").select("token", "comp")
-        sides = kinds.select("token", F.col("comp").alias("ca")).join(kinds.select("token", F.col("comp").alias("cb")), "token").where("ca < cb")
+        # the bounds of a whole component come first: most components that share a token cannot have links
+        kinds = active.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+        x, y = (kinds.select("token", *[F.col(c).alias(c + z) for c in ("comp", "least", "most", "rest")]) for z in "ab")
+        may = (F.lit(100) * F.col("mosta") >= percent * F.col("leastb")) & (F.lit(100) * F.col("mostb") >= percent * F.col("leasta")) & (F.least("resta", "restb") * (100 + percent) >= percent * (F.col("leasta") + F.col("leastb")))
+        sides = x.join(y, "token").where(F.col("compa") < F.col("compb")).where(may).select("token", F.col("compa").alias("ca"), F.col("compb").alias("cb"))
         a = active.select("token", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
         b = active.select("token", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
         pairs = save(sides.join(a, ["token", "ca"]).join(b, ["token", "cb"]).where(fits).select("a", "b").distinct(), "pairs")
