@@ -144,7 +144,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # only the sets that are asked for are shuffled
     a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")).join(side(pairs.select("a").distinct()), "a", "left_semi")
     b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")).join(side(pairs.select("b").distinct()), "b", "left_semi")
-    both = pairs.select("a", "b").join(b, "b").join(a, "a")
+    both = b.join(side(pairs.select("a", "b")), "b").join(a, "a")
     pa_, pb = F.col("na") - _least(F.col("na"), percent) + 1, F.col("nb") - _least(F.col("nb"), percent) + 1
     up = F.arrays_overlap(F.slice("ta", F.lit(1), pa_), F.slice("tb", F.lit(1), pb))
     down = F.arrays_overlap(F.slice("ta", F.col("na") - pa_ + 1, pa_), F.slice("tb", F.col("nb") - pb + 1, pb))
@@ -184,18 +184,23 @@ def _components(sets: DataFrame, percent: int) -> DataFrame:
     prefix = save(found.where(F.col("pos") <= F.col("n") - _least(F.col("n"), percent)).select("token", "node", F.col("n").cast("int"), F.col("pos").cast("int"), (1 - F.col("shared") / F.col("n")).alias("own")), "prefixes")
     labels = save(prefix.select("node").distinct().withColumn("comp", F.col("node")), "labels")
     nodes = labels.count()
+    side = lambda df: F.broadcast(df) if nodes <= BROADCAST_ROWS else df  # noqa: E731  at most one row for each node
     sets = sets.select("node", "n", "tokens")
     fits = (F.lit(4) * 25 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
+    hubs_left = HUB_ROUNDS
     for turn in range(HUB_ROUNDS + 1):
-        now = prefix.join(labels, "node")
+        now = prefix.join(side(labels), "node")
         groups = now.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
         open_ = groups.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("inside")).where("comps > 1")
         open_ = save(open_.select("token", ((F.col("all") * F.col("all") - F.col("inside")) / 2).alias("pairs")), "open-tokens")
         left = open_.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             break
-        active = now.join(open_.select("token"), "token")
-        if turn < HUB_ROUNDS and left > PAIRS_A_NODE * nodes:
+        # a token whose documents are in one component stays so: the others alone go on
+        few = open_.count() <= BROADCAST_ROWS
+        prefix = save(prefix.join(F.broadcast(open_.select("token")) if few else open_.select("token"), "token", "left_semi"), "prefixes")
+        active = prefix.join(side(labels), "node")
+        if hubs_left and left > PAIRS_A_NODE * nodes:
             # the documents with the least of their own are the likeliest centres; later rounds take them from a half of all
             h = F.xxhash64("node", F.lit(turn))
             order = F.struct((F.pmod(h, F.lit(2)) if turn else F.lit(0)).alias("half"), "own", h.alias("h"), "node", "n", "pos", "comp")
@@ -203,13 +208,16 @@ def _components(sets: DataFrame, percent: int) -> DataFrame:
             pairs = active.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb")).join(hubs, "token").where(F.col("ca") != F.col("cb")).where(fits)
             shared = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
             best = save(shared.groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"), "pairs")
-            labels = merge_labels(labels, save(_linked(best, sets, percent), "links"))
+            links = save(_linked(best, sets, percent), "links")
+            labels = merge_labels(labels, links)
+            hubs_left = 0 if links.count() * 100 < nodes else hubs_left - 1  # rounds that find little end
             continue
         # the bounds of a whole component come first: most components that share a token cannot have links
-        kinds = active.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
-        x, y = (kinds.select("token", *[F.col(c).alias(c + z) for c in ("comp", "least", "most", "rest")]) for z in "ab")
+        kinds = active.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+        x, y = (kinds.select("token", *[F.col(c).alias(c + z) for c in ("comp", "c", "least", "most", "rest")]) for z in "ab")
         may = (F.lit(100) * F.col("mosta") >= percent * F.col("leastb")) & (F.lit(100) * F.col("mostb") >= percent * F.col("leasta")) & (F.least("resta", "restb") * (100 + percent) >= percent * (F.col("leasta") + F.col("leastb")))
-        sides = x.join(y, "token").where(F.col("compa") < F.col("compb")).where(may).select("token", F.col("compa").alias("ca"), F.col("compb").alias("cb"))
+        # the side with fewer documents is written out first
+        sides = x.join(y, "token").where(F.struct("ca", "compa") < F.struct("cb", "compb")).where(may).select("token", F.col("compa").alias("ca"), F.col("compb").alias("cb"))
         a = active.select("token", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
         b = active.select("token", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
         pairs = save(sides.join(a, ["token", "ca"]).join(b, ["token", "cb"]).where(fits).select("a", "b").distinct(), "pairs")
