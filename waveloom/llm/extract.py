@@ -18,7 +18,7 @@ from .textbytes import slices
 
 PATH_DIM, WORD_DIM, OTHER = 96, 48, 8
 #: Pages of the table (those with the smallest hash of the id) and composed pages the labeller is trained on.
-FIT_PAGES, FIT_COMPOSED = 300, 900
+FIT_PAGES, FIT_COMPOSED = 300, 1800
 SEED = 11
 
 #: Elements and names that tell article from rest when pages say so themselves; used for training labels alone.
@@ -159,9 +159,12 @@ def compose(rng: np.random.Generator, words: list[str]) -> tuple[list[Block], np
         inner, parts = parts[parts_before:], parts[:parts_before]
         body[at:at] = inner
     frame("main", body)
-    for kind, p in (("side", 0.3), ("comments", 0.3), ("form", 0.3), ("ad", 0.2)):
+    for kind, p in (("side", 0.4), ("comments", 0.35), ("form", 0.3), ("ad", 0.2)):
         if rng.random() < p:
-            inner = paragraphs(int(rng.integers(1, 5)), False, 1, 4) if kind in ("comments", "ad") else links(int(rng.integers(2, 5))) + paragraphs(1, False, 1, 2)
+            inner = paragraphs(int(rng.integers(1, 5)), False, 1, 4) if kind in ("comments", "ad") else links(int(rng.integers(1, 5))) + paragraphs(1, False, 1, 3)
+            if rng.random() < 0.6:
+                h = str(rng.choice(["h2", "h3", "h3", "h4"]))
+                inner.insert(0, (f"<{h}>{phrase(int(rng.integers(1, 5)))}</{h}>", False))
             frame(kind, inner)
     if rng.random() < 0.85:
         frame("footer", [(f"<p>&copy; {phrase(2)} &middot; {phrase(int(rng.integers(2, 9)))}.</p>", False)])
