@@ -50,10 +50,12 @@ def normalized_words(text) -> Column:
 
 def word_edits(reference, hypothesis) -> Column:
     """Word edit distance. Each distinct word of the pair becomes one character, and the strings are compared by levenshtein."""
-    a, b = normalized_words(reference), normalized_words(hypothesis)
-    words = F.array_distinct(F.concat(a, b))
-    point = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(20000) + F.array_position(words, w)), 4, "0")), "UTF-16BE")
-    return F.levenshtein(F.concat_ws("", F.transform(a, point)), F.concat_ws("", F.transform(b, point)))
+    point = lambda words: lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(20000) + F.array_position(words, w)), 4, "0")), "UTF-16BE")
+    text = lambda p, k: F.concat_ws("", F.transform(p[k], point(p["words"])))
+    # arrays of one element hold what would be evaluated again for each word
+    pair = F.array(F.struct(normalized_words(reference).alias("a"), normalized_words(hypothesis).alias("b")))
+    pair = F.transform(pair, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.array_distinct(F.concat(p["a"], p["b"])).alias("words")))
+    return F.transform(pair, lambda p: F.levenshtein(text(p, "a"), text(p, "b")))[0]
 
 
 def wer(pairs: DataFrame, by: list[str]) -> DataFrame:

@@ -45,9 +45,8 @@ def a8_describe_scores(spark, d):
 
 def _word_pairs(spark, d):
     c = table(spark, d, "conversations").where("text is not null")
-    first = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 40), " ")
-    a = c.where("role = 'user'").select("conv_id", "turn", first("text").alias("reference"))
-    b = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), first("text").alias("hypothesis"))
+    a = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("reference"))
+    b = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hypothesis"))
     return a.join(b, ["conv_id", "turn"])
 
 
