@@ -1,5 +1,8 @@
 """Queries on fixtures that are longer than the given tables' clips, texts and streams: nothing is cut."""
 
+import hashlib
+
+from waveloom.operators import synthesis
 from waveloom.plans import registry
 
 Q = registry.queries()
@@ -23,3 +26,21 @@ def test_word_edits_of_whole_texts(spark, tmp_path):
     assert got == {i: (len(a), edits(a, b)) for i, (a, b) in enumerate(texts)}
     (a9,) = Q["a9_word_error_rate"](spark, str(tmp_path)).collect()
     assert (a9.n, a9.wer) == (5, round(sum(e for _, e in got.values()) / sum(n for n, _ in got.values()), 6))
+
+
+def zeroed(x, idx, seed, max_percent, low, high):
+    bits = lambda slot: int(hashlib.md5(f"{seed}:{idx}:{slot}".encode()).hexdigest()[:12], 16)
+    share, done, i, out = 0.01 + bits("share") / 2**48 * (max_percent / 100 - 0.01), 0.0, 0, list(x)
+    while done < share:
+        at, n = bits(f"at{i}") % max(len(x) - high, 1), bits(f"n{i}") % (high - low) + low
+        out[at:at + n] = [0.0] * len(out[at:at + n])
+        done, i = done + n / len(x), i + 1
+    return out, i
+
+
+def test_zero_runs_until_the_share_is_reached(spark):
+    sizes = [0, 1, 5, 67, 750, 20_000, 100_000]
+    clips = spark.createDataFrame([(i, [1.0 + j for j in range(n)]) for i, n in enumerate(sizes)], "idx long, x array<double>")
+    got = {r.idx: r.y for r in clips.select("idx", synthesis.zero_runs("x", "idx", 21, 30.0, 2, 6).alias("y")).collect()}
+    want = {i: zeroed([1.0 + j for j in range(n)], i, 21, 30.0, 2, 6) if n else ([], 0) for i, n in enumerate(sizes)}
+    assert got == {i: y for i, (y, _) in want.items()} and max(k for _, k in want.values()) > 1000

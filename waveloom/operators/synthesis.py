@@ -66,19 +66,29 @@ def add_interferers(df: DataFrame, interferers: DataFrame, n: int, seed: int, p:
     return mixed.withColumn("speech", F.when(F.col("_on"), F.col("noisy")).otherwise(F.col("speech"))).drop("_s", "_o", "_on", "_zero", "noisy")
 
 
-def zero_runs(x, idx, seed: int, max_percent: float = 10.0, low: int = 120, high: int = 1800, most: int = 64) -> Column:
-    """Runs of low to high samples set to zero until the drawn share (1 to max_percent percent) is reached."""
+def zero_runs(x, idx, seed: int, max_percent: float = 10.0, low: int = 120, high: int = 1800) -> Column:
+    """Runs of low to high samples set to zero until the drawn share (1 to max_percent percent) is reached.
+
+    Drawn are as many runs as reach the share if all are shortest; one more for rounding.
+    """
     x, idx = S.col(x), S.col(idx)
     n = F.size(x)
     share = 0.01 + draws.uniform(seed, idx, "share") * (max_percent / 100 - 0.01)
-    runs = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.struct(
-        draws.below(F.greatest(n - high, F.lit(1)), seed, idx, F.concat(F.lit("at"), i.cast("string"))).alias("at"),
-        (draws.below(high - low, seed, idx, F.concat(F.lit("n"), i.cast("string"))) + low).alias("n")))
-    start = F.struct(F.lit(0.0).alias("done"), F.array().cast("array<struct<at:bigint,n:bigint>>").alias("runs"))
-    used = F.aggregate(runs, start, lambda a, v: F.struct(
-        F.when(a["done"] < share, a["done"] + v["n"] / n).otherwise(a["done"]).alias("done"),
-        F.when(a["done"] < share, F.concat(a["runs"], F.array(v))).otherwise(a["runs"]).alias("runs")), lambda a: a["runs"])
-    return F.transform(x, lambda v, i: F.when(F.exists(used, lambda z: (i >= z["at"]) & (i < z["at"] + z["n"])), 0.0).otherwise(v))
+    most = F.ceil(F.lit(max(max_percent / 100, 0.01)) * n / low).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), most), lambda i: F.struct(
+        draws.below(F.greatest(n - high, F.lit(1)), seed, idx, F.concat(F.lit("at"), i.cast("string"))).cast("int").alias("at"),
+        (draws.below(high - low, seed, idx, F.concat(F.lit("n"), i.cast("string"))) + low).cast("int").alias("n")))
+    start = F.struct(F.lit(0.0).alias("done"), F.lit(0).alias("k"), share.alias("share"))
+    used = lambda v: F.aggregate(v, start, lambda a, z: F.struct(
+        F.when(a["done"] < a["share"], a["done"] + z["n"] / n).otherwise(a["done"]).alias("done"),
+        F.when(a["done"] < a["share"], a["k"] + 1).otherwise(a["k"]).alias("k"), a["share"].alias("share")), lambda a: F.slice(v, 1, a["k"]))
+    # sets of positions, not a search through all runs for each sample; arrays of one element hold what is used twice
+    hit = lambda v: F.array_distinct(F.flatten(F.transform(used(v), lambda z: F.sequence(z["at"], F.least(z["at"] + z["n"], n) - 1))))
+    at = lambda h, value: F.transform(h, lambda i: F.struct(i.alias("i"), value(i).alias("v")))
+    kept = lambda h: F.array_except(F.sequence(F.lit(0), n - 1), h)
+    joined = lambda h: F.sort_array(F.concat(at(h, lambda i: F.lit(0.0)), at(kept(h), lambda i: F.get(x, i))))["v"]
+    held = F.transform(F.transform(F.array(runs), hit), joined)[0]
+    return F.when(n > 0, held).otherwise(x)
 
 
 def _generator(seed: int, idx, name: str) -> np.random.Generator:
