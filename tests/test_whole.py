@@ -44,3 +44,20 @@ def test_zero_runs_until_the_share_is_reached(spark):
     got = {r.idx: r.y for r in clips.select("idx", synthesis.zero_runs("x", "idx", 21, 30.0, 2, 6).alias("y")).collect()}
     want = {i: zeroed([1.0 + j for j in range(n)], i, 21, 30.0, 2, 6) if n else ([], 0) for i, n in enumerate(sizes)}
     assert got == {i: y for i, (y, _) in want.items()} and max(k for _, k in want.values()) > 1000
+
+
+def test_latency_of_all_calls(spark, tmp_path):
+    calls = [(k, k % 3 + 1, f"{k % 2}", (0.3, 0.4, 1.2, 0.7, 0.2)[k * k // 7 % 5 if k % 50 < 10 else 0] * (k % 3 * 200 + 450_000)) for k in range(4600)]
+    spark.createDataFrame(calls, "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    want = []
+    for stream in "01":
+        delay, n = 100, -1
+        for seq, (_, cust, _, price) in enumerate((c for c in calls if c[2] == stream), 1):
+            rtf, n = price / (cust * 200 + 250_000), n + 1
+            if rtf >= 1:
+                delay, n = delay + 100, 0
+            elif rtf < 0.5 and n > 10 and delay > 100:
+                delay, n = delay - 100, 0
+            want.append((stream, seq, delay, delay >= 400))
+    got = sorted(tuple(r) for r in Q["w6_latency_adapt"](spark, str(tmp_path)).select("stream_id", "seq", "delay", "failed").collect())
+    assert got == want and len({w[2] for w in want if w[1] > 1000}) > 3
