@@ -1,9 +1,14 @@
 """Queries on fixtures that are longer than the given tables' clips, texts and streams: nothing is cut."""
 
+import datetime
 import hashlib
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from waveloom.operators import synthesis
-from waveloom.plans import registry
+from waveloom.plans import adapters, registry, synthesis_queries
 
 Q = registry.queries()
 
@@ -61,3 +66,32 @@ def test_latency_of_all_calls(spark, tmp_path):
             want.append((stream, seq, delay, delay >= 400))
     got = sorted(tuple(r) for r in Q["w6_latency_adapt"](spark, str(tmp_path)).select("stream_id", "seq", "delay", "failed").collect())
     assert got == want and len({w[2] for w in want if w[1] > 1000}) > 3
+
+
+def events(spark, path, sizes):
+    """Users 0, 1, ... with so many events."""
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(u * 100_000 + k, u, start + datetime.timedelta(seconds=k), "click", float((k * 37 + u * 11) % 97 - 40)) for u, n in enumerate(sizes) for k in range(n)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double").write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_interferers_over_whole_clips(spark, tmp_path):
+    d = events(spark, tmp_path, [30, 67, 250, 41])
+    want = {}
+    for r in adapters.pairs(spark, d).collect():
+        s, o = np.array(r.clean), 2 * np.array(r.noise)
+        k = 1 / np.sqrt(((o @ o) + 1e-10) / ((s @ s) + 1e-10) * 10 + 1e-10)
+        y = s + k * o
+        top = max(np.abs(v).max() for v in (y, s, k * o))
+        want[r.clip_id] = y.sum() / (top + 1e-10) if top - 1 > 1e-10 else y.sum()
+    got = {r.clip_id: r.total for r in Q["m14_add_interferers"](spark, d).collect()}
+    assert got == pytest.approx(want, abs=2e-6)
+
+
+def test_long_clips_are_scored_whole(spark, tmp_path):
+    d = events(spark, tmp_path, [60, 9000])
+    sizes = {r.filename: [len(r.clean), len(r.noisy), len(r.enhanced)] for r in synthesis_queries._long_pairs(spark, d).collect()}
+    assert sizes == {0: [8000] * 3, 1: [9000] * 3}
+    n = {(r.clip_id, r.kind): r.n for r in Q["e9_log_spectra"](spark, d).groupBy("clip_id", "kind").agg(F.count("t").alias("n")).collect()}
+    assert all(n[1, k] > 5 * n[0, k] for k in ("power", "mos", "asr"))

@@ -38,12 +38,13 @@ def assemble_speech(parts: DataFrame, n: int, seed: int) -> DataFrame:
     return joined.select("idx", S.random_crop("x", F.lit(n), seed, F.col("idx")).alias("speech"))
 
 
-def combine_noises(noises: DataFrame, n: int, seed: int, channels: int = 1) -> DataFrame:
-    """idx, noise: each noise (slot, x, gain in dB) fitted to n samples, with its gain, summed in the order of the slots and
-    divided by the number of channels (not of noises)."""
-    fitted = noises.withColumn("y", S.scaled(S.fit_length("x", F.lit(n), seed, F.concat_ws("-", "idx", "slot")), S.db_to_gain("gain")))
+def combine_noises(noises: DataFrame, n: int | str, seed: int, channels: int = 1) -> DataFrame:
+    """idx, noise: each noise (slot, x, gain in dB) fitted to n samples (or to those in a column, the same for all slots of an
+    idx), with its gain, summed in the order of the slots and divided by the number of channels (not of noises)."""
+    length = F.col(n) if isinstance(n, str) else F.lit(n)
+    fitted = noises.withColumn("y", S.scaled(S.fit_length("x", length, seed, F.concat_ws("-", "idx", "slot")), S.db_to_gain("gain")))
     rows = fitted.groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("slot", "y")))["y"].alias("ys"))
-    zero = F.array_repeat(F.lit(0.0), n)
+    zero = F.transform(F.get("ys", F.lit(0)), lambda v: F.lit(0.0))
     return rows.select("idx", F.transform(F.aggregate("ys", zero, S.added), lambda v: v / channels).alias("noise"))
 
 
@@ -57,9 +58,11 @@ def mix_at_snr(df: DataFrame, clean: str = "speech", noise: str = "noise", snr:
     return out.withColumns({clean: S.scaled("_c", "_f"), noise: S.scaled("_n", "_f"), "noisy": S.scaled("_m", "_f")}).drop("_c", "_k", "_n", "_m", "_f")
 
 
-def add_interferers(df: DataFrame, interferers: DataFrame, n: int, seed: int, p: float = 1.0) -> DataFrame:
-    """df (idx, speech, interferer_snr) with other voices mixed into speech where the draw is under p. interferers: idx, slot, x, gain."""
-    other = combine_noises(interferers, n, seed).withColumnRenamed("noise", "_o")
+def add_interferers(df: DataFrame, interferers: DataFrame, seed: int, p: float = 1.0) -> DataFrame:
+    """df (idx, speech, interferer_snr) with other voices mixed into speech where the draw is under p. interferers: idx, slot, x,
+    gain; each is fitted to the length of the speech."""
+    sized = interferers.join(df.select("idx", F.size("speech").alias("_len")), "idx")
+    other = combine_noises(sized, "_len", seed).withColumnRenamed("noise", "_o")
     both = df.join(other, "idx", "left").withColumn("_on", F.col("_o").isNotNull() & (draws.uniform(seed, F.col("idx"), "interfere") < p)).withColumn("_zero", F.lit(0))
     safe = both.withColumn("_o", F.coalesce("_o", S.scaled("speech", 0.0)))
     mixed = mix_at_snr(safe.withColumn("_s", F.col("speech")), "_s", "_o", "interferer_snr", "_zero")

@@ -106,9 +106,9 @@ t as (select *, greatest(list_max(list_transform(y, lambda v: abs(v))), list_max
 select clip_id, {R(f'{sm("y")} * case when top - 1 > 1e-10 then 1 / (top + 1e-10::double) else 1 end')} as total from t""")
 def m14_add_interferers(spark, d):
     p = pairs(spark, d)
-    speech = p.select(F.col("clip_id").alias("idx"), F.slice("clean", 1, 40).alias("speech"), F.lit(10).alias("interferer_snr"))
-    other = p.select(F.col("clip_id").alias("idx"), F.lit(0).alias("slot"), F.slice("noise", 1, 40).alias("x"), F.lit(6.0205999132796239).alias("gain"))
-    return M.add_interferers(speech, other, 40, _SEED).select(F.col("idx").alias("clip_id"), r(S.total("speech")).alias("total"))
+    speech = p.select(F.col("clip_id").alias("idx"), F.col("clean").alias("speech"), F.lit(10).alias("interferer_snr"))
+    other = p.select(F.col("clip_id").alias("idx"), F.lit(0).alias("slot"), F.col("noise").alias("x"), F.lit(6.0205999132796239).alias("gain"))
+    return M.add_interferers(speech, other, _SEED).select(F.col("idx").alias("clip_id"), r(S.total("speech")).alias("total"))
 
 
 _B, _A = (c.tolist() for c in audio.biquad_coefficients("low_pass", 1000, 0.7, 0.0, 8000))
@@ -165,10 +165,15 @@ def m12_limit_bandwidth(spark, d):
     return M.limit_bandwidth(x, 48000, _SEED).select(F.col("idx").alias("clip_id"), F.size("x").alias("n"), "max_freq")
 
 
+def _at_least(x: str, n: int):
+    """Repeated to n samples; longer clips stay whole."""
+    return S.fit_length(x, F.greatest(F.size(x), F.lit(n)))
+
+
 def _long_pairs(spark, d):
-    """Pairs repeated to half a second at 16 kHz."""
+    """Pairs, shorter ones repeated to half a second at 16 kHz."""
     p = pairs(spark, d)
-    return p.select(F.col("clip_id").alias("filename"), *[S.fit_length(c, 8000).alias(c) for c in ("clean", "noisy", "enhanced")])
+    return p.select(F.col("clip_id").alias("filename"), *[_at_least(c, 8000).alias(c) for c in ("clean", "noisy", "enhanced")])
 
 
 @query()
@@ -206,7 +211,7 @@ def e7_multiframe_mvdr(spark, d):
 
 @query()
 def e9_log_spectra(spark, d):
-    x = pairs(spark, d).select("clip_id", S.fit_length("clean", 1600).alias("x"))
+    x = pairs(spark, d).select("clip_id", _at_least("clean", 1600).alias("x"))
     one = lambda k: Q.log_spectra(x, k).select("clip_id", "t", F.lit(k).alias("kind"), F.size("v").alias("bands"), r(S.mean("v"), 4).alias("mean"))
     return one("power").unionByName(one("mos")).unionByName(one("asr"))
 
