@@ -95,3 +95,11 @@ def test_long_clips_are_scored_whole(spark, tmp_path):
     assert sizes == {0: [8000] * 3, 1: [9000] * 3}
     n = {(r.clip_id, r.kind): r.n for r in Q["e9_log_spectra"](spark, d).groupBy("clip_id", "kind").agg(F.count("t").alias("n")).collect()}
     assert all(n[1, k] > 5 * n[0, k] for k in ("power", "mos", "asr"))
+
+
+def test_max_freq_gathers_no_lists(spark, tmp_path):
+    docs = [(i, "t", "en", f"src{i % 3}", 5) for i in range(90)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    df = Q["f9_pair_max_freq"](spark, str(tmp_path))
+    assert "collect_list" not in df._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in df.collect()) == sorted((f"src{k}", sr, 6000.0 if sr == 48000 else 8000.0, sr == 48000) for k in range(3) for sr in (16000, 48000))
