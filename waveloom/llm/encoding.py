@@ -22,6 +22,8 @@ _ASCII_SURE = (_B >= 0x21) & (_B <= 0x7E)
 _CONT = (_B >= 0x80) & (_B < 0xC0)
 _LEAD2 = (_B >= 0xC3) & (_B <= 0xDF)
 _LETTER = ((_B >= 65) & (_B <= 90)) | ((_B >= 97) & (_B <= 122))
+#: Pieces handled at once, and the most places and ids a worker's cache grows to (16 and 4 bytes each).
+PIECES, CACHE_PLACES, CACHE_IDS = 1 << 17, 1 << 21, 1 << 22
 _MARK = _ASCII_SURE & ~_LETTER & ~((_B >= 48) & (_B <= 57)) & (_B != 39)
 
 
@@ -32,7 +34,7 @@ def _byte_length(token: str, added: bool) -> int:
 class Encoder:
     """ids of texts, and the bytes that each id stands for. One per Python worker."""
 
-    def __init__(self, path: str, cache_ids: int = 6_000_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -47,19 +49,17 @@ class Encoder:
         self.token_bytes = np.zeros(self.n_vocabulary, np.int64)
         for t, i in vocabulary.items():
             self.token_bytes[i] = _byte_length(t, t in added)
-        self.cache_ids = cache_ids
         self._forget()
 
     def _forget(self) -> None:
-        self.n_known = 0
-        self.pool = np.zeros(0, np.int32)
+        """An empty cache: an open-addressed table whose free places have hash 0, and a pool of ids. Both grow up to
+        CACHE_PLACES and CACHE_IDS and are then forgotten as a whole, so a worker never holds more than some 50 MB of them."""
+        self.n_known = self.n_pool = 0
+        self.pool = np.zeros(1 << 18, np.int32)
         self._room(1 << 17)
 
     def _room(self, size: int) -> None:
-        """An open-addressed table of `size` (a power of two) places; a free one has hash 0."""
-        self.known = np.zeros(size, np.uint64)
-        self.at = np.zeros(size, np.int64)
-        self.length = np.zeros(size, np.int64)
+        self.known, self.at, self.length = np.zeros(size, np.uint64), np.zeros(size, np.int32), np.zeros(size, np.int32)
 
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of each hash, and whether it is known there."""
@@ -77,10 +77,11 @@ class Encoder:
 
     def _put(self, h: np.ndarray, at: np.ndarray, length: np.ndarray) -> None:
         """Add hashes that are not yet known, each once; two that want one place take turns."""
-        if 2 * (self.n_known + len(h)) > len(self.known):
+        need = 2 * (self.n_known + len(h))
+        if need > len(self.known):
             full = self.known != 0
             old = self.known[full], self.at[full], self.length[full]
-            self._room(1 << int(4 * (self.n_known + len(h))).bit_length())
+            self._room(1 << int(need).bit_length())
             self.n_known = 0
             self._put(*old)
         self.n_known += len(h)
@@ -105,23 +106,46 @@ class Encoder:
             got = self._plain([whole[off[i] : off[i + 1]].decode() for i in range(n)])
             return np.concatenate(got), np.array([len(g) for g in got], np.int64)
         special = [i for i in range(n) if any(a in whole[off[i] : off[i + 1]] for a in self.added)] if any(a in whole for a in self.added) else []
-        s = self._cuts(buf, off, special)
-        e = np.append(s[1:], len(buf))
-        row = np.searchsorted(off, s, side="right") - 1
-        h = span_hashes(buf, s, e)
+        s = self._all_cuts(buf, off, special)
+        parts = [self._ids(buf, s[i : i + PIECES + 1], len(buf)) for i in range(0, len(s), PIECES)]
+        ids, lengths = (np.concatenate([p[k] for p in parts]) if len(parts) > 1 else parts[0][k] for k in (0, 1))
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        return ids, np.diff(before[np.searchsorted(s, off)])  # a text begins with a piece, or is empty
+
+    def _ids(self, buf: np.ndarray, s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces that begin at s, at most PIECES (one more start ends the last), and how many each has."""
+        if len(s) > PIECES:
+            s, n = s[:-1], int(s[-1])
+        low = int(s[0])
+        part, s = buf[low:n], s - low
+        e = np.append(s[1:], len(part))
+        h = span_hashes(part, s, e)
         h[h == 0] = 1
-        if len(self.pool) > self.cache_ids:
+        if self.n_pool > CACHE_IDS or 2 * (self.n_known + len(s)) > CACHE_PLACES:
             self._forget()
         place, hit = self._find(h)
         if not hit.all():
             miss = np.flatnonzero(~hit)
             u, first = np.unique(h[miss], return_index=True)
-            self._learn(whole, u, s[miss[first]], e[miss[first]])
+            self._learn(part.tobytes(), u, s[miss[first]], e[miss[first]])
             place, _ = self._find(h)
-        lengths = self.length[place]
+        lengths = self.length[place].astype(np.int64)
         ends = np.cumsum(lengths)
-        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.at[place] - (ends - lengths), lengths)]
-        return ids, np.bincount(row, weights=lengths, minlength=n).astype(np.int64)
+        return self.pool[np.arange(ends[-1]) + np.repeat(self.at[place] - (ends - lengths), lengths)], lengths
+
+    @classmethod
+    def _all_cuts(cls, buf: np.ndarray, off: np.ndarray, special: list[int], run: int = 4_000_000) -> np.ndarray:
+        """_cuts over runs of bytes, each with some more on both sides, so a very long text takes no more room."""
+        if len(buf) <= run:
+            return cls._cuts(buf, off, special)
+        out = []
+        for a in range(0, len(buf), run):
+            b, lo, hi = min(a + run, len(buf)), max(0, a - 4), min(len(buf), a + run + 4)
+            i, j = np.searchsorted(off, lo, side="right") - 1, np.searchsorted(off, hi)
+            near = np.clip(off[i : j + 1], lo, hi) - lo
+            cut = cls._cuts(buf[lo:hi], near, [k - i for k in special if i <= k < j]) + lo
+            out.append(cut[(cut >= a) & (cut < b) & ((cut > lo) | (lo == 0))])
+        return np.concatenate(out)
 
     @staticmethod
     def _cuts(buf: np.ndarray, off: np.ndarray, special: list[int]) -> np.ndarray:
@@ -168,8 +192,13 @@ class Encoder:
             raise ValueError("token bytes do not add up to the text's bytes")
         stop = last + 1
         start = np.concatenate([[0], stop[:-1]])
-        self._put(h[order], start + len(self.pool), stop - start)
-        self.pool = np.concatenate([self.pool, ids])
+        self._put(h[order], (start + self.n_pool).astype(np.int32), (stop - start).astype(np.int32))
+        if self.n_pool + len(ids) > len(self.pool):
+            more = np.zeros(max(2 * len(self.pool), self.n_pool + len(ids)), np.int32)
+            more[: self.n_pool] = self.pool[: self.n_pool]
+            self.pool = more
+        self.pool[self.n_pool : self.n_pool + len(ids)] = ids
+        self.n_pool += len(ids)
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -28,3 +28,8 @@ def open_read(uri: str) -> BinaryIO:
     """A file with seek, tell, read and size()."""
     store, path = _at(uri)
     return store.open_input_file(path)
+
+
+def delete_folder(uri: str) -> None:
+    store, path = _at(uri)
+    store.delete_dir(path)

@@ -11,6 +11,10 @@ filter and the candidates are what all of them leave:
    come only from the rare tokens of the prefixes, with length and positional bounds;
 3. ascending and descending hash again, on each pair, before its sets are compared in full.
 
+The smaller set of a linked pair holds their first common token early: what follows it there must be
+p / (100 + p) of twice its own size. Such rows are `low`, a token without one has no candidates, and only pairs
+with a low row on their smaller side are formed.
+
 The result needs components only, so pairs inside one component are never formed: each token's documents are
 first compared with one hub (a few rounds), components are merged, and then all pairs of different
 components that are left are compared. No link between different components is skipped.
@@ -26,15 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import save, table
+from .shared import Scratch, save, table, worker
 from .textbytes import NOT_SPACE, counts_by_row, lower_ascii, mix, slices, span_hashes, spans, text_bytes, windows
 
-#: Tables of ids up to this many rows (16 bytes each) are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Tables of a few numbers a row, of counted size up to this, are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+#: Tokens a task remembers as shared (8 bytes each), so that it sends them no more; beyond that it sends them again.
+REMEMBERED = 1_000_000
 #: Rounds of comparing with hubs before all pairs between components are formed, at most, and how
 #: many pairs for each node end these rounds early.
 HUB_ROUNDS, PAIRS_A_NODE = 4, 4
-_NULL_ID = -(1 << 63)
 
 
 def token_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,24 +79,26 @@ def least_share(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """k (the id, a least number for null), doc_id, text_hash, n, node of every row."""
+    """doc_id, text_hash, n, node of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, "text"):
                 tokens, n = token_sets(part.column("text"), width)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int32()), pa.array(node_ids(tokens, n).view(np.int64))], names=["doc_id", "text_hash", "n", "node"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n int, node long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(worker(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n int, node long")
 
 
 def _shared_prefix(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Nodes that pass the first order: node, and how many tokens of its longer prefix other nodes hold too.
 
-    A token that several nodes of one slice hold is sent once for the slice, and counted for these nodes
-    at once; so a token of very many documents is a small group after the shuffle.
+    A token that several nodes of one slice hold is counted for these nodes at once and sent once; the task
+    then remembers it as shared, counts it at once for later nodes too, and sends it no more. So a token of very many
+    documents is one row a task after the shuffle.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = np.zeros(0, np.uint64)
         for b in batches:
             for part in slices(b, "text"):
                 tokens, n = token_sets(part.column("text"), width)
@@ -107,13 +114,17 @@ def _shared_prefix(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 head = np.ones(len(t), bool)
                 head[1:] = t[1:] != t[:-1]
                 group = np.cumsum(head) - 1
-                many = np.bincount(group, minlength=1)[group] > 1 if len(t) else head
+                sent = shared[np.minimum(np.searchsorted(shared, t), len(shared) - 1)] == t if len(shared) else np.zeros(len(t), bool)
+                many = sent | (np.bincount(group, minlength=1)[group] > 1) if len(t) else head
                 u, c = np.unique(d[many], return_counts=True)
+                if len(shared) < REMEMBERED:
+                    shared = np.union1d(shared, t[head & many & ~sent])
+                head &= ~sent
                 t, d = t[head], np.where(many, np.uint64(0), d)[head]
                 o = np.argsort(d, kind="stable")  # rows of one node together take less room
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([t[o], mix(u)]).view(np.int64)), pa.array(np.concatenate([d[o], u]).view(np.int64)), pa.array(np.concatenate([np.zeros(len(t), np.int32), c.astype(np.int32)]))], names=["token", "node", "here"])
 
-    rows = docs.select("text").mapInArrow(run, "token long, node long, here int")
+    rows = docs.select("text").mapInArrow(worker(run), "token long, node long, here int")
     found = rows.withColumn("slices", F.count(F.lit(1)).over(W.partitionBy("token")))
     return (found.where("node <> 0 and (here > 0 or slices > 1)").groupBy("node").agg(F.sum(F.when(F.col("here") > 0, F.col("here")).otherwise(1)).alias("shared")))
 
@@ -129,8 +140,8 @@ def _node_tokens(docs: DataFrame, wanted: DataFrame, width: int, few: bool) -> D
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(tokens.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(n[own], pa.int32()), lists.take(pa.array(own)), part.column("many").take(pa.array(own))], names=["node", "n", "tokens", "many"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("k"), "text").join(F.broadcast(wanted) if few else wanted, "k").select("text", "node", "many")
-    return rows.mapInArrow(run, "node long, n int, tokens array<long>, many boolean")
+    rows = docs.select(F.xxhash64("doc_id").alias("k"), "text").join(F.broadcast(wanted) if few else wanted, "k").select("text", "node", "many")
+    return rows.mapInArrow(worker(run), "node long, n int, tokens array<long>, many boolean")
 
 
 def _least(n, percent: int):
@@ -139,7 +150,7 @@ def _least(n, percent: int):
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough: both hash orders' prefixes first, then whole sets."""
-    few = pairs.count() <= BROADCAST_ROWS
+    few = pairs.count() <= BROADCAST_ROWS  # two numbers a pair
     side = lambda ids: F.broadcast(ids) if few else ids
     # only the sets that are asked for are shuffled
     a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")).join(side(pairs.select("a").distinct()), "a", "left_semi")
@@ -152,76 +163,78 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(up & down).where(o * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+def merge_labels(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """labels (node, comp) after joining the components of all links (a, b): comp becomes the least label of
     what is connected. Least neighbours and pointer jumping, so rounds grow with the logarithm of a chain's length."""
     x, y = labels.select(F.col("node").alias("a"), F.col("comp").alias("x")), labels.select(F.col("node").alias("b"), F.col("comp").alias("y"))
-    edges = save(links.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "edges")
+    edges = scratch.save(links.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "edges")
     while not edges.isEmpty():
         ends = edges.select(F.col("x").alias("v"), F.col("y").alias("u")).union(edges.select("y", "x"))
-        up = save(ends.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("p")), "parents")
+        up = scratch.save(ends.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("p")), "parents")
         while True:
             over = up.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            jumped = save(up.join(over, "p").select("v", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")), "parents")
+            jumped = scratch.save(up.join(over, "p").select("v", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")), "parents")
             up = jumped.select("v", "p")
             if jumped.where("moved").isEmpty():
                 break
-        labels = save(labels.join(up.withColumnRenamed("v", "comp"), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")), "labels")
+        labels = scratch.save(labels.join(up.withColumnRenamed("v", "comp"), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")), "labels")
         x, y = up.select(F.col("v").alias("x"), F.col("p").alias("rx")), up.select(F.col("v").alias("y"), F.col("p").alias("ry"))
-        edges = save(edges.join(x, "x").join(y, "y").where("rx <> ry").select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")).distinct(), "edges")
+        edges = scratch.save(edges.join(x, "x").join(y, "y").where("rx <> ry").select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")).distinct(), "edges")
     return labels
 
 
-def _components(sets: DataFrame, percent: int) -> DataFrame:
+def _components(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """labels (node, comp) of the nodes that may have links, given their token sets."""
     own = sets.select("node", "n", F.explode("tokens").alias("token"))
-    often = own.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # written first: the join then has plain shuffles on both sides, which a hot token cannot hold up
+    often = scratch.save(own.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
     found = own.join(often, "token")
     by_node = W.partitionBy("node")  # the tokens of one document
     found = found.withColumn("shared", F.count(F.lit(1)).over(by_node)).where(F.col("shared") >= _least(F.col("n"), percent))
     # tokens of no other node stand before all others
     found = found.withColumn("pos", F.col("n") - F.col("shared") + F.row_number().over(by_node.orderBy("often", "token")) - 1)
-    prefix = save(found.where(F.col("pos") <= F.col("n") - _least(F.col("n"), percent)).select("token", "node", F.col("n").cast("int"), F.col("pos").cast("int"), (1 - F.col("shared") / F.col("n")).alias("own")), "prefixes")
-    labels = save(prefix.select("node").distinct().withColumn("comp", F.col("node")), "labels")
+    prefix = scratch.save(found.where(F.col("pos") <= F.col("n") - _least(F.col("n"), percent)).select("token", "node", F.col("n").cast("int"), F.col("pos").cast("int"), (1 - F.col("shared") / F.col("n")).alias("own"), ((F.col("n") - F.col("pos")) * (100 + percent) >= 2 * percent * F.col("n")).alias("low")), "prefixes")
+    labels = scratch.save(prefix.select("node").distinct().withColumn("comp", F.col("node")), "labels")
     nodes = labels.count()
     side = lambda df: F.broadcast(df) if nodes <= BROADCAST_ROWS else df  # noqa: E731  at most one row for each node
     sets = sets.select("node", "n", "tokens")
-    fits = (F.lit(4) * 25 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
+    fits = (F.lit(100) * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
     hubs_left = HUB_ROUNDS
     for turn in range(HUB_ROUNDS + 1):
         now = prefix.join(side(labels), "node")
-        groups = now.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-        open_ = groups.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("inside")).where("comps > 1")
-        open_ = save(open_.select("token", ((F.col("all") * F.col("all") - F.col("inside")) / 2).alias("pairs")), "open-tokens")
+        groups = now.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.count_if("low").alias("l"))
+        open_ = groups.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), (F.sum("c") * F.sum("l") - F.sum(F.col("c") * F.col("l"))).alias("pairs")).where("comps > 1 and pairs > 0")
+        open_ = scratch.save(open_.select("token", "pairs"), "open-tokens")
         left = open_.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             break
         # a token whose documents are in one component stays so: the others alone go on
         few = open_.count() <= BROADCAST_ROWS
-        prefix = save(prefix.join(F.broadcast(open_.select("token")) if few else open_.select("token"), "token", "left_semi"), "prefixes")
+        prefix = scratch.save(prefix.join(F.broadcast(open_.select("token")) if few else open_.select("token"), "token", "left_semi"), "prefixes")
         active = prefix.join(side(labels), "node")
         if hubs_left and left > PAIRS_A_NODE * nodes:
             # the documents with the least of their own are the likeliest centres; later rounds take them from a half of all
             h = F.xxhash64("node", F.lit(turn))
             order = F.struct((F.pmod(h, F.lit(2)) if turn else F.lit(0)).alias("half"), "own", h.alias("h"), "node", "n", "pos", "comp")
-            hubs = active.groupBy("token").agg(F.min(order).alias("hub")).select("token", F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("hub.pos").alias("pa"), F.col("hub.comp").alias("ca"))
+            hubs = scratch.save(active.groupBy("token").agg(F.min(order).alias("hub")).select("token", F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("hub.pos").alias("pa"), F.col("hub.comp").alias("ca")), "hubs")
+            hubs = F.broadcast(hubs) if few else hubs  # one row for each open token
             pairs = active.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb")).join(hubs, "token").where(F.col("ca") != F.col("cb")).where(fits)
             shared = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-            best = save(shared.groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"), "pairs")
-            links = save(_linked(best, sets, percent), "links")
-            labels = merge_labels(labels, links)
+            best = scratch.save(shared.groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"), "pairs")
+            links = scratch.save(_linked(best, sets, percent), "links")
+            labels = merge_labels(labels, links, scratch)
             hubs_left = 0 if links.count() * 100 < nodes else hubs_left - 1  # rounds that find little end
             continue
         # the bounds of a whole component come first: most components that share a token cannot have links
-        kinds = active.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
-        x, y = (kinds.select("token", *[F.col(c).alias(c + z) for c in ("comp", "c", "least", "most", "rest")]) for z in "ab")
-        may = (F.lit(100) * F.col("mosta") >= percent * F.col("leastb")) & (F.lit(100) * F.col("mostb") >= percent * F.col("leasta")) & (F.least("resta", "restb") * (100 + percent) >= percent * (F.col("leasta") + F.col("leastb")))
-        # the side with fewer documents is written out first
-        sides = x.join(y, "token").where(F.struct("ca", "compa") < F.struct("cb", "compb")).where(may).select("token", F.col("compa").alias("ca"), F.col("compb").alias("cb"))
-        a = active.select("token", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+        numbers = (F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+        x, y = (rows.groupBy("token", "comp").agg(*numbers).select("token", *[F.col(c).alias(c + z) for c in ("comp", "c", "least", "most", "rest")]) for rows, z in ((active.where("low"), "a"), (active, "b")))
+        may = (F.col("leasta") <= F.col("mostb")) & (F.lit(100) * F.col("mosta") >= percent * F.col("leastb")) & (F.least("resta", "restb") * (100 + percent) >= percent * (F.col("leasta") + F.col("leastb")))
+        sides = scratch.save(x.join(y, "token").where(F.col("compa") != F.col("compb")).where(may).select("token", F.col("compa").alias("ca"), F.col("compb").alias("cb")), "sides")
+        a = active.where("low").select("token", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
         b = active.select("token", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-        pairs = save(sides.join(a, ["token", "ca"]).join(b, ["token", "cb"]).where(fits).select("a", "b").distinct(), "pairs")
-        labels = merge_labels(labels, save(_linked(pairs, sets, percent), "links"))
+        # of two low rows of one size the pair comes up from both sides
+        pairs = scratch.save(sides.join(a, ["token", "ca"]).join(b, ["token", "cb"]).where(fits & (F.col("na") <= F.col("nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        labels = merge_labels(labels, scratch.save(_linked(pairs, sets, percent), "links"), scratch)
         break
     return labels
 
@@ -233,21 +246,23 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFr
     Words are runs of characters other than space and \\x09-\\x0D, A-Z in lower case. A null or empty text has an
     empty set and no links, and its component_id is its own doc_id. Rows with a null doc_id take part
     and count only for ids if no other row of their component has one. Repeated ids and rows are
-    linked like any equal texts. Only doc_id and text are read. Nodes are 64-bit hashes of sets.
+    linked like any equal texts. doc_id may be of any type with an order; only doc_id and text are read. Nodes are
+    64-bit hashes of sets. An empty table gives no rows.
     """
+    scratch = Scratch(docs.sparkSession, "similar")
     rows = save(_sets(docs, width), "sets")
     kept = _shared_prefix(docs, width, percent)
     # the row that stands for a node, and whether the table repeats it
-    k = F.coalesce("doc_id", F.lit(_NULL_ID))
-    stands = rows.where("n > 0").groupBy("node", "n", k.alias("k")).agg(F.count(F.lit(1)).alias("c")).groupBy("node", "n").agg(F.min(F.struct("k", "c")).alias("x"))
+    stands = rows.where("n > 0").groupBy("node", "n", F.xxhash64("doc_id").alias("k")).agg(F.count(F.lit(1)).alias("c")).groupBy("node", "n").agg(F.min(F.struct("k", "c")).alias("x"))
     enough = (percent * F.col("n") / 100 / 8).cast("int") + 1  # what two longer prefixes share at least, for the smallest partner
     wanted = stands.join(kept, "node").where(F.col("shared") >= enough).select(F.col("x.k").alias("k"), "node", (F.col("x.c") > 1).alias("many"))
-    wanted = save(wanted, "wanted")
-    sets = save(_node_tokens(docs, wanted, width, wanted.count() <= BROADCAST_ROWS), "node-tokens")
+    wanted = scratch.save(wanted, "wanted")
+    sets = scratch.save(_node_tokens(docs, wanted, width, wanted.count() <= BROADCAST_ROWS), "node-tokens")
     if not sets.where("many").isEmpty():
         once = sets.where("many").groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-        sets = save(sets.where("not many").select("node", "n", "tokens").unionByName(once), "node-tokens")
-    labels = _components(sets, percent)
+        sets = scratch.save(sets.where("not many").select("node", "n", "tokens").unionByName(once), "node-tokens")
+    labels = save(_components(sets, percent, scratch).where("node <> comp"), "labels")
+    scratch.drop()
     named = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return named.join(least, "comp", "left").select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -255,20 +270,19 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFr
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """The documents without near-duplicates: of each component the row with the least doc_id stays (equal ids: the
-    least text hash; equal rows: one). Rows with empty sets all stay. All columns are kept."""
+    least text hash; equal rows: one). Rows with empty sets all stay, null ids come last. All columns are kept,
+    whatever their names; an empty table stays empty."""
     found = save(similar_groups(docs, width, percent), "groups")
     full = found.where("n_shingles > 0")
-    k = F.coalesce("doc_id", F.lit(_NULL_ID))
-    c = F.coalesce("component_id", F.lit(_NULL_ID))
     id_, hash_ = "_k", "_h"
     while {id_, hash_} & set(docs.columns):
         id_, hash_ = id_ + "_", hash_ + "_"
-    each = full.groupBy(k.alias(id_), F.col("text_hash").alias(hash_), c.alias("c")).agg(F.count(F.lit(1)).alias("copies"))
+    each = full.groupBy(F.xxhash64("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.xxhash64("component_id").alias("c")).agg(F.count(F.lit(1)).alias("copies"))
     first = each.where(F.col(id_) == F.col("c")).groupBy("c").agg(F.min(hash_).alias("best"))
     marked = each.join(first, "c").withColumn("out", (F.col(id_) != F.col("c")) | (F.col(hash_) != F.col("best")))
     marked = save(marked.where("out or copies > 1").select(id_, hash_, "out"), "leaving")
     few = marked.count() <= BROADCAST_ROWS
-    own = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))).withColumn(hash_, F.xxhash64("text"))
+    own = docs.withColumn(id_, F.xxhash64("doc_id")).withColumn(hash_, F.xxhash64("text"))
     side = lambda m: F.broadcast(m) if few else m
     stay = own.join(side(marked.select(id_, hash_)), [id_, hash_], "left_anti")
     repeated = marked.where("not out").select(id_, hash_)

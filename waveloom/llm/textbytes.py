@@ -63,7 +63,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 500_000) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose text has about `limit` bytes; a longer text makes a run of its own."""
     _, off = text_bytes(batch.column(batch.schema.get_field_index(column)))
     at, n = 0, len(off) - 1
