@@ -20,6 +20,11 @@ class Trees:
     depth: int
     base: float
 
+    @property
+    def constant(self) -> bool:
+        """Whether there was too little to learn from: the score is then one number for all rows and says nothing."""
+        return not len(self.roots)
+
     def raw(self, x: np.ndarray) -> np.ndarray:
         """Log odds of each row."""
         out = np.full(len(x), self.base)
@@ -44,7 +49,7 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: tuple[int, ...] | list[int], rou
 
     monotone[j] is +1 (the score never falls as feature j grows), -1 or 0. A split against the sign is
     not taken, and the middle of the two child values bounds all values below either child, so the sum
-    of trees is monotone too. One class alone, or no rows, gives the constant model.
+    of trees is monotone too. One class alone, or fewer than 2 * least rows, gives the constant model.
     """
     y = y.astype(float)
     rate_of = min(max(y.mean() if len(y) else 0.5, 1e-3), 1 - 1e-3)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gbdt
-from .shared import table
+from .shared import table, worker
 from .textbytes import NOT_SPACE, counts_by_row, slices, span_hashes, spans, text_bytes, windows
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -117,11 +117,12 @@ def base_failed(c: dict[str, np.ndarray]) -> np.ndarray:
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> gbdt.Trees:
     """Trees fitted to `labels` (doc_id, quality 0 or 1) over at most `rows` labelled documents.
 
-    Rows of labels without a quality or a document are not used; of repeated ids the first by (id, quality)
-    counts. With no labelled rows the model is constant and only the base rules decide.
+    Rows of labels without a quality or a document are not used; of repeated ids in labels the least quality counts,
+    of repeated ids in docs any one row. The bound is applied to the labels of documents that are there. With
+    one class alone, or fewer than 40 such rows, the model is constant and only the base rules decide.
     """
-    wanted = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    wanted = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     some = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +131,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> gbd
                 x = features(statistics(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), *map(pa.array, x.T)], names=["doc_id", "quality", *FEATURES])
 
-    got = some.mapInArrow(count, "doc_id long, quality int, " + ", ".join(f"{f} double" for f in FEATURES)).dropDuplicates(["doc_id"]).toPandas()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = some.select("doc_id", "text", "quality").mapInArrow(worker(count), f"doc_id {kind}, quality int, " + ", ".join(f"{f} double" for f in FEATURES)).dropDuplicates(["doc_id"]).toPandas()
     got = got.sort_values("doc_id")
     return gbdt.fit(got[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), got["quality"].to_numpy(), MONOTONE)
 
@@ -139,11 +141,12 @@ def _scored(part: pa.RecordBatch, model: gbdt.Trees, keep_at: float) -> tuple[di
     c = statistics(part.column("text"))
     failed = base_failed(c)
     p = model.probability(features(c))
-    return c, failed, p, ~failed & (p >= keep_at)
+    return c, failed, p, ~failed if model.constant else ~failed & (p >= keep_at)
 
 
 def score_quality(docs: DataFrame, model: gbdt.Trees, keep_at: float = KEEP_AT) -> DataFrame:
-    """One row per document: doc_id, the counts of COUNTS, base_failed, score (the trees' probability), kept.
+    """One row per document: doc_id, the counts of COUNTS, base_failed, score (the trees' probability), kept: not
+    base_failed and a score of keep_at or more; a constant model decides nothing.
 
     A null or empty text has no words and so fails the base rules. Repeated rows give repeated results;
     other columns of docs are not read. Whole texts are counted, in slices of a few MB.
@@ -157,11 +160,12 @@ def score_quality(docs: DataFrame, model: gbdt.Trees, keep_at: float = KEEP_AT)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c[k]) for k in COUNTS), pa.array(failed), pa.array(p), pa.array(kept)], names=["doc_id", *COUNTS, "base_failed", "score", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, score double, kept boolean")
+    return docs.select("doc_id", "text").mapInArrow(worker(score), f"doc_id {kind}, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, model: gbdt.Trees, keep_at: float = KEEP_AT) -> DataFrame:
-    """The documents that score_quality keeps, with all their columns."""
+    """The documents that score_quality keeps, with all their columns, whatever their names. Null and empty texts go,
+    as they fail the base rules; repeated rows stay or go together; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +173,7 @@ def keep_good(docs: DataFrame, model: gbdt.Trees, keep_at: float = KEEP_AT) -> D
             for part in slices(b, "text"):
                 yield part.filter(pa.array(_scored(part, shared.value, keep_at)[3]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(worker(keep), docs.schema)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
