@@ -161,17 +161,17 @@ def brute_hits(text, items, window=10):
     return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("block", [2_000_000, 40])
-def test_decontamination(spark, odd, block):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_decontamination(spark, odd, broadcast):
     _, rows = odd
     texts = [t for _, t in rows] + [prose(1, 60_000)[2000:2600] + " zzz " + prose(9, 30), "Alpha, beta!", "tail " + prose(2, 14)]
     items = [(1, prose(2, 14)), (2, "ALPHA beta"), (3, None), (4, ""), (5, prose(1, 60_000)[2000:2300]), (6, prose(2, 14)), (7, "..."), (None, prose(3, 12)), (8, "solo")]
     df = make(spark, texts)
-    got = decontaminate.find_contamination(df, spark.createDataFrame(items, "item_id long, text string"), windows_a_pass=block).collect()
+    got = decontaminate.find_contamination(df, spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=broadcast).collect()
     for r in got:
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == brute_hits(texts[r.doc_id], items), r.doc_id
         assert r.contaminated == (r.n_hit > 0)
-    clean = decontaminate.find_contamination(df, spark.createDataFrame(items, "item_id long, text string"), windows_a_pass=block, keep="clean")
+    clean = decontaminate.find_contamination(df, spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=broadcast, keep="clean")
     assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in got if not r.contaminated}
     none = decontaminate.find_contamination(df, spark.createDataFrame([], "item_id long, text string"))
     assert none.where("contaminated").count() == 0 and none.count() == len(texts)

@@ -5,269 +5,198 @@ window a sequence of short shingles. A window occurs in a document only if all o
 containment is 1 and the necessary prefix under any order is one shingle: its rarest. Shingles are
 ordered by how often they occur in all documents; only the rarest shingle of each window is joined,
 its position in the window says where the window would have to begin (positional bound), the document's
-words where it would have to end (length bound), and the whole window is then compared.
+words where it would have to end (length bound), and the words of the whole window are then compared.
+
+Windows, shingle counts and candidates are tables; the driver sees nothing but two filters of fixed largest size,
+which let tasks pass over shingles that no window has.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
-from .textbytes import ALNUM, counts_by_row, lower_ascii, slices, span_hashes, spans, text_bytes, windows
+from .shared import Scratch, save, table, worker
+from .textbytes import ALNUM, counts_by_row, lower_ascii, mix, slices, span_hashes, spans, text_bytes, windows
 
 WINDOW, SHINGLE = 10, 3
-#: Windows of items that one pass over the documents holds in memory; more take further passes.
-WINDOWS_A_PASS = 2_000_000
-
-
-@dataclass
-class Index:
-    """Windows of items in arrays sorted by the joined shingle."""
-
-    shingle: np.ndarray  # joined shingle of each window
-    width: np.ndarray  # words in that shingle (fewer only in windows shorter than it)
-    offset: np.ndarray  # its first word in the window
-    length: np.ndarray  # words in the window
-    whole: np.ndarray  # hash of the window's words
-    item: np.ndarray  # number of the item
-    names: list[str]  # item ids as strings, by number
+#: Up to this many windows (some 200 bytes each), and ids of documents with hits, are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+#: A filter is a bitmap of 2^26 bits (8 MB), and up to so many shingles (8 bytes each) their sorted list too. Without it
+#: some more candidates go to the join, which tells them apart.
+BITS, LISTED = 26, 1_000_000
 
 
-def item_windows(ids: list, texts: list, window: int, shingle: int) -> list[tuple[int, np.ndarray]]:
-    """Each window as (item number, word hashes); equal windows of one item once."""
-    buf, off = text_bytes(pa.array(texts, pa.string()))
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes; starts, ends, hashes and rows of all words."""
+    buf, off = text_bytes(texts)
     low = lower_ascii(buf)
     s, e, row = spans(low, off, ALNUM)
-    h = span_hashes(low, s, e)
-    out, seen = [], set()
-    for i in range(len(ids)):
-        words = h[row == i]
-        size = min(window, len(words))
-        for k in range(len(words) - size + 1 if size else 0):
-            w = words[k : k + size]
-            if (i, w.tobytes()) not in seen:
-                seen.add((i, w.tobytes()))
-                out.append((i, w))
-    return out
+    return low, s, e, span_hashes(low, s, e), row
 
 
-def _shingles(words: np.ndarray, width: int) -> np.ndarray:
-    return windows(words, np.zeros(len(words), np.int64), width)[0]
+def _shingles(h: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """One 64-bit number for each shingle of `width` words, different for different widths, and its first word."""
+    g, at = windows(h, row, width)
+    return mix(g + np.uint64(width)), at
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
-    buf, off = text_bytes(texts)
-    low = lower_ascii(buf)
-    s, e, row = spans(low, off, ALNUM)
-    return span_hashes(low, s, e), row, len(off) - 1
+def item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
+    """item (a string), words (of one window, joined by spaces), size (how many), shingles (in order): each window of an item once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, "text", 100_000):
+                low, s, e, h, row = _words(part.column("text"))
+                raw = low.tobytes()
+                words = [raw[x:y].decode(errors="replace") for x, y in zip(s.tolist(), e.tolist())]
+                n = counts_by_row(row, part.num_rows)
+                first = np.cumsum(n) - n
+                item, text, size, lists = [], [], [], []
+                for i in np.flatnonzero(n):
+                    of, w = min(window, int(n[i])), min(shingle, int(n[i]))
+                    a, z = int(first[i]), int(first[i] + n[i])
+                    g = _shingles(h[a:z], np.zeros(z - a, np.int64), w)[0].view(np.int64)
+                    for k in range(a, z - of + 1):
+                        item.append(i)
+                        text.append(" ".join(words[k : k + of]))
+                        size.append(of)
+                        lists.append(g[k - a : k - a + of - w + 1])
+                yield pa.RecordBatch.from_arrays([part.column("item").take(pa.array(item, pa.int64())), pa.array(text, pa.string()), pa.array(size, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=["item", "words", "size", "shingles"])
+
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").where("text is not null").distinct()
+    return rows.mapInArrow(worker(run), "item string, words string, size int, shingles array<long>").dropDuplicates(["item", "words"])
+
+
+def _filter(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
+    """The bitmap of the high bits of distinct tokens, 32 in each number, and the tokens in order if they are few."""
+    out = np.zeros(1 << (BITS - 5), np.uint32)
+    if tokens.count() <= LISTED:
+        keys = np.sort(tokens.toArrow().column("token").to_numpy().view(np.uint64))
+        p = (keys >> np.uint64(64 - BITS)).astype(np.int64)
+        np.bitwise_or.at(out, p >> 5, (1 << (p & 31)).astype(np.uint32))
+        return out, keys
+    parts = tokens.select(F.shiftrightunsigned("token", 64 - BITS).alias("p")).selectExpr("p div 32 as at", "shiftleft(1L, cast(p % 32 as int)) as bit")
+    got = parts.groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()  # 2^(BITS - 5) rows at most
+    out[got.column("at").to_numpy()] = got.column("bit").to_numpy().astype(np.uint32)
+    return out, None
+
+
+def _marked(filter_: tuple[np.ndarray, np.ndarray | None], tokens: np.ndarray) -> np.ndarray:
+    """Indexes of the tokens that pass."""
+    bitmap, keys = filter_
+    p = tokens >> np.uint64(64 - BITS)
+    at = np.flatnonzero((bitmap[(p >> np.uint64(5)).astype(np.int64)] >> (p & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
+    if keys is None or not len(keys):
+        return at
+    return at[keys[np.minimum(np.searchsorted(keys, tokens[at]), len(keys) - 1)] == tokens[at]]
+
+
+def frequencies(docs: DataFrame, tokens: DataFrame, widths: list[int]) -> DataFrame:
+    """token, often: how often shingles of the given widths occur in all documents; all given tokens that occur, and
+    perhaps others. Counted in each slice, summed by Spark."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(tokens))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, "text"):
+                _, _, _, h, row = _words(part.column("text"))
+                got = [np.zeros(0, np.uint64)] + [g[_marked(shared.value, g)] for w in widths for g in (_shingles(h, row, w)[0],)]
+                u, n = np.unique(np.concatenate(got), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["token", "n"])
 
-def _found(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Indexes of h whose value is among the sorted keys: a small table of high bits first, then a search."""
-    if not len(keys) or not len(h):
-        return np.zeros(0, np.int64)
-    bits = 22
-    seen = np.zeros(1 << bits, bool)
-    seen[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
-    at = np.flatnonzero(seen[(h >> np.uint64(64 - bits)).astype(np.int64)])
-    place = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
-    return at[keys[place] == h[at]]
+    return docs.select("text").mapInArrow(worker(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("often"))
 
 
-def frequencies(docs: DataFrame, keys: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-    """How often each of the given shingles (by width) occurs in all documents. Counted in each
-    task, summed by Spark; as many rows as given shingles come back."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(keys)
+def rarest(found: DataFrame, often: DataFrame) -> DataFrame:
+    """item, words, size, token, skip: each window with its rarest shingle (ties by number, then place) and how
+    many of the window's words stand before that."""
+    each = found.select("item", "words", "size", F.posexplode("shingles").alias("skip", "token"))
+    best = each.join(often, "token", "left").groupBy("item", "words", "size").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "token", "skip")).alias("x"))
+    return best.select("item", "words", "size", F.col("x.token").alias("token"), F.col("x.skip").alias("skip"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {w: np.zeros(len(k), np.int64) for w, k in shared.value.items()}
+
+def candidates(docs: DataFrame, prefixes: DataFrame, widths: list[int], window: int) -> DataFrame:
+    """For each document a row (doc_id, k, h, n_words), k and h the hashes of its id and text; and for each of its
+    shingles that pass the filter of the prefixes, a row (k, h, at, token, place, near): the number of its first word, and the
+    words around it, of which `place` stand before. A window that holds the shingle lies among them."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(prefixes.select("token").distinct()))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, "text"):
-                h, row, _ = _words(part.column("text"))
-                for w, k in shared.value.items():
-                    g, _ = windows(h, row, w)
-                    got = g[_found(k, g)]
-                    total[w] += np.bincount(np.searchsorted(k, got), minlength=len(k))
-        for w, n in total.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), w), pa.int32()), pa.array(at), pa.array(n[at])], names=["width", "at", "n"])
-
-    got = docs.select("text").mapInArrow(count, "width int, at long, n long").groupBy("width", "at").agg(F.sum("n").alias("n")).collect()
-    out = {w: np.zeros(len(k), np.int64) for w, k in keys.items()}
-    for r in got:
-        out[r.width][r.at] = r.n
-    return out
-
-
-def build_index(docs: DataFrame, found: list[tuple[int, np.ndarray]], names: list[str], shingle: int) -> Index:
-    """The rarest shingle of each window, ties broken by hash and position."""
-    by_width: dict[int, list] = {}
-    for i, w in found:
-        by_width.setdefault(min(shingle, len(w)), []).append(_shingles(w, min(shingle, len(w))))
-    keys = {k: np.unique(np.concatenate(v)) for k, v in by_width.items()}
-    often = frequencies(docs, keys) if keys else {}
-    rows = []
-    for i, w in found:
-        k = min(shingle, len(w))
-        g = _shingles(w, k)
-        n = often[k][np.searchsorted(keys[k], g)]
-        o = int(np.lexsort((np.arange(len(g)), g, n))[0])
-        rows.append((g[o], k, o, len(w), _shingles(w, len(w))[0], i))
-    if not rows:
-        z = np.zeros(0, np.int64)
-        return Index(np.zeros(0, np.uint64), z, z, z, np.zeros(0, np.uint64), z, names)
-    g, k, o, n, whole, item = map(np.array, zip(*rows))
-    at = np.argsort(g, kind="stable")
-    return Index(g[at].astype(np.uint64), k[at], o[at], n[at], whole[at].astype(np.uint64), item[at], names)
-
-
-def match(ix: Index, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences of windows in the words of a batch: first word, one past the last word, item."""
-    out: list[list[np.ndarray]] = [[], [], []]
-    whole: dict[int, np.ndarray] = {}
-    for width in np.unique(ix.width):
-        own = np.flatnonzero(ix.width == width)
-        keys = ix.shingle[own]
-        g, at = windows(h, row, int(width))
-        hit = _found(keys, g)
-        lo, hi = np.searchsorted(keys, g[hit], side="left"), np.searchsorted(keys, g[hit], side="right")
-        n = hi - lo
-        pos = np.repeat(at[hit], n)
-        ends = np.cumsum(n)
-        w = own[np.arange(n.sum()) - np.repeat(ends - n, n) + np.repeat(lo, n)]
-        first = pos - ix.offset[w]
-        last = first + ix.length[w]
-        fits = (first >= 0) & (last <= len(h))
-        first, last, w = first[fits], last[fits], w[fits]
-        fits = (row[first] == row[last - 1]) if len(first) else fits[:0]
-        first, last, w = first[fits], last[fits], w[fits]
-        for size in np.unique(ix.length[w]):
-            of = ix.length[w] == size
-            f = first[of]
-            words = h[f[:, None] + np.arange(size)]
-            same = _rows_hash(words) == ix.whole[w[of]]
-            for k, x in enumerate((f[same], last[of][same], ix.item[w[of]][same])):
-                out[k].append(x)
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-
-
-def _rows_hash(words: np.ndarray) -> np.ndarray:
-    """windows() of each row of a matrix with as many words as the matrix has columns."""
-    flat = words.ravel()
-    return windows(flat, np.repeat(np.arange(len(words)), words.shape[1]), words.shape[1])[0] if len(words) else np.zeros(0, np.uint64)
-
-
-def _digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
-
-
-def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, windows_a_pass: int = WINDOWS_A_PASS, keep: str = "report") -> DataFrame:
+                low, s, e, h, row = _words(part.column("text"))
+                n = counts_by_row(row, part.num_rows)
+                found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1)] + [(g[m], at[m], w) for w in widths for g, at in (_shingles(h, row, w),) for m in (_marked(shared.value, g),)]
+                token, at = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+                width = np.repeat([f[2] for f in found], [len(f[0]) for f in found])
+                first = (np.cumsum(n) - n)[row[at]]
+                lo, hi = np.maximum(first, at + width - window), np.minimum(first + n[row[at]], at + window)
+                size = hi - lo
+                words = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+                own, back = np.unique(words, return_inverse=True)
+                raw = low.tobytes()
+                texts = pa.array([raw[x:y].decode(errors="replace") for x, y in zip(s[own].tolist(), e[own].tolist())], pa.string())
+                near = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), texts.take(pa.array(back)))
+                of, docs_n = pa.array(row[at]), part.num_rows
+                none = lambda t, k: pa.nulls(k, t)
+                names = ["doc_id", "k", "h", "n_words", "at", "token", "place", "near"]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), part.column("h"), pa.array(n), none(pa.int64(), docs_n), none(pa.int64(), docs_n), none(pa.int32(), docs_n), none(pa.list_(pa.string()), docs_n)], names=names)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([none(part.column("doc_id").type, len(at)), part.column("k").take(of), part.column("h").take(of), none(pa.int64(), len(at)), pa.array(at - first), pa.array(token.view(np.int64)), pa.array(at - lo, pa.int32()), near], names=names)
+
+    rows = docs.select("doc_id", F.xxhash64("doc_id").alias("k"), F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(worker(run), f"doc_id {kind}, k long, h long, n_words long, at long, token long, place int, near array<string>")
+
+
+def find_hits(docs: DataFrame, items: DataFrame, scratch: Scratch, window: int, shingle: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+    """All documents (doc_id, k, h, n_words), and the occurrences of windows in them (k, h, first, size, item)."""
+    found = scratch.save(item_windows(items, window, shingle), "windows")
+    widths = sorted(r.w for r in found.select(F.least("size", F.lit(shingle)).alias("w")).distinct().collect())  # at most `shingle` numbers
+    often = frequencies(docs, found.select(F.explode("shingles").alias("token")).distinct(), widths)
+    prefixes = scratch.save(rarest(found, often), "prefixes")
+    both = save(candidates(docs, prefixes, widths, window), "candidates")
+    few = prefixes.count() <= broadcast_rows
+    near = both.where("token is not null").select("k", "h", "at", "token", "place", "near").join(F.broadcast(prefixes) if few else prefixes, "token")
+    start = F.col("place") - F.col("skip")
+    whole = F.when((start >= 0) & (start + F.col("size") <= F.size("near")), F.array_join(F.slice("near", F.greatest(start, F.lit(0)) + 1, F.col("size")), " "))
+    hits = near.where(whole == F.col("words")).select("k", "h", (F.col("at") - F.col("skip")).alias("first"), "size", "item")
+    return both.where("n_words is not null").select("doc_id", "k", "h", "n_words"), save(hits, "hits")
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS, keep: str = "report") -> DataFrame:
     """Which documents hold windows of which benchmark items.
 
     items: item_id, text. keep='report' gives one row per document: doc_id, n_words, n_hit (words inside any
     occurrence), n_items, items_sha256 (of the sorted ids joined by commas), items (the ids, sorted),
-    contaminated. keep='clean' gives the documents without any hit, with all their columns.
+    contaminated. keep='clean' gives the documents without any hit, with all their columns, whatever their names.
 
     A null or empty text has no words and no hits; an item without words none either; a null item id is
-    the string 'null'. Repeated rows give repeated results. Items with more than windows_a_pass windows are
-    taken in blocks: the documents then go through one such narrow step per block, each adding to
-    the hits of the ones before, so nothing of unbounded size is ever sent to a task.
+    the string 'null'. Repeated rows give repeated results; ids may be of any type. An empty table on either side
+    gives no hits. A passage that very many documents hold is joined by a broadcast, or beyond broadcast_rows windows by
+    a shuffle whose skewed parts Spark splits.
     """
-    spark = docs.sparkSession
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), "text").where("text is not null").distinct().orderBy("i", "text")
-    blocks: list[Index] = []
-    ids: list[str] = []
-    texts: list[str] = []
-    weight = 0
-
-    def close() -> None:
-        nonlocal ids, texts, weight
-        if ids:
-            names = sorted(set(ids))
-            number = {x: k for k, x in enumerate(names)}
-            found = [(number[ids[i]], w) for i, w in item_windows(ids, texts, window, shingle)]
-            blocks.append(build_index(docs, found, names, shingle))
-        ids, texts, weight = [], [], 0
-
-    for r in rows.toLocalIterator():
-        ids.append(r.i)
-        texts.append(r.text)
-        weight += max(1, len(r.text) // 2)
-        if weight >= windows_a_pass:
-            close()
-    close()
-    blocks = blocks or [build_index(docs, [], [], shingle)]
-    kind = docs.schema["doc_id"].dataType.simpleString() if "doc_id" in docs.columns else "long"
-    # hits so far travel as one binary column: first word, one past the last, of each occurrence; and item ids
-    names_of = [c for c in docs.columns] if keep == "clean" else ["doc_id", "text"]
-    now = docs.select(*names_of)
-    spare = "_hits"
-    while spare in names_of:
-        spare += "_"
-    if len(blocks) > 1:
-        now = now.withColumn(spare, F.lit(None).cast("binary")).withColumn(spare + "i", F.array().cast("array<string>"))
-    for k, ix in enumerate(blocks):
-        final = k == len(blocks) - 1
-        shared = spark.sparkContext.broadcast(ix)  # at most windows_a_pass windows
-        chained = len(blocks) > 1
-
-        def step(batches: Iterator[pa.RecordBatch], shared=shared, final=final, chained=chained) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for b in batches:
-                for part in slices(b, "text"):
-                    h, row, n = _words(part.column("text"))
-                    first, last, item = match(index, h, row)
-                    base = np.searchsorted(row, np.arange(n + 1))
-                    docs_of = row[first] if len(first) else first
-                    items_of: list[list[str]] = [[] for _ in range(n)]
-                    for d, i in {(int(d), int(i)) for d, i in zip(docs_of, item)}:
-                        items_of[d].append(index.names[i])
-                    if chained:
-                        first, last, docs_of = _with_earlier(part.column(spare), first, last, docs_of, base)
-                        items_of = [sorted({*a, *c}) for a, c in zip(items_of, part.column(spare + "i").to_pylist())]
-                    if not final:
-                        o = np.argsort(docs_of, kind="stable")
-                        cut = np.searchsorted(docs_of[o], np.arange(n + 1))
-                        local = np.stack([first - base[docs_of], last - base[docs_of]], axis=1)[o].astype("<i8")
-                        packed = pa.array([local[cut[j] : cut[j + 1]].tobytes() for j in range(n)], pa.binary())
-                        cols = [packed if c == spare else pa.array(items_of, pa.list_(pa.string())) if c == spare + "i" else part.column(c) for c in part.schema.names]
-                        yield pa.RecordBatch.from_arrays(cols, names=part.schema.names)
-                        continue
-                    cover = np.zeros(len(h) + 1, np.int64)
-                    np.add.at(cover, first, 1)
-                    np.add.at(cover, last, -1)
-                    n_hit = counts_by_row(row[np.cumsum(cover)[:-1] > 0], n)
-                    if keep == "clean":
-                        yield part.select(names_of).filter(pa.array(n_hit == 0))
-                        continue
-                    items_of = [sorted(x) for x in items_of]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id"), pa.array(counts_by_row(row, n)), pa.array(n_hit), pa.array([len(x) for x in items_of], pa.int64()),
-                         pa.array([_digest(x) for x in items_of]), pa.array(items_of, pa.list_(pa.string())), pa.array(n_hit > 0)],
-                        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated"])
-
-        schema = now.schema if not final else docs.schema if keep == "clean" else f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean"
-        now = now.mapInArrow(step, schema)
-    return now
-
-
-def _with_earlier(packed: pa.Array, first: np.ndarray, last: np.ndarray, docs_of: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    f, l, d = [first], [last], [docs_of]
-    for j, raw in enumerate(packed.to_pylist()):
-        if raw:
-            x = np.frombuffer(raw, "<i8").reshape(-1, 2) + base[j]
-            f.append(x[:, 0])
-            l.append(x[:, 1])
-            d.append(np.full(len(x), j))
-    return np.concatenate(f), np.concatenate(l), np.concatenate(d)
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    every, hits = find_hits(docs, items, scratch, window, shingle, broadcast_rows)
+    scratch.drop()
+    if keep == "clean":
+        k, h = "_k", "_h"
+        while {k, h} & set(docs.columns):
+            k, h = k + "_", h + "_"
+        hit = save(hits.select(F.col("k").alias(k), F.col("h").alias(h)).distinct(), "contaminated")
+        few = hit.count() <= broadcast_rows
+        own = docs.withColumn(k, F.xxhash64("doc_id")).withColumn(h, F.xxhash64("text"))
+        return own.join(F.broadcast(hit) if few else hit, [k, h], "left_anti").select(*docs.columns)
+    words = hits.select("k", "h", "first", "size").distinct().select("k", "h", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("size") - 1)).alias("word"))
+    n_hit = words.distinct().groupBy("k", "h").agg(F.count(F.lit(1)).alias("n_hit"))
+    names = hits.select("k", "h", "item").distinct().groupBy("k", "h").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = every.join(n_hit.join(names, ["k", "h"]), ["k", "h"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "items", F.col("n_hit").isNotNull().alias("contaminated"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
