@@ -429,7 +429,7 @@ def test_one_of_each_group_stays(spark, odd):
 
 # mixing
 
-def test_mixing(spark):
+def test_mixing(spark, monkeypatch):
     n = {"a": 3000, "b": 900, None: 600, "c": 30}
     rows = [(k * 10_000 + i, s) for k, (s, m) in enumerate(n.items()) for i in range(m)]
     df = make(spark, ["t"] * len(rows), [i for i, _ in rows], [s for _, s in rows])
@@ -440,11 +440,14 @@ def test_mixing(spark):
         assert abs(r["count"] / (len(rows) / 4) - 1) < (0.5 if r.source == "c" else 0.12), r
     some = mixing.mix_sources(df, {"a": 3, "b": 1}, total=2000).toPandas()
     assert set(some.source) == {"a", "b"} and abs((some.source == "a").sum() / 1500 - 1) < 0.1
-    assert list(some.columns) == [c for c in df.columns if c != "copy"] + ["copy", "mix_key"]
-    counts = some.groupby("doc_id").copy.agg(["count", "max"])
+    assert list(some.columns) == df.columns + ["copy_", "mix_key"] and set(some["copy"]) == {9}
+    counts = some.groupby("doc_id").copy_.agg(["count", "max"])
     assert (counts["count"] == counts["max"] + 1).all()
     again = mixing.mix_sources(df.repartition(9), {"a": 3, "b": 1}, total=2000).toPandas()
-    assert sorted(zip(some.doc_id, some["copy"])) == sorted(zip(again.doc_id, again["copy"]))
+    assert sorted(zip(some.doc_id, some["copy_"])) == sorted(zip(again.doc_id, again["copy_"]))
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    joined = mixing.mix_sources(df, {"a": 3, "b": 1}, total=2000).toPandas()
+    assert sorted(zip(some.doc_id, some["copy_"])) == sorted(zip(joined.doc_id, joined["copy_"]))
     many = mixing.mix_sources(df.where("doc_id = 1"), total=1700).count()  # a mean above the largest single draw
     assert abs(many - 1700) < 200
     assert mixing.mix_sources(df.limit(0)).count() == 0 and mixing.mix_sources(df, {}).count() == 0

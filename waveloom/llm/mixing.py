@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import save, table
 
-#: Up to this many sources the table of rates is broadcast; more are joined by a shuffle that splits hot sources.
-BROADCAST_SOURCES = 100_000
+#: The table of rates is broadcast up to this many bytes (names and distribution functions). Beyond that it is joined
+#: by a shuffle; both sides are plain shuffles then, so Spark splits a hot source and repeats its one row of rates.
+BROADCAST_BYTES = 32 << 20
 #: A larger mean is drawn as a sum of equal parts up to this, so that exp(-mean) stays far from 0.
 LARGEST_MEAN = 500.0
 SEED = 17
@@ -28,7 +29,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, total: int | None,
 
     Targets are total * weight / sum of the weights of the sources that have rows.
     """
-    counts = docs.groupBy(F.col(column).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    counts = save(docs.groupBy(F.col(column).alias("source")).agg(F.count(F.lit(1)).alias("n")), "source-counts")
     if weights is None:
         weight = F.lit(1.0)
     else:
@@ -53,19 +54,24 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
     weights: source to weight (None: all sources equal; a source not named gets none); total: mean number of rows
     (None: as many as docs has). A row's count inverts the Poisson distribution of its source's mean at a
     uniform number hashed from (seed, doc_id), so it does not depend on partitions; rows with equal or null ids draw
-    alike. Adds copy (0-based) and mix_key, 48 hashed bits of (seed, doc_id, copy); rows are dealt to
-    partitions by mix_key and sorted by it inside: a global random order. A null source is a source. Text is not
-    looked at; an empty table stays empty. docs must not have columns copy or mix_key already: they are replaced.
+    alike. Adds copy (0-based) and mix_key, 48 hashed bits of (seed, doc_id, copy); a column of docs that has one of
+    these names already stays, and the added one gets a name with "_" behind. Rows are dealt to partitions by mix_key
+    and sorted by it inside: a global random order. A null source is a source, and so is the empty
+    string. Text is not looked at; an empty table stays empty.
     """
-    keep = [c for c in docs.columns if c not in ("copy", "mix_key")]
-    found = rates(docs, weights, total, column)
-    names = {n: f"_{n}" for n in ("source", "parts", "cdf", "n")}
-    while set(names.values()) & set(keep):
-        names = {n: v + "_" for n, v in names.items()}
-    found = found.select(F.col("source").alias(names["source"]), F.col("parts").alias(names["parts"]), F.col("cdf").alias(names["cdf"]))
-    few = docs.select(column).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    own = docs.select(*keep)
-    both = own.join(F.broadcast(found) if few else found, F.col(column).eqNullSafe(F.col(names["source"])) if few else F.coalesce(F.col(column), F.lit("\0")) == F.coalesce(F.col(names["source"]), F.lit("\0")))
+    keep = docs.columns
+    names = {n: n if n in ("copy", "mix_key") else f"_{n}" for n in ("source", "parts", "cdf", "n", "copy", "mix_key")}
+    for n in names:
+        while names[n] in keep:
+            names[n] += "_"
+    found = save(rates(docs, weights, total, column).select(F.col("source").alias(names["source"]), F.col("parts").alias(names["parts"]), F.col("cdf").alias(names["cdf"])), "source-rates")
+    size = found.agg(F.sum(64 + 8 * F.size(names["cdf"]) + F.coalesce(F.octet_length(F.col(names["source"]).cast("string")), F.lit(0)))).first()[0] or 0
+    here = F.col(column)
+    there = F.col(names["source"])
+    if size <= BROADCAST_BYTES:
+        both = docs.join(F.broadcast(found), here.eqNullSafe(there))
+    else:
+        both = docs.join(found, (F.coalesce(F.xxhash64(here), F.lit(0)) == F.coalesce(F.xxhash64(there), F.lit(0))) & here.eqNullSafe(there))
     id_ = F.col("doc_id")
 
     def part(j):
@@ -74,8 +80,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
 
     count = F.when(F.col(names["parts"]) == 1, part(F.lit(0))).otherwise(F.aggregate(F.sequence(F.lit(0), F.col(names["parts"]) - 1), F.lit(0), lambda a, j: a + part(j)))
     out = both.withColumn(names["n"], count).where(F.col(names["n"]) > 0)
-    out = out.select(*keep, F.explode(F.sequence(F.lit(0), F.col(names["n"]) - 1)).alias("copy")).withColumn("mix_key", bits48(F.lit(seed), F.lit("order"), id_, F.col("copy")))
-    return out.repartition("mix_key").sortWithinPartitions("mix_key", "doc_id", "copy") if shuffle else out
+    out = out.select(*keep, F.explode(F.sequence(F.lit(0), F.col(names["n"]) - 1)).alias(names["copy"])).withColumn(names["mix_key"], bits48(F.lit(seed), F.lit("order"), id_, F.col(names["copy"])))
+    return out.repartition(names["mix_key"]).sortWithinPartitions(names["mix_key"], "doc_id", names["copy"]) if shuffle else out
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 
 from .encoding import default_tokenizer, encoder
 from .files import open_read, open_write
-from .shared import new_path, save, table
+from .shared import new_path, save, table, worker
 from .textbytes import slices
 
 MAGIC = b"FWIDS\x01\0\0"
 BLOCK = 1 << 16
+#: Text bytes of a shard, about; a table of few bytes is still dealt to all cores, down to LEAST_BYTES for each.
+SHARD_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
 
 
 def bits_for(n_vocabulary: int) -> int:
@@ -128,34 +130,23 @@ class Reader:
         self.f.close()
 
 
-def _dealt(docs: DataFrame, shards: int) -> DataFrame:
-    """docs with `shard`, ascending with doc_id (nulls first), about equal numbers of rows in each.
-
-    Bounds are quantiles of the ids. An id that fills several shards by itself is met several times among
-    the bounds, and its rows are dealt over all of those shards, so no id has to fit into one task.
-    """
-    if shards < 2:
-        return docs.withColumn("shard", F.lit(0))
-    found = docs.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards).alias("q")).first()["q"] or []
-    bounds = F.array(*[F.lit(int(x)).cast("long") for x in found]) if found else F.array().cast("array<long>")
-    low = F.size(F.filter(bounds, lambda b: b < F.col("doc_id")))
-    equal = F.size(F.filter(bounds, lambda b: b == F.col("doc_id")))
-    turn = F.pmod(F.monotonically_increasing_id(), F.lit(len(found) + 1)).cast("int")
-    return docs.withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(low + F.pmod(turn, equal + 1)))
-
-
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shards: int | None = None) -> DataFrame:
     """Encode whole texts, append end_id to each and write the ids to files under `path` in ascending doc_id order.
 
     Returns the manifest: shard, part, uri, n_ids, n_docs, one row per file; files in the order of (shard, part)
     hold the documents in order, null ids first, equal ids in any order. A null or empty text gives
-    end_id alone; an empty table no files. Only doc_id and text are read. A shard too large for
-    one file of 2^28 ids goes on in further parts.
+    end_id alone; an empty table no files. Only doc_id, a number, and text are read. Shards are ranges of (doc_id, hash
+    of the text, row number), as many as the bytes of all texts ask for (or `shards`), so one id may fill
+    several of them. A shard too large for one file of 2^28 ids goes on in further parts.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = _dealt(docs, n).repartition(n, "shard").sortWithinPartitions("shard", "doc_id")
+    n = shards
+    if n is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = max(1, -(-size // SHARD_BYTES), min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES))
+    turn = docs.withColumn("h", F.xxhash64("text")).withColumn("turn", F.monotonically_increasing_id())
+    dealt = turn.repartitionByRange(n, F.asc_nulls_first("doc_id"), "h", "turn").withColumn("shard", F.spark_partition_id()).sortWithinPartitions("doc_id").select("doc_id", "text", "shard")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -184,7 +175,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["shard", "part", "uri", "n_ids", "n_docs"])
 
-    return save(dealt.mapInArrow(write, "shard int, part int, uri string, n_ids long, n_docs long"), "id-manifest")
+    return save(dealt.mapInArrow(worker(write), "shard int, part int, uri string, n_ids long, n_docs long"), "id-manifest")
 
 
 def read_ids(manifest: DataFrame, digest: bool = True) -> DataFrame:
@@ -192,8 +183,8 @@ def read_ids(manifest: DataFrame, digest: bool = True) -> DataFrame:
     it), n_tokens (its end id included), and ids_crc32 of its ids as little-endian unsigned 32-bit
     numbers, or with digest=False the ids themselves."""
     before = F.coalesce(F.sum("n_ids").over(W.partitionBy(F.lit(0)).orderBy("shard", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.withColumn("before", before)  # one row per file
-    files = files.select("uri", "before").repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "uri")
+    files = manifest.withColumn("before", before)  # one row for each file of SHARD_BYTES of text: a million of them for 64 TB
+    files = files.select("uri", "before").repartition(max(1, manifest.count()), "uri")
     last = "ids_crc32 long" if digest else "ids array<int>"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +201,7 @@ def read_ids(manifest: DataFrame, digest: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([f.docs.slice(lo, hi - lo), pa.array(f.starts[lo:hi] + before), pa.array(np.diff(cut)), end], names=["doc_id", "start", "n_tokens", last.split()[0]])
                 f.close()
 
-    return files.mapInArrow(read, f"doc_id long, start long, n_tokens long, {last}")
+    return files.mapInArrow(worker(read), f"doc_id long, start long, n_tokens long, {last}")
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
