@@ -125,7 +125,7 @@ def pages(spark, rows):
 
 def test_archives(spark):
     big, long = "ü" * 600, "x" * (3 * warc.CHUNK + 17)
-    rows = [(1, "http://a/ü b", big, 1, 1), (2, None, big, 1, 1), (3, "u", "small", 1, 1), (4, "u", "small", 1, 1), (5, "u", None, 1, 1), (6, "u", "", 1, 1), (7, "u", long, 1, 1), (8, "v", long, 1, 1), (9, "q\"\\\r\n", big, 1, 1), (9, "again", big, 1, 1)]
+    rows = [(1, "http://a/ü b", big, 1, 1), (2, None, big, 1, 1), (3, "u", "small", 1, 1), (4, "u", "small", 1, 1), (5, "u", None, 1, 1), (6, "u", "", 1, 1), (7, "u", long, 1, 1), (8, "v", long, 1, 1), (9, "q\"\\\r\n", big, 1, 1), (9, "again", big, 1, 1), (None, "n", big, 1, 1), (None, "n", "only here" * 200, 1, 1)]
     df = pages(spark, rows)
     manifest = warc.write_archives(df, new_path(spark, "w"))
     got = warc.read_archives(manifest).collect()
@@ -133,15 +133,28 @@ def test_archives(spark):
     best = {}
     for p, _, h, *_ in rows:
         b = (h or "").encode()
-        best[b] = max(best.get(b, -1), p)
+        best[b] = max(best.get(b, -1), -1 if p is None else p)
+    assert Counter((r.page_id, r.url) for r in got) == Counter((p, u) for p, u, *_ in rows)
     for r in got:
-        b = (next(h for p, u, h, *_ in rows if p == r.page_id) or "").encode()
-        revisit = len(b) >= 1000 and best[b] != r.page_id
+        b = next(x for p, _, h, *_ in rows for x in ((h or "").encode(),) if p == r.page_id and hashlib.sha1(x).hexdigest() == r.payload_digest)
+        revisit = len(b) >= 1000 and best[b] not in (r.page_id, -1)
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(b), hashlib.sha1(b).hexdigest(), "revisit" if revisit else "response", best[b] if revisit else None)
     chunks = warc.read_archives(manifest, payloads=True).where("page_id = 8").orderBy("chunk_no").collect()
     assert b"".join(bytes(c.data) for c in chunks) == long.encode() and [c.last for c in chunks] == [False] * 3 + [True] and chunks[-1].sha1 == hashlib.sha1(long.encode()).hexdigest()
     table = warc.record_table(df).where("page_id = 7").orderBy("chunk_no").collect()
-    assert [len(c.data) for c in table] == [warc.CHUNK] * 3 + [17]
+    assert [len(c.data) for c in table] == [warc.CHUNK] * 3 + [17] and [c.length for c in table] == [warc.CHUNK * k for k in (1, 2, 3)] + [len(long)]
+    assert table[-1].sha1 == hashlib.sha1(long.encode()).hexdigest()
+    small = warc.write_archives(df, new_path(spark, "w"), chunk=100)
+    assert warc.record_table(df, 100).agg(F.max(F.octet_length("data"))).first()[0] == 100
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(map(key, warc.read_archives(small).collect())) == sorted(map(key, got))
+    ids = [h["WARC-Record-ID"] for m in manifest.collect() for h, _ in warc.RecordReader(m.uri).records()]
+    assert len(set(ids)) == len(rows)
+    refers = [h["WARC-Refers-To"] for m in manifest.collect() for h, _ in warc.RecordReader(m.uri).records() if "WARC-Refers-To" in h]
+    assert refers and set(refers) <= set(ids)
+    names = spark.createDataFrame([("a\nb", "u", big), ("z", "u", big)], "page_id string, url string, html string")
+    back = warc.read_archives(warc.write_archives(names, new_path(spark, "w")), page_type="string").collect()
+    assert {(r.page_id, r.record_type, r.refers_to) for r in back} == {("a\nb", "revisit", "z"), ("z", "response", None)}
     assert warc.read_archives(warc.write_archives(df.limit(0), new_path(spark, "w"))).count() == 0
 
 
