@@ -229,11 +229,13 @@ def _components(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
         numbers = (F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
         x, y = (rows.groupBy("token", "comp").agg(*numbers).select("token", *[F.col(c).alias(c + z) for c in ("comp", "c", "least", "most", "rest")]) for rows, z in ((active.where("low"), "a"), (active, "b")))
         may = (F.col("leasta") <= F.col("mostb")) & (F.lit(100) * F.col("mosta") >= percent * F.col("leastb")) & (F.least("resta", "restb") * (100 + percent) >= percent * (F.col("leasta") + F.col("leastb")))
-        sides = scratch.save(x.join(y, "token").where(F.col("compa") != F.col("compb")).where(may).select("token", F.col("compa").alias("ca"), F.col("compb").alias("cb")), "sides")
+        sides = scratch.save(x.join(y, "token").where(F.col("compa") != F.col("compb")).where(may).select("token", (F.col("ca") <= F.col("cb")).alias("a_less"), F.col("compa").alias("ca"), F.col("compb").alias("cb")), "sides")
         a = active.where("low").select("token", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
         b = active.select("token", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-        # of two low rows of one size the pair comes up from both sides
-        pairs = scratch.save(sides.join(a, ["token", "ca"]).join(b, ["token", "cb"]).where(fits & (F.col("na") <= F.col("nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        # the side with fewer documents is written out first; of two low rows of one size the pair comes up from both sides
+        fits &= F.col("na") <= F.col("nb")
+        both = [sides.where(which).join(s, ["token", s.columns[1]]).join(t, ["token", t.columns[1]]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for which, s, t in (("a_less", a, b), ("not a_less", b, a))]
+        pairs = scratch.save(both[0].unionByName(both[1]).distinct(), "pairs")
         labels = merge_labels(labels, scratch.save(_linked(pairs, sets, percent), "links"), scratch)
         break
     return labels
@@ -263,9 +265,11 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFr
         sets = scratch.save(sets.where("not many").select("node", "n", "tokens").unionByName(once), "node-tokens")
     labels = save(_components(sets, percent, scratch).where("node <> comp"), "labels")
     scratch.drop()
-    named = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "comp", "left").select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = rows.join(F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels, "node", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
+    # components of one row need no look-up; the others are written first, so that Spark can split a large one's join
+    least = save(named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("comp", "least", F.lit(True).alias("many")), "least-ids")
+    named = named.join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, "comp", "left")
+    return named.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("many"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -278,9 +282,11 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     while {id_, hash_} & set(docs.columns):
         id_, hash_ = id_ + "_", hash_ + "_"
     each = full.groupBy(F.xxhash64("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.xxhash64("component_id").alias("c")).agg(F.count(F.lit(1)).alias("copies"))
-    first = each.where(F.col(id_) == F.col("c")).groupBy("c").agg(F.min(hash_).alias("best"))
-    marked = each.join(first, "c").withColumn("out", (F.col(id_) != F.col("c")) | (F.col(hash_) != F.col("best")))
-    marked = save(marked.where("out or copies > 1").select(id_, hash_, "out"), "leaving")
+    each = save(each, "copies")
+    rest, own = each.where(F.col(id_) != F.col("c")), each.where(F.col(id_) == F.col("c"))  # the id that stays may have several texts
+    best = own.join(own.groupBy("c").agg(F.min(hash_).alias("best")), "c").withColumn("out", F.col(hash_) != F.col("best"))
+    marked = rest.withColumn("out", F.lit(True)).select(id_, hash_, "out").unionByName(best.where("out or copies > 1").select(id_, hash_, "out"))
+    marked = save(marked, "leaving")
     few = marked.count() <= BROADCAST_ROWS
     own = docs.withColumn(id_, F.xxhash64("doc_id")).withColumn(hash_, F.xxhash64("text"))
     side = lambda m: F.broadcast(m) if few else m
