@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -13,12 +14,14 @@ from pyspark.sql import functions as F
 
 from . import lstm
 from .blocks import Block, leaf_blocks
-from .shared import table
+from .shared import table, worker
 from .textbytes import slices
 
-PATH_DIM, WORD_DIM, OTHER = 96, 48, 8
-#: Pages of the table (those with the smallest hash of the id) and composed pages the labeller is trained on.
-FIT_PAGES, FIT_COMPOSED = 300, 1800
+PATH_DIM, WORD_DIM, OTHER = 80, 40, 20
+#: Pages of the table (those with the smallest hash) and composed pages the labeller is trained on; a page of the table
+#: is used if it has at most so many bytes and blocks, and gives at most so many of its words to the composed ones.
+FIT_PAGES, FIT_COMPOSED = 200, 2400
+FIT_BYTES, FIT_BLOCKS, FIT_WORDS = 1 << 20, 400, 300
 SEED = 11
 
 #: Elements and names that tell article from rest when pages say so themselves; used for training labels alone.
@@ -55,19 +58,43 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return v
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    """One row per block: hashed path, hashed words, and length, links, punctuation and place."""
-    x = np.zeros((len(blocks), PATH_DIM + WORD_DIM + OTHER), np.float32)
+def vectors(blocks: list[Block], names: bool = True) -> np.ndarray:
+    """One row per block: hashed path (with or without the elements' names), hashed words, and numbers: length, links,
+    punctuation, place, and what share of the page's unlinked text the elements above it hold."""
+    count = len(blocks)
+    x = np.zeros((count, PATH_DIM + WORD_DIM + OTHER), np.float32)
     total = sum(len(b.text) for b in blocks)
+    plain = [max(0, len(b.text) - b.linked) for b in blocks]
+    held: dict[int, int] = {}
+    most: dict[int, int] = {}
+    for b, n in zip(blocks, plain):
+        for k in b.numbers:
+            held[k] = held.get(k, 0) + n
+            most[k] = most.get(k, 0) + 1
+    unlinked = sum(plain) + 1
     before = 0
+    at = PATH_DIM + WORD_DIM
     for i, b in enumerate(blocks):
-        x[i, :PATH_DIM] = _path_vector(b.path)
+        x[i, :PATH_DIM] = _path_vector(b.path if names else tuple(p.partition(".")[0] for p in b.path))
         words = b.text.lower().split()
         k = np.bincount([_bucket(w, WORD_DIM, _SEEN) for w in words], minlength=WORD_DIM)
-        x[i, PATH_DIM : PATH_DIM + WORD_DIM] = k / max(1, len(words))
-        n = len(b.text)
-        marks = sum(b.text.count(c) for c in ".,;!?")
-        x[i, PATH_DIM + WORD_DIM :] = (np.log1p(n) / 6, np.log1p(len(words)) / 5, min(1.0, b.linked / n), min(1.0, marks / max(1, len(words))), b.text[-1] in ".!?", i / len(blocks), before / total, n / total)
+        x[i, PATH_DIM:at] = k / max(1, len(words))
+        n, depth = len(b.text), len(b.numbers)
+        marks = sum(map(b.text.count, ".,;!?"))
+        x[i, at : at + 10] = (np.log1p(n) / 6, np.log1p(len(words)) / 5, min(1.0, b.linked / n), min(1.0, marks / max(1, len(words))), b.text[-1] in ".!?", i / count, before / total, n / total, depth / 10, b.text[0] in "\u00a9(|\u00bb")
+        for up in range(5):  # shares of the element itself, its parent, and so on
+            if up < depth:
+                x[i, at + 10 + up] = held[b.numbers[depth - 1 - up]] / unlinked
+        x[i, at + 15] = most[b.numbers[-2]] / count if depth > 1 else 1
+        for j, o in ((16, i - 1), (17, i + 1)):
+            if 0 <= o < count:
+                same = 0
+                for p, q in zip(b.numbers, blocks[o].numbers):
+                    if p != q:
+                        break
+                    same += 1
+                x[i, at + j] = (depth - same) / 5  # how many elements end or begin between the two
+                x[i, at + j + 2] = b.path[-1:] == blocks[o].path[-1:]
         before += n
     return x
 
@@ -86,118 +113,221 @@ def own_labels(blocks: list[Block]) -> np.ndarray | None:
     return y if y.any() else None
 
 
-#: Names that composed pages give to their parts, by kind.
+#: Names that some composed pages give to their parts, by kind.
 _FRAMES = {
-    "main": ["article", "main", 'div class="article-body"', 'div id="content"', 'div class="post-content"', 'section class="entry"', 'div class="story"', "div", 'div class="text"', 'td class="content"'],
-    "menu": ["nav", 'div class="menu"', 'ul class="nav-list"', 'div id="navigation"', 'div class="breadcrumbs"', 'header class="site-header"', "div"],
+    "main": ["article", "main", 'div class="article-body"', 'div id="content"', 'div class="post-content"', 'section class="entry"', 'div class="story"'],
+    "menu": ["nav", 'div class="menu"', 'ul class="nav-list"', 'div id="navigation"', 'div class="breadcrumbs"'],
     "header": ["header", 'div class="header"', 'div id="top"', 'div class="masthead"'],
-    "footer": ["footer", 'div class="footer"', 'div id="bottom"', 'div class="copyright"', "div"],
+    "footer": ["footer", 'div class="footer"', 'div id="bottom"', 'div class="copyright"'],
     "side": ["aside", 'div class="sidebar"', 'div id="right-column"', 'div class="widget related"', 'div class="promo"'],
     "notice": ['div class="cookie-notice"', 'div class="alert"', 'div id="consent"', 'p class="notice"', 'div class="newsletter popup"'],
     "ad": ['div class="ad"', 'div class="advert"', 'div class="sponsored banner"', 'div id="ad-1"', 'aside class="ads"'],
     "form": ["form", 'form class="search"', 'div class="login"', 'form id="subscribe"'],
     "comments": ['div class="comments"', 'section id="comments"', 'ol class="comment-list"', 'div class="discussion"', 'section class="replies"'],
 }
+#: Words that such parts often hold, so that pages without names can be told apart.
+_SAYS = {
+    "menu": ["Home", "About", "Contact", "News", "Menu", "Archive", "Login", "Help"],
+    "header": ["Welcome to", "The daily", "Online since"],
+    "footer": ["Copyright 2020", "\u00a9 2024", "All rights reserved", "Imprint", "Privacy policy", "Terms of use", "Powered by"],
+    "side": ["Related", "Most read", "See also", "Popular posts", "Tags", "Follow us", "Archive"],
+    "notice": ["We use cookies", "This site uses cookies", "Please accept", "Notice"],
+    "ad": ["Advertisement", "Sponsored", "Buy now", "Special offer"],
+    "form": ["Search", "Subscribe", "Sign in", "Your e-mail", "Send"],
+    "comments": ["Comments", "Leave a reply", "Reply", "3 comments", "wrote", "says"],
+}
+_MARK = "\ue000"  # opens each piece of article text in a composed page, and is taken out again
 
 
 def compose(rng: np.random.Generator, words: list[str]) -> tuple[list[Block], np.ndarray]:
     """The blocks of one invented page and their labels: an article among the other kinds of parts, in many forms of
-    markup, over the given words."""
+    markup, over the given words. Most pages give their parts no telling names, and articles hold tables,
+    lists, figures, quotes and further levels of elements."""
+    r = random.Random(int(rng.integers(1 << 62)))  # for single draws many times as fast
+    named = r.random() < 0.3
+    pick = lambda *of: r.choice(of)
+    some = r.randrange
+    letters = lambda low, high: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=some(low, high)))
+    plain = lambda: pick("", "", "", f' class="{letters(1, 7)}"', f' class="{letters(1, 5)} {letters(1, 4)}{some(0, 9)}"', f' id="{letters(1, 6)}"', ' style="margin:0"')
+    if r.random() < 0.6:  # words of its own, so that no part is known by its words alone
+        words = [letters(2, 11) for _ in range(60)]
+
     def phrase(n: int) -> str:
-        return " ".join(words[i] for i in rng.integers(0, len(words), n))
+        return " ".join(r.choices(words, k=n))
 
     def sentences(n: int) -> str:
         out = []
         for _ in range(n):
-            s = phrase(int(rng.integers(3, 18)))
-            out.append(s[:1].upper() + s[1:] + str(rng.choice([".", ".", ".", "!", "?"])))
+            t = phrase(some(3, 18))
+            out.append(t[:1].upper() + t[1:] + pick(".", ".", ".", "!", "?"))
         return " ".join(out)
 
-    parts: list[tuple[str, bool]] = []
-
-    def frame(kind: str, inner: list[tuple[str, bool]]) -> None:
-        head = str(rng.choice(_FRAMES[kind]))
-        parts.extend([(f"<{head}>", False), *inner, (f"</{head.split()[0]}>", False)])
-
-    def links(n: int) -> list[tuple[str, bool]]:
-        tag = str(rng.choice(["li", "span", "div", "p"]))
-        return [(f'<{tag}><a href="/x">{phrase(int(rng.integers(1, 4)))}</a></{tag}>', False) for _ in range(n)]
-
-    def paragraphs(n: int, label: bool, low: int = 1, high: int = 7) -> list[tuple[str, bool]]:
-        tag = str(rng.choice(["p", "p", "p", "div"]))
-        out = []
-        for _ in range(n):
-            t = sentences(int(rng.integers(low, high)))
-            out.append((f"<{tag}>{t}</{tag}>" if rng.random() > 0.1 else f"<p><b>{t}<br>", label))
-        return out
-
-    wrap = rng.random() < 0.4
-    if wrap:
-        parts.append(('<div class="page">', False))
-    if rng.random() < 0.3:
-        frame("notice", paragraphs(1, False, 1, 3))
-    if rng.random() < 0.4:
-        frame("header", [(f"<h2>{phrase(2)}</h2>", False), (f"<p>{phrase(int(rng.integers(2, 6)))}</p>", False)])
-    if rng.random() < 0.8:
-        frame("menu", links(int(rng.integers(3, 9))))
-    if rng.random() < 0.45:
-        frame("ad", paragraphs(1, False, 1, 3))
-    if rng.random() < 0.25:
-        frame("side", [(f"<h3>{phrase(2)}</h3>", False), *links(int(rng.integers(2, 6))), *paragraphs(int(rng.integers(0, 2)), False, 1, 3)])
-    body = paragraphs(int(rng.integers(1, 14)), True)
-    if rng.random() < 0.75:
-        h = str(rng.choice(["h1", "h1", "h2"]))
-        body.insert(0, (f"<{h}>{phrase(int(rng.integers(2, 9)))}</{h}>", True))
-    for _ in range(int(rng.integers(0, 3))):
-        at = int(rng.integers(1, len(body) + 1))
-        tag = str(rng.choice(["h2", "h3", "blockquote", "li", "pre"]))
-        body.insert(at, (f"<{tag}>{phrase(int(rng.integers(2, 12)))}</{tag}>" if tag != "li" else "<ul>" + "".join(f"<li>{phrase(4)}</li>" for _ in range(3)) + "</ul>", True))
-    if rng.random() < 0.2:
-        at = int(rng.integers(1, len(body) + 1))
-        parts_before = len(parts)
-        frame(str(rng.choice(["ad", "notice", "form", "side"])), paragraphs(1, False, 1, 3))
-        inner, parts = parts[parts_before:], parts[:parts_before]
-        body[at:at] = inner
-    frame("main", body)
-    for kind, p in (("side", 0.4), ("comments", 0.35), ("form", 0.3), ("ad", 0.2)):
-        if rng.random() < p:
-            inner = paragraphs(int(rng.integers(1, 5)), False, 1, 4) if kind in ("comments", "ad") else links(int(rng.integers(1, 5))) + paragraphs(1, False, 1, 3)
-            if rng.random() < 0.6:
-                h = str(rng.choice(["h2", "h3", "h3", "h4"]))
-                inner.insert(0, (f"<{h}>{phrase(int(rng.integers(1, 5)))}</{h}>", False))
-            frame(kind, inner)
-    if rng.random() < 0.85:
-        frame("footer", [(f"<p>&copy; {phrase(2)} &middot; {phrase(int(rng.integers(2, 9)))}.</p>", False)])
-    if wrap:
-        parts.append(("</div>", False))
-    # labels follow the order of blocks: cut after each labelled piece and see how many blocks there are so far
-    blocks = leaf_blocks("".join(p for p, _ in parts))
-    labels: list[bool] = []
-    for p, label in parts:
-        labels += [label] * len(leaf_blocks(p))
-    return blocks, np.array(labels[: len(blocks)] + [False] * (len(blocks) - len(labels)))
+    def frame(kind: str, inner: str, tag: str | None = None) -> str:
+        head = pick(*_FRAMES[kind]) if named and r.random() < 0.8 else pick("div", "div", "div", "section", *(["article"] if kind == "main" else []), *(["footer"] if kind == "footer" else []), *(["nav"] if kind == "menu" else [])) + plain()
+        head = tag + plain() if tag else head
+        deep = some(0, 3) if not tag else 0
+        return f"<{head}>" + f"<div{plain()}>" * deep + inner + "</div>" * deep + f"</{head.split()[0]}>"
+
+    def says(kind: str) -> str:
+        return pick(*_SAYS[kind]) + " " if r.random() < 0.5 else ""
+
+    def links(kind: str, n: int) -> str:
+        if r.random() < 0.2:
+            row = pick(" | ", " &middot; ", " ", "<br>").join(f'<a href="/x">{phrase(some(1, 3))}</a>' for _ in range(n))
+            return row if r.random() < 0.5 else f"<div{plain()}>{row}</div>"
+        tag = pick("li", "li", "span", "div", "p", "td")
+        inner = "".join(f'<{tag}><a href="/x">{pick(*_SAYS[kind]) if r.random() < 0.3 else phrase(some(1, 5))}</a></{tag}>' for _ in range(n))
+        return {"li": f"<ul{plain()}>{inner}</ul>", "td": f"<table><tr>{inner}</tr></table>"}.get(tag, inner)
+
+    def title(kind: str, n: int = 5) -> str:
+        h = pick("h2", "h3", "h4", "h3", "div", "b")
+        return f"<{h}>{says(kind)}{phrase(some(1, n))}</{h}>"
+
+    def note(kind: str) -> str:
+        tag = pick("p", "p", "div", "span")
+        return f"<{tag}{plain()}>{says(kind)}{sentences(some(1, 4))}</{tag}>"
+
+    def text(n: int) -> str:
+        """A paragraph's inside, with the mark, and at times inline elements."""
+        t = sentences(n)
+        if r.random() < 0.3:
+            t += f" <{pick('b', 'em', 'i', 'code', 'a href=/y')}>{phrase(some(1, 4))}</{'a' if r.random() < 0.1 else 'x'}> {sentences(1)}"
+        return _MARK + t
+
+    def body_part(level: int) -> str:
+        kind = r.random()
+        if kind < 0.62:
+            tag = pick("p", "p", "p", "p", "div")
+            return f"<{tag}{plain() if r.random() < 0.2 else ''}>{text(some(1, 7))}" + (f"</{tag}>" if r.random() < 0.93 else "<br>")
+        if kind < 0.70:
+            h = pick("h2", "h2", "h3", "h4")
+            return f"<{h}>{_MARK}{phrase(some(1, 9))}</{h}>"
+        if kind < 0.78:
+            outer = pick("ul", "ol")
+            return f"<{outer}>" + "".join(f"<li>{_MARK}{phrase(some(1, 9)) if r.random() < 0.6 else sentences(1)}" + pick("</li>", "") for _ in range(some(2, 7))) + f"</{outer}>"
+        if kind < 0.86:
+            cols = some(2, 5)
+            rows = "".join("<tr>" + "".join(f"<{c}>{_MARK}{phrase(some(1, 4)) if r.random() < 0.7 else some(1, 4000)}" + pick(f"</{c}>", f"</{c}>", "") for c in ["th" if k == 0 and r.random() < 0.7 else "td"] * cols) + "</tr>" for k in range(some(2, 7)))
+            caption = f"<caption>{_MARK}{phrase(some(2, 6))}</caption>" if r.random() < 0.3 else ""
+            return f"<table{plain()}>{caption}{pick('', '<tbody>')}{rows}</table>"
+        if kind < 0.90:
+            return f"<blockquote>{pick('', '<p>')}{text(some(1, 3))}</blockquote>"
+        if kind < 0.94:
+            return f'<figure><img src="i.png" alt="{phrase(2)}"><figcaption>{_MARK}{phrase(some(2, 12))}</figcaption></figure>'
+        if kind < 0.96:
+            return f"<pre>{_MARK}{phrase(some(4, 20))}</pre>"
+        if kind < 0.98:
+            return "<dl>" + "".join(f"<dt>{_MARK}{phrase(some(1, 3))}<dd>{text(1)}" for _ in range(some(1, 4))) + "</dl>"
+        inner = "".join(body_part(level + 1) for _ in range(some(1, 4))) if level < 2 else f"<p>{text(2)}</p>"
+        return f"<{(t := pick('div', 'section'))}{plain()}>{inner}</{t}>"
+
+    def side() -> str:
+        return frame("side", (title("side") if r.random() < 0.7 else "") + "".join(pick(links("side", some(2, 7)), note("side")) for _ in range(some(1, 4))))
+
+    def extra() -> str:
+        return pick(lambda: frame("ad", note("ad")), lambda: frame("notice", note("notice")), side, lambda: frame("form", form()), lambda: frame("menu", links("menu", some(2, 6))))()
+
+    def form() -> str:
+        return pick("<label>", "<p>") + f"{says('form')}{phrase(some(1, 4))}" + pick('<input type="text">', "<input>", "<select><option>a<option>b</select>") + f"<button>{pick(*_SAYS['form'])}</button>" + (note("form") if r.random() < 0.4 else "")
+
+    def comments() -> str:
+        one = lambda: f"<{(t := pick('div', 'li', 'div'))}{plain()}>" + pick(f"<b>{phrase(some(1, 3))}</b><br>", f"<p>{phrase(some(1, 3))}</p>", f"<h4>{phrase(2)} {pick(*_SAYS['comments'])}</h4>", f"<span>{phrase(1)}, 2024-0{some(1, 9)}-11</span>", "") + f"<{(u := pick('p', 'p', 'div'))}>{sentences(some(1, 5))}</{u}></{t}>"
+        return frame("comments", (title("comments") if r.random() < 0.8 else "") + "".join(one() for _ in range(some(1, 6))))
+
+    body = [body_part(0) for _ in range(some(1, 14))]
+    if r.random() < 0.25:
+        body.insert(0, f"<p{plain()}>{_MARK}{phrase(some(2, 6))}, {some(1, 29)} {phrase(1)} 2024</p>")
+    if r.random() < 0.75:
+        h = pick("h1", "h1", "h1", "h2")
+        body.insert(0, f"<{h}>{_MARK}{phrase(some(1, 9))}</{h}>")
+    if r.random() < 0.25:
+        body.insert(some(1, len(body) + 1), extra())
+    broken = r.random()
+    if broken < 0.03:
+        body.insert(some(1, len(body) + 1), '<svg viewBox="0 0 1 1"><path d="M0">')
+    elif broken < 0.06:
+        body.insert(0, f"<p title={phrase(1)}'s>{text(2)}</p>")
+    article = "".join(body)
+
+    top = [frame("notice", note("notice"))] * (r.random() < 0.2)
+    top += [frame("header", f"<{(h := pick('h1', 'h2', 'div', 'p', 'b', 'a'))}>{says('header')}{phrase(some(1, 4))}</{h}>" + (f"<p>{phrase(some(2, 8))}</p>" if r.random() < 0.5 else ""))] * (r.random() < 0.5)
+    top += [frame("menu", links("menu", some(3, 10)))] * (r.random() < 0.8)
+    top += [frame("ad", note("ad"))] * (r.random() < 0.35)
+    top += [frame("form", form())] * (r.random() < 0.15)
+    left, right = [side() if r.random() < 0.5 else frame("menu", links("menu", some(3, 9))) for _ in range(some(0, 2))], [side() for _ in range(some(0, 3))]
+    under = [comments()] * (r.random() < 0.35) + [side()] * (r.random() < 0.25) + [frame("form", form())] * (r.random() < 0.25) + [frame("ad", note("ad"))] * (r.random() < 0.2)
+    foot = []
+    if r.random() < 0.85:
+        inner = [f"<{(t := pick('p', 'div', 'span'))}>{pick('&copy; ', '&copy; 2023 ', says('footer'))}{phrase(some(1, 9))}{pick('.', '', ' &middot; ' + phrase(2) + '.')}</{t}>"]
+        if r.random() < 0.4:
+            inner.insert(some(0, 2), links("menu", some(2, 6)))
+        foot.append(frame("footer", "".join(inner)) if r.random() < 0.9 else inner[0])
+    if r.random() < 0.2:  # a page laid out as a table
+        cells = [frame("menu", x, "td") for x in left] + [frame("main", article + "".join(under if r.random() < 0.3 else []), "td")] + [frame("side", x, "td") for x in right]
+        rows = [f"<tr><td colspan=3>{x}</td></tr>" for x in top] + ["<tr>" + "".join(cells) + "</tr>"] + [f"<tr><td colspan=3>{x}</td></tr>" for x in foot]
+        page = f"<table{plain()}>{pick('', '<tbody>')}" + "".join(rows) + "</table>"
+    else:
+        main = frame("main", article) if r.random() < 0.9 else article
+        middle = [*left, main, *under, *right] if r.random() < 0.5 else [*left, *right, main, *under]
+        if r.random() < 0.5:
+            middle = [f"<div{plain()}>", *middle, "</div>"]
+        page = "".join([*top, *middle, *foot])
+        if r.random() < 0.4:
+            page = f"<div{plain()}>{page}</div>"
+    if r.random() < 0.7:
+        page = f"<html><head><title>{phrase(3)}</title></head><body>{page}</body></html>"
+    blocks = leaf_blocks(page)
+    labels = np.array([_MARK in b.text for b in blocks], bool)
+    for b in blocks:
+        b.text = b.text.replace(_MARK, "").strip()
+    keep = [i for i, b in enumerate(blocks) if b.text]
+    return [blocks[i] for i in keep], labels[keep]
 
 
 def fit_labeller(pages: DataFrame, n_pages: int = FIT_PAGES, n_composed: int = FIT_COMPOSED, seed: int = SEED) -> dict[str, np.ndarray]:
     """Weights of the labeller, trained on at most n_pages pages of the table whose own elements tell their article
-    from the rest, and on n_composed invented ones over the words of these, in many other layouts."""
-    some = [r.html for r in pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").select(F.col("html")).limit(n_pages).collect()]
+    from the rest, with and without the elements' names, and on n_composed invented ones over the words of these,
+    in many other layouts.
+
+    Pages are chosen by hash among those of at most FIT_BYTES, so the choice does not depend on partitions; of
+    repeated rows one counts. They become vectors in tasks, and only those of pages with at most FIT_BLOCKS blocks
+    come to the driver. A table that is empty, or holds no such page, leaves the composed pages, over three stand-in words.
+    """
+    kind = pages.schema["page_id"].dataType.simpleString()
+    own = pages.select("page_id", F.xxhash64("html").alias("h"), "html").where(F.octet_length("html").between(1, FIT_BYTES))
+    chosen = own.select("page_id", "h").distinct().orderBy(F.xxhash64("page_id", "h"), "h").limit(n_pages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for page in b.column("html").to_pylist():
+                blocks = leaf_blocks(page)
+                y = own_labels(blocks)
+                if y is None or len(blocks) > FIT_BLOCKS:
+                    out.append(([], [], []))
+                    continue
+                said = [w.strip(".,;!?") for x in blocks for w in x.text.split()[:60]]
+                both = [vectors(blocks, named).astype("<f4").tobytes() for named in (True, False)]
+                out.append((both, y.tolist(), said[:: max(1, len(said) // FIT_WORDS)]))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("h"), *(pa.array(c, pa.list_(t)) for c, t in zip(zip(*out), (pa.binary(), pa.bool_(), pa.string())))], names=["page_id", "h", "x", "y", "words"])
+
+    near = (F.col("h") == F.col("ch")) & F.col("page_id").eqNullSafe(F.col("cid"))
+    rows = own.join(F.broadcast(chosen.select(F.col("page_id").alias("cid"), F.col("h").alias("ch"))), near).select("page_id", "h", "html")
+    got = rows.mapInArrow(worker(run), f"page_id {kind}, h long, x array<binary>, y array<boolean>, words array<string>").dropDuplicates(["page_id", "h"]).collect()
     rng = np.random.default_rng(seed)
-    seqs, labels, words = [], [], []
-    for page in some:
-        blocks = leaf_blocks(page)
-        words += [w.strip(".,;!?") for b in blocks for w in b.text.split()[:60]]
-        y = own_labels(blocks)
-        if y is not None:
-            seqs.append(vectors(blocks))
-            labels.append(y)
-    words = sorted({w for w in words if w}) or ["word", "page", "text"]
+    seqs, labels, words = [], [], set()
+    for r in sorted(got, key=lambda r: (str(r.page_id), r.h)):
+        words |= {w for w in r.words if w}
+        for x in r.x:
+            seqs.append(np.frombuffer(x, "<f4").reshape(len(r.y), -1))
+            labels.append(np.array(r.y, bool))
+    words = sorted(words) or ["word", "page", "text"]
     for _ in range(n_composed):
         blocks, y = compose(rng, words)
         if len(blocks):
-            seqs.append(vectors(blocks))
+            seqs.append(vectors(blocks, rng.random() < 0.7))
             labels.append(y)
-    return lstm.train(seqs, labels, seed=seed)
+    return lstm.train(seqs, labels, hidden=32, seed=seed)
 
 
 def page_texts(model: dict[str, np.ndarray], pages: list[str | None]) -> list[str]:
@@ -222,7 +352,7 @@ def extract_text(pages: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
                 texts = page_texts(shared.value, part.column("html").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(worker(run), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
