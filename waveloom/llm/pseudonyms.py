@@ -12,16 +12,21 @@ from pyspark.sql import functions as F
 from .shared import table
 
 ROUNDS = 8
-KEY = "change-me"
+#: The key of the query op8_pseudonyms alone; whoever publishes pseudonyms gives a secret of their own.
+QUERY_KEY = "op8"
 
 #: Patterns by kind, in the order they are tried at a place. Possessive runs and the look-behinds keep a scan linear.
 PATTERNS = {
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30}+)(?![A-Za-z0-9])",
+    "keyed": r"(?<![A-Za-z0-9_-])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|glpat-[0-9A-Za-z_-]{20}|xox[abpr]-[0-9A-Za-z-]{10,80}|sk-[0-9A-Za-z_-]{20,200}|AIza[0-9A-Za-z_-]{35})(?![A-Za-z0-9_-])",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])(?:[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{1,7}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9])",
     "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
+    "abroad": r"(?<![0-9+])\+[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{2,12}){1,5}(?![0-9])",
     "ip": r"(?<![0-9])(?<![0-9]\.)[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])",
-    "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])",
+    "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9])",
 }
 ANY = "|".join(PATTERNS.values())
 _HEX = "0123456789abcdef"
@@ -90,13 +95,13 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), one), F.lit(0), lambda a, x: a + x)
 
 
-def _refill(pattern_of: Column, digits: Column) -> Column:
-    """The digits of a formatted value replaced one after the other by others; all else stays."""
+def _refill(pattern_of: Column, values: Column, letters: bool = False) -> Column:
+    """The digits (and letters) of a formatted value replaced one after the other by others; all else stays."""
     start = F.struct(F.lit("").alias("s"), F.lit(1).alias("i"))
 
     def one(a, c):
-        is_digit = c.between("0", "9")
-        return F.struct(F.concat(a["s"], F.when(is_digit, F.substring(digits, a["i"], F.lit(1))).otherwise(c)).alias("s"), (a["i"] + is_digit.cast("int")).alias("i"))
+        taken = c.between("0", "9") | c.between("A", "Z") if letters else c.between("0", "9")
+        return F.struct(F.concat(a["s"], F.when(taken, F.substring(values, a["i"], F.lit(1))).otherwise(c)).alias("s"), (a["i"] + taken.cast("int")).alias("i"))
 
     return F.aggregate(F.split(pattern_of, ""), start, one, lambda a: a["s"])
 
@@ -118,19 +123,55 @@ def card(m: Column, key: str, inverse: bool = False) -> Column:
 
 
 def phone(m: Column, key: str, inverse: bool = False) -> Column:
-    """The last ten digits; area and exchange codes that begin with 2 to 9 keep doing so."""
+    """The last ten digits. Area codes from 200 with exchanges from 200, area codes from 200 with lower exchanges, and
+    lower area codes are three sets, each permuted in itself."""
     all_ = F.regexp_replace(m, "[^0-9]", "")
     lead = F.substring(all_, F.lit(1), F.length(all_) - 10)
     d = F.substring(all_, F.length(all_) - 9, F.lit(10))
     area, rest = F.substring(d, 1, 3).cast("long"), F.substring(d, 4, 7).cast("long")
-    good = (area >= 200) & (rest >= 2_000_000)
-    low_a, low_b = F.when(good, 200).otherwise(0), F.when(good, 2_000_000).otherwise(0)
-    x = permute_pair(area - low_a, rest - low_b, 1000 - low_a, 10_000_000 - low_b, key, "phone", inverse)
-    # a number outside that range is permuted until it is outside again, which keeps the two ranges apart
-    once = lambda x: permute_string(x, key, "phone-odd", inverse)
-    inside = lambda x: x.rlike("^[2-9]..[2-9]")
-    odd = F.aggregate(F.sequence(F.lit(1), F.lit(120)), once(d), lambda x, _: F.when(inside(x), once(x)).otherwise(x))
-    return _refill(m, F.concat(lead, F.when(good, F.concat(_pad(x["a"] + low_a, 3), _pad(x["b"] + low_b, 7))).otherwise(odd)))
+    low_a, high_a = F.when(area >= 200, 200).otherwise(0), F.when(area >= 200, 1000).otherwise(200)
+    low_b = F.when((area >= 200) & (rest >= 2_000_000), 2_000_000).otherwise(0)
+    high_b = F.when((area >= 200) & (rest < 2_000_000), 2_000_000).otherwise(10_000_000)
+    x = permute_pair(area - low_a, rest - low_b, high_a - low_a, high_b - low_b, key, "phone", inverse)
+    return _refill(m, F.concat(lead, _pad(x["a"] + low_a, 3), _pad(x["b"] + low_b, 7)))
+
+
+def abroad(m: Column, key: str, inverse: bool = False) -> Column:
+    """A number of 8 to 15 digits after a plus sign, null for others. The country stays: one digit for 1 and 7, else
+    two, however the number is spaced."""
+    d = F.regexp_replace(m, "[^0-9]", "")
+    lead = F.when(d.rlike("^[17]"), 1).otherwise(2)
+    rest = permute_string(F.substring(d, lead + 1, F.length(d)), key, "abroad", inverse)
+    return F.when(F.length(d).between(8, 15), _refill(m, F.concat(F.substring(d, F.lit(1), lead), rest)))
+
+
+def ssn(m: Column, key: str, inverse: bool = False) -> Column:
+    """A national id of the form area-group-serial, areas 001 to 899 without 666, no part zero; null for others."""
+    area, group, serial = (F.substring(m, F.lit(i), F.lit(n)).cast("long") for i, n in ((1, 3), (5, 2), (8, 4)))
+    at = area - 1 - (area > 666).cast("int")
+    x = permute_pair(at * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn", inverse)
+    new = F.floor(x["a"] / 99) + 1
+    new = new + (new >= 666).cast("int")
+    return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), F.concat_ws("-", _pad(new, 3), _pad(x["a"] % 99 + 1, 2), _pad(x["b"] + 1, 4)))
+
+
+def _mod97(s: Column) -> Column:
+    """The number that s stands for, A = 10 to Z = 35, modulo 97."""
+    def one(a, c):
+        n = F.ascii(c)
+        return F.when(n >= 65, (a * 100 + n - 55) % 97).otherwise((a * 10 + n - 48) % 97)
+
+    return F.aggregate(F.split(s, ""), F.lit(0), one)
+
+
+def iban(m: Column, key: str, inverse: bool = False) -> Column:
+    """An account number of 15 to 34 characters with right check digits; null for others. Country and the classes
+    of all characters stay, and the new check digits are right."""
+    c = F.regexp_replace(m, " ", "")
+    land, own = F.substring(c, 1, 2), F.substring(c, F.lit(5), F.length(c))
+    check = lambda body: _pad(F.lit(98) - _mod97(F.concat(body, land, F.lit("00"))), 2)
+    new = permute_string(own, key, "iban", inverse)
+    return F.when(F.length(c).between(15, 34) & (F.substring(c, 3, 2) == check(own)), _refill(m, F.concat(land, check(new), new), True))
 
 
 def ip(m: Column, key: str, inverse: bool = False) -> Column:
@@ -142,18 +183,42 @@ def ip(m: Column, key: str, inverse: bool = False) -> Column:
 
 
 def date(m: Column, key: str, inverse: bool = False) -> Column:
-    """A calendar date, permuted within its cycle of 400 years; null if there is no such day. Dates with slashes
-    are read as day/month, or month/day if that is no date; those with points as day.month."""
-    out = None
-    for shape, form in ((r"-", "yyyy-MM-dd"), (r"/", "dd/MM/yyyy"), (r"/", "MM/dd/yyyy"), (r"\.", "dd.MM.yyyy")):
-        day = F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), F.lit("2000-01-01").cast("date"))
-        cycle = F.floor(day / _CYCLE)
-        k = (day - cycle * _CYCLE).cast("long")
-        x = permute_pair(F.floor(k / _CB), k % _CB, _CA, _CB, key, "date", inverse)
-        new = F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), (cycle * _CYCLE + x["a"] * _CB + x["b"]).cast("int")), form)
-        case = F.when(m.rlike(shape) & day.isNotNull(), new)
-        out = case if out is None else F.coalesce(out, case)
-    return out
+    """A calendar date in its cycle of 400 years; null if there is no such day.
+
+    Years first: any day goes to any day. Years last: day and month may stand in either order with slashes, and with
+    or without leading zeros, so each of the two keeps its width and its range (1 to 12, 13 to 28), which is a
+    day in every month and year; days from 29 keep day and month, and the year changes (29 February: to a leap year).
+    """
+    first = F.lit("2000-01-01").cast("date")
+    day = F.datediff(F.try_to_timestamp(F.regexp_replace(m, "/", "-"), F.lit("yyyy-MM-dd")).cast("date"), first)
+    cycle = F.floor(day / _CYCLE)
+    k = (day - cycle * _CYCLE).cast("long")
+    x = permute_pair(F.floor(k / _CB), k % _CB, _CA, _CB, key, "date", inverse)
+    new = F.date_format(F.date_add(first, (cycle * _CYCLE + x["a"] * _CB + x["b"]).cast("int")), "yyyy-MM-dd")
+    year_first = F.when(day.isNotNull(), F.when(m.contains("/"), F.regexp_replace(new, "-", "/")).otherwise(new))
+
+    mark = F.when(m.contains("/"), "/").otherwise(".")
+    part = lambda i: F.regexp_extract(m, r"^([0-9]{1,2})[/.]([0-9]{1,2})[/.]([0-9]{4})$", i)
+    s, t, y = part(1), part(2), part(3).cast("long")
+    a, b = s.cast("long"), t.cast("long")
+    swapped = (mark == "/") & (b > 12)
+    dd, mm = F.when(swapped, b).otherwise(a), F.when(swapped, a).otherwise(b)
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    most = F.when(mm == 2, F.when(leap, 29).otherwise(28)).when(mm.isin(4, 6, 9, 11), 30).otherwise(31)
+    low = lambda text, v: F.when((F.length(text) == 2) & (v > 12), 13).otherwise(1)
+    size = lambda text, v: F.when(F.length(text) == 1, 9).when(v > 12, 16).otherwise(12).cast("long")
+    year = y % 400
+    z = permute_pair((a - low(s, a)) * size(t, b) + b - low(t, b), year, size(s, a) * size(t, b), 400, key, "day", inverse)
+    usual = F.concat(F.lpad((F.floor(z["a"] / size(t, b)) + low(s, a)).cast("string"), F.length(s), "0"), mark, F.lpad((z["a"] % size(t, b) + low(t, b)).cast("string"), F.length(t), "0"), mark, _pad(y - year + z["b"], 4))
+    late = permute_pair(F.floor(year / 20), year % 20, 20, 20, key, "late", inverse)
+    # the 97 leap years of a cycle: 0, 4, ..., 96, 104, ..., 396
+    rank = F.floor(year / 4) - F.when(year > 300, 3).when(year > 200, 2).when(year > 100, 1).otherwise(0)
+    moved = F.pmod(rank + (-1 if inverse else 1) * _number(key, "leap", F.lit(0), F.lit(0)), F.lit(97))
+    leap_year = 4 * (moved + F.when(moved > 72, 3).when(moved > 48, 2).when(moved > 24, 1).otherwise(0))
+    new_year = F.when((dd == 29) & (mm == 2), leap_year).otherwise(late["a"] * 20 + late["b"])
+    kept = F.concat(s, mark, t, mark, _pad(y - year + new_year, 4))
+    year_last = F.when(dd.between(1, most) & mm.between(1, 12), F.when(dd > 28, kept).otherwise(usual))
+    return F.when(m.rlike("^[0-9]{4}"), year_first).otherwise(year_last)
 
 
 def _email(m: Column, key: str, inverse: bool) -> Column:
@@ -166,7 +231,12 @@ def _secret(m: Column, key: str, inverse: bool) -> Column:
     return F.when(m == F.lower(m), low).otherwise(F.upper(low))
 
 
-KINDS = {"email": _email, "secret": _secret, "card": card, "phone": phone, "ip": ip, "date": date}
+def _keyed(m: Column, key: str, inverse: bool) -> Column:
+    lead = F.regexp_extract(m, "^(A[KS]IA|gh[pousr]_|glpat-|xox[abpr]-|sk-|AIza)", 1)
+    return F.concat(lead, permute_string(F.substring(m, F.length(lead) + 1, F.length(m)), key, "keyed", inverse))
+
+
+KINDS = {"email": _email, "iban": iban, "keyed": _keyed, "secret": _secret, "ssn": ssn, "card": card, "phone": phone, "abroad": abroad, "ip": ip, "date": date}
 
 
 def replaced(m: Column, key: str, inverse: bool = False) -> Column:
@@ -178,15 +248,19 @@ def replaced(m: Column, key: str, inverse: bool = False) -> Column:
     return out
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, inverse: bool = False, column: str = "text") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, inverse: bool = False, column: str = "text") -> DataFrame:
     """docs with pseudonyms for personal data in `column`, and n_replaced.
 
-    Kinds: e-mail names, hexadecimal secrets of 32 to 64 digits, payment cards with a right check digit, phone
-    numbers of ten digits, IPv4 addresses and dates; a value that fails its check stays as it is. A null
-    text stays null with n_replaced 0. Whole texts are scanned; narrow, so repeated rows and skew do not
-    matter. A column n_replaced already there is replaced.
+    Kinds: e-mail names; account numbers (IBAN) with right check digits; access keys with a well-known beginning;
+    hexadecimal secrets of 32 to 64 digits; national ids of the form 123-45-6789; payment cards with a right check
+    digit; phone numbers of ten digits, or of 8 to 15 after a plus sign; IPv4 addresses; dates with years of four digits.
+    A value that fails its check stays as it is. A null text stays null with n_replaced 0. Whole texts are
+    scanned; narrow, so repeated rows and skew do not matter. A column n_replaced already there stays, and the
+    added one gets a name with "_" behind.
     """
-    keep = [c for c in docs.columns if c != "n_replaced"]
+    keep, count = docs.columns, "n_replaced"
+    while count in keep:
+        count += "_"
     found, new = "_found", "_new"
     while {found, new} & set(keep):
         found, new = found + "_", new + "_"
@@ -196,8 +270,8 @@ def pseudonymize(docs: DataFrame, key: str = KEY, inverse: bool = False, column:
     gaps = F.split(t, ANY, -1)
     text = F.concat_ws("", F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col(new), i), F.get(F.col(found), i), F.lit("")))))
     out = out.withColumn(column, F.when(F.col(new).isNull(), t).otherwise(text))
-    return out.select(*keep, F.coalesce(F.size(F.filter(new, lambda x: x.isNotNull())), F.lit(0)).alias("n_replaced"))
+    return out.select(*keep, F.coalesce(F.size(F.filter(new, lambda x: x.isNotNull())), F.lit(0)).alias(count))
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY)
