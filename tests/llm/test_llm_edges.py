@@ -55,6 +55,7 @@ def test_token_counts(spark, odd):
         want[-1 if i is None else i] += len(enc.encode(t or "", add_special_tokens=False).ids)
     assert total == dict(want)
     assert token_counts.count_by_section(df.limit(0), default_tokenizer()).count() == 0
+    assert token_counts.count_by_section(df.withColumn("sections", F.lit("x")), default_tokenizer()).count() == len(got)
 
 
 @pytest.mark.parametrize("rule", token_counts.RULES)
@@ -64,7 +65,7 @@ def test_tokens_over_edges(spark, rule):
     offsets = enc.encode(text, add_special_tokens=False).offsets
     cuts = [(0, 3), (3, 8), (9, 24), (26, len(text))]
     df = spark.createDataFrame([(1, text, cuts), (2, None, cuts), (3, text, None), (4, text, [])], "doc_id long, text string, sections array<struct<start:int,stop:int>>")
-    got = token_counts.count_by_section(df, default_tokenizer(), rule).toPandas()
+    got = token_counts.count_by_section(df, default_tokenizer(), rule, "sections").toPandas()
     mine = {r.section: r.n_tokens for r in got[got.doc_id == 1].itertuples()}
     want = Counter()
     for s, e in offsets:

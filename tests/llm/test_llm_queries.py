@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 import corpus_pipeline
 from waveloom.llm import registry
 from waveloom.llm.shared import table
@@ -13,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def test_ten_and_the_pipeline():
-    names = set(registry.queries())
+    names = set(registry.queries()) | ({"pipeline"} & set(__spark_entry__.queries()))
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} | {"pipeline"} and len(names) == 11
 
 
@@ -44,3 +45,15 @@ def test_stages_do_what_they_say(spark):
     bad = table(spark, DATA, "documents").join(labels.where("quality = 0"), "doc_id", "left_semi")
     kept = corpus_pipeline.STAGES[0][1](spark, table(spark, DATA, "documents"), DATA)
     assert kept.join(bad, "doc_id", "left_semi").count() <= 0.3 * max(1, bad.count())  # eleven of them among 150 labelled rows
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = table(spark, DATA, "documents").limit(150).withColumns({c: F.lit(c) for c in ("copy", "mix_key", "_k", "_h", "k", "node", "quality", "sections", "shard", "n_words")})
+    docs = spark.createDataFrame([*docs.collect(), (None, None, None, None, None, *docs.columns[5:]), (7, "", "en", "a", 0, *docs.columns[5:])], docs.schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        assert out.where("copy <> 'copy' or mix_key <> 'mix_key' or shard <> 'shard'").count() == 0, name
+        empty = stage(spark, docs.limit(0), DATA)
+        assert empty.columns == docs.columns and empty.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == docs.count()

@@ -1,9 +1,7 @@
-"""The numbered queries and the corpus pipeline, with SQL where SQL can state them."""
+"""The numbered queries, with SQL where SQL can state them."""
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import decontaminate, extract, jaccard, mixing, packing, pseudonyms, quality, sharding, token_counts, warc
 
 
@@ -17,7 +15,6 @@ def queries() -> dict:
         "op7_ring_shards": sharding.op7_ring_shards,
         "op8_pseudonyms": pseudonyms.op8_pseudonyms,
         "op10_mix_sources": mixing.op10_mix_sources,
-        "pipeline": corpus_pipeline.run,
         "op9_jaccard_join": jaccard.op9_jaccard_join,
         "op5_quality_rules": quality.op5_quality_rules,
     }

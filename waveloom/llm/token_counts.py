@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encoding import default_tokenizer, encoder
-from .shared import table
+from .shared import table, worker
 from .textbytes import slices, text_bytes
 
 RULES = ("majority", "first", "last")
@@ -58,21 +58,25 @@ def attribute(first: np.ndarray, last: np.ndarray, s: np.ndarray, e: np.ndarray,
     return out
 
 
-def count_by_section(docs: DataFrame, tokenizer: str, rule: str = "majority") -> DataFrame:
-    """Tokens of each section. docs: doc_id, text, and optionally `sections`, an array of structs
-    (start, stop) of character offsets, sorted and without overlap; without it the lines of the text.
+def count_by_section(docs: DataFrame, tokenizer: str, rule: str = "majority", sections: str | None = None) -> DataFrame:
+    """Tokens of each section. docs: doc_id, text; `sections` names a column with an array of structs (start, stop) of
+    character offsets, sorted and without overlap; without it the lines of the text are sections.
+
+    Whole texts are encoded once. Spans in characters come from the byte lengths of the tokens, which add up to the
+    bytes of the text, so they are the offsets of the tokenizer, and a token that holds a part of a
+    character spans the whole of it.
 
     Returns doc_id, section (0-based; -1 holds tokens that touch no section), start, stop, n_tokens, and
     n_crossing, how many of them also touch characters outside the section. The sections of a
-    document sum to its whole count; what a section claims past the end of the text is cut off. Empty sections have no tokens. A null or empty text gives one
-    section of nothing when lines are used, and none if its given sections are null or empty;
-    repeated rows give repeated results; other columns are not read.
+    document sum to its whole count; what a section claims past the end of the text is cut off. Empty sections have
+    no tokens. A null or empty text gives one section of nothing when lines are used, and none if its given sections
+    are null or empty; repeated rows give repeated results; other columns are not read; an empty table gives no rows.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    given = "sections" in docs.columns
-    docs = docs.select("doc_id", "text", *([F.col("sections.start").alias("s"), F.col("sections.stop").alias("e")] if given else []))
+    given = sections is not None
+    docs = docs.select("doc_id", "text", *([F.col(sections)["start"].alias("s"), F.col(sections)["stop"].alias("e")] if given else []))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -116,7 +120,7 @@ def count_by_section(docs: DataFrame, tokenizer: str, rule: str = "majority") ->
                     none = pa.nulls(len(out), pa.int64())
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(out)), pa.array(np.full(len(out), -1), pa.int32()), none, none, pa.array(lone[out], pa.int64()), pa.array(np.zeros(len(out), np.int64))], names=["doc_id", "section", "start", "stop", "n_tokens", "n_crossing"])
 
-    return docs.mapInArrow(count, f"doc_id {kind}, section int, start long, stop long, n_tokens long, n_crossing long")
+    return docs.mapInArrow(worker(count), f"doc_id {kind}, section int, start long, stop long, n_tokens long, n_crossing long")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
