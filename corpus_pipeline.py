@@ -1,7 +1,10 @@
 """From raw documents to token-id files, stage by stage.
 
 quality rules -> one document of each near-duplicate group -> no benchmark passages -> sources mixed to target
-weights -> packed token ids. Every stage but the last returns documents with the columns they came with.
+weights -> packed token ids. Every stage but the last returns documents with the columns they came with, whatever
+further columns these are. A null or empty text fails the quality rules; later stages, given one, keep it: it has no
+near-duplicates, no passages, and its end id alone. A null id is an id like any other. Repeated rows stay or go
+together in quality rules and decontamination, and one stays after near duplicates. An empty table stays empty.
 """
 
 from __future__ import annotations
