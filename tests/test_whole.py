@@ -55,9 +55,9 @@ def test_latency_of_all_calls(spark, tmp_path):
     calls = [(k, k % 3 + 1, f"{k % 2}", (0.3, 0.4, 1.2, 0.7, 0.2)[k * k // 7 % 5 if k % 50 < 10 else 0] * (k % 3 * 200 + 450_000)) for k in range(4600)]
     spark.createDataFrame(calls, "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     want = []
-    for stream in "01":
+    for stream in (1, 2, 3):
         delay, n = 100, -1
-        for seq, (_, cust, _, price) in enumerate((c for c in calls if c[2] == stream), 1):
+        for seq, (_, cust, _, price) in enumerate((c for c in calls if c[1] == stream), 1):
             rtf, n = price / (cust * 200 + 250_000), n + 1
             if rtf >= 1:
                 delay, n = delay + 100, 0

@@ -66,17 +66,35 @@ def biquad_coefficients(kind: str, freq: float, q: float, gain_db: float, sr: in
     return b / a[0], a / a[0]
 
 
-def biquad_filter(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Second-order recursive filter along the last axis, for all leading rows at once (transposed direct form)."""
-    y, m0, m1 = np.empty(x.shape), np.zeros(x.shape[:-1]), np.zeros(x.shape[:-1])
+def biquad_filter(x: np.ndarray, b: np.ndarray, a: np.ndarray, block: int = 128) -> np.ndarray:
+    """Second-order recursive filter along the last axis, for all leading rows at once (transposed direct form).
+
+    Blocks of samples: what the samples of a block give inside it is one matrix product for all blocks; only the two
+    numbers of state at the block edges are carried on one by one.
+    """
     b, a = np.asarray(b, float), np.asarray(a, float)
-    for t in range(x.shape[-1]):
-        v = x[..., t]
-        o = b[..., 0] * v + m0
-        m0 = m1 + b[..., 1] * v - a[..., 1] * o
-        m1 = b[..., 2] * v - a[..., 2] * o
-        y[..., t] = o
-    return y
+    n = x.shape[-1]
+    if not n:
+        return np.array(x, float)
+    step = np.array([[-a[1], 1.0], [-a[2], 0.0]])  # state after a sample of nothing
+    push = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])  # what a sample adds to it
+    size = min(block, n)
+    free = np.empty((size + 1, 2, 2))  # powers of step
+    free[0] = np.eye(2)
+    for k in range(size):
+        free[k + 1] = step @ free[k]
+    answer = np.concatenate([[b[0]], free[: size - 1, 0] @ push])  # of one sample
+    lag = np.arange(size)[:, None] - np.arange(size)
+    inside = np.where(lag >= 0, answer[np.maximum(lag, 0)], 0.0)
+    adds = np.stack([free[size - 1 - k] @ push for k in range(size)])  # of each sample to the state at the block's end
+    count = -(-n // size)
+    padded = np.concatenate([x, np.zeros((*x.shape[:-1], count * size - n))], axis=-1).reshape(*x.shape[:-1], count, size)
+    y, given = padded @ inside.T, padded @ adds
+    state = np.zeros((*x.shape[:-1], 2))
+    for k in range(count):
+        y[..., k, :] += state @ free[:size, 0].T
+        state = state @ free[size].T + given[..., k, :]
+    return y.reshape(*x.shape[:-1], count * size)[..., :n]
 
 
 def guard(x: np.ndarray) -> np.ndarray:

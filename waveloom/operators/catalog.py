@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from waveloom.functions import draws
 
+from .ranks import random_ranks, sorted_ranks
+
 
 def clip_key(path) -> Column:
     """The relative path with '/' replaced by '_'."""
@@ -91,21 +93,18 @@ def epoch_size(n, factor) -> Column:
 
 def split_dataset(clips: DataFrame, group: str, seed: int, fractions: tuple[float, float] = (0.7, 0.15)) -> DataFrame:
     """clips with a split: within each group a random order, int(.7 n) to train, int(.15 n) to valid, the rest to test."""
-    order = W.partitionBy(group).orderBy(draws.bits(seed, F.col("key"), "split"), "key")
-    n = F.count(F.lit(1)).over(W.partitionBy(group))
-    at = F.row_number().over(order) - 1
-    a = F.floor(n * fractions[0])
-    b = a + F.floor(n * fractions[1])
-    return clips.withColumn("split", F.when(at < a, "train").when(at < b, "valid").otherwise("test"))
+    rows = random_ranks(clips, group, draws.bits(seed, F.col("key"), "split"), "key")
+    a = F.floor(F.col("_n") * fractions[0])
+    b = a + F.floor(F.col("_n") * fractions[1])
+    return rows.withColumn("split", F.when(F.col("_r") < a, "train").when(F.col("_r") < b, "valid").otherwise("test")).select(*clips.columns, "split")
 
 
 def epoch_keys(keys: DataFrame, seed: int, shuffle: bool = True) -> DataFrame:
     """The keys of one epoch: each dataset in a random (or key) order, repeated and cut to max(1, round(factor * n)). Adds pos."""
-    order = W.partitionBy("ds_name").orderBy(*([draws.bits(seed, F.col("key"), "epoch")] if shuffle else []), "key")
-    n = F.count(F.lit(1)).over(W.partitionBy("ds_name"))
-    each = keys.withColumn("_r", F.row_number().over(order) - 1).withColumn("_n", n).withColumn("_m", epoch_size("_n", "factor"))
+    each = random_ranks(keys, "ds_name", draws.bits(seed, F.col("key"), "epoch"), "key") if shuffle else sorted_ranks(keys, "ds_name", ["key"])
+    each = each.withColumn("_m", epoch_size("_n", "factor"))
     each = each.withColumn("_rep", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_m") / F.col("_n")).cast("long") - 1)))
-    return each.withColumn("pos", F.col("_rep") * F.col("_n") + F.col("_r")).where("pos < _m").drop("_r", "_n", "_m", "_rep")
+    return each.withColumn("pos", F.col("_rep") * F.col("_n") + F.col("_r")).where("pos < _m").select(*keys.columns, "pos")
 
 
 def needs_redraw(config: DataFrame, split: str = "train", overfit: bool = False) -> DataFrame:
@@ -121,23 +120,22 @@ def sample_keys(clips: DataFrame, n: int, seed: int, group: str = "ds_type") ->
     return clips.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
 
 
-def make_batches(samples: DataFrame, size: int, seed: int, drop_last: bool = True, shuffle: bool = True, shard: str = "split") -> DataFrame:
+def make_batches(samples: DataFrame, size: int, seed: int, drop_last: bool = True, shuffle: bool = True, shard: str = "split", overfit: bool = False) -> DataFrame:
     """samples with batch_no and pos within each split; the last batch of a split goes if it is not full and drop_last.
 
-    Positions come from ranks inside 64 hash ranges and the ranges' counts, so no split has to be sorted in one task.
+    overfit: every batch of a split is made of its first `size` samples in the order of idx, so one batch is met again and again.
+    Positions come from ranks inside counted ranges, so no split has to be sorted in one task.
     """
-    h = draws.bits(seed, F.col("idx"), "batch")
-    part = F.floor(h / float(1 << 42)).cast("int") if shuffle else F.lit(0)
-    rows = samples.withColumn("_h", h if shuffle else F.col("idx").cast("long")).withColumn("_p", part)
-    counts = rows.groupBy(shard, "_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(F.sum("_c").over(W.partitionBy(shard).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("_b", before).withColumn("_t", F.sum("_c").over(W.partitionBy(shard))).drop("_c")
-    rank = F.row_number().over(W.partitionBy(shard, "_p").orderBy("_h", "idx")) - 1
-    out = rows.withColumn("_r", rank).join(F.broadcast(counts), [shard, "_p"])  # 64 rows for each split
-    out = out.withColumn("pos", F.col("_b") + F.col("_r")).withColumn("batch_no", F.floor(F.col("pos") / size))
+    if overfit:
+        rows = sorted_ranks(samples, shard, ["idx"])
+        rows = rows.where(F.col("_r") < size).withColumn("batch_no", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("_n") / size) - 1, F.lit(0)).cast("long"))))
+        rows = rows.withColumn("pos", F.col("batch_no") * size + F.col("_r"))
+    else:
+        rows = random_ranks(samples, shard, draws.bits(seed, F.col("idx"), "batch"), "idx") if shuffle else sorted_ranks(samples, shard, ["idx"])
+        rows = rows.withColumn("pos", F.col("_r")).withColumn("batch_no", F.floor(F.col("pos") / size))
     if drop_last:
-        out = out.where((F.col("batch_no") + 1) * size <= F.col("_t"))
-    return out.drop("_h", "_p", "_b", "_t", "_r")
+        rows = rows.where((F.col("batch_no") + 1) * size <= F.col("_n"))
+    return rows.select(*samples.columns, "pos", "batch_no")
 
 
 def collate(rows: DataFrame, samples: str = "x", key: str = "batch_no", order: str = "pos", n: int | None = None) -> DataFrame:

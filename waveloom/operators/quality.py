@@ -66,16 +66,23 @@ def evaluate(pairs: DataFrame, metrics: list[str], fs: int, noisy: bool = False)
         for pdf in batches:
             rows = []
             for r in pdf.to_dict("records"):
+                at: dict[tuple, np.ndarray] = {}
+
+                def brought(name: str, n: int, rate: int) -> np.ndarray:
+                    """n samples of a signal at a rate, made once for all metrics and variants."""
+                    if (name, n, rate) not in at:
+                        x = np.asarray(r[name][:n], float)
+                        if not np.isfinite(x).all():
+                            raise ValueError("samples that are not finite")
+                        at[name, n, rate] = audio.resample(x, fs, rate)
+                    return at[name, n, rate]
+
                 for variant in variants:
                     for m in chosen.values():
                         try:
                             n = min(len(r["clean"]), len(r[variant]))
-                            x = [np.asarray(v[:n], float) for v in (r["clean"], r[variant])]
-                            if not all(np.isfinite(v).all() for v in x):
-                                raise ValueError("samples that are not finite")
                             rate = m.rate or fs
-                            x = [audio.resample(v, fs, rate) for v in x]
-                            got = m.fn(*x, rate)
+                            got = m.fn(brought("clean", n, rate), brought(variant, n, rate), rate)
                             got = got if isinstance(got, tuple) else (got,)
                             rows += [(r["filename"], variant, k, None if v is None or np.isnan(v) else float(v), None) for k, v in zip(m.names, got)]
                         except Exception as e:  # noqa: BLE001

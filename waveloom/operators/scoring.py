@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import sorted_ranks
+
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -32,15 +36,27 @@ def metric_means(scores: DataFrame) -> DataFrame:
 
 
 def metric_by_snr(scores: DataFrame) -> DataFrame:
-    """Mean per metric and input SNR, and per metric over all (snr null)."""
-    parts = scores.groupBy("metric", "snr").agg(F.avg("value").alias("mean"))
-    return parts.unionByName(scores.groupBy("metric").agg(F.avg("value").alias("mean")).withColumn("snr", F.lit(None).cast("int")))
+    """Mean per metric and input SNR, and per metric over all (snr null): one pass over grouping sets. Scores without an
+    SNR count for the latter alone."""
+    sets = scores.rollup("metric", "snr").agg(F.avg("value").alias("mean"), F.grouping_id().alias("_g"))
+    return sets.where("_g = 1 or (_g = 0 and snr is not null)").select("metric", "snr", "mean")
 
 
 def describe_scores(scores: DataFrame) -> DataFrame:
-    """count, mean, std, min, quartiles and max of each metric."""
-    q = lambda p: F.percentile("value", F.lit(p))
-    return scores.groupBy("metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev("value").alias("std"), F.min("value").alias("low"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), F.max("value").alias("high"))
+    """count, mean, std, min, quartiles and max of each metric. Quartiles are exact, between neighbouring ranks; the values are
+    ranked over sorted parts, so a metric may have any number of them."""
+    full = scores.select("metric", "value").where("value is not null")
+    ranked = sorted_ranks(full, "metric", ["value"])
+
+    def q(p: float) -> Column:
+        at = (F.col("_n") - 1) * p
+        share = at - F.floor(at)
+        low, high = (F.max(F.when(F.col("_r") == f(at), F.col("value"))) for f in (F.floor, F.ceil))
+        return low + (high - low) * F.max(share)
+
+    some = ranked.groupBy("metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev("value").alias("std"), F.min("value").alias("low"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), F.max("value").alias("high"))
+    none = scores.groupBy("metric").agg(F.count("value").alias("n")).where("n = 0")
+    return some.unionByName(none, allowMissingColumns=True)
 
 
 def normalized_words(text) -> Column:
@@ -48,14 +64,35 @@ def normalized_words(text) -> Column:
     return F.split(F.lower(F.translate(text, _PUNCTUATION, "")), " ")
 
 
+def word_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """Edit distance of two sequences of numbers, one array step for each element of the shorter."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.arange(len(b) + 1)
+    row = at.copy()
+    for i, x in enumerate(a, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        np.minimum(row[1:] + 1, row[:-1] + (b != x), out=new[1:])
+        row = np.minimum.accumulate(new - at) + at  # insertions: the least of all to the left, and the steps from there
+    return int(row[-1])
+
+
 def word_edits(reference, hypothesis) -> Column:
-    """Word edit distance. Each distinct word of the pair becomes one character, and the strings are compared by levenshtein."""
-    point = lambda words: lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(20000) + F.array_position(words, w)), 4, "0")), "UTF-16BE")
-    text = lambda p, k: F.concat_ws("", F.transform(p[k], point(p["words"])))
-    # arrays of one element hold what would be evaluated again for each word
-    pair = F.array(F.struct(normalized_words(reference).alias("a"), normalized_words(hypothesis).alias("b")))
-    pair = F.transform(pair, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.array_distinct(F.concat(p["a"], p["b"])).alias("words")))
-    return F.transform(pair, lambda p: F.levenshtein(text(p, "a"), text(p, "b")))[0]
+    """Word edit distance of whole texts; null if either is. Words become numbers through one map for each pair."""
+    @F.pandas_udf("int")
+    def edits(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            if x is None or y is None:
+                out.append(None)
+                continue
+            number: dict[str, int] = {}
+            x, y = (np.array([number.setdefault(w, len(number)) for w in v], np.int64) for v in (x, y))
+            out.append(word_distance(x, y))
+        return pd.Series(out, dtype="Int32")
+
+    return edits(normalized_words(reference), normalized_words(hypothesis))
 
 
 def wer(pairs: DataFrame, by: list[str]) -> DataFrame:

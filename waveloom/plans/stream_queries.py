@@ -78,17 +78,17 @@ def w5_live_controls(spark, d):
     return drained(T.with_controls(e), "controls").select(F.col("id").alias("event_id"), r("setting").alias("setting"))
 
 
-@query("""with recursive c as (select o_orderpriority as stream_id, row_number() over (partition by o_orderpriority order by o_orderkey) as seq, o_totalprice / (o_custkey * 200 + 250000) as rtf from orders),
+@query("""with recursive c as (select o_custkey as stream_id, row_number() over (partition by o_custkey order by o_orderkey) as seq, o_totalprice / (o_custkey * 200 + 250000) as rtf from orders),
 f(stream_id, seq, delay, n) as (select distinct stream_id, 0::bigint, 100::bigint, (-1)::bigint from c union all
   select f.stream_id, c.seq, case when rtf >= 1 then delay + 100 when rtf < 0.5 and n + 1 > 10 and delay > 100 then greatest(100, delay - 100) else delay end,
   case when rtf >= 1 or (rtf < 0.5 and n + 1 > 10 and delay > 100) then 0 else n + 1 end from f join c on c.stream_id = f.stream_id and c.seq = f.seq + 1)
-select stream_id, seq, delay, delay >= 400 as failed from f where seq > 0 and seq <= 1000""")
+select stream_id, seq, delay, delay >= 400 as failed from f where seq > 0""")
 def w6_latency_adapt(spark, d):
     from pyspark.sql import Window as W
 
     o = table(spark, d, "orders")
-    seq = F.row_number().over(W.partitionBy("o_orderpriority").orderBy("o_orderkey")).cast("long")
-    calls = o.select(F.col("o_orderpriority").alias("stream_id"), seq.alias("seq"), (F.col("o_totalprice") / (F.col("o_custkey") * 200 + 250000)).alias("rtf"))
+    seq = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")  # the calls of one customer
+    calls = o.select(F.col("o_custkey").alias("stream_id"), seq.alias("seq"), (F.col("o_totalprice") / (F.col("o_custkey") * 200 + 250000)).alias("rtf"))
     return T.latency_adapt(calls, 100, 100, start=100).withColumn("failed", F.col("delay") >= 400)
 
 
@@ -99,10 +99,10 @@ def w7_level_meter(spark, d):
     return m.select("stream_id", "start", "n", r("rms").alias("rms"), r("peak").alias("peak"), "clipped")
 
 
-@query("with e as (select *, (select max(ts) from events) as top from events) select user_id as stream_id, time_bucket(interval '1 day', ts) as start, count(*) as n from e group by 1, 2 having time_bucket(interval '1 day', max(ts)) + interval '1 day' <= any_value(top) - interval '10 minutes'")
+@query(f"with e as (select *, (select max(ts) from events) as top from events) select user_id as stream_id, time_bucket(interval '1 day', ts) as start, count(*) as n, {R('sqrt(avg(value / 300 * (value / 300)))')} as rms, {R('max(abs(value / 300))')} as peak, sum((abs(value / 300) > 0.9999)::int)::bigint as clipped from e group by 1, 2 having time_bucket(interval '1 day', max(ts)) + interval '1 day' <= any_value(top) - interval '10 minutes'")
 def w7_level_meter_stream(spark, d):
     e = event_stream(spark, d).select(F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 300).alias("sample"))
-    return drained(T.level_meter(e, "1 day"), "meter").select("stream_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    return drained(T.level_meter(e, "1 day"), "meter").select("stream_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", r("rms").alias("rms"), r("peak").alias("peak"), "clipped")
 
 
 @query(f"with {SIG} select clip_id, len(x)::bigint as n_samples, 8000 as sr, {R(sm('list_transform(x, lambda v: trunc(v * 32767) / 32767)'), 4)} as total from sig")

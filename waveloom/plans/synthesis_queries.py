@@ -83,9 +83,9 @@ def _slot(name: str, i: str = "i") -> str:
 @query(f"""with recursive {SIG}, sh as (select clip_id, x, 0.01::double + {bits_sql(_SEED, 'clip_id', 'share')} / 281474976710656.0::double * (0.3::double - 0.01::double) as share from sig),
 zr(clip_id, i, done, a, n) as (select clip_id, 0, 0::double, 0::bigint, 0::bigint from sh union all
   select z.clip_id, z.i + 1, z.done + (({_slot('n', 'z.i').replace('clip_id', 'z.clip_id')}) % 4 + 2) / len(sh.x)::double, ({_slot('at', 'z.i').replace('clip_id', 'z.clip_id')}) % greatest(len(sh.x) - 6, 1), ({_slot('n', 'z.i').replace('clip_id', 'z.clip_id')}) % 4 + 2
-  from zr z join sh on sh.clip_id = z.clip_id where z.done < sh.share and z.i < 64)
+  from zr z join sh on sh.clip_id = z.clip_id where z.done < sh.share)
 select sh.clip_id, count(*) filter (where hit)::bigint as zeros, {R('sum(case when hit then 0 else v end)')} as total from (
-  select sh.clip_id, sh.x[j + 1] as v, exists (select 1 from zr where zr.clip_id = sh.clip_id and zr.i > 0 and j >= zr.a and j < zr.a + zr.n) as hit from sh, (select unnest(range(0, 200)) as j) k where j < len(sh.x)) sh group by sh.clip_id""")
+  select sh.clip_id, sh.x[j + 1] as v, exists (select 1 from zr where zr.clip_id = sh.clip_id and zr.i > 0 and j >= zr.a and j < zr.a + zr.n) as hit from (select *, unnest(range(0, len(x))) as j from sh) sh) sh group by sh.clip_id""")
 def m9_zero_runs(spark, d):
     z = signals(spark, d).withColumn("y", M.zero_runs("x", "clip_id", _SEED, max_percent=30.0, low=2, high=6))
     return z.select("clip_id", F.aggregate(F.zip_with("x", "y", lambda a, b: F.when((b == 0), 1).otherwise(0)), F.lit(0).cast("long"), lambda a, v: a + v).alias("zeros"), r(S.total("y")).alias("total"))
@@ -100,7 +100,7 @@ def m15_compose(spark, d):
     return M.compose(clips, steps, _SEED).select(F.col("idx").alias("clip_id"), r(S.total("x")).alias("total"))
 
 
-@query(f"""with {PAIRS}, i0 as (select clip_id, clean[1:40] as clean, list_transform(noise[1:40], lambda v: v * 2) as o from pairs),
+@query(f"""with {PAIRS}, i0 as (select clip_id, clean, list_transform(noise, lambda v: v * 2) as o from pairs),
 k as (select *, 1 / sqrt(({en('o')} + 1e-10::double) / ({en('clean')} + 1e-10::double) * 10 + 1e-10::double) as k from i0), m as (select clip_id, list_transform(list_zip(clean, o), lambda z: z[1] + k * z[2]) as y, clean, list_transform(o, lambda v: v * k) as n from k),
 t as (select *, greatest(list_max(list_transform(y, lambda v: abs(v))), list_max(list_transform(clean, lambda v: abs(v))), list_max(list_transform(n, lambda v: abs(v)))) as top from m)
 select clip_id, {R(f'{sm("y")} * case when top - 1 > 1e-10 then 1 / (top + 1e-10::double) else 1 end')} as total from t""")
@@ -154,7 +154,7 @@ def m10_coloured_noise(spark, d):
 
 @query()
 def m11_reverb(spark, d):
-    p = pairs(spark, d).select("clip_id", F.col("clean").alias("x"), F.transform(F.slice("noise", 1, 20), lambda v, i: v * F.exp(-i / 4.0)).alias("rir"))
+    p = pairs(spark, d).select("clip_id", F.col("clean").alias("x"), F.transform("noise", lambda v, i: v * F.exp(-i / 4.0)).alias("rir"))
     return M.reverb(p, 8000).select("clip_id", r(S.rms("x")).alias("target"), r(S.rms("reverberant")).alias("reverberant"))
 
 
@@ -173,7 +173,7 @@ def _at_least(x: str, n: int):
 def _long_pairs(spark, d):
     """Pairs, shorter ones repeated to half a second at 16 kHz."""
     p = pairs(spark, d)
-    return p.select(F.col("clip_id").alias("filename"), *[_at_least(c, 8000).alias(c) for c in ("clean", "noisy", "enhanced")])
+    return p.select(F.col("clip_id").alias("filename"), *[_at_least(c, 8000).alias(c) for c in ("clean", "noisy", "enhanced")]).repartition("filename")  # by the lengthened clips' bytes
 
 
 @query()

@@ -146,7 +146,8 @@ def stream_enhance(packets: DataFrame, provider: Callable[[np.ndarray], tuple[np
         x = ring[order - 1 : order - 1 + n]  # frames `lookahead` behind the newest
         y = x * masks[:n]
         if taps is not None:
-            stack = np.stack([ring[o + lookahead : o + lookahead + n, :nb_df] for o in range(order)], axis=1) if lookahead == 0 else np.stack([ring[o : o + n, :nb_df] for o in range(order)], axis=1)
+            # of the frame `lookahead` behind the newest, the frames from order - 1 - lookahead before it on
+            stack = np.stack([ring[o + lookahead : o + lookahead + n, :nb_df] for o in range(order)], axis=1)
             y = y.copy()
             y[:, :nb_df] = (stack * taps[:n]).sum(axis=1)
             state["taps"] = taps[n:]
