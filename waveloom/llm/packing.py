@@ -27,8 +27,9 @@ from .textbytes import slices
 
 MAGIC = b"FWIDS\x01\0\0"
 BLOCK = 1 << 16
-#: Text bytes of a shard, about; a table of few bytes is still dealt to all cores, down to LEAST_BYTES for each.
-SHARD_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
+#: Text bytes of a shard, about: SHARD_BYTES, or in tables of more than MANY such shards up to MOST_BYTES. A table of few
+#: bytes is still dealt to all cores, down to LEAST_BYTES for each.
+SHARD_BYTES, MOST_BYTES, LEAST_BYTES, MANY = 16 << 20, 256 << 20, 1 << 20, 10_000
 
 
 def bits_for(n_vocabulary: int) -> int:
@@ -144,7 +145,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
     n = shards
     if n is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        n = max(1, -(-size // SHARD_BYTES), min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES))
+        n = max(1, min(-(-size // SHARD_BYTES), MANY), -(-size // MOST_BYTES), min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES))
     turn = docs.withColumn("h", F.xxhash64("text")).withColumn("turn", F.monotonically_increasing_id())
     dealt = turn.repartitionByRange(n, F.asc_nulls_first("doc_id"), "h", "turn").withColumn("shard", F.spark_partition_id()).sortWithinPartitions("doc_id").select("doc_id", "text", "shard")
 
@@ -183,7 +184,7 @@ def read_ids(manifest: DataFrame, digest: bool = True) -> DataFrame:
     it), n_tokens (its end id included), and ids_crc32 of its ids as little-endian unsigned 32-bit
     numbers, or with digest=False the ids themselves."""
     before = F.coalesce(F.sum("n_ids").over(W.partitionBy(F.lit(0)).orderBy("shard", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.withColumn("before", before)  # one row for each file of SHARD_BYTES of text: a million of them for 64 TB
+    files = manifest.withColumn("before", before)  # one row for each file: 400,000 of them for 100 TB
     files = files.select("uri", "before").repartition(max(1, manifest.count()), "uri")
     last = "ids_crc32 long" if digest else "ids array<int>"
 
