@@ -154,3 +154,66 @@ def test_no_reference_scores_without_segments(spark):
     clips = frame(spark, [(1, [0.1] * 200), (2, [])], "clip_id long, x array<double>")
     got = {r.clip_id: r.sig for r in quality_ops.score_segments(clips, predict, 10).collect()}
     assert got[2] is None and got[1] == pytest.approx(-0.08397278 * 9 + 1.22083953 * 3 + 0.0052439)
+
+
+def test_named_transforms(spark):
+    from waveloom.functions import signal as S
+    from waveloom.operators import synthesis as M
+
+    clips = spark.createDataFrame([(i, [float((i * 7 + k) % 11 - 5) for k in range(40)]) for i in range(30)], "idx long, x array<double>")
+    config = [{"name": "gain", "db": 6.0}, {"name": "clip", "p": 0.4, "share": 0.5}, {"name": "remove_dc"}, {"name": "zero_runs"}, {"name": "crop", "n": 20}]
+    got = {r.idx: r.x for r in M.compose(clips, M.named_steps(config, 3), 3).collect()}
+    plain = [("gain", 1.0, lambda x, _: S.scaled(x, 10 ** 0.3)), ("clip", 0.4, lambda x, _: S.clip_samples(x, 0.5)), ("remove_dc", 1.0, lambda x, _: S.remove_dc(F.array(x))[0]), ("crop", 1.0, lambda x, i: S.random_crop(x, F.lit(20), 3, i))]
+    assert got == {r.idx: r.x for r in M.compose(clips, plain, 3).collect()} and {len(v) for v in got.values()} == {20}
+    with pytest.raises(ValueError):
+        M.named_steps([{"name": "no such"}], 1)
+
+
+def test_multires_distance_by_loop(spark):
+    import math
+
+    from waveloom.operators import spectral as P
+
+    r = np.random.default_rng(2)
+    rows = [(k, r.standard_normal(50 + k).tolist(), r.standard_normal(50).tolist()) for k in range(3)] + [(9, [], [1.0])]
+    got = {x.filename: x.distance for x in P.multires_distance(spark.createDataFrame(rows, "filename long, enhanced array<double>, clean array<double>"), [8, 16], 0.6, 2.0, 0.5).collect()}
+
+    def frames(x, fft):
+        x = np.concatenate([x[1 : fft // 2 + 1][::-1], x, x[-fft // 2 - 1 : -1][::-1]])
+        for at in range(0, len(x) - fft + 1, fft // 4):
+            yield np.array([sum(x[at + i] * (0.5 - 0.5 * math.cos(2 * math.pi * i / fft)) * np.exp(-2j * np.pi * i * k / fft) for i in range(fft)) / math.sqrt(fft) for k in range(fft // 2 + 1)])
+
+    for k, a, b in rows[:3]:
+        want = 0.0
+        for fft in (8, 16):
+            d, c, n = 0.0, 0.0, 0
+            for u, v in zip(frames(np.array(a[:50]), fft), frames(np.array(b[:50]), fft)):
+                for p, q in zip(u, v):
+                    x, y = abs(p) ** 0.6, abs(q) ** 0.6
+                    d += (x - y) ** 2
+                    c += abs(p / abs(p) * x - q / abs(q) * y) ** 2
+                    n += 1
+            want += 2 * d / n + 0.5 * c / n / 2
+        assert got[k] == pytest.approx(want, rel=1e-9)
+    assert got[9] is None
+
+
+def test_overfit_batches_and_ordered_epochs(spark):
+    s = spark.createDataFrame([(i, i % 2, f"k{i:03d}") for i in range(75)], "idx long, split int, key string")
+    got = catalog.make_batches(s, 8, 1, overfit=True).toPandas()
+    assert all(sorted(g.idx) == [i for i in range(75) if i % 2 == split][:8] for (split, _), g in got.groupby(["split", "batch_no"])) and got.batch_no.max() == 3
+    plain = catalog.make_batches(s, 8, 1, drop_last=False, shuffle=False).toPandas().sort_values(["split", "pos"])
+    assert plain[plain.split == 0].idx.tolist() == list(range(0, 75, 2)) and (plain.batch_no == plain.pos // 8).all()
+    keys = s.select(F.lit("d").alias("ds_name"), "key", F.lit(1.5).alias("factor"))
+    ordered = catalog.epoch_keys(keys, 1, shuffle=False).orderBy("pos").toPandas()
+    assert ordered.key.tolist() == [f"k{i % 75:03d}" for i in range(113)]  # 112.5, rounded up
+
+
+def test_quartiles_over_many_equal_values(spark):
+    from waveloom.operators import scoring
+
+    rows = [("a", float(v)) for v in [3.0] * 500 + list(range(200))] + [("b", 1.5), ("b", None), ("c", None)]
+    got = {r.metric: r for r in scoring.describe_scores(spark.createDataFrame(rows, "metric string, value double")).collect()}
+    x = [v for m, v in rows if m == "a"]
+    assert [got["a"].q1, got["a"].q2, got["a"].q3] == pytest.approx(list(np.quantile(x, [0.25, 0.5, 0.75])))
+    assert (got["b"].n, got["b"].q1, got["b"].high) == (1, 1.5, 1.5) and got["c"].n == 0 and got["c"].q2 is None

@@ -26,6 +26,13 @@ def stft(x: np.ndarray, fft: int, hop: int, aligned: bool = False) -> np.ndarray
     return out
 
 
+def centred_stft(x: np.ndarray, fft: int, hop: int) -> np.ndarray:
+    """Frames (time, bins) around every hop-th sample, with a Hann window, mirrored ends and unit-energy scaling."""
+    padded = np.pad(x, fft // 2, mode="reflect" if len(x) > fft // 2 else "symmetric")
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(fft) / fft)
+    return np.fft.rfft(np.lib.stride_tricks.sliding_window_view(padded, fft)[::hop] * w, axis=1) / np.sqrt(fft)
+
+
 def istft(spec: np.ndarray, fft: int, hop: int) -> np.ndarray:
     """Overlap-add of the unnormalised inverse transforms; time * hop samples, fft - hop late."""
     t = len(spec)

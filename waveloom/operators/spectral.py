@@ -324,6 +324,49 @@ def spectral_distance(a, b, gamma: float = 1.0, under: float = 1.0) -> Column:
     return S.mean(d)
 
 
+def spectrum_distance(re, im, target_re, target_im, gamma: float = 1.0, magnitudes: float = 1.0, numbers: float = 1.0, under: float = 1.0) -> Column:
+    """magnitudes * spectral_distance of the compressed magnitudes + numbers * mean squared difference of the real and
+    imaginary parts, whose magnitudes are compressed as well."""
+    a, b = magnitude(re, im), magnitude(target_re, target_im)
+    out = magnitudes * spectral_distance(b, a, gamma, under)
+    if numbers:
+        def part(x, m):
+            return S.col(x) if gamma == 1.0 else F.zip_with(S.col(x), m, lambda v, k: F.when(k > 0, v / k).otherwise(0.0) * F.pow(F.greatest(k, F.lit(1e-12)), gamma))
+
+        d = [S.mean(F.zip_with(part(x, a), part(y, b), lambda u, v: (u - v) * (u - v))) for x, y in ((re, target_re), (im, target_im))]
+        out = out + numbers * (d[0] + d[1]) / 2
+    return out
+
+
+def masked_distance(noisy: DataFrame, gains: DataFrame, clean: DataFrame, **kw) -> DataFrame:
+    """clip_id, ch, t, distance: noisy frames with the gains on, against clean frames. Parameters as spectrum_distance."""
+    c = clean.select(*_OF_CLIP, "t", F.col("re").alias("_cr"), F.col("im").alias("_ci"))
+    both = enhance(noisy, gains).join(c, [*_OF_CLIP, "t"])
+    return both.select(*_OF_CLIP, "t", spectrum_distance("re", "im", "_cr", "_ci", **kw).alias("distance"))
+
+
+def multires_distance(pairs: DataFrame, ffts: list[int], gamma: float = 1.0, magnitudes: float = 1.0, numbers: float = 0.0) -> DataFrame:
+    """filename, distance: over transforms of several sizes (hop a quarter of each), the sum of the mean squared differences
+    of the compressed magnitudes of `enhanced` and `clean`, and of their complex numbers if asked. Cut to the shorter."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for x, y in zip(pdf["enhanced"], pdf["clean"]):
+                n, total = min(len(x), len(y)), 0.0
+                for fft in ffts if n else ():
+                    a, b = (N.centred_stft(np.asarray(v[:n], float), fft, fft // 4) for v in (x, y))
+                    p, q = (np.abs(v) if gamma == 1.0 else np.maximum(np.abs(v), 1e-12) ** gamma for v in (a, b))
+                    total += magnitudes * ((p - q) ** 2).mean()
+                    if numbers:
+                        a, b = (m * np.exp(1j * np.angle(v)) for m, v in ((p, a), (q, b)))
+                        total += numbers * (np.abs(a - b) ** 2).mean() / 2
+                out.append(total if n else None)
+            yield pd.DataFrame({"filename": pdf["filename"], "distance": pd.Series(out, dtype=float)})
+
+    kind = pairs.schema["filename"].dataType.simpleString()
+    return pairs.select("filename", "enhanced", "clean").mapInPandas(run, f"filename {kind}, distance double")
+
+
 def mask_distance(predicted, target, gamma: float = 0.6, under: float = 2.0, powers: tuple = (2, 4), factors: tuple = (1.0, 10.0), max_bin: int | None = None) -> Column:
     """Sum over powers of factor * mean(d^(power / 2)), d the squared difference of the compressed gains, times `under`
     where the prediction is less."""

@@ -185,3 +185,33 @@ def compose(clips: DataFrame, steps: list[tuple[str, float, Callable[[Column, Co
         new = F.coalesce(fn(F.col(column), F.col("idx")), F.col(column))
         out = out.withColumn(column, new if p >= 1 else F.when(draws.uniform(seed, F.col("idx"), name) <= p, new).otherwise(F.col(column)))
     return out
+
+
+#: Transforms by name: make(seed, **params) gives fn(samples, idx) -> samples; and the probability they have if none is given.
+TRANSFORMS: dict[str, tuple[Callable[..., Callable[[Column, Column], Column]], float]] = {}
+
+
+def register_transform(name: str, make: Callable[..., Callable[[Column, Column], Column]], p: float = 1.0) -> None:
+    TRANSFORMS[name] = make, p
+
+
+register_transform("gain", lambda seed, db: lambda x, _: S.scaled(x, 10 ** (db / 20)))
+register_transform("random_gain", lambda seed, gains=GAINS: lambda x, idx: S.scaled(x, S.db_to_gain(draws.choice(gains, seed, idx, "random_gain").cast("double"))))
+register_transform("clip", lambda seed, share: lambda x, _: S.clip_samples(x, share), 0.0)
+register_transform("zero_runs", lambda seed, **kw: lambda x, idx: zero_runs(x, idx, seed, **kw), 0.0)
+register_transform("crop", lambda seed, n: lambda x, idx: S.random_crop(x, F.lit(n), seed, idx))
+register_transform("remove_dc", lambda seed: lambda x, _: S.remove_dc(F.array(x))[0])
+
+
+def named_steps(config: list[dict], seed: int) -> list[tuple[str, float, Callable[[Column, Column], Column]]]:
+    """Steps for compose from a list such as [{"name": "clip", "p": 0.3, "share": 0.5}]; an unknown name is an error."""
+    out = []
+    for entry in config:
+        entry = dict(entry)
+        name = entry.pop("name")
+        if name not in TRANSFORMS:
+            raise ValueError(f"no transform {name}")
+        make, p = TRANSFORMS[name]
+        p = entry.pop("p", p)
+        out.append((name, p, make(seed, **entry)))
+    return out

@@ -221,6 +221,24 @@ def q8_spectral_distance(spark, d):
     return f.select("clip_id", "t", r(P.spectral_distance(F.transform("re", F.abs), F.transform("im", F.abs), 0.6, 2.0)).alias("distance"))
 
 
+_M8 = "pow(greatest(sqrt({0} * {0} + {1} * {1}), 1e-12::double), 0.6::double)"
+
+
+@query(f"with {FX}, q as (select clip_id, t, 0.5::double * a as y0, 0.5::double * b as y1, b as s0, a as s1 from fx), m as (select *, {_M8.format('y0', 'y1')} as y, {_M8.format('s0', 's1')} as s, sqrt(y0 * y0 + y1 * y1) as ya, sqrt(s0 * s0 + s1 * s1) as sa from q), "
+       f"z as (select clip_id, t, pow(y - s, 2) * case when y < s then 2 else 1 end as d, pow(y0 / ya * y - s0 / sa * s, 2) + pow(y1 / ya * y - s1 / sa * s, 2) as c from m) select clip_id, t, {R('3 * avg(d) + 0.5::double * avg(c) / 2', 5)} as distance from z group by 1, 2")
+def q9_masked_spectrum(spark, d):
+    f = frames(spark, d)
+    gains = f.select("clip_id", "ch", "t", F.transform("re", lambda v: F.lit(0.5)).alias("gains"))
+    x = P.masked_distance(f, gains, f.withColumns({"re": F.col("im"), "im": F.col("re")}), gamma=0.6, magnitudes=3.0, numbers=0.5, under=2.0)
+    return x.select("clip_id", "t", r("distance", 5).alias("distance"))
+
+
+@query()
+def q8_multires_distance(spark, d):
+    p = pairs(spark, d).withColumnRenamed("clip_id", "filename")
+    return P.multires_distance(p, [8, 16, 32], 0.6, 1.0, 0.5).select("filename", r("distance").alias("distance"))
+
+
 @query(f"with {FX}, q as (select clip_id, t, pow(greatest(abs(a), 1e-12::double), 0.6::double) as p, pow(greatest(abs(b), 1e-12::double), 0.6::double) as t0 from fx where f < 24), e as (select clip_id, t, pow(p - t0, 2) * case when p < t0 then 2 else 1 end as d from q) select clip_id, t, {R('avg(d) + 10 * avg(d * d)')} as distance from e group by 1, 2")
 def q9_mask_distance(spark, d):
     f = frames(spark, d)
