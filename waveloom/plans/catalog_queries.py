@@ -191,10 +191,10 @@ def j2_pair_by_pattern(spark, d):
     return C.pair_by_pattern(noisy, clean, [("noisy", "clean"), (r"clean_clnsp.*_fileid", "clean_fileid")])
 
 
-@query("select user_id as filename, l.quality as text from (select distinct user_id from events) e join labels l on l.doc_id = e.user_id")
+@query("with c as (select conv_id || '-' || turn as filename, role, text from conversations) select a.filename, t.text from c a join c t on t.filename = a.filename where a.role = 'user' and t.text is not null")
 def j3_with_transcripts(spark, d):
-    clips = table(spark, d, "events").select(F.col("user_id").alias("filename")).distinct()
-    return C.with_transcripts(clips, table(spark, d, "labels").select(F.col("doc_id").alias("filename"), F.col("quality").alias("text")))
+    c = table(spark, d, "conversations").withColumn("filename", F.concat_ws("-", "conv_id", "turn"))
+    return C.with_transcripts(c.where("role = 'user'").select("filename"), c.where("text is not null").select("filename", "text"))
 
 
 @query(f"""with {CATALOG}, pool as (select key, row_number() over (order by {bits_sql(0, 'key', 'pool')}, key) - 1 as i, count(*) over () as n from cat where ds_type = 'noise'),
