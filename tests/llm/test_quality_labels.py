@@ -1,6 +1,7 @@
 """Few, one-class and foreign labels decide nothing; trees score like a plain walk over their nodes."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from waveloom.llm import gbdt, quality
@@ -24,7 +25,7 @@ def labels(spark, rows):
 
 
 def base(docs):
-    return {r.doc_id for r in docs.collect() if not quality.base_failed(quality.statistics(__import__("pyarrow").array([r.text])))[0]}
+    return {r.doc_id for r in docs.collect() if not quality.base_failed(quality.statistics(pa.array([r.text])))[0]}
 
 
 @pytest.mark.parametrize("rows", [[], [(1, 1, 0)], [(i, int(i < 10), 0) for i in range(39)], [(i, 0, 0) for i in range(100)], [(i, 1, 0) for i in range(100)], [(10_000 + i, i % 2, 0) for i in range(500)]])
@@ -53,8 +54,6 @@ def test_kept_equals_a_walk_over_the_nodes(spark, docs):
             total += m.value[at]
         return total
 
-    import pyarrow as pa
-
     for r in quality.score_quality(docs, m).collect():
         text = docs.where(f"doc_id = {r.doc_id}").first().text if r.doc_id % 9 == 0 else None
         if text is not None:
