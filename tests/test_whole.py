@@ -103,3 +103,13 @@ def test_max_freq_gathers_no_lists(spark, tmp_path):
     df = Q["f9_pair_max_freq"](spark, str(tmp_path))
     assert "collect_list" not in df._jdf.queryExecution().toString()
     assert sorted(tuple(r) for r in df.collect()) == sorted((f"src{k}", sr, 6000.0 if sr == 48000 else 8000.0, sr == 48000) for k in range(3) for sr in (16000, 48000))
+
+
+def test_every_clip_has_a_partner_whatever_the_ids(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    users = [5, 1000, 17, 10**12, -4]
+    rows = [(i * 100 + k, u, start + datetime.timedelta(seconds=k), "click", float(k + i)) for i, u in enumerate(users) for k in range(20)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.clip_id for r in adapters.pairs(spark, str(tmp_path)).collect()} == set(users)
+    parts = synthesis_queries._parts(spark, str(tmp_path)).collect()
+    assert {(r.idx, r.slot) for r in parts} == {(u, k) for u in users for k in range(4)} and len(parts) == 20

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from waveloom.functions import draws
 from waveloom.functions import signal as S
+from waveloom.operators import catalog as catalog_ops
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,15 +58,20 @@ SNRS = [-5, 0, 5, 10, 20, 40]
 GAINS = [-6, 0, 6]
 
 
+def numbered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The clips with u, a number from 0 without gaps whatever the ids are, and how many there are."""
+    ids, n = catalog_ops.dense_index(table(spark, sf_dir, "events").select(F.col("user_id").alias("key")).distinct())
+    return signals(spark, sf_dir).join(ids.select(F.col("key").alias("clip_id"), F.col("pool_idx").alias("u")), "clip_id"), n
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clip_id, clean, noise (of another user, as long as clean), snr and gain drawn, noisy, enhanced.
 
     enhanced is the mixture with a tenth of its noise, a stand-in for a model's output.
     """
-    sig = signals(spark, sf_dir)
-    other = sig.select(F.col("clip_id").alias("other"), F.col("x").alias("y"))
-    n_users = table(spark, sf_dir, "events").agg(F.countDistinct("user_id")).first()[0]
-    both = sig.withColumn("other", (F.col("clip_id") * 7 + 3) % max(n_users, 1)).join(other, "other")
+    sig, n = numbered(spark, sf_dir)
+    other = sig.select(F.col("u").alias("other"), F.col("x").alias("y"))
+    both = sig.withColumn("other", (F.col("u") * 7 + 3) % n).join(other, "other")
     both = both.select("clip_id", F.col("x").alias("clean"), S.fit_length("y", F.size("x")).alias("noise"), draws.choice(SNRS, 1, F.col("clip_id"), "snr").alias("snr"), draws.choice(GAINS, 1, F.col("clip_id"), "gain").alias("gain"))
     k = S.mix_gain("clean", "noise", "snr")
     both = both.withColumn("k", k)
@@ -88,9 +94,10 @@ def sm(x: str) -> str:
     return f"list_reduce({x}, lambda a, b: a + b, 0::double)"
 
 
-PAIRS = f"""{SIG},
+NUMBERED = f"{SIG}, un as (select clip_id, x, row_number() over (order by {bits_sql(0, 'clip_id', 'pool')}, clip_id) - 1 as u, count(*) over () as n from sig)"
+PAIRS = f"""{NUMBERED},
 p0 as (select a.clip_id, a.x as clean, b.x as y, {_choice_sql(SNRS, 'a.clip_id', 'snr')} as snr, {_choice_sql(GAINS, 'a.clip_id', 'gain')} as gain
-       from sig a join sig b on b.clip_id = (a.clip_id * 7 + 3) % (select count(distinct user_id) from events)),
+       from un a join un b on b.u = (a.u * 7 + 3) % a.n),
 p1 as (select *, list_transform(range(0, len(clean)), lambda i: y[(i % len(y)) + 1]) as noise from p0),
 p2 as (select *, 1 / sqrt(({en('noise')} + 1e-10::double) / ({en('clean')} + 1e-10::double) * pow(10::double, snr / 10::double) + 1e-10::double) as k from p1),
 pairs as (select clip_id, clean, noise, snr, gain, k, list_transform(list_zip(clean, noise), lambda z: z[1] + k * z[2]) as noisy,

@@ -10,7 +10,7 @@ from waveloom.operators import quality as Q
 from waveloom.operators import spectral as P
 from waveloom.operators import synthesis as M
 
-from .adapters import PAIRS, SIG, R, bits_sql, en, frames, pairs, query, r, signals, sm
+from .adapters import NUMBERED, PAIRS, SIG, R, bits_sql, en, frames, numbered, pairs, query, r, signals, sm
 
 _SEED = 21
 
@@ -27,14 +27,13 @@ def m1_sample_plan(spark, d):
     return p.select("idx", "snr", "gain", "n_noises", "interferer_snr", "has_speech", F.aggregate("noise_gains", F.lit(0), lambda a, v: a + v).alias("gains"))
 
 
-_PARTS = f"""{SIG}, nu as (select count(*) as n from sig), pt as (select a.clip_id as idx, s as slot, b.x from sig a cross join (select unnest(range(0, 4)) as s) join sig b on b.clip_id = (a.clip_id + s * 11) % (select n from nu))"""
+_PARTS = f"""{NUMBERED}, pt as (select a.clip_id as idx, s as slot, b.x from un a cross join (select unnest(range(0, 4)) as s) join un b on b.u = (a.u + s * 11) % a.n)"""
 
 
 def _parts(spark, d):
-    s = signals(spark, d)
-    n = s.count()
-    other = s.select(F.col("clip_id").alias("o"), "x")
-    return s.select(F.col("clip_id").alias("idx"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("slot")).withColumn("o", (F.col("idx") + F.col("slot") * 11) % n).join(other, "o").drop("o")
+    s, n = numbered(spark, d)
+    other = s.select(F.col("u").alias("o"), "x")
+    return s.select(F.col("clip_id").alias("idx"), "u", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("slot")).withColumn("o", (F.col("u") + F.col("slot") * 11) % n).join(other, "o").drop("o", "u")
 
 
 @query(f"""with {_PARTS}, b as (select *, coalesce(sum(len(x)) over (partition by idx order by slot rows between unbounded preceding and 1 preceding), 0) as before from pt),
