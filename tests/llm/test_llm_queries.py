@@ -1,5 +1,7 @@
 """The numbered queries and the pipeline over the smallest tables, against SQL or brute force."""
 
+import os
+
 import duckdb
 import pandas as pd
 import pytest
@@ -10,7 +12,7 @@ import corpus_pipeline
 from waveloom.llm import registry
 from waveloom.llm.shared import table
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_ten_and_the_pipeline():

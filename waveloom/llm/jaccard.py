@@ -299,3 +299,16 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+#: All pairs that share a shingle, and all that links reach: fit for small tables alone.
+ORACLE_SQL = r"""
+with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select r, doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) end) as sh from d),
+t as (select r, len(sh) as n, unnest(sh) as g from s),
+o as (select a.r as a, b.r as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as o from t a join t b on a.g = b.g and a.r < b.r group by 1, 2),
+l as (select a, b from o where 100 * o >= 75 * (na + nb - o)),
+e as (select a, b from l union all select b, a from l),
+reach(a, b) as (select r, r from s union select reach.a, e.b from reach join e on e.a = reach.b)
+select any_value(x.doc_id) as doc_id, any_value(len(x.sh))::bigint as n_shingles, min(y.doc_id) as component_id from reach join s x on x.r = reach.a join s y on y.r = reach.b group by reach.a
+"""

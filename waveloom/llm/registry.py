@@ -24,5 +24,6 @@ def oracle_sql() -> dict:
     return {
         "op2_warc": warc.ORACLE_SQL,
         "op3_decontamination": decontaminate.ORACLE_SQL,
+        "op9_jaccard_join": jaccard.ORACLE_SQL,
         "op10_mix_sources": mixing.ORACLE_SQL,
     }
