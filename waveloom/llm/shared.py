@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -44,7 +45,8 @@ def _saved(df: DataFrame, path: str) -> DataFrame:
 
 
 class Scratch:
-    """Tables that one job alone reads: saved in one folder, deleted together when its result is written."""
+    """Tables that one job alone reads: saved in one folder, deleted together when its result is written. In a store that
+    only Spark reaches they are left to the cluster's cleanup."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.path, self.n = new_path(spark, name), 0
@@ -55,7 +57,8 @@ class Scratch:
 
     def drop(self) -> None:
         if self.n:
-            delete_folder(self.path)
+            with contextlib.suppress(OSError, ValueError, NotImplementedError):
+                delete_folder(self.path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
