@@ -38,9 +38,9 @@ def _parts(spark, d):
 
 @query(f"""with {_PARTS}, b as (select *, coalesce(sum(len(x)) over (partition by idx order by slot rows between unbounded preceding and 1 preceding), 0) as before from pt),
 j as (select idx, flatten(list(x order by slot)) as x from b where before < 150 group by idx), c as (select idx, x, case when len(x) > 150 then {bits_sql(_SEED, 'idx', 'crop')} % (len(x) - 150) else 0 end as s from j)
-select idx, least(len(x), 150)::int as n, {R(sm('x[s + 1:s + 150]'))} as total from c""")
+select idx, i::int as i, {R('x[s + i + 1]')} as v from (select *, unnest(range(0, least(len(x), 150))) as i from c)""")
 def m2_assemble_speech(spark, d):
-    return M.assemble_speech(_parts(spark, d), 150, _SEED).select("idx", F.size("speech").alias("n"), r(S.total("speech")).alias("total"))
+    return M.assemble_speech(_parts(spark, d), 150, _SEED).select("idx", F.posexplode("speech").alias("i", "v")).withColumn("v", r("v"))
 
 
 _NOISE = f"""nz as (select idx, slot, x, ceil(100::double / len(x))::int * len(x) - 100 as room, pow(10::double, (slot * 3 - 3) / 20.0::double) as g from pt where slot < 3),
@@ -48,10 +48,10 @@ nf as (select *, case when room > 0 then ('0x' || substr(md5('{_SEED}:' || idx |
 nl as (select idx, i, sum(x[((s + i) % len(x)) + 1] * g) as v from nf, (select unnest(range(0, 100)) as i) group by 1, 2)"""
 
 
-@query(f"with {_PARTS}, {_NOISE} select idx, {R('sum(v) / 2')} as total, {R('max(v) / 2')} as top from nl group by idx")
+@query(f"with {_PARTS}, {_NOISE} select idx, i::int as i, {R('v / 2')} as v from nl")
 def m3_combine_noises(spark, d):
     n = _parts(spark, d).where("slot < 3").withColumn("gain", (F.col("slot") * 3 - 3).cast("double"))
-    return M.combine_noises(n, 100, _SEED, channels=2).select("idx", r(S.total("noise")).alias("total"), r(F.array_max("noise")).alias("top"))
+    return M.combine_noises(n, 100, _SEED, channels=2).select("idx", F.posexplode("noise").alias("i", "v")).withColumn("v", r("v"))
 
 
 _MIX = f"""mx as (select clip_id, snr, list_transform(clean, lambda v: v * pow(10::double, (gain + 12) / 20.0::double)) as c, noise from pairs),
@@ -127,11 +127,24 @@ def m6_random_filters(spark, d):
     return y.select("idx", F.size("x").alias("n"), r(S.rms("x")).alias("rms"))
 
 
-@query(f"with {SIG} select clip_id, ceil(len(x) * 3 / 2.0)::int as up, ceil(len(x) / 2.0)::int as down from sig")
+def _resampled(src: str, out: str) -> str:
+    """CTEs that bring src (clip_id, i, v, n samples at rate sr) to the rate nw, as `out` (clip_id, i, v): windowed-sinc sums."""
+    return f"""{out}_h as (select *, ceil(16 / cut)::bigint as half from (select distinct clip_id, n, sr, nw, (n * nw + sr - 1) // sr as m, least(1::double, nw / sr::double) * 0.95::double as cut from {src})),
+{out}_k as (select *, unnest(range(-half, half + 1)) as j from (select *, unnest(range(0, m)) as o from {out}_h)),
+{out}_d as (select *, o * sr // nw as base, j - (o * sr % nw) / nw::double as d from {out}_k),
+{out}_w as (select *, cut * case when d = 0 then 1 else sin(pi() * cut * d) / (pi() * cut * d) end * (0.5::double + 0.5::double * cos(pi() * least(greatest(d / (half + 1), -1), 1))) as k from {out}_d),
+{out} as (select w.clip_id, o as i, sum(coalesce(s.v, 0) * k) / sum(k) as v from {out}_w w left join {src} s on s.clip_id = w.clip_id and s.i = base + j group by 1, 2)"""
+
+
+_SAMPLES = "select clip_id, unnest(range(0, len(x))) as i, unnest(x) as v, len(x)::bigint as n, 8000::bigint as sr"
+
+
+@query(f"with {SIG}, su as ({_SAMPLES}, 12000::bigint as nw from sig), sd as ({_SAMPLES}, 4000::bigint as nw from sig), {_resampled('su', 'up')}, {_resampled('sd', 'down')} "
+       f"select clip_id, 'up' as way, i::int as i, {R('v')} as v from up union all select clip_id, 'down', i::int, {R('v')} from down")
 def m7_resample(spark, d):
     x = signals(spark, d).withColumnRenamed("clip_id", "idx")
-    up = M.resample(x, 8000, 12000).select("idx", F.size("x").alias("up"))
-    return up.join(M.resample(x, 8000, 4000).select("idx", F.size("x").alias("down")), "idx").withColumnRenamed("idx", "clip_id")
+    one = lambda way, rate: M.resample(x, 8000, rate).select(F.col("idx").alias("clip_id"), F.lit(way).alias("way"), F.posexplode("x").alias("i", "v"))
+    return one("up", 12000).unionByName(one("down", 4000)).withColumn("v", r("v"))
 
 
 @query()
@@ -157,11 +170,13 @@ def m11_reverb(spark, d):
     return M.reverb(p, 8000).select("clip_id", r(S.rms("x")).alias("target"), r(S.rms("reverberant")).alias("reverberant"))
 
 
-@query(f"with {SIG}, f as (select clip_id, len(x)::int as n, 5000 + (clip_id % 5) * 4000 as m from sig), b as (select *, list_filter([{', '.join(map(str, M.CUT_OFFS))}], lambda c: c < m) as l from f) "
-       f"select clip_id, n, l[({bits_sql(_SEED, 'clip_id', 'cut')} % len(l)) + 1]::int as max_freq from b")
+@query(f"with {SIG}, f as (select clip_id, x, 5000 + (clip_id % 5) * 4000 as m from sig), b as (select *, list_filter([{', '.join(map(str, M.CUT_OFFS))}], lambda c: c < m) as l from f), "
+       f"c as (select *, l[({bits_sql(_SEED, 'clip_id', 'cut')} % len(l)) + 1]::bigint as cut from b), sa as ({_SAMPLES.replace('8000', '48000')}, 2 * cut as nw from c), {_resampled('sa', 'low')}, "
+       f"sb as (select l.clip_id, i, v, count(*) over (partition by l.clip_id)::bigint as n, 2 * cut as sr, 48000::bigint as nw from low l join c on c.clip_id = l.clip_id), {_resampled('sb', 'back')} "
+       f"select c.clip_id, i.i::int as i, {R('coalesce(k.v, 0)')} as v, cut::int as max_freq from c join sa i on i.clip_id = c.clip_id left join back k on k.clip_id = c.clip_id and k.i = i.i")
 def m12_limit_bandwidth(spark, d):
     x = signals(spark, d).select(F.col("clip_id").alias("idx"), "x", (F.lit(5000) + (F.col("clip_id") % 5) * 4000).cast("int").alias("max_freq"))
-    return M.limit_bandwidth(x, 48000, _SEED).select(F.col("idx").alias("clip_id"), F.size("x").alias("n"), "max_freq")
+    return M.limit_bandwidth(x, 48000, _SEED).select(F.col("idx").alias("clip_id"), F.posexplode("x").alias("i", "v"), "max_freq").withColumn("v", r("v"))
 
 
 def _at_least(x: str, n: int):
