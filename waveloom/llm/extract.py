@@ -29,16 +29,21 @@ _REST = re.compile(r"^(?:nav|header|footer|aside|form|menu|button|select|dialog)
 _MAIN = re.compile(r"^(?:article|main)\b|[. _-](?:article|post|entry|content|story|main|body-text|article-body|post-body)\b")
 
 
-def _bucket(token: str, size: int, seen: dict[str, int]) -> int:
-    k = seen.get(token)
-    if k is None:
-        if len(seen) > 200_000:
-            seen.clear()
-        k = seen[token] = zlib.crc32(token.encode())
-    return k % size
+class _Buckets(dict):
+    """A word's number below `size`, by its CRC; forgotten as a whole when there are very many words."""
 
+    def __init__(self, size: int):
+        super().__init__()
+        self.size = size
 
-_SEEN: dict[str, int] = {}
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        k = self[word] = zlib.crc32(word.encode()) % self.size
+        return k
+
+
+_OF_PATH, _OF_WORD = _Buckets(PATH_DIM), _Buckets(WORD_DIM)
 _PATHS: dict[tuple[str, ...], np.ndarray] = {}
 
 
@@ -52,7 +57,7 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
             tag, _, names = item.partition(".")
             weight = max(0.85**depth, 0.3)
             for token in (tag, *(x for n in names.split() for x in {n, *re.split(r"[-_]", n)})):
-                k = _bucket(token, PATH_DIM, _SEEN)
+                k = _OF_PATH[token]
                 v[k] = max(v[k], weight)
         _PATHS[path] = v
     return v
@@ -63,6 +68,8 @@ def vectors(blocks: list[Block], names: bool = True) -> np.ndarray:
     punctuation, place, and what share of the page's unlinked text the elements above it hold."""
     count = len(blocks)
     x = np.zeros((count, PATH_DIM + WORD_DIM + OTHER), np.float32)
+    if not count:
+        return x
     total = sum(len(b.text) for b in blocks)
     plain = [max(0, len(b.text) - b.linked) for b in blocks]
     held: dict[int, int] = {}
@@ -72,30 +79,42 @@ def vectors(blocks: list[Block], names: bool = True) -> np.ndarray:
             held[k] = held.get(k, 0) + n
             most[k] = most.get(k, 0) + 1
     unlinked = sum(plain) + 1
+    # how many elements two neighbours share, and whether they are of one kind
+    shared = [0]
+    alike = [False]
+    for b, c in zip(blocks, blocks[1:]):
+        same = 0
+        for p, q in zip(b.numbers, c.numbers):
+            if p != q:
+                break
+            same += 1
+        shared.append(same)
+        alike.append(b.path[-1:] == c.path[-1:])
+    shared.append(0)
+    alike.append(False)
     before = 0
-    at = PATH_DIM + WORD_DIM
+    flat, n_words, rest = [], [], []
     for i, b in enumerate(blocks):
         x[i, :PATH_DIM] = _path_vector(b.path if names else tuple(p.partition(".")[0] for p in b.path))
         words = b.text.lower().split()
-        k = np.bincount([_bucket(w, WORD_DIM, _SEEN) for w in words], minlength=WORD_DIM)
-        x[i, PATH_DIM:at] = k / max(1, len(words))
-        n, depth = len(b.text), len(b.numbers)
-        marks = sum(map(b.text.count, ".,;!?"))
-        x[i, at : at + 10] = (np.log1p(n) / 6, np.log1p(len(words)) / 5, min(1.0, b.linked / n), min(1.0, marks / max(1, len(words))), b.text[-1] in ".!?", i / count, before / total, n / total, depth / 10, b.text[0] in "\u00a9(|\u00bb")
-        for up in range(5):  # shares of the element itself, its parent, and so on
-            if up < depth:
-                x[i, at + 10 + up] = held[b.numbers[depth - 1 - up]] / unlinked
-        x[i, at + 15] = most[b.numbers[-2]] / count if depth > 1 else 1
-        for j, o in ((16, i - 1), (17, i + 1)):
-            if 0 <= o < count:
-                same = 0
-                for p, q in zip(b.numbers, blocks[o].numbers):
-                    if p != q:
-                        break
-                    same += 1
-                x[i, at + j] = (depth - same) / 5  # how many elements end or begin between the two
-                x[i, at + j + 2] = b.path[-1:] == blocks[o].path[-1:]
+        flat += map(_OF_WORD.__getitem__, words)
+        n_words.append(len(words))
+        n, depth, text = len(b.text), len(b.numbers), b.text
+        marks = text.count(".") + text.count(",") + text.count(";") + text.count("!") + text.count("?")
+        row = [min(1.0, b.linked / n), min(1.0, marks / max(1, len(words))), text[-1] in ".!?", i / count, before / total, n / total, depth / 10, text[0] in "\u00a9(|\u00bb"]
+        # shares of the element itself, its parent, and so on
+        row += [held[k] / unlinked for k in b.numbers[: -6 if depth > 5 else None : -1]]
+        row += [0.0] * (13 - len(row))
+        # elements that end or begin between the block and its neighbours
+        row += (most[b.numbers[-2]] / count if depth > 1 else 1.0, (depth - shared[i]) / 5 if i else 0.0, alike[i], (depth - shared[i + 1]) / 5 if i + 1 < count else 0.0, alike[i + 1])
+        rest.append(row)
         before += n
+    at = PATH_DIM + WORD_DIM
+    w = np.array(n_words)
+    x[:, PATH_DIM:at] = np.bincount(np.repeat(np.arange(count) * WORD_DIM, w) + np.array(flat, np.int64), minlength=count * WORD_DIM).reshape(count, WORD_DIM) / np.maximum(w, 1)[:, None]
+    x[:, at] = np.log1p([len(b.text) for b in blocks]) / 6
+    x[:, at + 1] = np.log1p(w) / 5
+    x[:, at + 2 : at + 2 + len(rest[0])] = rest
     return x
 
 
