@@ -29,6 +29,8 @@ PATTERNS = {
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9])",
 }
 ANY = "|".join(PATTERNS.values())
+#: What a text with any of these values must hold, in one quick scan; most prose goes no further.
+MAY = r"@|[0-9]{2}|[0-9]\.[0-9]|A[KS]IA|gh[pousr]_|glpat-|xox[abpr]-|sk-|AIza|[a-f]{32}|[A-F]{32}"
 _HEX = "0123456789abcdef"
 #: The Gregorian calendar repeats after 400 years, 189 * 773 days.
 _CYCLE, _CA, _CB = 146_097, 189, 773
@@ -265,7 +267,7 @@ def pseudonymize(docs: DataFrame, key: str, inverse: bool = False, column: str =
     while {found, new} & set(keep):
         found, new = found + "_", new + "_"
     t = F.col(column)
-    out = docs.select(*keep).withColumn(found, F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
+    out = docs.select(*keep).withColumn(found, F.when(t.rlike(MAY), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
     out = out.withColumn(new, F.when(F.size(found) > 0, F.transform(found, lambda m: replaced(m, key, inverse))))
     gaps = F.split(t, ANY, -1)
     text = F.concat_ws("", F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col(new), i), F.get(F.col(found), i), F.lit("")))))
