@@ -26,6 +26,7 @@ def test_held_out_layouts(model, name):
     for (_, text), out in zip(pages, extract.page_texts(model, [p for p, _ in pages])):
         a, b = Counter(text.split()), Counter(out.split())
         hit, want, got = hit + sum((a & b).values()), want + sum(a.values()), got + sum(b.values())
+    print(name, hit / want, hit / got)
     assert hit / want >= 0.95 and hit / got >= 0.95, (name, hit / want, hit / got)
 
 

@@ -20,7 +20,7 @@ from .textbytes import slices
 PATH_DIM, WORD_DIM, OTHER = 80, 40, 20
 #: Pages of the table (those with the smallest hash) and composed pages the labeller is trained on; a page of the table
 #: is used if it has at most so many bytes and blocks, and gives at most so many of its words to the composed ones.
-FIT_PAGES, FIT_COMPOSED = 200, 2400
+FIT_PAGES, FIT_COMPOSED = 200, 1800
 FIT_BYTES, FIT_BLOCKS, FIT_WORDS = 1 << 20, 400, 300
 SEED = 11
 
