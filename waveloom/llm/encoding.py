@@ -23,7 +23,7 @@ _CONT = (_B >= 0x80) & (_B < 0xC0)
 _LEAD2 = (_B >= 0xC3) & (_B <= 0xDF)
 _LETTER = ((_B >= 65) & (_B <= 90)) | ((_B >= 97) & (_B <= 122))
 #: Pieces handled at once, and the most places and ids a worker's cache grows to (16 and 4 bytes each).
-PIECES, CACHE_PLACES, CACHE_IDS = 1 << 17, 1 << 21, 1 << 22
+PIECES, CACHE_PLACES, CACHE_IDS = 1 << 17, 1 << 20, 1 << 21
 _MARK = _ASCII_SURE & ~_LETTER & ~((_B >= 48) & (_B <= 57)) & (_B != 39)
 
 
@@ -53,7 +53,7 @@ class Encoder:
 
     def _forget(self) -> None:
         """An empty cache: an open-addressed table whose free places have hash 0, and a pool of ids. Both grow up to
-        CACHE_PLACES and CACHE_IDS and are then forgotten as a whole, so a worker never holds more than some 50 MB of them."""
+        CACHE_PLACES and CACHE_IDS and are then forgotten as a whole, so a worker never holds more than some 30 MB of them."""
         self.n_known = self.n_pool = 0
         self.pool = np.zeros(1 << 18, np.int32)
         self._room(1 << 17)
