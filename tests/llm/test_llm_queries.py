@@ -15,15 +15,15 @@ from waveloom.llm.shared import table
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
-def test_ten_and_the_pipeline():
+def test_thirteen_and_the_pipeline():
     names = set(registry.queries()) | ({"pipeline"} & set(__spark_entry__.queries()))
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} | {"pipeline"} and len(names) == 11
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} | {"pipeline"} and len(names) == 14
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_matches_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "embeddings"):
         c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got, want = registry.queries()[name](spark, DATA).toPandas(), c.sql(registry.oracle_sql()[name]).df()
     cols = sorted(want.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, jaccard, mixing, packing, pseudonyms, quality, sharding, token_counts, warc
+from . import decontaminate, extract, jaccard, middle, mixing, nearest, packing, periodic, pseudonyms, quality, sharding, token_counts, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op10_mix_sources": mixing.op10_mix_sources,
         "op9_jaccard_join": jaccard.op9_jaccard_join,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op11_exact_top_k": nearest.op11_exact_top_k,
+        "op12_fill_in_middle": middle.op12_fill_in_middle,
+        "op13_periodic_runs": periodic.op13_periodic_runs,
     }
 
 
@@ -26,4 +29,7 @@ def oracle_sql() -> dict:
         "op3_decontamination": decontaminate.ORACLE_SQL,
         "op9_jaccard_join": jaccard.ORACLE_SQL,
         "op10_mix_sources": mixing.ORACLE_SQL,
+        "op11_exact_top_k": nearest.ORACLE_SQL,
+        "op12_fill_in_middle": middle.ORACLE_SQL,
+        "op13_periodic_runs": periodic.ORACLE_SQL,
     }
