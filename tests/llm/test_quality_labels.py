@@ -64,3 +64,10 @@ def test_kept_equals_a_walk_over_the_nodes(spark, docs):
 def test_few_rows_give_the_constant_model():
     x, y = np.random.default_rng(0).random((39, 2)), np.arange(39) % 2
     assert gbdt.fit(x, y, (0, 0)).constant and gbdt.fit(x, y * 0, (0, 0)).constant and not gbdt.fit(np.tile(x, (9, 1)), np.tile(x[:, 0] > 0.5, 9), (0, 0)).constant
+
+
+def test_classes_that_no_statistic_tells_apart(spark):
+    docs = spark.createDataFrame([(i, prose(1, 60), "x", 1) for i in range(60)] + [(60, "too short", "x", 1)], "doc_id long, text string, quality string, copy int")
+    model = quality.fit_quality(docs, labels(spark, [(i, int(i < 10), 0) for i in range(60)]))
+    assert len(model.roots) and model.constant  # sixty trees, none with a split
+    assert {r.doc_id for r in quality.score_quality(docs, model).collect() if r.kept} == set(range(60)) == base(docs)

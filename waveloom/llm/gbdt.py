@@ -22,8 +22,9 @@ class Trees:
 
     @property
     def constant(self) -> bool:
-        """Whether there was too little to learn from: the score is then one number for all rows and says nothing."""
-        return not len(self.roots)
+        """Whether no tree has a split, for want of rows or of a feature that tells the classes apart: the score is then one number
+        for all rows and says nothing."""
+        return not (self.feature >= 0).any()
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         """Log odds of each row."""

@@ -119,7 +119,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> gbd
 
     Rows of labels without a quality or a document are not used; of repeated ids in labels the least quality counts,
     of repeated ids in docs any one row. The bound is applied to the labels of documents that are there. With
-    one class alone, or fewer than 40 such rows, the model is constant and only the base rules decide.
+    one class alone, fewer than 40 such rows, or classes that no statistic tells apart, the model is constant and only the base rules decide.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
     wanted = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
