@@ -127,7 +127,7 @@ def test_streams_do_not_depend_on_packets(cuts):
     def steps(make):
         held = {}
         old = streams.stateful
-        streams.stateful = lambda rows, order, schema, step, **kw: held.update(step=step)
+        streams.stateful = lambda rows, order, schema, step, fields, **kw: held.update(step=step)
         try:
             make()
         finally:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waveloom.functions import signal as S
@@ -21,16 +23,48 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
-def drained(df: DataFrame, name: str) -> DataFrame:
-    """All rows of a stream after it has run to the end of its source."""
+@contextlib.contextmanager
+def without_empty_batches(spark: SparkSession):
+    """For queries with timers that run to the end of their source: they would wait for timers in micro-batches without rows for ever."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def drained(df: DataFrame, name: str, timers: bool = True) -> DataFrame:
+    """All rows of a stream after it has run to the end of its source. timers: whether it has some of processing time."""
     spark = df.sparkSession
     out, state = new_path(spark, name), new_path(spark, name + "-state")
-    df.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    with without_empty_batches(spark) if timers else contextlib.nullcontext():
+        started = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    started.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 
 
-def _packets(e: DataFrame, samples) -> DataFrame:
-    return e.select(F.col("user_id").alias("stream_id"), F.struct("ts", "event_id").alias("seq"), samples.alias("samples")).withColumn("seq", F.concat(F.date_format("seq.ts", "yyyyMMddHHmmssSSSSSS"), F.lpad(F.col("seq.event_id").cast("string"), 12, "0")))
+def late_log(numbered: DataFrame, name: str, slices: int = 4) -> DataFrame:
+    """Rows (stream_id, seq from 0, ...) as a stream of several micro-batches in which packets overtake each other by up to three places and
+    one in ten comes a second time, a slice later."""
+    spark, path = numbered.sparkSession, new_path(numbered.sparkSession, name)
+    h = F.pmod(F.xxhash64("stream_id", "seq"), F.lit(70)).cast("int")
+    at = F.least(F.greatest(F.floor(slices * (F.col("seq") + h % 7 - 3) / F.col("_n")), F.lit(0)), F.lit(slices - 1)).cast("int")
+    rows = numbered.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("stream_id"))).withColumn("_at", F.explode(F.when(h < 7, F.array(at, F.least(at + 1, F.lit(slices - 1)))).otherwise(F.array(at))))
+    rows.drop("_n").write.partitionBy("_at").parquet(path + "-all")
+    schema = numbered.schema
+    for k in range(slices):  # one after another, so that the source takes them as micro-batches in this order
+        spark.read.parquet(path + "-all").where(F.col("_at") == k).drop("_at").write.mode("append").parquet(path)
+    files = len(spark.read.schema(schema).parquet(path).inputFiles())
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, files // slices)).parquet(path)
+
+
+def _packets(spark: SparkSession, d: str, name: str, samples=None, **more) -> DataFrame:
+    """The events of each user as packets 0, 1, ... in time order, as a log of late packets."""
+    seq = (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("stream_id"), seq.alias("seq"), *([] if samples is None else [samples.alias("samples")]), *[c.alias(k) for k, c in more.items()])
+    return late_log(rows, name)
 
 
 def _v():
@@ -40,13 +74,13 @@ def _v():
 @query(f"""with {SIG}, f as (select clip_id as stream_id, flatten(list_transform(x, lambda v: [v, v / 2, v / 4])) as y from sig), k as (select stream_id, y, unnest(range(0, len(y) // 4)) as t from f)
 select stream_id, t, {R(sm('y[t * 4 + 1:t * 4 + 4]'), 8)} as total, {R('y[t * 4 + 1]', 8)} as first from k""")
 def w1_rechunk(spark, d):
-    out = drained(T.rechunk(_packets(event_stream(spark, d), F.array(_v(), _v() / 2, _v() / 4)), 4), "rechunk")
+    out = drained(T.rechunk(_packets(spark, d, "packets", F.array(_v(), _v() / 2, _v() / 4)), 4), "rechunk")
     return out.select("stream_id", "t", r(S.total("samples"), 8).alias("total"), r(F.get("samples", F.lit(0)), 8).alias("first"))
 
 
 @query(SQL["e3_features"])
 def w2_stream_features(spark, d):
-    x = drained(T.stream_features(_packets(event_stream(spark, d), F.array(_v())), 16, 8, [1, 2, 2, 4], 5, 0.9), "features")
+    x = drained(T.stream_features(_packets(spark, d, "packets", F.array(_v())), 16, 8, [1, 2, 2, 4], 5, 0.9), "features")
     x = x.select(F.col("stream_id").alias("clip_id"), "t", F.posexplode("feat_erb").alias("f", "v"))
     return x.select("clip_id", "t", F.col("f").cast("long").alias("f"), r("v", 5).alias("feat_erb"))
 
@@ -57,9 +91,7 @@ l as (select *, coalesce(max(case when not quiet then n end) over (partition by
 
 @query(f"with {_W3} select user_id as stream_id, event_id as t, n - last > 5 as silent from l")
 def w3_silence_gate(spark, d):
-    e = event_stream(spark, d).select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("t"), "ts", (_v() * _v()).alias("level"))
-    # event ids ascend with time inside a stream of events
-    return drained(T.silence_gate(e, 0.004), "gate")
+    return drained(T.silence_gate(_packets(spark, d, "frames", t=F.col("event_id"), level=_v() * _v()), 0.004, seq="seq"), "gate")
 
 
 @query(f"with {SIG} select clip_id as stream_id, (len(x) // 8)::bigint as n, {R('0.5::double * ' + sm('x[1:(len(x) // 8) * 8 - 8]'), 7)} as total from sig")
@@ -67,15 +99,31 @@ def w4_stream_enhance(spark, d):
     import numpy as np
 
     half = lambda s: (np.full(s.shape, 0.5), None)
-    out = drained(T.stream_enhance(_packets(event_stream(spark, d), F.array(_v())), half, 16, 8), "enhance")
+    out = drained(T.stream_enhance(_packets(spark, d, "packets", F.array(_v())), half, 16, 8), "enhance")
     return out.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"), r(F.sum(S.total("samples")), 7).alias("total"))
 
 
 @query(SQL["j7_asof_controls"])
 def w5_live_controls(spark, d):
-    kind = F.when(F.col("event_type") == "signup", "control").otherwise("frame")
-    e = event_stream(spark, d).select(F.col("user_id").alias("stream_id"), "ts", kind.alias("kind"), F.col("event_id").alias("id"), "value")
-    return drained(T.with_controls(e), "controls").select(F.col("id").alias("event_id"), r("setting").alias("setting"))
+    """Frames and controls are two streams; both are cut into slices of time, and rows come up to a day late within them."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), "value", (F.col("event_type") == "signup").alias("control"))
+    low, high = rows.agg(F.min("ts").cast("double"), F.max("ts").cast("double")).first()
+    day, slices = 86_400.0, 4
+    late = F.col("ts").cast("double") + F.pmod(F.xxhash64("id"), F.lit(int(day))) - (low or 0.0)
+    at = F.least(F.floor(late * slices / max((high or 0.0) + day - (low or 0.0), 1.0)), F.lit(slices - 1)).cast("int")
+    # a last row of a stream of its own moves both watermarks past the end
+    end = spark.range(1).select(F.lit(None).cast("long").alias("stream_id"), F.timestamp_seconds(F.lit((high or 0.0) + 3 * day)).alias("ts"), F.lit(None).cast("long").alias("id"), F.lit(0.0).alias("value"), F.explode(F.array(F.lit(True), F.lit(False))).alias("control"), F.lit(slices).alias("at"))
+    path = new_path(spark, "late")
+    rows.withColumn("at", at).unionByName(end).write.partitionBy("control", "at").parquet(path)
+    kinds = {}
+    for control in ("false", "true"):
+        for k in range(slices + 1):
+            part = rows.drop("control").schema
+            spark.read.parquet(path).where((F.col("control") == (control == "true")) & (F.col("at") == k)).select(*part.names).write.mode("append").parquet(f"{path}-{control}")
+        files = len(spark.read.schema(part).parquet(f"{path}-{control}").inputFiles())
+        kinds[control] = spark.readStream.schema(part).option("maxFilesPerTrigger", max(1, files // (slices + 1))).parquet(f"{path}-{control}")
+    out = T.with_controls(kinds["false"].select("stream_id", "ts", "id"), kinds["true"].select("stream_id", "ts", "value"), "2 days")
+    return drained(out, "controls", timers=False).where("stream_id is not null").select(F.col("id").alias("event_id"), r("setting").alias("setting"))
 
 
 @query("""with recursive c as (select o_custkey as stream_id, row_number() over (partition by o_custkey order by o_orderkey) as seq, o_totalprice / (o_custkey * 200 + 250000) as rtf from orders),
@@ -84,12 +132,11 @@ f(stream_id, seq, delay, n) as (select distinct stream_id, 0::bigint, 100::bigin
   case when rtf >= 1 or (rtf < 0.5 and n + 1 > 10 and delay > 100) then 0 else n + 1 end from f join c on c.stream_id = f.stream_id and c.seq = f.seq + 1)
 select stream_id, seq, delay, delay >= 400 as failed from f where seq > 0""")
 def w6_latency_adapt(spark, d):
-    from pyspark.sql import Window as W
-
     o = table(spark, d, "orders")
-    seq = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")  # the calls of one customer
-    calls = o.select(F.col("o_custkey").alias("stream_id"), seq.alias("seq"), (F.col("o_totalprice") / (F.col("o_custkey") * 200 + 250000)).alias("rtf"))
-    return T.latency_adapt(calls, 100, 100, start=100).withColumn("failed", F.col("delay") >= 400)
+    seq = (F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("long")  # the calls of one customer
+    calls = late_log(o.select(F.col("o_custkey").alias("stream_id"), seq.alias("seq"), (F.col("o_totalprice") / (F.col("o_custkey") * 200 + 250000)).alias("rtf")), "calls")
+    out = drained(T.latency_adapt(calls, 100, 100, start=100), "latency")
+    return out.withColumns({"seq": F.col("seq") + 1, "failed": F.col("delay") >= 400})
 
 
 @query(f"select user_id as stream_id, time_bucket(interval '1 day', ts) as start, count(*) as n, {R('sqrt(avg(value / 300 * (value / 300)))')} as rms, {R('max(abs(value / 300))')} as peak, sum((abs(value / 300) > 0.9999)::int)::bigint as clipped from events group by 1, 2")
@@ -102,7 +149,7 @@ def w7_level_meter(spark, d):
 @query(f"with e as (select *, (select max(ts) from events) as top from events) select user_id as stream_id, time_bucket(interval '1 day', ts) as start, count(*) as n, {R('sqrt(avg(value / 300 * (value / 300)))')} as rms, {R('max(abs(value / 300))')} as peak, sum((abs(value / 300) > 0.9999)::int)::bigint as clipped from e group by 1, 2 having time_bucket(interval '1 day', max(ts)) + interval '1 day' <= any_value(top) - interval '10 minutes'")
 def w7_level_meter_stream(spark, d):
     e = event_stream(spark, d).select(F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 300).alias("sample"))
-    return drained(T.level_meter(e, "1 day"), "meter").select("stream_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", r("rms").alias("rms"), r("peak").alias("peak"), "clipped")
+    return drained(T.level_meter(e, "1 day"), "meter", timers=False).select("stream_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", r("rms").alias("rms"), r("peak").alias("peak"), "clipped")
 
 
 @query(f"with {SIG} select clip_id, len(x)::bigint as n_samples, 8000 as sr, {R(sm('list_transform(x, lambda v: trunc(v * 32767) / 32767)'), 4)} as total from sig")

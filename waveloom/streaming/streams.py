@@ -1,54 +1,30 @@
 """Frame logic on unbounded streams: each operator is one step function with a small state per stream.
 
-The same step runs in a batch (frames of a stream in order) and in a stream (state kept between micro-batches), so both give the
-same rows however the packets are cut. Packets: stream_id, seq, samples.
+The same step runs in a batch (frames of a stream in order) and in a stream (typed state kept between micro-batches, packets put in order by
+`ordered`), so both give the same rows however the packets are cut and in whatever order they arrive. Packets: stream_id, seq, samples.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from waveloom._np import spectra as N
 
-Step = Callable[[dict, pd.DataFrame], pd.DataFrame]
+from .ordered import Array, Fields, Step, by_event_time, in_order, microseconds
 
+_HOPS: Fields = {"t": "long", "rest": Array()}
 
-def stateful(rows: DataFrame, order: list[str], schema: str, step: Callable[[dict, pd.DataFrame], pd.DataFrame], key: str = "stream_id", idle_ms: int | None = None) -> DataFrame:
-    """Applies step(state, rows in order) per stream; step changes the dict. On a stream, a state idle for idle_ms is dropped.
 
-    Rows of one stream must arrive in order between micro-batches; inside one they are sorted.
-    """
-    kind = rows.schema[key].dataType.simpleString()
-    full = f"{key} {kind}, {schema}"
-
-    def apply(k, pdf: pd.DataFrame, state: dict) -> pd.DataFrame:
-        out = step(state, pdf.sort_values(order, kind="stable"))
-        out.insert(0, key, k)
-        return out
-
-    if not rows.isStreaming:
-        return rows.groupBy(key).applyInPandas(lambda k, pdf: apply(k[0], pdf, {}), full)
-
-    def run(k, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        state = pickle.loads(held.get[0]) if held.exists else {}
-        out = apply(k[0], pd.concat(list(batches)), state)
-        held.update((pickle.dumps(state),))
-        if idle_ms:
-            held.setTimeoutDuration(idle_ms)
-        yield out
-
-    return rows.groupBy(key).applyInPandasWithState(run, full, "blob binary", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+def stateful(rows: DataFrame, order: list[str], schema: str, step: Step, fields: Fields, **kw) -> DataFrame:
+    """`in_order` over the first column of `order`: seq numbers without gaps on a stream, any order in a batch. kw: first (number), wait_ms
+    (how long a gap may hold packets up), idle_ms (state of a stream that is quiet for so long is dropped)."""
+    return in_order(rows, order[0], schema, step, fields, **kw)
 
 
 def _hops(state: dict, pdf: pd.DataFrame, hop: int) -> tuple[int, np.ndarray]:
@@ -65,7 +41,7 @@ def rechunk(packets: DataFrame, hop: int, **kw) -> DataFrame:
         first, h = _hops(state, pdf, hop)
         return pd.DataFrame({"t": np.arange(first, first + len(h)), "samples": list(h)})
 
-    return stateful(packets, ["seq"], "t long, samples array<double>", step, **kw)
+    return stateful(packets, ["seq"], "t long, samples array<double>", step, fields=_HOPS, **kw)
 
 
 def _analyse(state: dict, h: np.ndarray, fft: int) -> np.ndarray:
@@ -99,18 +75,19 @@ def stream_features(packets: DataFrame, fft: int, hop: int, widths: list[int], n
         z = z / np.sqrt(_ema(state, "unit", np.abs(z), N.unit_norm_start(z.shape[1]), alpha))
         return pd.DataFrame({"t": np.arange(first, first + len(h)), "feat_erb": list(erb), "re": list(z.real), "im": list(z.imag)})
 
-    return stateful(packets, ["seq"], "t long, feat_erb array<double>, re array<double>, im array<double>", step, **kw)
+    return stateful(packets, ["seq"], "t long, feat_erb array<double>, re array<double>, im array<double>", step, fields=_HOPS | {"memory": Array(), "mean": Array(), "unit": Array()}, **kw)
 
 
-def silence_gate(frames: DataFrame, threshold: float = 1e-7, run: int = 5, **kw) -> DataFrame:
-    """frames (stream_id, t, level: mean square) with silent: more than `run` frames in a row under the threshold.
+def silence_gate(frames: DataFrame, threshold: float = 1e-7, run: int = 5, seq: str = "t", **kw) -> DataFrame:
+    """frames (stream_id, t, level: mean square) with silent: more than `run` frames in a row under the threshold. seq: the column
+    that numbers the frames on a stream.
 
     As a batch, the run is counted by windows; as a stream, a counter is kept. With a column skipped (the frame got no mask; false: it
     got one), a skipped frame counts up as well and a masked one ends the run.
     """
     masks = "skipped" in frames.columns
     if not frames.isStreaming and not masks:
-        w = W.partitionBy("stream_id").orderBy("t")
+        w = W.partitionBy("stream_id").orderBy(seq)
         quiet = F.col("level") < threshold
         last = F.coalesce(F.max(F.when(~quiet, F.col("_n"))).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
         return frames.withColumn("_n", F.row_number().over(w)).withColumn("silent", (F.col("_n") - last) > run).select("stream_id", "t", "silent")
@@ -125,7 +102,7 @@ def silence_gate(frames: DataFrame, threshold: float = 1e-7, run: int = 5, **kw)
         state["n"] = n
         return pd.DataFrame({"t": pdf["t"].to_numpy(), "silent": out})
 
-    return stateful(frames, ["t"], "t long, silent boolean", step, **kw)
+    return stateful(frames, [seq], "t long, silent boolean", step, fields={"n": "long"}, **kw)
 
 
 def stream_enhance(packets: DataFrame, provider: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray | None]], fft: int, hop: int, order: int = 1, lookahead: int = 0, nb_df: int = 0, beta: float | None = None, atten_db: float | None = None, **kw) -> DataFrame:
@@ -168,24 +145,41 @@ def stream_enhance(packets: DataFrame, provider: Callable[[np.ndarray], tuple[np
         state["o"] = first + n
         return pd.DataFrame({"t": np.arange(first, first + n), "samples": list(out[: n * hop].reshape(n, hop))})
 
-    return stateful(packets, ["seq"], "t long, samples array<double>", step, **kw)
+    bins = fft // 2 + 1
+    fields = _HOPS | {"memory": Array(), "ring": Array((bins,), "complex"), "masks": Array((bins,)), "taps": Array((order, nb_df), "complex"), "tail": Array(), "o": "long"}
+    return stateful(packets, ["seq"], "t long, samples array<double>", step, fields=fields, **kw)
+
 
+def with_controls(frames: DataFrame, controls: DataFrame, delay: str = "10 seconds", control_delay: str | None = None) -> DataFrame:
+    """stream_id, id, setting, changed: each frame (stream_id, ts, id) with the value of the control (stream_id, ts, value) last set at or
+    before it (the greatest value of equal times; null before the first), and whether that changed since the frame before, which is when it is sent on.
+
+    Both are streams or both tables. Streams have watermarks of their own: frames may come `delay` late, controls `control_delay` (None:
+    as frames), and a frame is put out once both have passed it, so settings equal those of the batch for all that
+    comes within the delays; what is later is dropped. Null times: a frame gets no row, a control sets nothing.
+    """
+    late = [(frames, delay, "frame"), (controls, control_delay or delay, "control")]
+    none = lambda kind: F.lit(None).cast(kind)
+    parts = []
+    for rows, wait, kind in late:
+        rows = rows.where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+        rows = rows.withWatermark("ts", wait) if rows.isStreaming else rows
+        frame = kind == "frame"
+        parts.append(rows.select("stream_id", "ts", microseconds("ts").alias("us"), F.lit(int(frame)).alias("kind"), (F.col("id").cast("long") if frame else none("long")).alias("id"), (none("double") if frame else F.col("value").cast("double")).alias("value")))
 
-def with_controls(rows: DataFrame, **kw) -> DataFrame:
-    """rows (stream_id, ts, kind 'frame' or 'control', id, value): the frames with the control value last set, and whether it
-    changed since the frame before (only then it is sent on)."""
     def step(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for kind, i, v in zip(pdf["kind"], pdf["id"], pdf["value"]):
-            if kind == "control":
-                state["v"] = v
+            if not kind:
+                state["v"] = None if pd.isna(v) else v
             else:
-                now = state.get("v")
-                out.append((i, now, now is not None and now != state.get("sent")))
+                now, sent = state.get("v"), state.get("sent")
+                out.append((None if pd.isna(i) else int(i), now, now is not None and now != sent))
                 state["sent"] = now
-        return pd.DataFrame(out, columns=["id", "setting", "changed"]).astype({"setting": float})
+        return pd.DataFrame(out, columns=["id", "setting", "changed"]).astype({"id": "Int64", "setting": float, "changed": bool})
 
-    return stateful(rows, ["ts", "kind", "id"], "id long, setting double, changed boolean", step, **kw)
+    # controls (kind 0) come before frames of the same time
+    return by_event_time(parts[0].unionByName(parts[1]), ["us", "kind", "id", "value"], "id long, setting double, changed boolean", step, {"v": "double", "sent": "double"})
 
 
 def latency_adapt(calls: DataFrame, sr: int, frame: int, start: int | None = None, **kw) -> DataFrame:
@@ -205,7 +199,7 @@ def latency_adapt(calls: DataFrame, sr: int, frame: int, start: int | None = Non
         state |= {"delay": delay, "n": n}
         return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "delay": out, "failed": [v >= sr for v in out]})
 
-    return stateful(calls, ["seq"], "seq long, delay long, failed boolean", step, **kw)
+    return stateful(calls, ["seq"], "seq long, delay long, failed boolean", step, fields={"delay": "long", "n": "long"}, **kw)
 
 
 def level_meter(packets: DataFrame, window: str = "1 hour", delay: str = "10 minutes", clip: float = 0.9999) -> DataFrame:
