@@ -173,17 +173,18 @@ def frames(x, window: int, hop: int, pad: int = 0) -> Column:
 
 def windowed_energy(channels, sr: int) -> Column:
     """Per window of sr / 10 samples (hop sr / 20, half a window of zeros around): 20 * mean(log10((x / max)^2 + 1e-10)),
-    averaged over the channels of a channel-first array. max is the largest sample, not the largest absolute one."""
+    averaged over the channels of a channel-first array. max is the largest sample, not the largest absolute one. Where that is 0, as in
+    silence, every window has -200 dB; a channel without samples has one window of zeros; no channels give null."""
     channels = col(channels)
     top = F.array_max(F.flatten(channels))
     ws, hop = sr // 10, sr // 20
 
     def one(c):
-        return F.transform(frames(c, ws, hop, ws // 2), lambda w: 20 * total(F.transform(w, lambda v: F.log10(F.pow(v / top, 2) + EPS))) / ws)
+        return F.transform(frames(c, ws, hop, ws // 2), lambda w: 20 * total(F.transform(w, lambda v: F.log10(F.pow(F.coalesce(F.try_divide(v, top), F.lit(0.0)), 2) + EPS))) / ws)
 
     each = F.transform(channels, one)
     first = F.transform(F.get(each, F.lit(0)), lambda v: v * 0.0)
-    return F.transform(F.aggregate(each, first, added), lambda v: v / F.size(channels))
+    return F.transform(F.aggregate(each, first, added), lambda v: F.try_divide(v, F.size(channels)))
 
 
 def segments(x, sr: int, seconds: float = 9.01) -> Column:

@@ -7,9 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waveloom.functions import draws
+from waveloom.functions import signal as S
+from waveloom.sources.paths import save
 
 from .ranks import random_ranks, sorted_ranks
 
+#: A clip is repeated in a draw join so that no copy has more than one in so many of a task's even share of draws.
+DRAW_SHARES = 4
+
 
 def clip_key(path) -> Column:
     """The relative path with '/' replaced by '_'."""
@@ -115,9 +120,8 @@ def needs_redraw(config: DataFrame, split: str = "train", overfit: bool = False)
 
 
 def sample_keys(clips: DataFrame, n: int, seed: int, group: str = "ds_type") -> DataFrame:
-    """n keys of each group, drawn at random."""
-    order = W.partitionBy(group).orderBy(draws.bits(seed, F.col("key"), "sample"), "key")
-    return clips.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+    """n keys of each group, drawn at random: ranks inside counted hash ranges, so neither a large group nor a large n meets in one task."""
+    return random_ranks(clips, group, draws.bits(seed, F.col("key"), "sample"), "key").where(F.col("_r") < n).select(*clips.columns)
 
 
 def make_batches(samples: DataFrame, size: int, seed: int, drop_last: bool = True, shuffle: bool = True, shard: str = "split", overfit: bool = False) -> DataFrame:
@@ -186,10 +190,15 @@ def audit_lengths(clips: DataFrame) -> DataFrame:
 
 
 def pair_by_name(clean: DataFrame, noisy: DataFrame) -> DataFrame:
-    """Clean and noisy files with the same base name; sides says which are there ('both', 'clean', 'noisy')."""
-    a = clean.select(base_name("file").alias("name"), F.col("file").alias("clean"))
-    b = noisy.select(base_name("file").alias("name"), F.col("file").alias("noisy"))
-    return a.join(b, "name", "full_outer").withColumn("sides", F.when(F.col("noisy").isNull(), "clean").when(F.col("clean").isNull(), "noisy").otherwise("both"))
+    """name, clean, noisy, sides, n_clean, n_noisy: one row for each base name of clean and noisy files. sides is 'both' for a pair, 'clean' or
+    'noisy' where the other is missing, and 'repeated' where a side has several files of that name, of which the first is shown: such
+    names are reported and make no pairs. Files without a name are left out."""
+    def side(files: DataFrame, kind: str) -> DataFrame:
+        return files.where("file is not null").groupBy(base_name("file").alias("name")).agg(F.min("file").alias(kind), F.count(F.lit(1)).alias(f"n_{kind}"))
+
+    both = side(clean, "clean").join(side(noisy, "noisy"), "name", "full_outer").fillna(0, ["n_clean", "n_noisy"])
+    sides = F.when(F.greatest("n_clean", "n_noisy") > 1, "repeated").when(F.col("n_noisy") == 0, "clean").when(F.col("n_clean") == 0, "noisy").otherwise("both")
+    return both.select("name", "clean", "noisy", sides.alias("sides"), "n_clean", "n_noisy")
 
 
 def pair_by_pattern(noisy: DataFrame, clean: DataFrame, rules: list[tuple[str, str]], expected: int | None = None) -> DataFrame:
@@ -207,28 +216,33 @@ def with_transcripts(clips: DataFrame, transcripts: DataFrame) -> DataFrame:
     return clips.join(transcripts, "filename")
 
 
-def attach_draws(plan: DataFrame, pool: DataFrame, slot: str, count, seed: int) -> DataFrame:
+def attach_draws(plan: DataFrame, pool: DataFrame, slot: str, count, seed: int, crop: tuple[str, int] | None = None) -> DataFrame:
     """For each plan row `count` (a column or number) clips drawn uniformly with replacement from the pool.
 
-    plan: idx, ...; pool: key, .... The pool's keys get dense indexes inside 64 hash ranges, so a pool of any size is indexed
-    without a single task; plan and pool meet by an equi-join on the index.
+    plan: idx, ...; pool: key, .... The pool's keys get dense indexes inside counted hash ranges; plan and pool meet by an equi-join on the
+    index. How often each clip is drawn is counted on keys alone; a clip that is drawn more often than a fair share of the draws is
+    repeated in the join, and its draws are dealt over the copies, so a small pool loads all tasks alike. crop: a column of samples and a
+    length, to which a drawn piece of each is cut where the two meet, so whole clips travel once for each copy and never with the draws.
     """
     indexed, n = dense_index(pool)
     count = F.col(count) if isinstance(count, str) else F.lit(count)
     slots = plan.where(count > 0).withColumn("slot", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))))
     at = draws.bits(seed, F.col("idx"), F.concat(F.lit(slot), F.col("slot").cast("string"))) % n
-    return slots.withColumn("pool_idx", at).join(indexed, "pool_idx")
+    slots = slots.withColumn("pool_idx", at)
+    demand = save(slots.groupBy("pool_idx").agg(F.count(F.lit(1)).alias("_d")), "demand")
+    total = demand.agg(F.sum("_d")).first()[0] or 0
+    fair = max(1, total // (DRAW_SHARES * int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    copies = demand.select("pool_idx", F.ceil(F.col("_d") / fair).cast("int").alias("_copies"))
+    dealt = slots.join(copies, "pool_idx").withColumn("_copy", F.pmod(F.xxhash64("idx", "slot"), F.col("_copies")).cast("int")).drop("_copies")
+    clips = indexed.join(copies, "pool_idx").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
+    out = dealt.join(clips, ["pool_idx", "_copy"]).drop("_copy")
+    if crop is not None:
+        column, length = crop
+        out = out.withColumn(column, S.random_crop(column, F.lit(length), seed, F.concat_ws("-", "idx", F.lit(slot), "slot")))
+    return out
 
 
 def dense_index(pool: DataFrame) -> tuple[DataFrame, int]:
-    """pool with pool_idx 0 to n - 1 in the order of the keys' hashes, and n."""
-    h = draws.bits(0, F.col("key"), "pool")
-    rows = pool.withColumn("_h", h).withColumn("_p", F.floor(h / float(1 << 42)).cast("int"))
-    counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("c")).collect()  # 64 rows
-    base, at = {}, 0
-    for c in sorted(counts, key=lambda c: c._p):
-        base[c._p] = at
-        at += c.c
-    offsets = F.create_map(*[F.lit(x).cast("long") for kv in base.items() for x in kv]) if base else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
-    rank = F.row_number().over(W.partitionBy("_p").orderBy("_h", "key")) - 1
-    return rows.withColumn("pool_idx", offsets[F.col("_p").cast("long")] + rank).drop("_h", "_p"), max(at, 1)
+    """pool with pool_idx 0 to n - 1 in the order of the keys' hashes, and n (1 for an empty pool, so that draws modulo n are defined)."""
+    rows = random_ranks(pool.withColumn("_all", F.lit(0)), "_all", draws.bits(0, F.col("key"), "pool"), "key")
+    return rows.withColumnRenamed("_r", "pool_idx").drop("_all", "_n"), max(pool.count(), 1)

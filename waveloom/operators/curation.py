@@ -23,7 +23,8 @@ def trim_silence(clips: DataFrame, sr: int, start_db: float = -120.0, stop_db: f
     Windows of sr / 10 samples (hop sr / 20) carry an energy in dB. The start is the first window after start_skip
     above start_db, less start_back windows; the stop, counted from the end, the first one after stop_skip above
     stop_db, less stop_back. A clip with nothing left is dropped; one whose stop is within least_stop samples of its
-    end stays whole, its start too.
+    end stays whole, its start too. In a silent clip no window is above either level (all have -200 dB), so it stays whole; whether it
+    is of use is for usable_speech and usable_noise to say. Clips that are null, have no channel or no sample are dropped.
     """
     hop = sr // 20
     e = F.transform(S.windowed_energy("samples", sr), lambda v, i: F.struct(v.alias("e"), i.alias("i")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scans
 from .ranks import sorted_ranks
 
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -96,8 +97,13 @@ def word_edits(reference, hypothesis) -> Column:
 
 
 def wer(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Corpus error rate sum(edits) / sum(words), and mean accuracy 1 - edits / words. pairs: edits, words."""
-    return pairs.groupBy(*by).agg((F.sum("edits") / F.sum("words")).alias("wer"), F.avg(1 - F.col("edits") / F.col("words")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    """Corpus error rate sum(edits) / sum(words), and mean accuracy 1 - edits / words. pairs: edits, words.
+
+    A reference without words has no accuracy of its own: it is left out of the mean and counted in n_wordless, and its edits count in the error
+    rate. Both results are null where there is nothing to divide by.
+    """
+    each = 1 - F.try_divide("edits", "words")
+    return pairs.groupBy(*by).agg(F.try_divide(F.sum("edits"), F.sum("words")).alias("wer"), F.avg(each).alias("accuracy"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("words") == 0).alias("n_wordless"))
 
 
 #: Coefficients of the published score maps, lowest power last: fixed values.
@@ -136,39 +142,39 @@ def composite(pesq, llr, wss, ssnr) -> dict[str, Column]:
 
 
 def rtf_stats(timings: DataFrame, by: list[str]) -> DataFrame:
-    """Real-time factors (processing / audio time): mean, largest, and how many are 1 or more."""
-    t = timings.withColumn("rtf", F.col("processing") / F.col("audio"))
-    return t.groupBy(*by).agg(F.avg("rtf").alias("mean_rtf"), F.max("rtf").alias("max_rtf"), F.sum((F.col("rtf") >= 1).cast("int")).alias("underruns"))
+    """Real-time factors (processing / audio time): mean, largest, and how many are 1 or more. Clips of no length have no factor and are
+    counted in n_empty."""
+    t = timings.withColumn("rtf", F.try_divide("processing", "audio"))
+    return t.groupBy(*by).agg(F.avg("rtf").alias("mean_rtf"), F.max("rtf").alias("max_rtf"), F.sum(F.coalesce(F.col("rtf") >= 1, F.lit(False)).cast("int")).alias("underruns"), F.count_if(F.col("audio") == 0).alias("n_empty"))
 
 
 def recent_loss(log: DataFrame, n: int = 100, every: int = 10) -> DataFrame:
     """The mean of the last n losses of a run, at every `every`-th step."""
-    w = W.partitionBy("run").orderBy("epoch").rowsBetween(-(n - 1), 0)
-    return log.withColumn("recent", F.avg("value").over(w)).where(F.col("epoch") % every == 0)
+    means = scans.trailing_mean(scans.in_ranges(log, "run", ["epoch"]), "run", ["epoch"], "value", n, "recent")
+    return means.where(F.col("epoch") % every == 0).select(*log.columns, "recent")
 
 
-def _best_before(rule: str) -> Column:
-    w = W.partitionBy("run").orderBy("epoch").rowsBetween(W.unboundedPreceding, -1)
-    return (F.min if rule == "min" else F.max)("value").over(w)
+def _with_best(runs: DataFrame, rule: str) -> DataFrame:
+    rows = scans.running(scans.in_ranges(runs, "run", ["epoch"]), "run", ["epoch"], F.col("value"), rule, "_before", before=True)
+    better = F.col("value") < F.col("_before") if rule == "min" else F.col("value") > F.col("_before")
+    return rows.withColumn("is_best", F.col("_before").isNull() | better).withColumn("best", (F.least if rule == "min" else F.greatest)("value", "_before"))
 
 
 def running_best(runs: DataFrame, rule: str = "min") -> DataFrame:
     """runs with best (value of all epochs so far) and is_best (strictly better than all before)."""
-    before = _best_before(rule)
-    better = F.col("value") < before if rule == "min" else F.col("value") > before
-    return runs.withColumn("is_best", before.isNull() | better).withColumn("best", (F.least if rule == "min" else F.greatest)("value", before))
+    return _with_best(runs, rule).select(*runs.columns, "is_best", "best")
 
 
 def early_stop(runs: DataFrame, patience: int, rule: str = "min") -> DataFrame:
     """Per run the first epoch that is `patience` epochs past the last new best; null if there is none."""
-    b = running_best(runs, rule)
-    last = F.max(F.when(F.col("is_best"), F.col("epoch"))).over(W.partitionBy("run").orderBy("epoch").rowsBetween(W.unboundedPreceding, 0))
-    return b.withColumn("waited", F.col("epoch") - last).groupBy("run").agg(F.min(F.when(F.col("waited") >= patience, F.col("epoch"))).alias("stop_epoch"))
+    b = scans.running(_with_best(runs, rule), "run", ["epoch"], F.when(F.col("is_best"), F.col("epoch")), "max", "_last")
+    return b.groupBy("run").agg(F.min(F.when(F.col("epoch") - F.col("_last") >= patience, F.col("epoch"))).alias("stop_epoch"))
 
 
 def retention(artifacts: DataFrame, keep: int = 3) -> DataFrame:
     """artifacts with kept: the newest `keep` of each run."""
-    return artifacts.withColumn("kept", F.row_number().over(W.partitionBy("run").orderBy(F.desc("epoch"))) <= keep)
+    ranked = sorted_ranks(artifacts, "run", ["epoch"])
+    return ranked.withColumn("kept", F.col("_n") - F.col("_r") <= keep).select(*artifacts.columns, "kept")
 
 
 def schedule_asof(epochs: DataFrame, schedule: list[tuple[int, int]], cap: int) -> DataFrame:
@@ -196,8 +202,10 @@ def stage_decision(lsnr, low: float = -10.0, max_erb: float = 30.0, max_df: floa
 
 
 def asof_controls(frames: DataFrame, controls: DataFrame, stream: str = "stream_id", ts: str = "ts") -> DataFrame:
-    """frames with the value last set at or before them (null before the first); a control at the same time counts."""
+    """frames with the value last set at or before them (null before the first); a control at the same time counts, and of several at one
+    time the greatest value. A stream may be of any length: the last setting of a range of its rows is carried on to the next."""
     both = frames.withColumn("_k", F.lit(1)).withColumn("_v", F.lit(None).cast("double")).unionByName(
-        controls.select(stream, ts, F.col("value").alias("_v")).withColumn("_k", F.lit(0)), allowMissingColumns=True)
-    w = W.partitionBy(stream).orderBy(ts, "_k").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("setting", F.last("_v", ignorenulls=True).over(w)).where("_k = 1").drop("_k", "_v")
+        controls.select(stream, ts, F.col("value").cast("double").alias("_v")).withColumn("_k", F.lit(0)), allowMissingColumns=True)
+    rows = scans.in_ranges(both, stream, [ts, "_k", "_v"])
+    last = scans.running(rows, stream, [ts, "_k", "_v"], F.when(F.col("_v").isNotNull(), F.struct(ts, "_v")), "max", "_last")
+    return last.where("_k = 1").select(*frames.columns, F.col("_last._v").alias("setting"))

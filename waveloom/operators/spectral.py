@@ -265,7 +265,10 @@ def estimate_bandwidth(frames: DataFrame, bins: int, sr: int = 48000, cut_db: fl
     first = F.array_position(F.transform(F.slice("m", 2, len(last) - 1), lambda v: v < cut_db), True)
     at = F.when(first > 0, first - 1).otherwise(len(last) - 1)
     found = tops.select("clip_id", F.get(F.array(*map(F.lit, last)), at.cast("int")).alias("b"))
-    return found.groupBy("clip_id").agg(S.median_upper(F.collect_list("b")).alias("max_bin"))
+    counts = found.groupBy("clip_id", "b").agg(F.count(F.lit(1)).alias("n"))  # a row for each band at most
+    order = W.partitionBy("clip_id")
+    upto, n = F.sum("n").over(order.orderBy("b")), F.sum("n").over(order)
+    return counts.withColumn("_at", upto > F.floor(n / 2)).where("_at").groupBy("clip_id").agg(F.min("b").alias("max_bin"))
 
 
 def extension_map(bins: int, cut_bin: int, sr: int, overlap: int = 0) -> list[int]:

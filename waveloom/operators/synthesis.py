@@ -40,9 +40,12 @@ def assemble_speech(parts: DataFrame, n: int, seed: int) -> DataFrame:
 
 def combine_noises(noises: DataFrame, n: int | str, seed: int, channels: int = 1) -> DataFrame:
     """idx, noise: each noise (slot, x, gain in dB) fitted to n samples (or to those in a column, the same for all slots of an
-    idx), with its gain, summed in the order of the slots and divided by the number of channels (not of noises)."""
+    idx), with its gain, summed in the order of the slots and divided by the number of channels (not of noises). A noise that is null or
+    empty adds nothing; an idx with no other gets zeros. A null gain is none (0 dB)."""
     length = F.col(n) if isinstance(n, str) else F.lit(n)
-    fitted = noises.withColumn("y", S.scaled(S.fit_length("x", length, seed, F.concat_ws("-", "idx", "slot")), S.db_to_gain("gain")))
+    silent = F.array_repeat(F.lit(0.0), length.cast("int"))
+    fit = F.when(F.size("x") > 0, S.scaled(S.fit_length("x", length, seed, F.concat_ws("-", "idx", "slot")), S.db_to_gain(F.coalesce(F.col("gain").cast("double"), F.lit(0.0))))).otherwise(silent)
+    fitted = noises.withColumn("y", fit)
     rows = fitted.groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("slot", "y")))["y"].alias("ys"))
     zero = F.transform(F.get("ys", F.lit(0)), lambda v: F.lit(0.0))
     return rows.select("idx", F.transform(F.aggregate("ys", zero, S.added), lambda v: v / channels).alias("noise"))
