@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from waveloom._np import spectra as N
 from waveloom.functions import signal as S
 
+from . import chunks
+
 FRAME = "clip_id long, ch int, t long, re array<double>, im array<double>"
 _OF_CLIP = ("clip_id", "ch")
 
@@ -110,46 +112,38 @@ def spectrogram_db(re="re", im="im") -> Column:
     return F.transform(power(re, im), lambda p: 10 * F.log10(F.greatest(p, F.lit(1e-10))))
 
 
-def _scan(frames: DataFrame, column: str, out: str, fn) -> DataFrame:
-    """frames with `out`, computed per (clip, channel) from the rows of `column` in the order of t."""
-    schema = frames.schema.simpleString()[7:-1] + f",{out}:array<double>"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        return pdf.assign(**{out: list(fn(np.stack(pdf[column].to_list())))})
-
-    return frames.groupBy(*_OF_CLIP).applyInPandas(run, schema.replace(":", " "))
-
-
 def ema_mean_norm(frames: DataFrame, alpha: float, column: str = "erb", out: str = "erb_norm") -> DataFrame:
-    """(x - s) / 40 with s the running mean of each band, from -60 to -90 at the start. A clip's frames are one group."""
-    return _scan(frames, column, out, lambda x: (x - N.ema(x, N.mean_norm_start(x.shape[1]), alpha)) / 40)
+    """(x - s) / 40 with s the running mean of each band, from -60 to -90 at the start. Scanned in chunks of frames."""
+    rows = _scanned(frames, column, N.mean_norm_start, alpha)
+    return rows.withColumn(out, F.zip_with(column, "_mean", lambda x, s: (x - s) / 40)).drop("_mean")
 
 
 def ema_unit_norm(frames: DataFrame, alpha: float, nb_df: int | None = None) -> DataFrame:
     """re and im (the first nb_df bins if given) over the root of the running mean of the magnitude."""
     first = frames if nb_df is None else frames.withColumns({c: F.slice(c, 1, nb_df) for c in ("re", "im")})
-    mags = first.withColumn("_m", magnitude())
-    s = _scan(mags, "_m", "_s", lambda x: np.sqrt(N.ema(x, N.unit_norm_start(x.shape[1]), alpha)))
-    return s.withColumns({c: F.zip_with(c, "_s", lambda a, b: a / b) for c in ("re", "im")}).drop("_m", "_s")
+    s = _scanned(first.withColumn("_m", magnitude()), "_m", N.unit_norm_start, alpha)
+    return s.withColumns({c: F.zip_with(c, "_mean", lambda a, b: a / F.sqrt(b)) for c in ("re", "im")}).drop("_m", "_mean")
 
 
 def ema_mag_norm(frames: DataFrame, alpha: float) -> DataFrame:
     """frames with mag_norm: the magnitude less its running mean."""
-    return _scan(frames.withColumn("_m", magnitude()), "_m", "mag_norm", lambda x: x - N.ema(x, N.mean_norm_start(x.shape[1]), alpha)).drop("_m")
+    s = _scanned(frames.withColumn("_m", magnitude()), "_m", N.mean_norm_start, alpha)
+    return s.withColumn("mag_norm", F.zip_with("_m", "_mean", lambda x, m: x - m)).drop("_m", "_mean")
 
 
-def by_clip() -> W:
-    return W.partitionBy(*_OF_CLIP).orderBy("t")
+def _scanned(frames: DataFrame, column: str, start, alpha: float) -> DataFrame:
+    """frames with _mean, the running mean of an array column whose width is that of any row."""
+    any_row = frames.select(F.size(column)).first()
+    return chunks.ema(frames, {column: ("_mean", start(any_row[0] if any_row else 0).tolist())}, alpha)
 
 
-def _local_energy(ws: int, energy: str) -> Column:
+def _local_energy(ws: int, energy: str, w_: W) -> Column:
     ws += 1 - ws % 2
     h = ws // 2
     w = [0.5 * (1 - math.cos(2 * math.pi * i / ws)) for i in range(ws)]
     out = F.lit(0.0)
     for k in range(-h, h + 1):
-        out = out + w[k + h] * F.coalesce((F.lead if k >= 0 else F.lag)(energy, abs(k)).over(by_clip()), F.lit(0.0))
+        out = out + w[k + h] * F.coalesce((F.lead if k >= 0 else F.lag)(energy, abs(k)).over(w_), F.lit(0.0))
     return out / ws
 
 
@@ -160,18 +154,21 @@ def local_snr_window(ms: float, sr: int, fft: int, hop: int) -> int:
 def local_snr(clean: DataFrame, noise: DataFrame, ws: int, ws_noise: int | None = None, low: float = -15.0, high: float = 35.0) -> DataFrame:
     """clip_id, ch, t, lsnr: dB ratio of Hann-weighted local energies, limited to [low - 1, high + 1]."""
     e = lambda d, n: d.select(*_OF_CLIP, "t", S.total(power()).alias(n))
-    both = e(clean, "_s").join(e(noise, "_n"), [*_OF_CLIP, "t"])
-    snr = _local_energy(ws, "_s") / F.greatest(_local_energy(ws_noise or 2 * ws, "_n"), F.lit(1e-12))
+    reach = (max(ws, ws_noise or 2 * ws) + 1) // 2
+    both, w = chunks.overlapping(e(clean, "_s").join(e(noise, "_n"), [*_OF_CLIP, "t"]), reach, reach)
+    snr = _local_energy(ws, "_s", w) / F.greatest(_local_energy(ws_noise or 2 * ws, "_n", w), F.lit(1e-12))
     db = 10 * F.log10(F.greatest(snr, F.lit(1e-12)))
-    return both.withColumn("lsnr", F.least(F.greatest(db, F.lit(low - 1)), F.lit(high + 1))).select(*_OF_CLIP, "t", "lsnr")
+    return chunks.own(both.withColumn("lsnr", F.least(F.greatest(db, F.lit(low - 1)), F.lit(high + 1)))).select(*_OF_CLIP, "t", "lsnr")
 
 
 def unfold_frames(frames: DataFrame, order: int, lookahead: int = 0) -> DataFrame:
-    """frames with re_n and im_n: `order` frames up to `lookahead` ahead of each, the oldest first, zeros outside the clip."""
+    """frames with re_n and im_n: `order` frames up to `lookahead` ahead of each, the oldest first, zeros outside the clip.
+    Chunks of frames are worked on apart, with the frames they need lent from their neighbours."""
+    rows, w = chunks.overlapping(frames, max(order - 1 - lookahead, 0), max(lookahead, 0))
     zeros = F.transform("re", lambda v: v * 0.0)
     step = [order - 1 - lookahead - o for o in range(order)]
-    at = lambda c, k: F.coalesce((F.lag(c, k) if k >= 0 else F.lead(c, -k)).over(by_clip()), zeros)
-    return frames.withColumns({f"{c}_n": F.array(*[at(c, k) for k in step]) for c in ("re", "im")})
+    at = lambda c, k: F.coalesce((F.lag(c, k) if k >= 0 else F.lead(c, -k)).over(w), zeros)
+    return chunks.own(rows.withColumns({f"{c}_n": F.array(*[at(c, k) for k in step]) for c in ("re", "im")}))
 
 
 def deep_filter(frames: DataFrame, coefs: DataFrame, order: int, lookahead: int = 0, nb_df: int | None = None, alpha: float | None = None) -> DataFrame:

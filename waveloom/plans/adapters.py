@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from waveloom.functions import draws
 from waveloom.functions import signal as S
 from waveloom.operators import catalog as catalog_ops
+from waveloom.operators import chunks as chunk_ops
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,6 +53,12 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy(F.col("user_id").alias("clip_id")).agg(F.sort_array(F.collect_list("s"))["v"].alias("x"))
 
 
+def signal_chunks(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """The same signals in chunk rows: clip_id, ch, start, x. No user's events meet in one row or task."""
+    v = table(spark, sf_dir, "events").select(F.col("user_id").alias("clip_id"), "ts", "event_id", (F.col("value") / 1000).alias("v"))
+    return chunk_ops.gather(v, ["ts", "event_id"], size)
+
+
 SIG = "sig as (select user_id as clip_id, list((value / 1000)::double order by ts, event_id) as x from events group by user_id)"
 
 SNRS = [-5, 0, 5, 10, 20, 40]

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from waveloom.functions import signal as S
 
-from .adapters import PAIRS, SIG, R, bits_sql, dt, en, pairs, query, r, signals, sm
+from waveloom.operators import chunks
+
+from .adapters import PAIRS, SIG, R, bits_sql, dt, en, pairs, query, r, signal_chunks, signals, sm
 
 
 @query(f"with {SIG} select clip_id, len(x)::int as n, {R(f'sqrt({en("x")} / len(x))')} as rms, {R(f'{sm("x")} / len(x)')} as mean, {R('list_max(x)')} as top, {R('list_min(x)')} as low, "
@@ -61,7 +63,7 @@ def f8_finite(spark, d):
 
 @query(f"with {SIG}, f as (select clip_id, x, unnest(range(0, (len(x) - 16 + 8) // 8)) as t from sig) select clip_id, t, {R(sm('x[t * 8 + 1:t * 8 + 16]'))} as total, 16 as n from f")
 def n1_frames(spark, d):
-    f = signals(spark, d).select("clip_id", F.posexplode(S.frames("x", 16, 8)).alias("t", "w"))
+    f = chunks.frame_signal(signal_chunks(spark, d, 4096), 16, 8, 4096)
     return f.select("clip_id", F.col("t").cast("long").alias("t"), r(S.total("w")).alias("total"), F.size("w").alias("n"))
 
 

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from waveloom._np import spectra as N
 from waveloom.functions import signal as S
+from waveloom.operators import chunks as K
 from waveloom.operators import spectral as P
 
-from .adapters import BINS, FRAMES, PAIRS, SIG, R, frames, pairs, query, r, signals, sm, table
+from .adapters import BINS, FRAMES, PAIRS, SIG, R, frames, pairs, query, r, signal_chunks, signals, sm, table
+
+CHUNK = 4096
 
 WIDTHS = [2, 2, 2, 3, 4, 5, 6, 8]
 
@@ -155,20 +158,21 @@ sp as (select clip_id, t, f, sum(v * cos(2 * pi() * f * n / 16)) / 16 as re, sum
 
 @query(f"with {_DFT} select clip_id, t, f, {R('re', 5)} as re, {R('im', 5)} as im from sp")
 def e1_stft(spark, d):
-    x = P.stft(signals(spark, d), 16, 8).select("clip_id", "t", F.posexplode(F.arrays_zip("re", "im")).alias("f", "z"))
+    x = K.stft(signal_chunks(spark, d, CHUNK), 16, 8, CHUNK).select("clip_id", "t", F.posexplode(F.arrays_zip("re", "im")).alias("f", "z"))
     return x.select("clip_id", "t", F.col("f").cast("long").alias("f"), r("z.re", 5).alias("re"), r("z.im", 5).alias("im"))
 
 
-@query(f"with {SIG} select clip_id, (len(x) // 8) * 8 as n, {R(sm('x[1:(len(x) // 8) * 8 - 8]'), 5)} as total from sig")
+@query(f"with {SIG}, k as (select clip_id, x, unnest(range(0, (len(x) // 8) * 8)) as i from sig) select clip_id, i, {R('case when i < 8 then 0 else x[i - 8 + 1] end', 5)} as x from k")
 def e2_istft(spark, d):
-    y = P.istft(P.stft(signals(spark, d), 16, 8), 16, 8)
-    return y.select("clip_id", F.size("x").cast("long").alias("n"), r(S.total(F.slice("x", F.lit(9), F.size("x"))), 5).alias("total"))
+    y = K.istft(K.stft(signal_chunks(spark, d, CHUNK), 16, 8, CHUNK), 16, 8, CHUNK)
+    x = y.select("clip_id", "start", F.posexplode("x").alias("k", "x"))
+    return x.select("clip_id", (F.col("start") + F.col("k")).alias("i"), r("x", 5).alias("x"))
 
 
 @query(f"""with recursive {_DFT}, bd(band, lo, hi) as (values (0, 0, 1), (1, 1, 3), (2, 3, 5), (3, 5, 9)), eb as (select clip_id, t, band as i, 10 * log10(avg(re * re + im * im) + 1e-10::double) as x from sp join bd on f >= lo and f < hi group by 1, 2, 3),
 src as (select * from eb), {_ema(0.9, 'x', -60, -90, 4)} select clip_id, t, i as f, {R('(x - s) / 40', 5)} as feat_erb from em""")
 def e3_features(spark, d):
-    x = P.features(signals(spark, d), 16, 8, [1, 2, 2, 4], 5, 0.9).select("clip_id", "t", F.posexplode("feat_erb").alias("f", "v"))
+    x = K.features(signal_chunks(spark, d, CHUNK), 16, 8, [1, 2, 2, 4], 5, 0.9, CHUNK).select("clip_id", "t", F.posexplode("feat_erb").alias("f", "v"))
     return x.select("clip_id", "t", F.col("f").cast("long").alias("f"), r("v", 5).alias("feat_erb"))
 
 
