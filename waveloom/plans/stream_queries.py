@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from waveloom.functions import signal as S
 from waveloom.sources import audio as A
 from waveloom.sources.paths import new_path, open_write
+from waveloom.sources.wav_source import read_wav_chunks
 from waveloom.streaming import streams as T
 
 from . import score_queries, spectral_queries  # noqa: F401  their SQL is that of the streams
@@ -94,13 +95,14 @@ def w3_silence_gate(spark, d):
     return drained(T.silence_gate(_packets(spark, d, "frames", t=F.col("event_id"), level=_v() * _v()), 0.004, seq="seq"), "gate")
 
 
-@query(f"with {SIG} select clip_id as stream_id, (len(x) // 8)::bigint as n, {R('0.5::double * ' + sm('x[1:(len(x) // 8) * 8 - 8]'), 7)} as total from sig")
+@query(f"with {SIG}, k as (select clip_id as stream_id, x, unnest(range(0, (len(x) // 8) * 8)) as i from sig) select stream_id, i, {R('case when i < 8 then 0 else 0.5::double * x[i - 8 + 1] end', 7)} as x from k")
 def w4_stream_enhance(spark, d):
     import numpy as np
 
     half = lambda s: (np.full(s.shape, 0.5), None)
     out = drained(T.stream_enhance(_packets(spark, d, "packets", F.array(_v())), half, 16, 8), "enhance")
-    return out.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"), r(F.sum(S.total("samples")), 7).alias("total"))
+    out = out.select("stream_id", "t", F.posexplode("samples").alias("k", "x"))
+    return out.select("stream_id", (F.col("t") * 8 + F.col("k")).alias("i"), r("x", 7).alias("x"))
 
 
 @query(SQL["j7_asof_controls"])
@@ -152,13 +154,13 @@ def w7_level_meter_stream(spark, d):
     return drained(T.level_meter(e, "1 day"), "meter", timers=False).select("stream_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", r("rms").alias("rms"), r("peak").alias("peak"), "clipped")
 
 
-@query(f"with {SIG} select clip_id, len(x)::bigint as n_samples, 8000 as sr, {R(sm('list_transform(x, lambda v: trunc(v * 32767) / 32767)'), 4)} as total from sig")
+@query("with sig as (select user_id as clip_id, list((value / 1000)::double order by ts, event_id) as x from events group by user_id) select clip_id, len(x)::bigint as n_samples, 8000 as sr, unnest(range(0, len(x))) as i, unnest(list_transform(x, lambda v: trunc(v * 32767)::int)) as pcm from sig")
 def s1_wav_round_trip(spark, d):
     path = new_path(spark, "wavs")
-    clips = signals(spark, d).select(F.concat("clip_id", F.lit(".wav")).alias("file"), F.lit(8000).alias("sr"), F.array("x").alias("samples"))
-    A.write_wav_clips(clips, path, "enh").write.format("noop").mode("overwrite").save()  # the files are the result
-    w = A.read_wav_clips(spark, path)
-    return w.select(F.regexp_extract("file", "([0-9]+)_enh.wav$", 1).cast("long").alias("clip_id"), "n_samples", "sr", r(S.total(F.transform(F.get("samples", F.lit(0)), lambda v: v.cast("double"))), 4).alias("total"))
+    A.write_wav_clips(signals(spark, d).select(F.concat("clip_id", F.lit(".wav")).alias("file"), F.lit(8000).alias("sr"), F.array("x").alias("samples")), path, "enh")
+    w = read_wav_chunks(spark, path, chunk=1024)
+    w = w.select(F.regexp_extract("file", "([0-9]+)_enh.wav$", 1).cast("long").alias("clip_id"), "n_samples", "sr", "start", F.posexplode(F.get("samples", F.lit(0))).alias("k", "v"))
+    return w.select("clip_id", "n_samples", "sr", (F.col("start") + F.col("k")).alias("i"), F.round(F.col("v").cast("double") * 32767).cast("int").alias("pcm"))
 
 
 @query("select case source_no % 3 when 0 then 'train' when 1 then 'valid' else 'test' end as split, source || '.h5' as file, (case when source_no % 2 = 0 then 1.0 else source_no / 2.0 end * 2)::double as factor, case when source_no % 4 = 1 then 16000 end as fallback_sr from (select distinct source, regexp_extract(source, '([0-9]+)$', 1)::int as source_no from documents)")
@@ -192,8 +194,8 @@ def s8_read_transcripts(spark, d):
     return A.read_transcripts(spark, path)
 
 
-@query(f"with {PAIRS}, c as (select clip_id, clean, noisy from pairs order by ('0x' || substr(md5('3:' || clip_id || ':export'), 1, 12))::bigint, clip_id limit 20) select clip_id || '_speech.wav' as file, {R(sm('clean'))} as total from c union all select clip_id || '_noisy.wav', {R(sm('noisy'))} from c")
+@query(f"with {PAIRS}, c as (select clip_id, clean, noisy from pairs order by ('0x' || substr(md5('3:' || clip_id || ':export'), 1, 12))::bigint, clip_id limit 20) select clip_id || '_speech.wav' as file, unnest(range(0, len(clean))) as i, unnest(list_transform(clean, lambda v: {R('v')})) as x from c union all select clip_id || '_noisy.wav', unnest(range(0, len(noisy))), unnest(list_transform(noisy, lambda v: {R('v')})) from c")
 def s9_export_mixtures(spark, d):
     p = pairs(spark, d).select(F.col("clip_id").alias("idx"), F.col("clean").alias("speech"), "noisy")
-    return A.export_mixtures(p, 20, seed=3).select("file", r(S.total("x")).alias("total"))
+    return A.export_mixtures(p, 20, seed=3).select("file", F.posexplode("x").alias("i", "x")).select("file", F.col("i").cast("long").alias("i"), r("x").alias("x"))
 

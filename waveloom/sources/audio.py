@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from waveloom._np import audio
 from waveloom.functions import draws
 from waveloom.operators import catalog, scoring
 
-from .paths import open_write
+from .wav_source import write_wavs
 
 CLIP = "file string, sr int, n_channels int, n_samples long, samples array<array<float>>"
 
@@ -30,20 +29,10 @@ def read_wav_clips(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_wav_clips(clips: DataFrame, path: str, suffix: str = "") -> DataFrame:
-    """Writes clips (file, sr, samples channel-first) as 16-bit WAV files under `path`; returns file and uri, to be evaluated once.
-
-    A retried task writes the same names with the same bytes.
-    """
-    named = clips.select("file", "sr", "samples", F.concat(F.lit(path.rstrip("/") + "/"), catalog.suffixed(catalog.base_name("file"), suffix)).alias("uri"))
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for sr, x, uri in zip(pdf["sr"], pdf["samples"], pdf["uri"]):
-                with open_write(uri) as f:
-                    f.write(audio.encode_wav(np.stack([np.asarray(c, float) for c in x]), int(sr)))
-            yield pdf[["file", "uri"]]
-
-    return named.mapInPandas(write, "file string, uri string")
+    """Writes clips (file, sr, samples channel-first) as 16-bit WAV files under `path`, with "_suffix" before the extension; returns the
+    manifest (file, uri, bytes, n_samples, sr). Files appear when all tasks have succeeded, and none if one fails."""
+    named = clips.select(catalog.suffixed(catalog.base_name("file"), suffix).alias("file"), "sr", "samples")
+    return write_wavs(named, path)
 
 
 def read_ds_config(spark: SparkSession, path: str, factor: float | None = None) -> DataFrame:
