@@ -143,7 +143,7 @@ def resample(x: np.ndarray, sr: int, new_sr: int, zeros: int = 16) -> np.ndarray
         d = taps - frac
         k = cut * np.sinc(cut * d) * (0.5 + 0.5 * np.cos(np.pi * np.clip(d / (half + 1), -1, 1)))
         k /= k.sum()
-        out[..., phase::up] = sum(padded[..., base + j] * k[j] for j in range(len(taps)))
+        out[..., phase::up] = np.lib.stride_tricks.sliding_window_view(padded, len(taps), axis=-1)[..., base[0] : base[-1] + 1 : down, :] @ k
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 from . import audio
@@ -25,6 +27,7 @@ def frames(x: np.ndarray, size: int, hop: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, size)[::hop][:n] if n > 0 else np.zeros((0, size))
 
 
+@functools.lru_cache(16)
 def critical_filters(fs: int, bins: int) -> np.ndarray:
     """Gaussian-like filters (bands, bins) of the critical bands, without what is under -30 dB."""
     width = np.array(BANDWIDTHS)
@@ -120,7 +123,7 @@ def wss(clean: np.ndarray, degraded: np.ndarray, fs: int) -> float:
 
 def _without_silence(x: np.ndarray, y: np.ndarray, size: int, hop: int, db: float = 40.0) -> tuple[np.ndarray, np.ndarray]:
     """Both signals overlap-added from the frames in which x is within db of its loudest one."""
-    pad = size - len(x) % size
+    pad = size - len(x) % size  # hop divides size
     x, y = (np.pad(v, (pad // 2, pad - pad // 2)) for v in (x, y))
     w = np.hanning(size + 2)[1:-1]
     fx, fy = frames(x, size, hop) * w, frames(y, size, hop) * w
@@ -128,8 +131,10 @@ def _without_silence(x: np.ndarray, y: np.ndarray, size: int, hop: int, db: floa
     keep = level > level.max() - db
     n = int(keep.sum())
     out = np.zeros((3, (n - 1) * hop + size))
-    for k, (a, b) in enumerate(zip(fx[keep], fy[keep])):
-        out[:, k * hop : k * hop + size] += np.stack([a, b, w])
+    parts = np.stack([fx[keep], fy[keep], np.broadcast_to(w, (n, size))])
+    for j in range(0, size, hop):  # overlap-add of all frames, one hop of each at a time
+        block = parts[:, :, j : j + hop]
+        out[:, j : j + n * hop].reshape(3, n, -1)[:, :, : block.shape[2]] += block
     a, b = out[0] / out[2], out[1] / out[2]
     cut = slice(pad // 2 if keep[0] else 0, len(a) - (pad - pad // 2) if keep[-1] else len(a))
     return a[cut], b[cut]

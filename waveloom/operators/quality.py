@@ -15,6 +15,7 @@ from waveloom._np import quality as Q
 from waveloom.functions import signal as S
 
 from . import scoring
+from .balance import balanced
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,8 @@ def evaluate(pairs: DataFrame, metrics: list[str], fs: int, noisy: bool = False)
     """filename, variant, metric, value, error: the chosen metrics of enhanced (and noisy) against clean signals.
 
     Signals are read once per pair and brought to each metric's rate; lengths are cut to the shorter one. A metric that fails for a
-    pair has a null value and its message in error, and the job goes on.
+    pair has a null value and its message in error, and the job goes on. Pairs are dealt so that all tasks have about as many samples, and a
+    pair without a signal has errors and no values.
     """
     chosen = {m: METRICS[m] for m in metrics}
     variants = ("enhanced", "noisy") if noisy else ("enhanced",)
@@ -90,7 +92,8 @@ def evaluate(pairs: DataFrame, metrics: list[str], fs: int, noisy: bool = False)
             yield pd.DataFrame(rows, columns=["filename", "variant", "metric", "value", "error"])
 
     kind = pairs.schema["filename"].dataType.simpleString()
-    return pairs.select("filename", "clean", *variants).mapInPandas(run, f"filename {kind}, variant string, metric string, value double, error string")
+    dealt = balanced(pairs.select("filename", "clean", *variants), "filename", F.size("clean"))
+    return dealt.mapInPandas(run, f"filename {kind}, variant string, metric string, value double, error string")
 
 
 def score_segments(clips: DataFrame, predict: Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]], sr: int, personal: bool = False) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from waveloom._np.edits import counts as word_counts
+from waveloom._np.edits import distance as word_distance
+
 from . import scans
 from .ranks import sorted_ranks
 
@@ -65,37 +67,26 @@ def normalized_words(text) -> Column:
     return F.split(F.lower(F.translate(text, _PUNCTUATION, "")), " ")
 
 
-def word_distance(a: np.ndarray, b: np.ndarray) -> int:
-    """Edit distance of two sequences of numbers, one array step for each element of the shorter."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.arange(len(b) + 1)
-    row = at.copy()
-    for i, x in enumerate(a, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        np.minimum(row[1:] + 1, row[:-1] + (b != x), out=new[1:])
-        row = np.minimum.accumulate(new - at) + at  # insertions: the least of all to the left, and the steps from there
-    return int(row[-1])
-
-
 def word_edits(reference, hypothesis) -> Column:
-    """Word edit distance of whole texts; null if either is. Words become numbers through one map for each pair."""
+    """Word edit distance of whole texts; null if either is."""
     @F.pandas_udf("int")
     def edits(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            if x is None or y is None:
-                out.append(None)
-                continue
-            number: dict[str, int] = {}
-            x, y = (np.array([number.setdefault(w, len(number)) for w in v], np.int64) for v in (x, y))
-            out.append(word_distance(x, y))
-        return pd.Series(out, dtype="Int32")
+        return pd.Series([None if x is None or y is None else word_distance(x.tolist(), y.tolist()) for x, y in zip(a, b)], dtype="Int32")
 
     return edits(normalized_words(reference), normalized_words(hypothesis))
 
 
+def word_edit_counts(reference, hypothesis) -> Column:
+    """insertions, deletions and substitutions of one shortest way from the reference to the hypothesis (see edits.counts for which); they
+    sum to word_edits. Nulls if either text is null."""
+    @F.pandas_udf("insertions int, deletions int, substitutions int")
+    def each(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = [(None, None, None) if x is None or y is None else word_counts(x.tolist(), y.tolist()) for x, y in zip(a, b)]
+        return pd.DataFrame(rows, columns=["insertions", "deletions", "substitutions"], dtype="Int32")
+
+    return each(normalized_words(reference), normalized_words(hypothesis))
+
+
 def wer(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Corpus error rate sum(edits) / sum(words), and mean accuracy 1 - edits / words. pairs: edits, words.
 

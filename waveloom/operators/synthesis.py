@@ -178,15 +178,19 @@ def clip_to_sdr(clips: DataFrame, target: float) -> DataFrame:
     return _each_clip(clips, one)
 
 
-def compose(clips: DataFrame, steps: list[tuple[str, float, Callable[[Column, Column], Column]]], seed: int, column: str = "x") -> DataFrame:
+def compose(clips: DataFrame, steps: list[tuple[str, float, Callable[[Column, Column], Column]]], seed: int, column: str = "x", failed: str | None = None) -> DataFrame:
     """Steps (name, p, fn(samples, idx) -> samples) in order; a step is left out when its draw for the clip exceeds p (never at
-    p >= 1, always at 0) or when it gives null, which stands for a failed step."""
-    out = clips
+    p >= 1, always at 0) or when it gives null, which stands for a failed step: the clip goes on as it was before. `failed`: a column to be
+    added, the names of the steps that were drawn for a clip and failed, in order."""
+    out = clips if failed is None else clips.withColumn(failed, F.array().cast("array<string>"))
     for name, p, fn in steps:
         if p <= 0:
             continue
-        new = F.coalesce(fn(F.col(column), F.col("idx")), F.col(column))
-        out = out.withColumn(column, new if p >= 1 else F.when(draws.uniform(seed, F.col("idx"), name) <= p, new).otherwise(F.col(column)))
+        drawn = F.lit(True) if p >= 1 else draws.uniform(seed, F.col("idx"), name) <= p
+        out = out.withColumn("_new", F.when(drawn, fn(F.col(column), F.col("idx"))))
+        if failed is not None:
+            out = out.withColumn(failed, F.when(drawn & F.col("_new").isNull(), F.array_append(failed, F.lit(name))).otherwise(F.col(failed)))
+        out = out.withColumn(column, F.coalesce("_new", column)).drop("_new")
     return out
 
 

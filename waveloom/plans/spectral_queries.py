@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from waveloom._np import spectra as N
 from waveloom.functions import signal as S
+from waveloom.functions import tables
 from waveloom.operators import chunks as K
 from waveloom.operators import spectral as P
 
-from .adapters import BINS, FRAMES, PAIRS, SIG, R, frames, pairs, query, r, signal_chunks, signals, sm, table
+from .adapters import BINS, FRAMES, PAIRS, SIG, SQL, R, frames, pairs, query, r, signal_chunks, signals, sm, table
 
 CHUNK = 4096
 
@@ -162,6 +163,14 @@ def e1_stft(spark, d):
     return x.select("clip_id", "t", F.col("f").cast("long").alias("f"), r("z.re", 5).alias("re"), r("z.im", 5).alias("im"))
 
 
+@query(SQL["e1_stft"])
+def p5_spectrum_function(spark, d):
+    tables.register(spark)
+    rows = spark.sql("select clip_id, t, re, im from {clips}, lateral clip_spectrum(x, 16, 8)", clips=signals(spark, d))
+    x = rows.select("clip_id", "t", F.posexplode(F.arrays_zip("re", "im")).alias("f", "z"))
+    return x.select("clip_id", "t", F.col("f").cast("long").alias("f"), r("z.re", 5).alias("re"), r("z.im", 5).alias("im"))
+
+
 @query(f"with {SIG}, k as (select clip_id, x, unnest(range(0, (len(x) // 8) * 8)) as i from sig) select clip_id, i, {R('case when i < 8 then 0 else x[i - 8 + 1] end', 5)} as x from k")
 def e2_istft(spark, d):
     y = K.istft(K.stft(signal_chunks(spark, d, CHUNK), 16, 8, CHUNK), 16, 8, CHUNK)

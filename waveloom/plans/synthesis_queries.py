@@ -92,11 +92,11 @@ def m9_zero_runs(spark, d):
 
 @query(f"""with {SIG}, s as (select clip_id, x, {bits_sql(_SEED, 'clip_id', 'half')} / 281474976710656.0::double <= 0.5::double as h, {bits_sql(_SEED, 'clip_id', 'clip')} / 281474976710656.0::double <= 0.3::double as c, list_max(list_transform(x, lambda v: abs(v))) as top from sig),
 a as (select clip_id, c, case when h then list_transform(x, lambda v: v * 0.5::double) else x end as x, case when h then top * 0.5::double else top end as top from s)
-select clip_id, {R(sm('case when c then list_transform(x, lambda v: least(greatest(v, -0.5::double * top), 0.5::double * top)) else x end'))} as total from a""")
+select clip_id, {R(sm('case when c then list_transform(x, lambda v: least(greatest(v, -0.5::double * top), 0.5::double * top)) else x end'))} as total, 'fails' as failed from a""")
 def m15_compose(spark, d):
     clips = signals(spark, d).withColumnRenamed("clip_id", "idx")
     steps = [("half", 0.5, lambda x, _: S.scaled(x, 0.5)), ("never", 0.0, lambda x, _: S.scaled(x, 9.0)), ("clip", 0.3, lambda x, _: S.clip_samples(x, 0.5)), ("fails", 1.0, lambda x, _: F.lit(None).cast("array<double>"))]
-    return M.compose(clips, steps, _SEED).select(F.col("idx").alias("clip_id"), r(S.total("x")).alias("total"))
+    return M.compose(clips, steps, _SEED, failed="failed").select(F.col("idx").alias("clip_id"), r(S.total("x")).alias("total"), F.array_join("failed", ",").alias("failed"))
 
 
 @query(f"""with {PAIRS}, i0 as (select clip_id, clean, list_transform(noise, lambda v: v * 2) as o from pairs),
@@ -187,7 +187,7 @@ def _at_least(x: str, n: int):
 def _long_pairs(spark, d):
     """Pairs, shorter ones repeated to half a second at 16 kHz."""
     p = pairs(spark, d)
-    return p.select(F.col("clip_id").alias("filename"), *[_at_least(c, 8000).alias(c) for c in ("clean", "noisy", "enhanced")]).repartition("filename")  # by the lengthened clips' bytes
+    return p.select(F.col("clip_id").alias("filename"), *[_at_least(c, 8000).alias(c) for c in ("clean", "noisy", "enhanced")])
 
 
 @query()
