@@ -26,9 +26,9 @@ from .textbytes import ALNUM, counts_by_row, lower_ascii, mix, slices, span_hash
 WINDOW, SHINGLE = 10, 3
 #: Up to this many windows (some 200 bytes each), and ids of documents with hits, are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-#: A filter is a bitmap of 2^26 bits (8 MB), and up to so many shingles (8 bytes each) their sorted list too. Without it
-#: some more candidates go to the join, which tells them apart.
-BITS, LISTED = 26, 1_000_000
+#: A filter is a bitmap of 2^20 to 2^29 bits (64 MB), 32 or more for each shingle as long as that suffices, and up to so many shingles (8
+#: bytes each) their sorted list too. What passes without being one of them goes to the join, which tells them apart.
+LEAST_BITS, MOST_BITS, LISTED = 20, 29, 1_000_000
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -71,24 +71,27 @@ def item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
     return rows.mapInArrow(worker(run), "item string, words string, size int, shingles array<long>").dropDuplicates(["item", "words"])
 
 
-def _filter(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
-    """The bitmap of the high bits of distinct tokens, 32 in each number, and the tokens in order if they are few."""
-    out = np.zeros(1 << (BITS - 5), np.uint32)
-    if tokens.count() <= LISTED:
+def _filter(tokens: DataFrame) -> tuple[int, np.ndarray, np.ndarray | None]:
+    """How many high bits of a token say where it is in the bitmap; the bitmap of distinct tokens, 32 in each number; and the tokens in order
+    if they are few."""
+    n = tokens.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, n.bit_length() + 5))
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    if n <= LISTED:
         keys = np.sort(tokens.toArrow().column("token").to_numpy().view(np.uint64))
-        p = (keys >> np.uint64(64 - BITS)).astype(np.int64)
+        p = (keys >> np.uint64(64 - bits)).astype(np.int64)
         np.bitwise_or.at(out, p >> 5, (1 << (p & 31)).astype(np.uint32))
-        return out, keys
-    parts = tokens.select(F.shiftrightunsigned("token", 64 - BITS).alias("p")).selectExpr("p div 32 as at", "shiftleft(1L, cast(p % 32 as int)) as bit")
-    got = parts.groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()  # 2^(BITS - 5) rows at most
+        return bits, out, keys
+    parts = tokens.select(F.shiftrightunsigned("token", 64 - bits).alias("p")).selectExpr("p div 32 as at", "shiftleft(1L, cast(p % 32 as int)) as bit")
+    got = parts.groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()  # 2^(MOST_BITS - 5) rows at most
     out[got.column("at").to_numpy()] = got.column("bit").to_numpy().astype(np.uint32)
-    return out, None
+    return bits, out, None
 
 
-def _marked(filter_: tuple[np.ndarray, np.ndarray | None], tokens: np.ndarray) -> np.ndarray:
+def _marked(filter_: tuple[int, np.ndarray, np.ndarray | None], tokens: np.ndarray) -> np.ndarray:
     """Indexes of the tokens that pass."""
-    bitmap, keys = filter_
-    p = tokens >> np.uint64(64 - BITS)
+    bits, bitmap, keys = filter_
+    p = tokens >> np.uint64(64 - bits)
     at = np.flatnonzero((bitmap[(p >> np.uint64(5)).astype(np.int64)] >> (p & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
     if keys is None or not len(keys):
         return at
@@ -112,11 +115,24 @@ def frequencies(docs: DataFrame, tokens: DataFrame, widths: list[int]) -> DataFr
 
 
 def rarest(found: DataFrame, often: DataFrame) -> DataFrame:
-    """item, words, size, token, skip: each window with its rarest shingle (ties by number, then place) and how
-    many of the window's words stand before that."""
-    each = found.select("item", "words", "size", F.posexplode("shingles").alias("skip", "token"))
-    best = each.join(often, "token", "left").groupBy("item", "words", "size").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "token", "skip")).alias("x"))
-    return best.select("item", "words", "size", F.col("x.token").alias("token"), F.col("x.skip").alias("skip"))
+    """c, words, size, token, skip: each window with its rarest shingle (ties by number, then place) and how many of the window's words
+    stand before that."""
+    each = found.select("c", "words", "size", F.posexplode("shingles").alias("skip", "token"))
+    best = each.join(often, "token", "left").groupBy("c", "words", "size").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "token", "skip")).alias("x"))
+    return best.select("c", "words", "size", F.col("x.token").alias("token"), F.col("x.skip").alias("skip"))
+
+
+def classes(of_items: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The distinct windows (c, words, size, shingles), and the items of each class c: windows that the same items share are one class, so
+    text that many items share is looked for once and its items are joined once for each document.
+
+    A set of items is told by its size and two 64-bit sums of hashes: two sets are taken for one with a chance of 2^-128 a pair.
+    """
+    two = [F.bit_xor(F.xxhash64(F.lit(k), F.col("item"))).alias(f"h{k}") for k in range(2)]
+    windows_ = scratch.save(of_items.groupBy("words").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles"), F.count(F.lit(1)).alias("n"), *two).withColumn("w", F.monotonically_increasing_id()), "distinct")
+    of = scratch.save(windows_.groupBy("n", "h0", "h1").agg(F.min("w").alias("c")), "classes")
+    first = windows_.join(of.select(F.col("c").alias("w")), "w").select("words", F.col("w").alias("c"))
+    return windows_.join(of, ["n", "h0", "h1"]).select("c", "words", "size", "shingles"), of_items.join(first, "words").select("c", "item")
 
 
 def candidates(docs: DataFrame, prefixes: DataFrame, widths: list[int], window: int) -> DataFrame:
@@ -153,9 +169,11 @@ def candidates(docs: DataFrame, prefixes: DataFrame, widths: list[int], window:
     return rows.mapInArrow(worker(run), f"doc_id {kind}, k long, h long, n_words long, at long, token long, place int, near array<string>")
 
 
-def find_hits(docs: DataFrame, items: DataFrame, scratch: Scratch, window: int, shingle: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
-    """All documents (doc_id, k, h, n_words), and the occurrences of windows in them (k, h, first, size, item)."""
-    found = scratch.save(item_windows(items, window, shingle), "windows")
+def find_hits(docs: DataFrame, items: DataFrame, scratch: Scratch, window: int, shingle: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents (doc_id, k, h, n_words); the occurrences of windows in them (k, h, first, size, c), each once; and the items of the
+    classes c."""
+    found, owners = classes(scratch.save(item_windows(items, window, shingle), "windows"), scratch)
+    found, owners = scratch.save(found, "found"), save(owners, "owners")
     widths = sorted(r.w for r in found.select(F.least("size", F.lit(shingle)).alias("w")).distinct().collect())  # at most `shingle` numbers
     often = frequencies(docs, found.select(F.explode("shingles").alias("token")).distinct(), widths)
     prefixes = scratch.save(rarest(found, often), "prefixes")
@@ -164,8 +182,8 @@ def find_hits(docs: DataFrame, items: DataFrame, scratch: Scratch, window: int,
     near = both.where("token is not null").select("k", "h", "at", "token", "place", "near").join(F.broadcast(prefixes) if few else prefixes, "token")
     start = F.col("place") - F.col("skip")
     whole = F.when((start >= 0) & (start + F.col("size") <= F.size("near")), F.array_join(F.slice("near", F.greatest(start, F.lit(0)) + 1, F.col("size")), " "))
-    hits = near.where(whole == F.col("words")).select("k", "h", (F.col("at") - F.col("skip")).alias("first"), "size", "item")
-    return both.where("n_words is not null").select("doc_id", "k", "h", "n_words"), save(hits, "hits")
+    hits = near.where(whole == F.col("words")).select("k", "h", (F.col("at") - F.col("skip")).alias("first"), "size", "c")
+    return both.where("n_words is not null").select("doc_id", "k", "h", "n_words"), save(hits, "hits"), owners
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS, keep: str = "report") -> DataFrame:
@@ -181,7 +199,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     a shuffle whose skewed parts Spark splits.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    every, hits = find_hits(docs, items, scratch, window, shingle, broadcast_rows)
+    every, hits, owners = find_hits(docs, items, scratch, window, shingle, broadcast_rows)
     scratch.drop()
     if keep == "clean":
         k, h = "_k", "_h"
@@ -193,7 +211,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
         return own.join(F.broadcast(hit) if few else hit, [k, h], "left_anti").select(*docs.columns)
     words = hits.select("k", "h", "first", "size").distinct().select("k", "h", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("size") - 1)).alias("word"))
     n_hit = words.distinct().groupBy("k", "h").agg(F.count(F.lit(1)).alias("n_hit"))
-    names = hits.select("k", "h", "item").distinct().groupBy("k", "h").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    names = hits.select("k", "h", "c").distinct().join(owners, "c").select("k", "h", "item").distinct().groupBy("k", "h").agg(F.array_sort(F.collect_list("item")).alias("items"))
     out = every.join(n_hit.join(names, ["k", "h"]), ["k", "h"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "items", F.col("n_hit").isNotNull().alias("contaminated"))
