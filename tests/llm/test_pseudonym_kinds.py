@@ -97,3 +97,18 @@ def test_short_dates_are_permuted(spark):
 def test_a_key_is_needed(spark):
     with pytest.raises(TypeError):
         pseudonyms.pseudonymize(spark.createDataFrame([], "doc_id int, text string"))
+
+
+def test_forms_of_one_number_link(spark):
+    forms = ["+1 212 555 0199", "212-555-0199", "(212) 555-0199", "+12125550199", "1.212.555.0199", "(212) 555 0199", "+1 (212) 555-0199", "+1-212-555-0199"]
+    abroad = ["+49 (0)30 987654", "+49 30 987654", "+4930987654", "+49-(0)30-987654"]
+    df = spark.createDataFrame([(i, f"call {t} now", "x") for i, t in enumerate(forms + abroad)], "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in pseudonyms.pseudonymize(df, "k").collect()}
+    back = {r.doc_id: r.text for r in pseudonyms.pseudonymize(pseudonyms.pseudonymize(df, "k"), "k", inverse=True).collect()}
+    digits = lambda s: "".join(c for c in s.replace("(0)", "") if c.isdigit())
+    assert len({digits(out[i].text)[-10:] for i in range(len(forms))}) == 1
+    assert len({digits(out[i].text) for i in range(len(forms), len(forms) + len(abroad))}) == 1
+    for i, t in enumerate(forms + abroad):
+        assert out[i].n_replaced == 1 and back[i] == f"call {t} now" and out[i].text != back[i]
+        shape = lambda s: "".join("9" if c.isdigit() else c for c in s)
+        assert shape(out[i].text) == shape(back[i]) and ("(0)" in t) == ("(0)" in out[i].text)

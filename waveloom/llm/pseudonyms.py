@@ -23,7 +23,7 @@ PATTERNS = {
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])(?:[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{1,7}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9])",
-    "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9])(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]|[0-9]{3}[.-][0-9]{3}[.-])[0-9]{4}|\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4})(?![0-9])",
     "abroad": r"(?<![0-9+])\+[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{2,12}){1,5}(?![0-9])",
     "ip": r"(?<![0-9])(?<![0-9]\.)[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9])",
@@ -140,11 +140,14 @@ def phone(m: Column, key: str, inverse: bool = False) -> Column:
 
 def abroad(m: Column, key: str, inverse: bool = False) -> Column:
     """A number of 8 to 15 digits after a plus sign, null for others. The country stays: one digit for 1 and 7, else
-    two, however the number is spaced."""
-    d = F.regexp_replace(m, "[^0-9]", "")
+    two, however the number is spaced; a single digit in brackets, as in +49 (0)30 ..., is for calls inside the country: it stays, and
+    the number links with the same one written without it."""
+    inside = F.regexp_extract(m, r"\(([0-9])\)", 1)
+    bare = F.regexp_replace(m, r"\([0-9]\)", "(\u0001)")
+    d = F.regexp_replace(bare, "[^0-9]", "")
     lead = F.when(d.rlike("^[17]"), 1).otherwise(2)
     rest = permute_string(F.substring(d, lead + 1, F.length(d)), key, "abroad", inverse)
-    return F.when(F.length(d).between(8, 15), _refill(m, F.concat(F.substring(d, F.lit(1), lead), rest)))
+    return F.when(F.length(d).between(8, 15), F.replace(_refill(bare, F.concat(F.substring(d, F.lit(1), lead), rest)), F.lit("\u0001"), inside))
 
 
 def ssn(m: Column, key: str, inverse: bool = False) -> Column:
@@ -255,8 +258,11 @@ def pseudonymize(docs: DataFrame, key: str, inverse: bool = False, column: str =
 
     Kinds: e-mail names; account numbers (IBAN) with right check digits; access keys with a well-known beginning;
     hexadecimal secrets of 32 to 64 digits; national ids of the form 123-45-6789; payment cards with a right check
-    digit; phone numbers of ten digits, or of 8 to 15 after a plus sign; IPv4 addresses; dates with years of four digits.
-    A value that fails its check stays as it is. A null text stays null with n_replaced 0. Whole texts are
+    digit; phone numbers of ten digits, with or without +1 or 1 before them and with any of the usual marks between them (one number is one
+    pseudonym in all these forms), or of 8 to 15 after a plus sign; IPv4 addresses; dates with years of four digits.
+    A value that fails its check stays as it is. Left alone are names and street addresses, IPv6 addresses, JSON web tokens, passwords,
+    ten digits without a mark between them or with spaces alone, dates that begin with the day and have dashes, dates with names of months, and
+    dates without a year of four digits. A null text stays null with n_replaced 0. Whole texts are
     scanned; narrow, so repeated rows and skew do not matter. A column n_replaced already there stays, and the
     added one gets a name with "_" behind.
     """
