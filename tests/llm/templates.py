@@ -2,7 +2,7 @@
 
 import re
 
-TEMPLATES = ["article_table", "table_layout", "neutral_divs", "unclosed_svg", "stray_apostrophe", "neutral_comments", "lists_and_figures", "news_semantic"]
+TEMPLATES = ["article_table", "table_layout", "neutral_divs", "unclosed_svg", "stray_apostrophe", "neutral_comments", "lists_and_figures", "news_semantic", "short_beside_aside", "short_beside_div", "long_thread"]
 
 
 def make_page(name, rng, words):
@@ -42,6 +42,15 @@ def make_page(name, rng, words):
         items = "".join(f"<li>{phrase(3, 10)}</li>" for _ in range(int(rng.integers(3, 8))))
         body = f'{head}{paras(1, 4)}<ul>{items}</ul><figure><img src="a.png"><figcaption>{phrase(4, 9)}</figcaption></figure><h2>{phrase(2, 5)}</h2>{paras(1, 4)}<blockquote><p>{para(1, 3)}</p></blockquote>{paras(1, 3)}'
         page = f'<div id="w"><div id="h"><h2>{phrase(1, 3)}</h2></div><div id="n"><ul>{links(5)}</ul></div><div id="c"><div>{body}</div></div><div id="f">{foot}</div></div>'
+    elif name in ("short_beside_aside", "short_beside_div"):
+        body = f"{head}<p>{para(1, 2)}</p>"
+        main, side = ("article", "aside") if name == "short_beside_aside" else ('div class="p1"', 'div class="p2"')
+        page = f"<{main}>{body}</{main.split()[0]}><{side}><h3>{phrase(1, 3)}</h3>{paras(2, 3)}</{side.split()[0]}>"
+    elif name == "long_thread":
+        body = f"{head}{paras(3, 7)}"
+        n = int(rng.integers(5, 20))
+        said = "".join(f'<div class="z"><p>{phrase(1, 3)}</p><p>{para(1, 4)}</p></div>' for _ in range(n))
+        page = f'<div class="x">{body}</div><div class="y"><h2>{n} comments</h2>{said}</div>'
     else:
         body = f"{head}<p>{phrase(2, 4)}</p>{paras(3, 9)}"
         page = f'<div class="cookie">We use cookies. {para(1, 2)} <button>OK</button></div><header><a href="/">{phrase(1, 3)}</a><form><input><button>Search</button></form></header><nav>{" | ".join(f"<a href=/>{phrase(1, 2)}</a>" for _ in range(5))}</nav><main><article>{body}</article><aside><h2>Related</h2><ul>{links(4)}</ul></aside></main><footer>{foot}</footer>'

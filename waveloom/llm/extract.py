@@ -181,7 +181,12 @@ def compose(rng: np.random.Generator, words: list[str]) -> tuple[list[Block], np
             out.append(t[:1].upper() + t[1:] + pick(".", ".", ".", "!", "?"))
         return " ".join(out)
 
+    tagged = r.random() < 0.2  # parts are told by their elements alone
+    short = r.random() < 0.3  # an article of a sentence or a few, beside parts that are longer
+
     def frame(kind: str, inner: str, tag: str | None = None) -> str:
+        if tagged and not tag and (bare := {"main": "article", "menu": "nav", "header": "header", "footer": "footer", "side": "aside", "ad": "aside"}.get(kind)):
+            return f"<{bare}>{inner}</{bare}>"
         head = pick(*_FRAMES[kind]) if named and r.random() < 0.8 else pick("div", "div", "div", "section", *(["article"] if kind == "main" else []), *(["footer"] if kind == "footer" else []), *(["nav"] if kind == "menu" else [])) + plain()
         head = tag + plain() if tag else head
         deep = some(0, 3) if not tag else 0
@@ -241,6 +246,8 @@ def compose(rng: np.random.Generator, words: list[str]) -> tuple[list[Block], np
         return f"<{(t := pick('div', 'section'))}{plain()}>{inner}</{t}>"
 
     def side() -> str:
+        if r.random() < (0.6 if short else 0.1):  # prose as long as an article's
+            return frame("side", (title("side") if r.random() < 0.8 else "") + "".join(f"<p>{sentences(some(1, 6))}</p>" for _ in range(some(1, 5))))
         return frame("side", (title("side") if r.random() < 0.7 else "") + "".join(pick(links("side", some(2, 7)), note("side")) for _ in range(some(1, 4))))
 
     def extra() -> str:
@@ -251,15 +258,22 @@ def compose(rng: np.random.Generator, words: list[str]) -> tuple[list[Block], np
 
     def comments() -> str:
         one = lambda: f"<{(t := pick('div', 'li', 'div'))}{plain()}>" + pick(f"<b>{phrase(some(1, 3))}</b><br>", f"<p>{phrase(some(1, 3))}</p>", f"<h4>{phrase(2)} {pick(*_SAYS['comments'])}</h4>", f"<span>{phrase(1)}, 2024-0{some(1, 9)}-11</span>", "") + f"<{(u := pick('p', 'p', 'div'))}>{sentences(some(1, 5))}</{u}></{t}>"
+        if r.random() < 0.5:
+            n = some(2, 9) if r.random() < 0.75 else some(9, 21)  # a thread: all entries of one form
+            t, u, v, c = pick("div", "li", "div"), pick("b", "p", "span", "div", "strong"), pick("p", "p", "div"), plain()
+            end = pick("", "", f"<a href='#'>{pick('Reply', 'Like', 'Report')}</a>")
+            thread = "".join(f"<{t}{c}><{u}>{phrase(some(1, 3))}</{u}><{v}>{sentences(some(1, 6))}</{v}>{end}</{t}>" for _ in range(n))
+            h = pick("h2", "h3", "h4", "div", "p")
+            return frame("comments", pick(f"<{h}>{pick(f'{n} comments', f'Comments ({n})', f'{n} replies', 'Comments', 'Discussion')}</{h}>", f"<{h}>{n} {phrase(1)}</{h}>") + thread)
         return frame("comments", (title("comments") if r.random() < 0.8 else "") + "".join(one() for _ in range(some(1, 6))))
 
-    body = [body_part(0) for _ in range(some(1, 14))]
+    body = [f"<{(t := pick('p', 'p', 'p', 'div'))}>{text(some(1, 4))}</{t}>" for _ in range(some(1, 3))] if short else [f"<p>{text(some(1, 7))}</p>" for _ in range(some(2, 9))] if r.random() < 0.25 else [body_part(0) for _ in range(some(1, 14))]
     if r.random() < 0.25:
         body.insert(0, f"<p{plain()}>{_MARK}{phrase(some(2, 6))}, {some(1, 29)} {phrase(1)} 2024</p>")
-    if r.random() < 0.75:
+    if r.random() < (0.95 if short else 0.75):
         h = pick("h1", "h1", "h1", "h2")
         body.insert(0, f"<{h}>{_MARK}{phrase(some(1, 9))}</{h}>")
-    if r.random() < 0.25:
+    if r.random() < 0.25 and not short:
         body.insert(some(1, len(body) + 1), extra())
     broken = r.random()
     if broken < 0.03:
@@ -274,13 +288,18 @@ def compose(rng: np.random.Generator, words: list[str]) -> tuple[list[Block], np
     top += [frame("ad", note("ad"))] * (r.random() < 0.35)
     top += [frame("form", form())] * (r.random() < 0.15)
     left, right = [side() if r.random() < 0.5 else frame("menu", links("menu", some(3, 9))) for _ in range(some(0, 2))], [side() for _ in range(some(0, 3))]
-    under = [comments()] * (r.random() < 0.35) + [side()] * (r.random() < 0.25) + [frame("form", form())] * (r.random() < 0.25) + [frame("ad", note("ad"))] * (r.random() < 0.2)
+    if short and not right:
+        right = [side()]
+    under = [comments()] * (r.random() < 0.4) + [side()] * (r.random() < 0.25) + [frame("form", form())] * (r.random() < 0.25) + [frame("ad", note("ad"))] * (r.random() < 0.2)
     foot = []
     if r.random() < 0.85:
         inner = [f"<{(t := pick('p', 'div', 'span'))}>{pick('&copy; ', '&copy; 2023 ', says('footer'))}{phrase(some(1, 9))}{pick('.', '', ' &middot; ' + phrase(2) + '.')}</{t}>"]
         if r.random() < 0.4:
             inner.insert(some(0, 2), links("menu", some(2, 6)))
         foot.append(frame("footer", "".join(inner)) if r.random() < 0.9 else inner[0])
+    if r.random() < 0.2:  # little but the article and what stands beside or under it
+        top, left, foot = [], [], foot if r.random() < 0.2 else []
+        under = under if short or r.random() < 0.5 else [comments()]
     if r.random() < 0.2:  # a page laid out as a table
         cells = [frame("menu", x, "td") for x in left] + [frame("main", article + "".join(under if r.random() < 0.3 else []), "td")] + [frame("side", x, "td") for x in right]
         rows = [f"<tr><td colspan=3>{x}</td></tr>" for x in top] + ["<tr>" + "".join(cells) + "</tr>"] + [f"<tr><td colspan=3>{x}</td></tr>" for x in foot]
