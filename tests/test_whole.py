@@ -84,8 +84,8 @@ def test_interferers_over_whole_clips(spark, tmp_path):
         k = 1 / np.sqrt(((o @ o) + 1e-10) / ((s @ s) + 1e-10) * 10 + 1e-10)
         y = s + k * o
         top = max(np.abs(v).max() for v in (y, s, k * o))
-        want[r.clip_id] = y.sum() / (top + 1e-10) if top - 1 > 1e-10 else y.sum()
-    got = {r.clip_id: r.total for r in Q["m14_add_interferers"](spark, d).collect()}
+        want |= {(r.clip_id, i): v / (top + 1e-10) if top - 1 > 1e-10 else v for i, v in enumerate(y.tolist())}
+    got = {(r.clip_id, r.i): r.x for r in Q["m14_add_interferers"](spark, d).collect()}
     assert got == pytest.approx(want, abs=2e-6)
 
 

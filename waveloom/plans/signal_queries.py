@@ -107,10 +107,13 @@ def x1_decibels(spark, d):
 
 
 @query(f"""with {SIG}, k as (select clip_id, x, ceil(100::double / len(x))::int * len(x) - 100 as room from sig), q as (select *, case when room > 0 then {bits_sql(5, 'clip_id', 'fit')} % greatest(room, 1) else 0 end as s from k)
-select clip_id, {R(sm('list_transform(range(s, s + 100), lambda i: x[(i % len(x)) + 1])'))} as fitted, {R(sm('x'))} as padded, 120 as n_padded, {R(sm('x[9:28]'))} as undelayed from q""")
+select clip_id, 'fitted' as kind, unnest(range(0, 100)) as i, unnest(list_transform(range(s, s + 100), lambda i: {R('x[(i % len(x)) + 1]')})) as x from q
+union all select clip_id, 'padded', unnest(range(0, greatest(120, len(x)))), unnest(list_transform(range(0, greatest(120, len(x))), lambda i: {R('coalesce(x[i + 1], 0)')})) from q
+union all select clip_id, 'undelayed', unnest(range(0, len(x[9:28]))), unnest(list_transform(x[9:28], lambda v: {R('v')})) from q""")
 def x12_length_fit(spark, d):
-    s = signals(spark, d)
-    return s.select("clip_id", r(S.total(S.fit_length("x", 100, 5, F.col("clip_id")))).alias("fitted"), r(S.total(S.pad_to("x", 120))).alias("padded"), F.size(S.pad_to("x", 120)).alias("n_padded"), r(S.total(S.undelay("x", 16, 8, 20))).alias("undelayed"))
+    kinds = {"fitted": S.fit_length("x", 100, 5, F.col("clip_id")), "padded": S.pad_to("x", 120), "undelayed": S.undelay("x", 16, 8, 20)}
+    each = signals(spark, d).select("clip_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("x")) for k, c in kinds.items()])).alias("z"))
+    return each.select("clip_id", "z.kind", F.posexplode("z.x").alias("i", "x")).select("clip_id", "kind", F.col("i").cast("long").alias("i"), r("x").alias("x"))
 
 
 @query(f"with {SIG}, k as (select clip_id, x, sqrt({en('x')} / len(x)) + 1e-8::double as k from sig) select clip_id, {R(sm('list_transform(x, lambda v: v / k)'))} as total, {R('list_max(x) / k')} as top from k")

@@ -61,17 +61,20 @@ mt as (select *, greatest(list_max(list_transform(c, lambda v: abs(v))), list_ma
 mf as (select *, case when top - 1 > 1e-10 then 1 / (top + 1e-10::double) else 1 end as f from mt)"""
 
 
-@query(f"with {PAIRS}, {_MIX} select clip_id, {R(f'10 * log10({en("c")} / {en("n")})', 4)} as measured, {R(f'{sm("c")} * f')} as clean, {R(f'{sm("n")} * f')} as noise, {R(f'{sm("m")} * f')} as noisy, {R('top * f')} as top from mf")
-def m4_mix_at_snr(spark, d):
+def _mixed(spark, d):
     p = pairs(spark, d).select("clip_id", F.col("clean").alias("speech"), "noise", "snr", (F.col("gain") + 12).alias("gain"))
-    m = M.mix_at_snr(p)
-    return m.select("clip_id", r(10 * F.log10(S.energy("speech") / S.energy("noise")), 4).alias("measured"), r(S.total("speech")).alias("clean"), r(S.total("noise")).alias("noise"), r(S.total("noisy")).alias("noisy"),
-                    r(F.greatest(S.max_abs("speech"), S.max_abs("noise"), S.max_abs("noisy"))).alias("top"))
+    return M.mix_at_snr(p)
+
+
+@query(f"with {PAIRS}, {_MIX} select clip_id, unnest(range(0, len(c))) as i, unnest(list_transform(c, lambda v: {R('v * f')})) as clean, unnest(list_transform(n, lambda v: {R('v * f')})) as noise, unnest(list_transform(m, lambda v: {R('v * f')})) as noisy from mf")
+def m4_mix_at_snr(spark, d):
+    m = _mixed(spark, d).select("clip_id", F.posexplode(F.arrays_zip("speech", "noise", "noisy")).alias("i", "z"))
+    return m.select("clip_id", F.col("i").cast("long").alias("i"), r("z.speech").alias("clean"), r("z.noise").alias("noise"), r("z.noisy").alias("noisy"))
 
 
 @query(f"""with {PAIRS}, {_MIX} select snr, count(*) as n, {R(f'avg(10 * log10({en("c")} / {en("n")}))', 4)} as mean from mf group by snr""")
 def snr_by_asked_snr(spark, d):
-    m = m4_mix_at_snr(spark, d).join(pairs(spark, d).select("clip_id", "snr"), "clip_id")
+    m = _mixed(spark, d).select("snr", (10 * F.log10(S.energy("speech") / S.energy("noise"))).alias("measured"))
     return m.groupBy("snr").agg(F.count(F.lit(1)).alias("n"), r(F.avg("measured"), 4).alias("mean"))
 
 
@@ -101,13 +104,15 @@ def m15_compose(spark, d):
 
 @query(f"""with {PAIRS}, i0 as (select clip_id, clean, list_transform(noise, lambda v: v * 2) as o from pairs),
 k as (select *, 1 / sqrt(({en('o')} + 1e-10::double) / ({en('clean')} + 1e-10::double) * 10 + 1e-10::double) as k from i0), m as (select clip_id, list_transform(list_zip(clean, o), lambda z: z[1] + k * z[2]) as y, clean, list_transform(o, lambda v: v * k) as n from k),
-t as (select *, greatest(list_max(list_transform(y, lambda v: abs(v))), list_max(list_transform(clean, lambda v: abs(v))), list_max(list_transform(n, lambda v: abs(v)))) as top from m)
-select clip_id, {R(f'{sm("y")} * case when top - 1 > 1e-10 then 1 / (top + 1e-10::double) else 1 end')} as total from t""")
+t as (select *, greatest(list_max(list_transform(y, lambda v: abs(v))), list_max(list_transform(clean, lambda v: abs(v))), list_max(list_transform(n, lambda v: abs(v)))) as top from m),
+f as (select clip_id, y, case when top - 1 > 1e-10 then 1 / (top + 1e-10::double) else 1 end as f from t)
+select clip_id, unnest(range(0, len(y))) as i, unnest(list_transform(y, lambda v: {R('v * f')})) as x from f""")
 def m14_add_interferers(spark, d):
     p = pairs(spark, d)
     speech = p.select(F.col("clip_id").alias("idx"), F.col("clean").alias("speech"), F.lit(10).alias("interferer_snr"))
     other = p.select(F.col("clip_id").alias("idx"), F.lit(0).alias("slot"), F.col("noise").alias("x"), F.lit(6.0205999132796239).alias("gain"))
-    return M.add_interferers(speech, other, _SEED).select(F.col("idx").alias("clip_id"), r(S.total("speech")).alias("total"))
+    out = M.add_interferers(speech, other, _SEED).select(F.col("idx").alias("clip_id"), F.posexplode("speech").alias("i", "x"))
+    return out.select("clip_id", F.col("i").cast("long").alias("i"), r("x").alias("x"))
 
 
 _B, _A = (c.tolist() for c in audio.biquad_coefficients("low_pass", 1000, 0.7, 0.0, 8000))
