@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, save, table, worker
 
-#: Pivots are the means of a bounded sample: as many vectors with the least hash, a few rounds of means.
+#: Pivots are the means, after a few rounds, of a sample by hash of about so many vectors (twice as many at most). Any pivots give right
+#: results; good ones leave less to search.
 PIVOT_SAMPLE, PIVOT_ROUNDS, MOST_PIVOTS = 8192, 6, 512
 #: Vectors of a block and queries of a query block, at most.
 BLOCK, QUERY_BLOCK = 1024, 128
@@ -140,7 +141,8 @@ class Index:
         n, self.asked, dim, most, largest = self.entries.agg(F.count(F.lit(1)), F.count_if("asked"), F.max(F.size("v")), F.max(square), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))).first()
         self.n, self.space = n, Space(dim or 0, most or 0.0, largest or 0.0)
         if n:
-            sample = self.entries.orderBy(F.xxhash64("v"), "u").limit(PIVOT_SAMPLE).select("v").toArrow()
+            some = self.entries.where(F.pmod(F.xxhash64("v"), F.lit(n)) < PIVOT_SAMPLE) if n > PIVOT_SAMPLE else self.entries
+            sample = some.select("v").limit(2 * PIVOT_SAMPLE).toArrow()
             fit_pivots(self.space, self.space.rows(sample["v"].combine_chunks()), int(min(MOST_PIVOTS, max(1, round(n**0.5 / 8)))))
         self.blocks = self.scratch.save(self._blocks(), "blocks")
 
