@@ -113,7 +113,7 @@ class InOrder(StatefulProcessor):
     mark: the next number, how many packets were given up, and how many rows came too late or twice. held: rows before their turn.
     """
 
-    def __init__(self, step: Step, fields: Fields, key: str, kinds: dict[str, str], seq: str, first: int, wait_ms: int, idle_ms: int | None):
+    def __init__(self, step: Step, fields: Fields, key: str, kinds: dict[str, str], seq: str, first: int, wait_ms: int | None, idle_ms: int | None):
         self.step, self.fields, self.key, self.kinds, self.columns = step, fields, key, kinds, list(kinds)
         self.seq, self.first, self.wait_ms, self.idle_ms = seq, first, wait_ms, idle_ms
 
@@ -139,7 +139,9 @@ class InOrder(StatefulProcessor):
         self.held.put(_plain(rows, self.kinds))
 
     def _timer(self, now: int, waits: bool) -> None:
-        timers = [t for t in self.handle.listTimers()]
+        if self.wait_ms is None:
+            return
+        timers = list(self.handle.listTimers())
         if waits and not timers:
             self.handle.registerTimer(now + self.wait_ms)
         for t in () if waits else timers:
@@ -168,7 +170,7 @@ class InOrder(StatefulProcessor):
             self.held.clear()
         if n and had_held:  # the gap before the held packets has changed, and so has its timer
             self._timer(0, False)
-        self._timer(timerValues.getCurrentProcessingTimeInMs(), len(rest) > 0)
+        self._timer(0 if self.wait_ms is None else timerValues.getCurrentProcessingTimeInMs(), len(rest) > 0)
         self.mark.update((int(next_ + n), int(lost), int(dropped)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
@@ -188,14 +190,15 @@ class InOrder(StatefulProcessor):
         self.mark.update((start + n, int(lost + start - next_), int(dropped)))
 
 
-def in_order(rows: DataFrame, seq: str, schema: str, step: Step, fields: Fields, key: str = "stream_id", first: int = 0, wait_ms: int = 600_000, idle_ms: int | None = None) -> DataFrame:
+def in_order(rows: DataFrame, seq: str, schema: str, step: Step, fields: Fields, key: str = "stream_id", first: int = 0, wait_ms: int | None = None, idle_ms: int | None = None) -> DataFrame:
     """step(state, rows in order of seq) per stream; step changes the dict, whose entries are `fields`.
 
     On a stream, seq counts packets from `first` on without gaps, in whatever order and micro-batch they arrive. A packet waits for those
-    before it. wait_ms after a gap has first held one up, the missing packets count as lost: the step goes on with the next packet there
+    before it; without a wait_ms, for as long as it takes. wait_ms after a gap has first held one up, the missing packets count as lost: the step goes on with the next packet there
     is, right behind the last one, and the next gap gets a new wait. A packet that comes after it was given up, or a second time, is dropped. Both are
     counted in the state. State of a stream that no packet has changed for idle_ms is dropped (so idle_ms should exceed wait_ms, and wait_ms the time of some micro-batches): its next packet
-    starts anew. In a batch seq need not be without gaps: rows are taken in its order, and one of equal numbers counts.
+    starts anew. With wait_ms or idle_ms, a query that runs to the end of a bounded source needs
+    spark.sql.streaming.noDataMicroBatches.enabled=false when it starts, or it waits for timers for ever. In a batch seq need not be without gaps: rows are taken in its order, and one of equal numbers counts.
     """
     kind = rows.schema[key].dataType.simpleString()
     full = f"{key} {kind}, {schema}"
@@ -204,7 +207,7 @@ def in_order(rows: DataFrame, seq: str, schema: str, step: Step, fields: Fields,
     use_rocksdb(rows.sparkSession)
     kinds = {c: rows.schema[c].dataType.simpleString() for c in rows.columns if c != key}
     processor = InOrder(step, fields, key, kinds, seq, first, wait_ms, idle_ms)
-    return rows.groupBy(key).transformWithStateInPandas(processor, full, "append", "ProcessingTime")
+    return rows.groupBy(key).transformWithStateInPandas(processor, full, "append", "None" if wait_ms is None and idle_ms is None else "ProcessingTime")
 
 
 class ByEventTime(StatefulProcessor):
