@@ -51,6 +51,15 @@ def test_zero_runs_until_the_share_is_reached(spark):
     assert got == {i: y for i, (y, _) in want.items()} and max(k for _, k in want.values()) > 1000
 
 
+def test_silent_samples_are_no_zero_runs(spark, tmp_path):
+    """Samples that were zero before count only where a run covers them."""
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(u * 1000 + k, u, start + datetime.timedelta(seconds=k), "click", float(k % 2)) for u, n in enumerate((40, 67)) for k in range(n)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.clip_id: r.zeros for r in Q["m9_zero_runs"](spark, str(tmp_path)).collect()}
+    assert got == {u: zeroed([1.0] * n, u, 21, 30.0, 2, 6)[0].count(0.0) for u, n in ((0, 40), (1, 67))}
+
+
 def test_latency_of_all_calls(spark, tmp_path):
     calls = [(k, k % 3 + 1, f"{k % 2}", (0.3, 0.4, 1.2, 0.7, 0.2)[k * k // 7 % 5 if k % 50 < 10 else 0] * (k % 3 * 200 + 450_000)) for k in range(4600)]
     spark.createDataFrame(calls, "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")

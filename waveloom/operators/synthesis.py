@@ -72,13 +72,13 @@ def add_interferers(df: DataFrame, interferers: DataFrame, seed: int, p: float =
     return mixed.withColumn("speech", F.when(F.col("_on"), F.col("noisy")).otherwise(F.col("speech"))).drop("_s", "_o", "_on", "_zero", "noisy")
 
 
-def zero_runs(x, idx, seed: int, max_percent: float = 10.0, low: int = 120, high: int = 1800) -> Column:
-    """Runs of low to high samples set to zero until the drawn share (1 to max_percent percent) is reached.
+def zero_run_positions(n, idx, seed: int, max_percent: float = 10.0, low: int = 120, high: int = 1800) -> Column:
+    """Positions (from 0, each once) in a clip of n samples that runs of low to high samples cover, drawn until the drawn share (1 to
+    max_percent percent) is reached; none without samples.
 
     Drawn are as many runs as reach the share if all are shortest; one more for rounding.
     """
-    x, idx = S.col(x), S.col(idx)
-    n = F.size(x)
+    n, idx = S.col(n), S.col(idx)
     share = 0.01 + draws.uniform(seed, idx, "share") * (max_percent / 100 - 0.01)
     most = F.ceil(F.lit(max(max_percent / 100, 0.01)) * n / low).cast("int")
     runs = F.transform(F.sequence(F.lit(0), most), lambda i: F.struct(
@@ -90,11 +90,22 @@ def zero_runs(x, idx, seed: int, max_percent: float = 10.0, low: int = 120, high
         F.when(a["done"] < a["share"], a["k"] + 1).otherwise(a["k"]).alias("k"), a["share"].alias("share")), lambda a: F.slice(v, 1, a["k"]))
     # sets of positions, not a search through all runs for each sample; arrays of one element hold what is used twice
     hit = lambda v: F.array_distinct(F.flatten(F.transform(used(v), lambda z: F.sequence(z["at"], F.least(z["at"] + z["n"], n) - 1))))
+    return F.when(n > 0, F.transform(F.array(runs), hit)[0]).otherwise(F.array().cast("array<int>"))
+
+
+def zeroed_at(x, positions) -> Column:
+    """Samples with zeros at the positions (from 0, each once)."""
+    x, positions = S.col(x), S.col(positions)
+    n = F.size(x)
     at = lambda h, value: F.transform(h, lambda i: F.struct(i.alias("i"), value(i).alias("v")))
     kept = lambda h: F.array_except(F.sequence(F.lit(0), n - 1), h)
     joined = lambda h: F.sort_array(F.concat(at(h, lambda i: F.lit(0.0)), at(kept(h), lambda i: F.get(x, i))))["v"]
-    held = F.transform(F.transform(F.array(runs), hit), joined)[0]
-    return F.when(n > 0, held).otherwise(x)
+    return F.when(n > 0, F.transform(F.array(positions), joined)[0]).otherwise(x)
+
+
+def zero_runs(x, idx, seed: int, max_percent: float = 10.0, low: int = 120, high: int = 1800) -> Column:
+    """Runs of low to high samples set to zero until the drawn share (1 to max_percent percent) is reached."""
+    return zeroed_at(x, zero_run_positions(F.size(S.col(x)), idx, seed, max_percent, low, high))
 
 
 def _generator(seed: int, idx, name: str) -> np.random.Generator:

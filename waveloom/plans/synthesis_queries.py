@@ -89,8 +89,9 @@ zr(clip_id, i, done, a, n) as (select clip_id, 0, 0::double, 0::bigint, 0::bigin
 select sh.clip_id, count(*) filter (where hit)::bigint as zeros, {R('sum(case when hit then 0 else v end)')} as total from (
   select sh.clip_id, sh.x[j + 1] as v, exists (select 1 from zr where zr.clip_id = sh.clip_id and zr.i > 0 and j >= zr.a and j < zr.a + zr.n) as hit from (select *, unnest(range(0, len(x))) as j from sh) sh) sh group by sh.clip_id""")
 def m9_zero_runs(spark, d):
-    z = signals(spark, d).withColumn("y", M.zero_runs("x", "clip_id", _SEED, max_percent=30.0, low=2, high=6))
-    return z.select("clip_id", F.aggregate(F.zip_with("x", "y", lambda a, b: F.when((b == 0), 1).otherwise(0)), F.lit(0).cast("long"), lambda a, v: a + v).alias("zeros"), r(S.total("y")).alias("total"))
+    # zeros are the samples that runs cover; a clip may have others
+    z = signals(spark, d).withColumn("at", M.zero_run_positions(F.size("x"), "clip_id", _SEED, max_percent=30.0, low=2, high=6))
+    return z.select("clip_id", F.size("at").cast("long").alias("zeros"), r(S.total(M.zeroed_at("x", "at"))).alias("total"))
 
 
 @query(f"""with {SIG}, s as (select clip_id, x, {bits_sql(_SEED, 'clip_id', 'half')} / 281474976710656.0::double <= 0.5::double as h, {bits_sql(_SEED, 'clip_id', 'clip')} / 281474976710656.0::double <= 0.3::double as c, list_max(list_transform(x, lambda v: abs(v))) as top from sig),
