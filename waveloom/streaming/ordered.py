@@ -7,7 +7,9 @@ One step function per operator, `step(state, rows in order) -> rows`, serves thr
   their turn, until those before them are there or a timer gives them up;
 * a stream in order of event time (`by_event_time`): rows wait until the watermark of all inputs has passed them.
 
-State is typed: each step names its fields (`Array` for arrays), which are columns of one value state.
+State is typed: each step names its fields (`Array` for arrays), which are columns of a list state with one row for each stream. A call of a
+state processor and of its state costs milliseconds however little it does, so streams are dealt to a fixed number of buckets by a hash,
+and a bucket, not a stream, is the key of a call: a micro-batch costs its rows and the streams of the buckets it touches.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 Step = Callable[[dict, pd.DataFrame], pd.DataFrame]
+#: Keys of state calls: a bucket holds the state of its share of the streams in memory during a call.
+BUCKETS = 256
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -46,6 +50,27 @@ class Array:
 Fields = dict[str, "str | Array"]
 
 
+def of_columns(fn: Callable[[dict, dict], dict]) -> Step:
+    """A step made from fn(state, columns as arrays) -> columns; state processors call fn itself, as a frame for each of many short streams costs
+    more than what is done with it."""
+    def step(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(fn(state, {c: pdf[c].to_numpy() for c in pdf}))
+
+    step.of_columns = fn
+    return step
+
+
+def _on_columns(step: Step) -> Callable[[dict, dict], dict]:
+    if hasattr(step, "of_columns"):
+        return step.of_columns
+
+    def fn(state: dict, columns: dict) -> dict:
+        out = step(state, pd.DataFrame({c: v if v.dtype != object else list(v) for c, v in columns.items()}))
+        return {c: out[c].to_numpy() for c in out}
+
+    return fn
+
+
 def _columns(fields: Fields) -> str:
     return ", ".join(f"{n} {'array<double>' if isinstance(k, Array) else k}" for n, k in fields.items())
 
@@ -107,90 +132,163 @@ def as_batch(rows: DataFrame, order: list[str], schema: str, step: Step, key: st
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
-class InOrder(StatefulProcessor):
-    """Rows of a stream to the step in order of seq, a whole number that goes up by one from packet to packet.
+class Bucket(StatefulProcessor):
+    """The streams of a bucket. streams: a row for each, its key, the columns of `marks` and the step's state; held: rows that wait."""
 
-    mark: the next number, how many packets were given up, and how many rows came too late or twice. held: rows before their turn.
-    """
+    marks = ""
 
-    def __init__(self, step: Step, fields: Fields, key: str, kinds: dict[str, str], seq: str, first: int, wait_ms: int | None, idle_ms: int | None):
-        self.step, self.fields, self.key, self.kinds, self.columns = step, fields, key, kinds, list(kinds)
-        self.seq, self.first, self.wait_ms, self.idle_ms = seq, first, wait_ms, idle_ms
+    def __init__(self, step: Step, fields: Fields, key: str, kinds: dict[str, str]):
+        self.run, self.fields, self.key, self.kinds, self.columns = _on_columns(step), fields, key, kinds, list(kinds)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.mark = handle.getValueState("mark", "next long, lost long, dropped long", self.idle_ms)
-        self.own = handle.getValueState("own", _columns(self.fields), self.idle_ms)
-        self.held = handle.getListState("held", _columns(self.kinds), self.idle_ms)
-
-    def _release(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        state = _state(self.fields, self.own.get()) if self.own.exists() else {}
-        out = self.step(state, rows.reset_index(drop=True))
-        self.own.update(_row(self.fields, state))
-        out.insert(0, self.key, [key[0]] * len(out))
-        if len(out):
-            yield out
-
-    def _ready(self, rows: pd.DataFrame, next_: int) -> int:
-        """How many of the rows (sorted, from next_ on) follow without a gap."""
-        return int((rows[self.seq].to_numpy() == np.arange(next_, next_ + len(rows))).cumprod().sum())
-
-    def _hold(self, rows: pd.DataFrame) -> None:
-        self.held.put(_plain(rows, self.kinds))
-
-    def _timer(self, now: int, waits: bool) -> None:
-        if self.wait_ms is None:
-            return
+        self.streams = handle.getListState("streams", f"{self.key} {self.kinds[self.key]}{self.marks}, {_columns(self.fields)}")
+        self.held = handle.getListState("held", _columns(self.kinds))
+
+    def _read(self) -> dict:
+        """The rows of the streams by key; a null key is None."""
+        return {row[0]: list(row[1:]) for row in map(tuple, self.streams.get())} if self.streams.exists() else {}
+
+    def _write(self, streams: dict) -> None:
+        if streams:
+            self.streams.put([(k, *row) for k, row in streams.items()])
+        else:
+            self.streams.clear()
+
+    def _waiting(self) -> list[pd.DataFrame]:
+        return [pd.DataFrame([tuple(x) for x in self.held.get()], columns=self.columns)] if self.held.exists() else []
+
+    def _wait(self, rows: pd.DataFrame) -> None:
+        if len(rows):
+            self.held.put(_plain(rows, self.kinds))
+        else:
+            self.held.clear()
+
+    def _timer(self, at: int | None) -> None:
+        """The bucket's only timer."""
         timers = list(self.handle.listTimers())
-        if waits and not timers:
-            self.handle.registerTimer(now + self.wait_ms)
-        for t in () if waits else timers:
-            self.handle.deleteTimer(t)
+        for t in timers:
+            if t != at:
+                self.handle.deleteTimer(t)
+        if at is not None and at not in timers:
+            self.handle.registerTimer(at)
+
+    def _numbered(self, rows: pd.DataFrame) -> tuple[np.ndarray, list]:
+        """For each row the number of its stream, and the keys of the streams."""
+        codes, keys = pd.factorize(rows[self.key], use_na_sentinel=False)
+        whole = self.kinds[self.key] in ("bigint", "int", "smallint", "tinyint")
+        return codes, [None if pd.isna(k) else int(k) if whole else k for k in keys]
+
+    def _steps(self, codes: np.ndarray, keys: list, rows: pd.DataFrame, streams: dict, at: int) -> Iterator[pd.DataFrame]:
+        """The step over rows that are sorted by codes; its state is in the streams' rows from column `at` on."""
+        if not len(rows):
+            return
+        columns = {c: rows[c].to_numpy() for c in self.columns if c != self.key}
+        ends = np.append(np.flatnonzero(np.diff(codes)) + 1, len(codes)).tolist()
+        outs, names, sizes, start = [], [], [], 0
+        for end in ends:
+            k = keys[codes[start]]
+            row = streams[k]
+            state = _state(self.fields, row[at:])
+            out = self.run(state, {c: v[start:end] for c, v in columns.items()})
+            row[at:] = _row(self.fields, state)
+            n = len(next(iter(out.values())))
+            if n:
+                outs.append(out)
+                names.append(k)
+                sizes.append(n)
+            start = end
+        if outs:
+            whole = {c: [o[c] for o in outs] for c in outs[0]}
+            arrays = {c: all(isinstance(v, np.ndarray) and v.ndim == 1 for v in parts) for c, parts in whole.items()}
+            yield pd.DataFrame({self.key: np.repeat(np.array(names, object), sizes)} | {c: np.concatenate(parts) if arrays[c] else [v for part in parts for v in part] for c, parts in whole.items()})
+
+
+class InOrder(Bucket):
+    """Rows of a stream to the step in order of seq, a whole number that goes up by one from packet to packet.
+
+    Marks of a stream: the next number, how many packets were given up, how many rows came too late or twice, when the gap before its held
+    packets is given up, and when a packet last changed it. held: rows before their turn.
+    """
 
-    def _with_held(self, rows: list[pd.DataFrame]) -> pd.DataFrame:
-        if self.held.exists():
-            rows = [pd.DataFrame([tuple(x) for x in self.held.get()], columns=self.columns), *rows]  # the first of equal numbers counts
-        return pd.concat(rows, ignore_index=True).drop_duplicates(self.seq).sort_values(self.seq, kind="stable", ignore_index=True)
+    marks = ", next long, lost long, dropped long, due long, changed long"
+
+    def __init__(self, step: Step, fields: Fields, key: str, kinds: dict[str, str], seq: str, first: int, wait_ms: int | None, idle_ms: int | None):
+        super().__init__(step, fields, key, kinds)
+        self.seq, self.first, self.wait_ms, self.idle_ms = seq, first, wait_ms, idle_ms
+
+    def _now(self, timerValues) -> int:  # noqa: N803
+        return 0 if self.wait_ms is None and self.idle_ms is None else timerValues.getCurrentProcessingTimeInMs()
+
+    def _live(self, now: int) -> dict:
+        """The streams without those that are idle."""
+        streams = self._read()
+        return streams if self.idle_ms is None else {k: row for k, row in streams.items() if row[4] + self.idle_ms > now}
+
+    def _go_on(self, streams: dict, waiting: list[pd.DataFrame], new: list[pd.DataFrame], now: int) -> Iterator[pd.DataFrame]:
+        """Packets whose turn it is to the step; the others wait."""
+        kept, held = sum(len(r) for r in waiting), len(waiting) > 0
+        every = pd.concat([*waiting, *new], ignore_index=True)
+        codes, keys = self._numbered(every)
+        live = np.array([k in streams for k in keys])
+        if kept and not live.all():  # what idle streams held goes with them
+            stay = live[codes] | (np.arange(len(every)) >= kept)
+            every, codes, kept = every[stay], codes[stay], int(stay[:kept].sum())
+        for k in np.unique(codes[kept:]).tolist():
+            streams.setdefault(keys[k], [self.first, 0, 0, None, now, *[None] * len(self.fields)])[4] = now
+        next_ = np.array([streams[k][0] if k in streams else 0 for k in keys])
+        seq = every[self.seq].to_numpy()
+        order = np.lexsort((np.arange(len(seq)), seq, codes))  # the first of equal numbers counts
+        codes, seq = codes[order], seq[order]
+        use = seq >= next_[codes]
+        use[1:] &= ~((seq[1:] == seq[:-1]) & (codes[1:] == codes[:-1]))
+        dropped = np.bincount(codes[~use], minlength=len(keys))
+        codes, seq, every = codes[use], seq[use].astype("int64"), every.iloc[order[use]]
+        place = np.arange(len(codes)) - np.searchsorted(codes, codes)
+        ready = seq == next_[codes] + place  # numbers ascend without repetition, so this ends at the first gap
+        done, rest = np.bincount(codes[ready], minlength=len(keys)), np.bincount(codes[~ready], minlength=len(keys))
+        for k, name in enumerate(keys):
+            row = streams.get(name)
+            if row is not None:
+                row[0], row[2] = row[0] + int(done[k]), row[2] + int(dropped[k])
+                if not rest[k] or self.wait_ms is None:
+                    row[3] = None
+                elif row[3] is None or done[k]:  # a new gap
+                    row[3] = now + self.wait_ms
+        yield from self._steps(codes[ready], keys, every[ready], streams, 5)
+        if held or not ready.all():
+            self._wait(every[~ready])
+        self._write(streams)
+        if self.wait_ms is not None or self.idle_ms is not None:
+            ends = [t for row in streams.values() for t in (row[3], None if self.idle_ms is None else row[4] + self.idle_ms) if t is not None]
+            self._timer(min(ends, default=None))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        next_, lost, dropped = self.mark.get() if self.mark.exists() else (self.first, 0, 0)
-        new = [r[self.columns] for r in rows]
-        before = sum(len(r) for r in new)
-        had_held = self.held.exists()
-        kept = sum(1 for _ in self.held.get()) if had_held else 0
-        every = self._with_held([r[r[self.seq] >= next_] for r in new])
-        dropped += before + kept - len(every)
-        n = self._ready(every, next_)
-        if n:
-            yield from self._release(key, every.iloc[:n])
-        rest = every.iloc[n:]
-        if len(rest):
-            self._hold(rest)
-        elif had_held:
-            self.held.clear()
-        if n and had_held:  # the gap before the held packets has changed, and so has its timer
-            self._timer(0, False)
-        self._timer(0 if self.wait_ms is None else timerValues.getCurrentProcessingTimeInMs(), len(rest) > 0)
-        self.mark.update((int(next_ + n), int(lost), int(dropped)))
+        now = self._now(timerValues)
+        yield from self._go_on(self._live(now), self._waiting(), [r[self.columns] for r in rows], now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        if not self.held.exists():
-            return
-        next_, lost, dropped = self.mark.get() if self.mark.exists() else (self.first, 0, 0)
-        every = self._with_held([])
-        start = int(every[self.seq].iloc[0])
-        n = self._ready(every, start)
-        yield from self._release(key, every.iloc[:n])
-        rest = every.iloc[n:]
-        if len(rest):
-            self._hold(rest)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+        now = self._now(timerValues)
+        streams, waiting = self._live(now), self._waiting()
+        if waiting:
+            codes, keys = self._numbered(waiting[0])
+            least = waiting[0][self.seq].groupby(codes).min()
+            for k, name in enumerate(keys):
+                row = streams.get(name)
+                if row is not None and row[3] is not None and row[3] <= now:
+                    row[1], row[0], row[3], row[4] = row[1] + int(least[k]) - row[0], int(least[k]), None, now
+            yield from self._go_on(streams, waiting, [], now)
         else:
-            self.held.clear()
-        self.mark.update((start + n, int(lost + start - next_), int(dropped)))
+            self._write(streams)
+            self._timer(min((row[4] + self.idle_ms for row in streams.values()), default=None) if self.idle_ms is not None else None)
+
 
+def _in_buckets(rows: DataFrame, key: str, buckets: int):
+    """Rows by bucket; a null key has one of its own, as it would make floats of the whole numbers beside it."""
+    return rows.withColumn("_bucket", F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(buckets))).otherwise(-1)).groupBy("_bucket")
 
-def in_order(rows: DataFrame, seq: str, schema: str, step: Step, fields: Fields, key: str = "stream_id", first: int = 0, wait_ms: int | None = None, idle_ms: int | None = None) -> DataFrame:
+
+def in_order(rows: DataFrame, seq: str, schema: str, step: Step, fields: Fields, key: str = "stream_id", first: int = 0, wait_ms: int | None = None, idle_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """step(state, rows in order of seq) per stream; step changes the dict, whose entries are `fields`.
 
     On a stream, seq counts packets from `first` on without gaps, in whatever order and micro-batch they arrive. A packet waits for those
@@ -205,21 +303,17 @@ def in_order(rows: DataFrame, seq: str, schema: str, step: Step, fields: Fields,
     if not rows.isStreaming:
         return as_batch(rows, [seq], full, step, key, once=True)
     use_rocksdb(rows.sparkSession)
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in rows.columns if c != key}
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in rows.columns}
     processor = InOrder(step, fields, key, kinds, seq, first, wait_ms, idle_ms)
-    return rows.groupBy(key).transformWithStateInPandas(processor, full, "append", "None" if wait_ms is None and idle_ms is None else "ProcessingTime")
+    return _in_buckets(rows, key, buckets).transformWithStateInPandas(processor, full, "append", "None" if wait_ms is None and idle_ms is None else "ProcessingTime")
 
 
-class ByEventTime(StatefulProcessor):
+class ByEventTime(Bucket):
     """Rows of a stream to the step in order, once the watermark has passed them."""
 
     def __init__(self, step: Step, fields: Fields, key: str, kinds: dict[str, str], order: list[str], time: str):
-        self.step, self.fields, self.key, self.kinds, self.columns, self.order, self.time = step, fields, key, kinds, list(kinds), order, time
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.own = handle.getValueState("own", _columns(self.fields))
-        self.held = handle.getListState("held", _columns(self.kinds))
+        super().__init__(step, fields, key, kinds)
+        self.order, self.time = order, time
 
     def _ms(self, rows: pd.DataFrame) -> pd.Series:
         """The first whole millisecond after each row's time."""
@@ -228,42 +322,36 @@ class ByEventTime(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         new = pd.concat([r[self.columns] for r in rows], ignore_index=True)
         self.held.appendList(_plain(new, self.kinds))
-        first = int(self._ms(new).min())
-        timers = list(self.handle.listTimers())
-        if not timers or first < min(timers):
-            for t in timers:
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(first)
+        self._timer(min([int(self._ms(new).min()), *self.handle.listTimers()]))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        every = pd.DataFrame([tuple(x) for x in self.held.get()], columns=self.columns)
+        every = self._waiting()[0]
         ms = self._ms(every)
         ready = ms <= timerValues.getCurrentWatermarkInMs()
-        rest = every[~ready]
-        if len(rest):
-            self.held.put(_plain(rest, self.kinds))
-            self.handle.registerTimer(int(ms[~ready].min()))
-        else:
-            self.held.clear()
         if ready.any():
-            state = _state(self.fields, self.own.get()) if self.own.exists() else {}
-            out = self.step(state, every[ready].sort_values(self.order, kind="stable", ignore_index=True))
-            self.own.update(_row(self.fields, state))
-            out.insert(0, self.key, [key[0]] * len(out))
-            if len(out):
-                yield out
+            now = every[ready]
+            codes, keys = self._numbered(now)
+            now = now.assign(_code=codes).sort_values(["_code", *self.order], kind="stable", ignore_index=True)
+            streams = self._read()
+            for k in keys:
+                streams.setdefault(k, [None] * len(self.fields))
+            yield from self._steps(now["_code"].to_numpy(), keys, now, streams, 0)
+            self._write(streams)
+            self._wait(every[~ready])
+        if not ready.all():
+            self.handle.registerTimer(int(ms[~ready].min()))
 
 
-def by_event_time(rows: DataFrame, order: list[str], schema: str, step: Step, fields: Fields, key: str = "stream_id", time: str = "us") -> DataFrame:
+def by_event_time(rows: DataFrame, order: list[str], schema: str, step: Step, fields: Fields, key: str = "stream_id", time: str = "us", buckets: int = BUCKETS) -> DataFrame:
     """As in_order, by event time: rows has a watermark (of several inputs, the least holds), and `time` in microseconds as a long, the
     first of `order`. Rows wait for the watermark, so what arrives within its delay is in order; what is later, Spark drops."""
     full = f"{key} {rows.schema[key].dataType.simpleString()}, {schema}"
     if not rows.isStreaming:
         return as_batch(rows, order, full, step, key)
     use_rocksdb(rows.sparkSession)
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in rows.columns if c != key and rows.schema[c].dataType.typeName() != "timestamp"}
-    return rows.groupBy(key).transformWithStateInPandas(ByEventTime(step, fields, key, kinds, order, time), full, "append", "EventTime")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in rows.columns if rows.schema[c].dataType.typeName() != "timestamp"}
+    return _in_buckets(rows, key, buckets).transformWithStateInPandas(ByEventTime(step, fields, key, kinds, order, time), full, "append", "EventTime")
 
 
 def microseconds(ts: str) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from waveloom._np import spectra as N
 
-from .ordered import Array, Fields, Step, by_event_time, in_order, microseconds
+from .ordered import Array, Fields, Step, by_event_time, in_order, microseconds, of_columns
 
 _HOPS: Fields = {"t": "long", "rest": Array()}
 
@@ -27,7 +27,7 @@ def stateful(rows: DataFrame, order: list[str], schema: str, step: Step, fields:
     return in_order(rows, order[0], schema, step, fields, **kw)
 
 
-def _hops(state: dict, pdf: pd.DataFrame, hop: int) -> tuple[int, np.ndarray]:
+def _hops(state: dict, pdf: dict, hop: int) -> tuple[int, np.ndarray]:
     """Number of the first whole hop that is now complete, and all of them as rows; the rest stays in the state."""
     x = np.concatenate([state.get("rest", np.zeros(0)), *[np.asarray(s, float) for s in pdf["samples"]]])
     n, first = len(x) // hop, state.get("t", 0)
@@ -37,9 +37,10 @@ def _hops(state: dict, pdf: pd.DataFrame, hop: int) -> tuple[int, np.ndarray]:
 
 def rechunk(packets: DataFrame, hop: int, **kw) -> DataFrame:
     """stream_id, t, samples: packets of any sizes as whole hops in order."""
-    def step(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
+    @of_columns
+    def step(state: dict, pdf: dict) -> dict:
         first, h = _hops(state, pdf, hop)
-        return pd.DataFrame({"t": np.arange(first, first + len(h)), "samples": list(h)})
+        return {"t": np.arange(first, first + len(h)), "samples": list(h)}
 
     return stateful(packets, ["seq"], "t long, samples array<double>", step, fields=_HOPS, **kw)
 
@@ -66,14 +67,15 @@ def stream_features(packets: DataFrame, fft: int, hop: int, widths: list[int], n
     """stream_id, t, feat_erb, re, im: the features of the batch job, with analysis memory and running means kept."""
     edges = np.concatenate([[0], np.cumsum(widths)[:-1]])
 
-    def step(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
+    @of_columns
+    def step(state: dict, pdf: dict) -> dict:
         first, h = _hops(state, pdf, hop)
         s = _analyse(state, h, fft)
         erb = 10 * np.log10(np.add.reduceat(np.abs(s) ** 2, edges, axis=1) / np.array(widths) + 1e-10) if len(s) else np.zeros((0, len(widths)))
         erb = (erb - _ema(state, "mean", erb, N.mean_norm_start(len(widths)), alpha)) / 40
         z = s[:, :nb_df]
         z = z / np.sqrt(_ema(state, "unit", np.abs(z), N.unit_norm_start(z.shape[1]), alpha))
-        return pd.DataFrame({"t": np.arange(first, first + len(h)), "feat_erb": list(erb), "re": list(z.real), "im": list(z.imag)})
+        return {"t": np.arange(first, first + len(h)), "feat_erb": list(erb), "re": list(z.real), "im": list(z.imag)}
 
     return stateful(packets, ["seq"], "t long, feat_erb array<double>, re array<double>, im array<double>", step, fields=_HOPS | {"memory": Array(), "mean": Array(), "unit": Array()}, **kw)
 
@@ -92,15 +94,16 @@ def silence_gate(frames: DataFrame, threshold: float = 1e-7, run: int = 5, seq:
         last = F.coalesce(F.max(F.when(~quiet, F.col("_n"))).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
         return frames.withColumn("_n", F.row_number().over(w)).withColumn("silent", (F.col("_n") - last) > run).select("stream_id", "t", "silent")
 
-    def step(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
+    @of_columns
+    def step(state: dict, pdf: dict) -> dict:
         out, n = [], state.get("n", 0)
-        for v, skipped in zip(pdf["level"], pdf["skipped"] if masks else [None] * len(pdf)):
+        for v, skipped in zip(pdf["level"], pdf["skipped"] if masks else [None] * len(pdf["level"])):
             n = n + 1 if v < threshold else 0
             out.append(n > run)
             if skipped is not None and n <= run:  # silent frames end before their masks
                 n = n + 1 if skipped else 0
         state["n"] = n
-        return pd.DataFrame({"t": pdf["t"].to_numpy(), "silent": out})
+        return {"t": pdf["t"], "silent": np.array(out, bool)}
 
     return stateful(frames, [seq], "t long, silent boolean", step, fields={"n": "long"}, **kw)
 
@@ -111,7 +114,8 @@ def stream_enhance(packets: DataFrame, provider: Callable[[np.ndarray], tuple[np
     provider(spectra [T, F]) gives gains [T, F] and, for multi-frame filters, coefficients [T, order, nb_df] or None. The first nb_df
     bins are filtered over `order` frames; then come the post-filter and the attenuation limit.
     """
-    def step(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
+    @of_columns
+    def step(state: dict, pdf: dict) -> dict:
         _, h = _hops(state, pdf, hop)
         s = _analyse(state, h, fft)
         bins = fft // 2 + 1
@@ -143,7 +147,7 @@ def stream_enhance(packets: DataFrame, provider: Callable[[np.ndarray], tuple[np
         state["tail"] = out[n * hop :]
         first = state.get("o", 0)
         state["o"] = first + n
-        return pd.DataFrame({"t": np.arange(first, first + n), "samples": list(out[: n * hop].reshape(n, hop))})
+        return {"t": np.arange(first, first + n), "samples": list(out[: n * hop].reshape(n, hop))}
 
     bins = fft // 2 + 1
     fields = _HOPS | {"memory": Array(), "ring": Array((bins,), "complex"), "masks": Array((bins,)), "taps": Array((order, nb_df), "complex"), "tail": Array(), "o": "long"}
@@ -167,7 +171,8 @@ def with_controls(frames: DataFrame, controls: DataFrame, delay: str = "10 secon
         frame = kind == "frame"
         parts.append(rows.select("stream_id", "ts", microseconds("ts").alias("us"), F.lit(int(frame)).alias("kind"), (F.col("id").cast("long") if frame else none("long")).alias("id"), (none("double") if frame else F.col("value").cast("double")).alias("value")))
 
-    def step(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
+    @of_columns
+    def step(state: dict, pdf: dict) -> dict:
         out = []
         for kind, i, v in zip(pdf["kind"], pdf["id"], pdf["value"]):
             if not kind:
@@ -176,7 +181,7 @@ def with_controls(frames: DataFrame, controls: DataFrame, delay: str = "10 secon
                 now, sent = state.get("v"), state.get("sent")
                 out.append((None if pd.isna(i) else int(i), now, now is not None and now != sent))
                 state["sent"] = now
-        return pd.DataFrame(out, columns=["id", "setting", "changed"]).astype({"id": "Int64", "setting": float, "changed": bool})
+        return {"id": pd.array([x[0] for x in out], dtype="Int64"), "setting": np.array([x[1] for x in out], float), "changed": np.array([x[2] for x in out], bool)}
 
     # controls (kind 0) come before frames of the same time
     return by_event_time(parts[0].unionByName(parts[1]), ["us", "kind", "id", "value"], "id long, setting double, changed boolean", step, {"v": "double", "sent": "double"})
@@ -187,7 +192,8 @@ def latency_adapt(calls: DataFrame, sr: int, frame: int, start: int | None = Non
     rtf < 0.5 after more than 10 * sr / frame calls since the last change. failed from when the delay reaches sr."""
     low = frame if start is None else start
 
-    def step(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
+    @of_columns
+    def step(state: dict, pdf: dict) -> dict:
         delay, n, out = state.get("delay", low), state.get("n", -1), []
         for rtf in pdf["rtf"]:
             n += 1
@@ -197,7 +203,7 @@ def latency_adapt(calls: DataFrame, sr: int, frame: int, start: int | None = Non
                 delay, n = max(low, delay - frame), 0
             out.append(delay)
         state |= {"delay": delay, "n": n}
-        return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "delay": out, "failed": [v >= sr for v in out]})
+        return {"seq": pdf["seq"], "delay": np.array(out, "int64"), "failed": np.array(out, "int64") >= sr}
 
     return stateful(calls, ["seq"], "seq long, delay long, failed boolean", step, fields={"delay": "long", "n": "long"}, **kw)
 
