@@ -87,3 +87,15 @@ def test_augmentation_queries_equal_the_helpers(spark):
         assert (r.n, r.rms) == (400, pytest.approx(rms(audio.coloured_noise(g.uniform(-2, 2), 400, 200, g)[0]), abs=1e-6))
     limited = synthesis.limit_bandwidth(spark.createDataFrame([(k, x.tolist(), 9000) for k, x in clips.items()], "idx long, x array<double>, max_freq int"), 48000, seed).collect()
     assert all(np.allclose(r.x, audio.low_pass_resample(clips[r.idx], r.max_freq, 48000)) for r in limited) and {r.max_freq for r in limited} <= {4000, 6000, 8000}
+
+
+def test_gains_are_computed_once_a_row(spark):
+    """A gain that Spark moves into the function over samples is not computed for each of them: a clip of 20,000 samples would take its square."""
+    from pyspark.sql import functions as F
+
+    from waveloom.functions import signal as S
+
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: i / 20_000.0).alias("x"))
+    plan = df.withColumn("k", S.mix_gain("x", "x", F.lit(0))).select(S.scaled("x", "k").alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    start = plan.index("transform(array(")  # the gain is an element of this array, outside of the function over samples
+    assert "aggregate(" in plan[start:plan.index("lambdafunction(transform(", start)]

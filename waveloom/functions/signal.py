@@ -41,9 +41,15 @@ def max_abs(x) -> Column:
     return F.array_max(F.transform(col(x), F.abs))
 
 
+def once(k, use) -> Column:
+    """use(k) with k computed once a row: an expression that Spark moves into a function over samples is computed for each of them."""
+    return F.get(F.transform(F.array(col(k)), use), F.lit(0))
+
+
 def scaled(x, k) -> Column:
-    k = col(k)
-    return F.transform(col(x), lambda v: v * k)
+    if isinstance(k, (int, float)):
+        return F.transform(col(x), lambda v: v * k)
+    return once(k, lambda g: F.transform(col(x), lambda v: v * g))
 
 
 def added(x, y) -> Column:

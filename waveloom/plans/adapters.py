@@ -82,7 +82,9 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = both.select("clip_id", F.col("x").alias("clean"), S.fit_length("y", F.size("x")).alias("noise"), draws.choice(SNRS, 1, F.col("clip_id"), "snr").alias("snr"), draws.choice(GAINS, 1, F.col("clip_id"), "gain").alias("gain"))
     k = S.mix_gain("clean", "noise", "snr")
     both = both.withColumn("k", k)
-    return both.withColumn("noisy", F.zip_with("clean", "noise", lambda c, n: c + F.col("k") * n)).withColumn("enhanced", F.zip_with("clean", "noise", lambda c, n: c + F.col("k") * 0.1 * n))
+    mixed = lambda k: F.zip_with("clean", "noise", lambda c, n: c + k * n)
+    weak = lambda k: F.zip_with("clean", "noise", lambda c, n: c + k * 0.1 * n)
+    return both.withColumn("noisy", S.once("k", mixed)).withColumn("enhanced", S.once("k", weak))
 
 
 def _choice_sql(values: list, idx: str, slot: str) -> str:
