@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,25 +122,43 @@ def provided_gains(frames: DataFrame, provider: Callable[[Iterator[pd.DataFrame]
     return frames.join(c, ["clip_id", "ch", "t"]).select("clip_id", "ch", "t", ideal_mask("_r", "_i", "re", "im", kind).alias("gains"))
 
 
+#: Rows of matrices that are worked on at once.
+PIECE = 256
+
+
 def multiframe_filter(corr: DataFrame, n: int, kind: str = "mvdr") -> DataFrame:
     """clip_id, ch, t, w_re, w_im (arrays of n arrays of bins) from matrices rss_re, rss_im, rnn_re, rnn_im (arrays [n][n][bins]).
 
     The noisy correlation is Rss + loaded Rnn; the inter-frame vector is the last column of Rss over its last element.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ws = []
-            for r in pdf.to_dict("records"):
-                m = lambda p: np.array([[np.asarray(x, float) for x in row] for row in r[p + "_re"]]) + 1j * np.array([[np.asarray(x, float) for x in row] for row in r[p + "_im"]])
-                ss, nn = (m(p).transpose(2, 0, 1) for p in ("rss", "rnn"))
-                last = ss[:, :, -1]
-                ifc = last / (last[:, -1:] + 1e-10)
-                rxx = ss + Q.loaded(nn)
-                w = Q.mvdr_weights(ifc, rxx) if kind == "mvdr" else Q.wiener_weights(last, rxx)
-                ws.append(w.T)
-            yield pdf[["clip_id", "ch", "t"]].assign(w_re=[list(w.real) for w in ws], w_im=[list(w.imag) for w in ws])
-
-    return corr.mapInPandas(run, "clip_id long, ch int, t long, w_re array<array<double>>, w_im array<array<double>>")
+    def numbers(part: pa.RecordBatch, name: str) -> np.ndarray:
+        """[rows, bins, n, n] of rows with equally many bins."""
+        flat = lambda c: part.column(c).flatten().flatten().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, n, n, -1)
+        return (flat(name + "_re") + 1j * flat(name + "_im")).transpose(0, 3, 1, 2)
+
+    def nested(x: np.ndarray) -> pa.Array:
+        """[rows, n, bins] as arrays of arrays."""
+        rows, _, bins = x.shape
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(rows * n + 1, dtype="int32") * bins), pa.array(np.ascontiguousarray(x).reshape(-1)))
+        return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype="int32") * n), inner)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = pc.list_value_length(batch.column("rss_re").flatten().flatten()).to_numpy(zero_copy_only=False)[:: n * n]
+            ends = np.append(np.flatnonzero(np.diff(bins)) + 1, len(bins)).tolist() if len(bins) else []
+            start = 0
+            for end in ends:  # rows with equally many bins, in pieces, so that memory does not grow with the batch
+                for at in range(start, end, PIECE):
+                    part = batch.slice(at, min(PIECE, end - at))
+                    ss, nn = numbers(part, "rss"), numbers(part, "rnn")
+                    last = ss[..., -1]
+                    rxx = ss + Q.loaded(nn)
+                    w = Q.mvdr_weights(last / (last[..., -1:] + 1e-10), rxx) if kind == "mvdr" else Q.wiener_weights(last, rxx)
+                    w = w.transpose(0, 2, 1)
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("clip_id", "ch", "t")], nested(w.real), nested(w.imag)], ["clip_id", "ch", "t", "w_re", "w_im"])
+                start = end
+
+    return corr.mapInArrow(run, "clip_id long, ch int, t long, w_re array<array<double>>, w_im array<array<double>>")
 
 
 def log_spectra(clips: DataFrame, kind: str = "power", sr: int = 16000) -> DataFrame:
