@@ -14,6 +14,7 @@ from waveloom.sources import audio as A
 from waveloom.sources.paths import new_path, open_write
 from waveloom.sources.wav_source import read_wav_chunks
 from waveloom.streaming import streams as T
+from waveloom.streaming.ordered import BUCKETS
 
 from . import score_queries, spectral_queries  # noqa: F401  their SQL is that of the streams
 from .adapters import METRICS, PAIRS, SCORES, SIG, SQL, R, pairs, query, r, scores, signals, sm, table
@@ -25,23 +26,34 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def without_empty_batches(spark: SparkSession):
-    """For queries with timers that run to the end of their source: they would wait for timers in micro-batches without rows for ever."""
-    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session inside of the block."""
     before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def without_empty_batches(spark: SparkSession):
+    """For queries with timers that run to the end of their source: they would wait for timers in micro-batches without rows for ever."""
+    return setting(spark, "spark.sql.streaming.noDataMicroBatches.enabled", "false")
+
+
+def state_partitions(spark: SparkSession):
+    """Partitions of state, which a query keeps for life. Each starts a worker and a store in every micro-batch, for about a second, with rows or
+    without, so there are two for each core, and not more because the tables are larger; `BUCKETS` keys fill no more than so many anyway."""
+    name = "spark.sql.shuffle.partitions"
+    return setting(spark, name, str(min(int(spark.conf.get(name)), 2 * spark.sparkContext.defaultParallelism, BUCKETS)))
+
+
 def drained(df: DataFrame, name: str, timers: bool = True, paths: tuple[str, str] | None = None) -> DataFrame:
     """All rows of a stream after it has run to the end of its source. timers: whether it has some of processing time. paths: those of an
     earlier run, for its output and state, to go on where it ended."""
     spark = df.sparkSession
     out, state = paths or (new_path(spark, name), new_path(spark, name + "-state"))
-    with without_empty_batches(spark) if timers else contextlib.nullcontext():
+    with state_partitions(spark), without_empty_batches(spark) if timers else contextlib.nullcontext():
         started = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     started.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)

@@ -7,25 +7,28 @@ One step function per operator, `step(state, rows in order) -> rows`, serves thr
   their turn, until those before them are there or a timer gives them up;
 * a stream in order of event time (`by_event_time`): rows wait until the watermark of all inputs has passed them.
 
-State is typed: each step names its fields (`Array` for arrays), which are columns of a list state with one row for each stream. A call of a
+State is typed: each step names its fields (`Array` for arrays), which are Arrow columns with one row for each stream. A call of a
 state processor and of its state costs milliseconds however little it does, so streams are dealt to a fixed number of buckets by a hash,
-and a bucket, not a stream, is the key of a call: a micro-batch costs its rows and the streams of the buckets it touches.
+and a bucket, not a stream, is the key of a call: a micro-batch costs its rows and the streams of the buckets it touches. Rows of state go to
+Spark packed in parts of many rows.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 Step = Callable[[dict, pd.DataFrame], pd.DataFrame]
-#: Keys of state calls: a bucket holds the state of its share of the streams in memory during a call.
-BUCKETS = 256
+#: Keys of state calls: a bucket holds the state of its share of the streams in memory during a call. Bytes of a part of packed state, about.
+BUCKETS, PART_BYTES = 256, 1 << 22
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,14 +39,11 @@ class Array:
     tail: tuple[int, ...] = ()
     numbers: str = "double"  # or complex
 
-    def to_list(self, x) -> list[float] | None:
-        if x is None:
-            return None
-        flat = np.ascontiguousarray(x, complex if self.numbers == "complex" else float).reshape(-1)
-        return flat.view(float).tolist()
+    def flat(self, x) -> np.ndarray:
+        """The numbers of an array one after another, real and imaginary parts of complex ones."""
+        return np.ascontiguousarray(x, complex if self.numbers == "complex" else float).reshape(-1).view(float)
 
-    def from_list(self, x) -> np.ndarray:
-        flat = np.array(x, float)
+    def shaped(self, flat: np.ndarray) -> np.ndarray:
         return (flat.view(complex) if self.numbers == "complex" else flat).reshape(-1, *self.tail)
 
 
@@ -71,33 +71,78 @@ def _on_columns(step: Step) -> Callable[[dict, dict], dict]:
     return fn
 
 
-def _columns(fields: Fields) -> str:
-    return ", ".join(f"{n} {'array<double>' if isinstance(k, Array) else k}" for n, k in fields.items())
+class Packed:
+    """A list state of rows in parts, each an Arrow stream of many rows with typed columns: Spark's state passes its rows on one by one, for a
+    tenth of a millisecond each or more, so it gets a few parts instead."""
 
+    schema = "part binary"
 
-def _row(fields: Fields, state: dict) -> tuple:
-    plain = lambda v: v.item() if isinstance(v, np.generic) else v
-    return tuple(k.to_list(state.get(n)) if isinstance(k, Array) else plain(state.get(n)) for n, k in fields.items())
+    def __init__(self, state):
+        self.state = state
 
+    def tables(self) -> list[pa.Table]:
+        return [pa.ipc.open_stream(pa.py_buffer(row[0])).read_all() for row in self.state.get()] if self.state.exists() else []
+
+    def put(self, table: pa.Table) -> None:
+        if table.num_rows:
+            self.state.put(self._parts(table))
+        else:
+            self.state.clear()
+
+    def append(self, table: pa.Table) -> None:
+        if table.num_rows:
+            self.state.appendList(self._parts(table))
+
+    @staticmethod
+    def _parts(table: pa.Table) -> list[tuple[bytes]]:
+        size, parts = max(1, table.num_rows * PART_BYTES // max(table.nbytes, 1)), []
+        for at in range(0, table.num_rows, size):
+            with pa.BufferOutputStream() as sink:
+                with pa.ipc.new_stream(sink, table.schema) as stream:
+                    stream.write_table(table.slice(at, size))
+                parts.append((sink.getvalue().to_pybytes(),))
+        return parts
+
+    @property
+    def rows(self) -> list[tuple]:
+        return [row for t in self.tables() for row in zip(*(c.to_pylist() for c in t.columns))]
+
+
+def _field(kind: str | Array, values: list) -> pa.Array:
+    """A field of many states as a column."""
+    if not isinstance(kind, Array):
+        return pa.array([v.item() if isinstance(v, np.generic) else v for v in values])
+    parts = [None if v is None else kind.flat(v) for v in values]
+    ends = np.cumsum([0, *(0 if v is None else len(v) for v in parts)])
+    return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([np.zeros(0), *(v for v in parts if v is not None)])), mask=pa.array([v is None for v in parts], pa.bool_()))
 
-def _state(fields: Fields, row) -> dict:
-    """Fields that are null are left out, as the steps leave out what they have not set."""
-    return {n: k.from_list(v) if isinstance(k, Array) else v for (n, k), v in zip(fields.items(), row) if v is not None}
 
+def _values(kind: str | Array, column: pa.ChunkedArray) -> list:
+    """The field of each state from its column."""
+    if not isinstance(kind, Array):
+        return column.to_pylist()
+    out = []
+    for c in column.chunks:
+        flat, ends = np.array(c.values), c.offsets.to_numpy()  # a copy, which steps may change
+        out += [kind.shaped(flat[a:b]) if there else None for a, b, there in zip(ends[:-1].tolist(), ends[1:].tolist(), c.is_valid().to_numpy(zero_copy_only=False))]
+    return out
 
-def _plain(rows: pd.DataFrame, kinds: dict[str, str]) -> list[tuple]:
-    """Rows as tuples of Python values for a list state; a null in a column of whole numbers, which pandas makes NaN, is null again."""
-    def column(name: str):
-        whole = kinds[name] in ("bigint", "int", "smallint", "tinyint")
-        for v in rows[name]:
-            if isinstance(v, np.ndarray):
-                yield v.tolist()
-            elif v is None or v is pd.NaT or v is pd.NA or (whole and v != v):
-                yield None
-            else:
-                yield int(v) if whole else v.item() if isinstance(v, np.generic) else v
 
-    return list(zip(*(column(c) for c in kinds)))
+def _nested(kind: str) -> bool:
+    """Columns of which Arrow would not give the same values back."""
+    return any(k in kind for k in ("struct<", "map<", "variant"))
+
+
+def _packed(rows: pd.DataFrame, kinds: dict[str, str]) -> pa.Table:
+    """Rows that wait as a table. A null in a column of whole numbers, which pandas makes NaN, is null."""
+    return pa.table({c: pa.array([pickle.dumps(v) for v in rows[c]], pa.binary()) if _nested(k) else pa.array(rows[c], from_pandas=True) for c, k in kinds.items()})
+
+
+def _unpacked(table: pa.Table, kinds: dict[str, str]) -> pd.DataFrame:
+    rows = table.to_pandas()
+    for c in (c for c, k in kinds.items() if _nested(k)):
+        rows[c] = [pickle.loads(v) for v in rows[c]]
+    return rows
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -133,36 +178,41 @@ def as_batch(rows: DataFrame, order: list[str], schema: str, step: Step, key: st
 
 
 class Bucket(StatefulProcessor):
-    """The streams of a bucket. streams: a row for each, its key, the columns of `marks` and the step's state; held: rows that wait."""
+    """The streams of a bucket. streams: a row for each, its key, the `marks` and the step's state; held: rows that wait."""
 
-    marks = ""
+    marks: tuple[str, ...] = ()
 
     def __init__(self, step: Step, fields: Fields, key: str, kinds: dict[str, str]):
         self.run, self.fields, self.key, self.kinds, self.columns = _on_columns(step), fields, key, kinds, list(kinds)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.streams = handle.getListState("streams", f"{self.key} {self.kinds[self.key]}{self.marks}, {_columns(self.fields)}")
-        self.held = handle.getListState("held", _columns(self.kinds))
+        self.streams, self.held = (Packed(handle.getListState(name, Packed.schema)) for name in ("streams", "held"))
 
     def _read(self) -> dict:
-        """The rows of the streams by key; a null key is None."""
-        return {row[0]: list(row[1:]) for row in map(tuple, self.streams.get())} if self.streams.exists() else {}
+        """For each stream, by key, its marks and the dict of its step; a null key is None. Fields that are null are left out, as the steps leave
+        out what they have not set."""
+        streams, names = {}, list(self.fields)
+        for t in self.streams.tables():
+            keys, *marks = (c.to_pylist() for c in t.columns[: 1 + len(self.marks)])
+            columns = [_values(k, t.column(1 + len(self.marks) + i)) for i, k in enumerate(self.fields.values())]
+            for i, k in enumerate(keys):
+                streams[k] = [*(m[i] for m in marks), {n: c[i] for n, c in zip(names, columns) if c[i] is not None}]
+        return streams
 
     def _write(self, streams: dict) -> None:
-        if streams:
-            self.streams.put([(k, *row) for k, row in streams.items()])
-        else:
-            self.streams.clear()
+        rows, n = list(streams.values()), len(self.marks)
+        marks = [pa.array([row[i] for row in rows], pa.int64()) for i in range(n)]
+        fields = [_field(k, [row[n].get(name) for row in rows]) for name, k in self.fields.items()]
+        self.streams.put(pa.Table.from_arrays([pa.array(list(streams)), *marks, *fields], [self.key, *(f"_{m}" for m in self.marks), *(f"_state_{f}" for f in self.fields)]))
 
     def _waiting(self) -> list[pd.DataFrame]:
-        return [pd.DataFrame([tuple(x) for x in self.held.get()], columns=self.columns)] if self.held.exists() else []
+        """The rows that wait as one frame, if there are any."""
+        parts = [_unpacked(t, self.kinds) for t in self.held.tables()]
+        return [pd.concat(parts, ignore_index=True)] if parts else []
 
     def _wait(self, rows: pd.DataFrame) -> None:
-        if len(rows):
-            self.held.put(_plain(rows, self.kinds))
-        else:
-            self.held.clear()
+        self.held.put(_packed(rows, self.kinds))
 
     def _timer(self, at: int | None) -> None:
         """The bucket's only timer."""
@@ -179,8 +229,8 @@ class Bucket(StatefulProcessor):
         whole = self.kinds[self.key] in ("bigint", "int", "smallint", "tinyint")
         return codes, [None if pd.isna(k) else int(k) if whole else k for k in keys]
 
-    def _steps(self, codes: np.ndarray, keys: list, rows: pd.DataFrame, streams: dict, at: int) -> Iterator[pd.DataFrame]:
-        """The step over rows that are sorted by codes; its state is in the streams' rows from column `at` on."""
+    def _steps(self, codes: np.ndarray, keys: list, rows: pd.DataFrame, streams: dict) -> Iterator[pd.DataFrame]:
+        """The step over rows that are sorted by codes; its state is the last entry of a stream."""
         if not len(rows):
             return
         columns = {c: rows[c].to_numpy() for c in self.columns if c != self.key}
@@ -188,10 +238,7 @@ class Bucket(StatefulProcessor):
         outs, names, sizes, start = [], [], [], 0
         for end in ends:
             k = keys[codes[start]]
-            row = streams[k]
-            state = _state(self.fields, row[at:])
-            out = self.run(state, {c: v[start:end] for c, v in columns.items()})
-            row[at:] = _row(self.fields, state)
+            out = self.run(streams[k][-1], {c: v[start:end] for c, v in columns.items()})
             n = len(next(iter(out.values())))
             if n:
                 outs.append(out)
@@ -211,7 +258,7 @@ class InOrder(Bucket):
     packets is given up, and when a packet last changed it. held: rows before their turn.
     """
 
-    marks = ", next long, lost long, dropped long, due long, changed long"
+    marks = ("next", "lost", "dropped", "due", "changed")
 
     def __init__(self, step: Step, fields: Fields, key: str, kinds: dict[str, str], seq: str, first: int, wait_ms: int | None, idle_ms: int | None):
         super().__init__(step, fields, key, kinds)
@@ -235,7 +282,7 @@ class InOrder(Bucket):
             stay = live[codes] | (np.arange(len(every)) >= kept)
             every, codes, kept = every[stay], codes[stay], int(stay[:kept].sum())
         for k in np.unique(codes[kept:]).tolist():
-            streams.setdefault(keys[k], [self.first, 0, 0, None, now, *[None] * len(self.fields)])[4] = now
+            streams.setdefault(keys[k], [self.first, 0, 0, None, now, {}])[4] = now
         next_ = np.array([streams[k][0] if k in streams else 0 for k in keys])
         seq = every[self.seq].to_numpy()
         order = np.lexsort((np.arange(len(seq)), seq, codes))  # the first of equal numbers counts
@@ -255,7 +302,7 @@ class InOrder(Bucket):
                     row[3] = None
                 elif row[3] is None or done[k]:  # a new gap
                     row[3] = now + self.wait_ms
-        yield from self._steps(codes[ready], keys, every[ready], streams, 5)
+        yield from self._steps(codes[ready], keys, every[ready], streams)
         if held or not ready.all():
             self._wait(every[~ready])
         self._write(streams)
@@ -321,7 +368,7 @@ class ByEventTime(Bucket):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         new = pd.concat([r[self.columns] for r in rows], ignore_index=True)
-        self.held.appendList(_plain(new, self.kinds))
+        self.held.append(_packed(new, self.kinds))
         self._timer(min([int(self._ms(new).min()), *self.handle.listTimers()]))
         return iter(())
 
@@ -335,8 +382,8 @@ class ByEventTime(Bucket):
             now = now.assign(_code=codes).sort_values(["_code", *self.order], kind="stable", ignore_index=True)
             streams = self._read()
             for k in keys:
-                streams.setdefault(k, [None] * len(self.fields))
-            yield from self._steps(now["_code"].to_numpy(), keys, now, streams, 0)
+                streams.setdefault(k, [{}])
+            yield from self._steps(now["_code"].to_numpy(), keys, now, streams)
             self._write(streams)
             self._wait(every[~ready])
         if not ready.all():
