@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,22 +68,92 @@ def frame_signal(chunks: DataFrame, window: int, hop: int, size: int = SAMPLES)
     return at.select(*OF_CLIP, F.col("f.t").alias("t"), F.col("f.w").alias("w"))
 
 
+#: Numbers that are worked on at once.
+PIECE = 1 << 21
+
+
+def _numbers(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets from 0, values) of arrays of numbers; null numbers are NaN, null arrays empty."""
+    sizes = np.array([0, *lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)])
+    return np.cumsum(sizes), lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as arrays."""
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="int32") * width), pa.array(np.ascontiguousarray(rows).reshape(-1)))
+
+
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+    """Arrays of equally many numbers as rows."""
+    return _numbers(lists)[1].reshape(-1, width)
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each size in turn."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _pieces(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of rows with PIECE numbers each, about, and one row at least."""
+    group = np.cumsum(sizes) // PIECE
+    ends = [*(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)] if len(sizes) else []
+    return list(zip([0, *ends[:-1]], ends))
+
+
+def _groups(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Where rows with other keys than the row before begin, in sorted rows; 0 is first."""
+    new = np.arange(batch.num_rows) == 0
+    for k in keys:
+        codes = pd.factorize(batch.column(k).to_pandas(), use_na_sentinel=False)[0]
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _scan(x: np.ndarray, factor: np.ndarray, starts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """s[i] = x[i] + factor[i] * s[i - 1] inside of groups that begin at starts, all of them side by side; `first` stands before the first
+    row, zeros before the other groups."""
+    sizes = np.diff([*starts, len(x)])
+    order = np.argsort(-sizes, kind="stable")
+    counts = np.searchsorted(-sizes[order], -np.arange(1, sizes.max() + 1), side="right") if len(sizes) else []
+    out, s = np.empty_like(x), np.zeros((len(starts), x.shape[1]))
+    s[0] = first
+    s = s[order]
+    for k, n in enumerate(counts):  # the groups of more than k rows
+        at = starts[order[:n]] + k
+        s = x[at] + s[:n] * factor[at, None]
+        out[at] = s
+    return out
+
+
 def stft(chunks: DataFrame, fft: int, hop: int, size: int = SAMPLES) -> DataFrame:
     """clip_id, ch, t, re, im: frames of spectral.stft; size is a multiple of hop, and each chunk takes fft - hop samples from before."""
     if size % hop:
         raise ValueError("the size of a chunk must be a multiple of the hop")
     keys = "clip_id " + chunks.schema["clip_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for clip, ch, start, x, left in zip(pdf["clip_id"], pdf["ch"], pdf["start"], pdf["x"], pdf["left"]):
-                n = len(x) // hop
-                if n:
-                    y = np.concatenate([np.zeros(fft - hop - len(left)), left, x[: n * hop]]).astype(float)
-                    s = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(y, fft)[::hop] * N.window(fft), axis=1) / (fft**2 / (2 * hop))
-                    yield pd.DataFrame({"clip_id": clip, "ch": ch, "t": np.arange(start // hop, start // hop + n), "re": list(s.real), "im": list(s.imag)})
-
-    return with_halo(chunks, size, before=fft - hop).select(*OF_CLIP, "start", "x", "left").mapInPandas(run, f"{keys}, ch int, t long, re array<double>, im array<double>")
+    before = fft - hop
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(_numbers(batch.column("x"))[0]) // hop
+            for a, b in _pieces(sizes * fft):  # chunks of many clips at once
+                part = batch.slice(a, b - a)
+                n, (at, x), (lent, left) = sizes[a:b], _numbers(part.column("x")), _numbers(part.column("left"))
+                base = np.cumsum(before + n * hop) - n * hop  # of the first own sample of each chunk, behind zeros and the samples before
+                y = np.zeros(int((before + n * hop).sum()))
+                y[np.repeat(base - np.diff(lent), np.diff(lent)) + _within(np.diff(lent))] = left
+                k = _within(np.diff(at))
+                whole = k < np.repeat(n * hop, np.diff(at))
+                y[(np.repeat(base, np.diff(at)) + k)[whole]] = x[whole]
+                t = _within(n)
+                if len(t):
+                    s = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(y, fft)[np.repeat(base - before, n) + t * hop] * N.window(fft), axis=1) / (fft**2 / (2 * hop))
+                    rows = pa.array(np.repeat(np.arange(b - a), n))
+                    first = part.column("start").to_numpy() // hop
+                    yield pa.RecordBatch.from_arrays([part.column("clip_id").take(rows), part.column("ch").take(rows), pa.array(np.repeat(first, n) + t), _lists(s.real), _lists(s.imag)], ["clip_id", "ch", "t", "re", "im"])
+
+    return with_halo(chunks, size, before=before).select(*OF_CLIP, "start", "x", "left").mapInArrow(run, f"{keys}, ch int, t long, re array<double>, im array<double>")
 
 
 def istft(frames: DataFrame, fft: int, hop: int, size: int = SAMPLES) -> DataFrame:
@@ -129,23 +200,36 @@ def carried(sums: DataFrame, start: list[float], alpha: float) -> DataFrame:
     groups = sums.withColumn("g", F.floor(F.col("c") / FAN))
     lone = sums.agg(F.max("c")).first()[0]
     schema = ", ".join(f"{c} {sums.schema[c].dataType.simpleString()}" for c in OF_CLIP)
-
-    def prefix(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Of the chunks of a group, in order: what those before each hand on, as (frames, value from zero), and of all of them at the end."""
-        pdf = pdf.sort_values("c")
-        n, s, out = 0, np.zeros(width), []
-        for c, k, part in zip([*pdf["c"], -1], [*pdf["n"], 0], [*pdf["part"], np.zeros(width)]):
-            out.append((c, n, s))
-            n, s = n + k, s * alpha**k + np.asarray(part)
-        return pd.DataFrame({"clip_id": pdf["clip_id"].iloc[0], "ch": pdf["ch"].iloc[0], "g": pdf["g"].iloc[0], "c": [x[0] for x in out], "n": [x[1] for x in out], "part": [x[2] for x in out]})
-
-    within = save(groups.groupBy(*OF_CLIP, "g").applyInPandas(prefix, f"{schema}, g long, c long, n long, part array<double>"), "carries")
+    keys = [*OF_CLIP, "g"]
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the chunks of a group, in order: what those up to each hand on, as (frames, value from zero)."""
+        last, n, s = None, 0, np.zeros(width)
+        for batch in batches:
+            if batch.num_rows:
+                starts = _groups(batch, keys)
+                ends = [tuple(batch.column(k)[i].as_py() for k in keys) for i in (0, -1)]
+                going = last == ends[0]
+                k = batch.column("n").to_numpy().astype("int64")
+                total = np.cumsum(k)
+                group = np.repeat(np.arange(len(starts)), np.diff([*starts, len(k)]))
+                total = total - (total - k)[starts][group] + np.where(group == 0, n if going else 0, 0)
+                done = _scan(_matrix(batch.column("part"), width), alpha ** k.astype(float), starts, s if going else np.zeros(width))
+                last, n, s = ends[1], int(total[-1]), done[-1]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*keys, "c")], pa.array(total), _lists(done)], [*keys, "c", "n", "part"])
+
+    dealt = groups.select(*keys, "c", "n", "part").repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "c")
+    upto = save(dealt.mapInArrow(prefix, f"{schema}, g long, c long, n long, part array<double>"), "carries")
+    # what stands before a chunk is what the one before it in the group hands on; nothing before the first
+    before = W.partitionBy(*keys).orderBy("c")
+    zero = F.array(*[F.lit(0.0)] * width)
+    within = upto.select(*keys, "c", F.coalesce(F.lag("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.lag("part").over(before), zero).alias("part"))
     first = F.array(*[F.lit(float(v)) for v in start])
     base = None
     if lone is not None and lone >= FAN:
-        base = carried(within.where("c = -1").select(*OF_CLIP, F.col("g").alias("c"), "n", "part"), start, alpha).withColumnRenamed("c", "g")
-    rows = within.where("c >= 0")
-    rows = rows.withColumn("carry", first) if base is None else rows.join(base, [*OF_CLIP, "g"])
+        ends = upto.groupBy(*keys).agg(F.max_by(F.struct("n", "part"), "c").alias("e"))
+        base = carried(ends.select(*OF_CLIP, F.col("g").alias("c"), "e.n", "e.part"), start, alpha).withColumnRenamed("c", "g")
+    rows = within.withColumn("carry", first) if base is None else within.join(base, keys)
     decay = F.pow(F.lit(alpha), F.col("n").cast("double"))
     return rows.select(*OF_CLIP, "c", F.zip_with("part", "carry", lambda p, s: p + decay * s).alias("carry"))
 
@@ -156,13 +240,25 @@ def ema(frames: DataFrame, columns: dict[str, tuple[str, list[float]]], alpha: f
     names = list(columns)
     rows = frames.withColumn("_c", F.floor(F.col("t") / (size or FRAMES)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _k long, " + ", ".join(f"_s{i} array<double>" for i in range(len(names)))
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        out = {f"_s{i}": list(N.ema(np.stack(pdf[c].to_list()).astype(float), np.zeros(len(columns[c][1])), alpha)) for i, c in enumerate(names)}
-        return pdf.assign(_k=np.arange(1, len(pdf) + 1), **out)
-
-    done = save(rows.groupBy(*OF_CLIP, "_c").applyInPandas(local, schema), "scanned")
+    keys, widths = [*OF_CLIP, "_c"], [len(columns[c][1]) for c in names]
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in the order of chunks and frames; a chunk may go on in the next batch."""
+        last, n, s = None, 0, [np.zeros(w) for w in widths]
+        for batch in batches:
+            if batch.num_rows:
+                starts = _groups(batch, keys)
+                ends = [tuple(batch.column(k)[i].as_py() for k in keys) for i in (0, -1)]
+                going = last == ends[0]
+                k = _within(np.diff([*starts, batch.num_rows])) + 1
+                if going:
+                    k[: [*starts, len(k)][1]] += n
+                done = [_scan(_matrix(batch.column(c), w) * (1 - alpha), np.full(len(k), alpha), starts, v if going else np.zeros(w)) for c, w, v in zip(names, widths, s)]
+                last, n, s = ends[1], int(k[-1]), [d[-1] for d in done]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k), *map(_lists, done)], [*batch.schema.names, "_k", *(f"_s{i}" for i in range(len(names)))])
+
+    dealt = rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "t")
+    done = save(dealt.mapInArrow(local, schema), "scanned")
     ends = done.groupBy(*OF_CLIP, F.col("_c").alias("c")).agg(F.max("_k").alias("n"), F.max_by(F.concat(*[F.col(f"_s{i}") for i in range(len(names))]), "_k").alias("part"))
     carry = carried(ends, [float(v) for c in names for v in columns[c][1]], alpha).withColumnsRenamed({"c": "_c", "carry": "_carry"})
     out = done.join(carry, [*OF_CLIP, "_c"])
