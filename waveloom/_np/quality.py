@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 
 import numpy as np
@@ -13,6 +14,35 @@ EPS = np.finfo(float).eps
 BANDWIDTHS = [70.0, 70.0, 70.0, 70.0, 70.0, 70.0, 70.0, 77.3724, 86.0056, 95.3398, 105.411, 116.256, 127.914, 140.423, 153.823, 168.154, 183.457, 199.776, 217.153, 235.631, 255.255, 276.072, 298.126, 321.465, 346.136]
 
 
+_KEPT: dict | None = None
+
+
+@contextlib.contextmanager
+def shared():
+    """Inside, what measures derive from one signal alone is computed once for all of them. Signals must stay as they are."""
+    global _KEPT
+    before, _KEPT = _KEPT, {}
+    try:
+        yield
+    finally:
+        _KEPT = before
+
+
+def _of_signal(fn):
+    """A function of a signal and plain values whose results `shared` keeps; the signal is kept beside them, so that its id stays its own."""
+    @functools.wraps(fn)
+    def found(x: np.ndarray, *args):
+        if _KEPT is None:
+            return fn(x, *args)
+        k = (fn, id(x), args)
+        if k not in _KEPT:
+            _KEPT[k] = x, fn(x, *args)
+        return _KEPT[k][1]
+
+    return found
+
+
+@functools.lru_cache(16)
 def hann(n: int) -> np.ndarray:
     """Hann window without its zero ends."""
     return 0.5 * (1 - np.cos(2 * np.pi * np.arange(1, n + 1) / (n + 1)))
@@ -38,6 +68,11 @@ def critical_filters(fs: int, bins: int) -> np.ndarray:
     return f * (f > np.exp(-30 / (2 * 2.303)))
 
 
+@_of_signal
+def _lifted_spectra(x: np.ndarray, fs: int) -> np.ndarray:
+    return _spectra(np.asarray(x, float) + EPS, fs)
+
+
 def _spectra(x: np.ndarray, fs: int) -> np.ndarray:
     """Magnitudes (frames, bins) without the Nyquist bin."""
     size, hop = _shape(fs)
@@ -47,20 +82,24 @@ def _spectra(x: np.ndarray, fs: int) -> np.ndarray:
     return np.abs(np.fft.rfft(f * hann(size), fft, axis=1))[:, :-1]
 
 
+@_of_signal
+def _band_shares(x: np.ndarray, fs: int) -> np.ndarray:
+    s = _lifted_spectra(x, fs)
+    return s / s.sum(axis=1, keepdims=True) @ critical_filters(fs, s.shape[1]).T
+
+
 def fw_segmental_snr(clean: np.ndarray, degraded: np.ndarray, fs: int, gamma: float = 0.2) -> float:
     """Frequency-weighted segmental SNR over the critical bands, limited to [-10, 35]."""
-    s = [_spectra(np.asarray(x, float) + EPS, fs) for x in (clean, degraded)]
-    if not len(s[0]):
+    c, d = (_band_shares(x, fs) for x in (clean, degraded))
+    if not len(c):
         return float("nan")
-    f = critical_filters(fs, s[0].shape[1])
-    c, d = (x / x.sum(axis=1, keepdims=True) @ f.T for x in s)
     weight = c**gamma
     snr = 10 * np.log10(c**2 / np.maximum((c - d) ** 2, EPS))
     return float(np.clip((weight * snr).sum(axis=1) / weight.sum(axis=1), -10, 35).mean())
 
 
 def _autocorrelation(f: np.ndarray, order: int) -> np.ndarray:
-    return np.stack([(f[:, : f.shape[1] - k] * f[:, k:]).sum(axis=1) for k in range(order + 1)], axis=1)
+    return np.stack([np.einsum("ij,ij->i", f[:, : f.shape[1] - k], f[:, k:]) for k in range(order + 1)], axis=1)
 
 
 def _toeplitz(r: np.ndarray) -> np.ndarray:
@@ -80,6 +119,14 @@ def _predictor(r: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones((len(r), 1)), -a], axis=1)
 
 
+@_of_signal
+def _predicted(x: np.ndarray, fs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Autocorrelations of the frames and their predictors."""
+    size, hop = _shape(fs)
+    r = _autocorrelation(frames(np.asarray(x, float), size, hop)[:-1] * hann(size), 10 if fs < 10000 else 16)
+    return r, _predictor(r)
+
+
 def _lowest(d: np.ndarray, share: float = 0.95) -> float:
     d = np.sort(d)[: int(round(len(d) * share))]
     return float(d.mean()) if len(d) else float("nan")
@@ -87,14 +134,12 @@ def _lowest(d: np.ndarray, share: float = 0.95) -> float:
 
 def llr(clean: np.ndarray, degraded: np.ndarray, fs: int) -> float:
     """Log-likelihood ratio of linear predictors (order 16, or 10 under 10 kHz), without the worst twentieth of the frames."""
-    size, hop = _shape(fs)
-    order = 10 if fs < 10000 else 16
-    r = [_autocorrelation(frames(np.asarray(x, float), size, hop)[:-1] * hann(size), order) for x in (clean, degraded)]
-    if not len(r[0]):
+    (r, own), (_, other) = (_predicted(x, fs) for x in (clean, degraded))
+    if not len(r):
         return float("nan")
-    m = _toeplitz(r[0])
+    m = _toeplitz(r)
     form = lambda a: np.einsum("fi,fij,fj->f", a, m, a)
-    ratio = form(_predictor(r[1])) / (form(_predictor(r[0])) + EPS)
+    ratio = form(other) / (form(own) + EPS)
     return _lowest(np.log(np.where(ratio > 0, ratio, 1000)))
 
 
@@ -107,18 +152,22 @@ def _local_peaks(slope: np.ndarray, energy: np.ndarray) -> np.ndarray:
     return np.take_along_axis(energy, np.where(slope > 0, stop - 1, start + 1), axis=1)
 
 
+@_of_signal
+def _slopes(x: np.ndarray, fs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the levels of the critical bands, and their weights."""
+    s = _lifted_spectra(x, fs) ** 2
+    e = np.maximum(10 * np.log10(np.maximum(s @ critical_filters(fs, s.shape[1]).T, 1e-30)), -100)
+    slope = np.diff(e, axis=1)
+    return slope, 20 / (20 + e.max(axis=1, keepdims=True) - e[:, :-1]) / (1 + _local_peaks(slope, e) - e[:, :-1])
+
+
 def wss(clean: np.ndarray, degraded: np.ndarray, fs: int) -> float:
     """Weighted spectral slope distance over the critical bands, without the worst twentieth of the frames."""
-    size, _ = _shape(fs)
-    e = []
-    for x in (clean, degraded):
-        s = _spectra(np.asarray(x, float) + EPS, fs) ** 2
-        if not len(s):
-            return float("nan")
-        e.append(np.maximum(10 * np.log10(np.maximum(s @ critical_filters(fs, s.shape[1]).T, 1e-30)), -100))
-    slope = [np.diff(v, axis=1) for v in e]
-    weight = sum(20 / (20 + v.max(axis=1, keepdims=True) - v[:, :-1]) / (1 + _local_peaks(d, v) - v[:, :-1]) for v, d in zip(e, slope)) / 2
-    return _lowest((weight * (slope[0] - slope[1]) ** 2).sum(axis=1) / weight.sum(axis=1))
+    if min(len(_lifted_spectra(x, fs)) for x in (clean, degraded)) == 0:
+        return float("nan")
+    (c, w), (d, v) = (_slopes(x, fs) for x in (clean, degraded))
+    weight = (w + v) / 2
+    return _lowest((weight * (c - d) ** 2).sum(axis=1) / weight.sum(axis=1))
 
 
 def _without_silence(x: np.ndarray, y: np.ndarray, size: int, hop: int, db: float = 40.0) -> tuple[np.ndarray, np.ndarray]:
@@ -140,13 +189,14 @@ def _without_silence(x: np.ndarray, y: np.ndarray, size: int, hop: int, db: floa
     return a[cut], b[cut]
 
 
-def stoi(clean: np.ndarray, degraded: np.ndarray, fs: int) -> float | None:
-    """Short-time objective intelligibility; None if under 512 samples (at 10 kHz) are not silent."""
-    size, fft, bands, low, span = 256, 512, 15, 150, 30
-    x, y = (audio.resample(np.asarray(v, float), fs, 10_000) for v in (clean, degraded))
-    x, y = _without_silence(x, y, size, size // 2)
-    if len(x) < fft:
-        return None
+@_of_signal
+def _at_10k(x: np.ndarray, fs: int) -> np.ndarray:
+    return audio.resample(np.asarray(x, float), fs, 10_000)
+
+
+@functools.lru_cache(4)
+def _octaves(size: int, fft: int, bands: int, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of third-octave bands at 10 kHz, and the window of a frame in the middle of zeros."""
     f = np.linspace(0, 10_000, fft + 1)[: fft // 2 + 1]
     edge = lambda k: np.abs(f[:, None] - low * 2.0 ** (k / 6)).argmin(axis=0)
     k = np.arange(bands)
@@ -154,11 +204,22 @@ def stoi(clean: np.ndarray, degraded: np.ndarray, fs: int) -> float | None:
     octave = (np.arange(len(f)) >= lo[:, None]) & (np.arange(len(f)) < hi[:, None])
     w = np.zeros(fft)
     w[(fft - size) // 2 : (fft + size) // 2] = np.hanning(size + 2)[1:-1]
+    return octave.T.astype(float), w
+
+
+def stoi(clean: np.ndarray, degraded: np.ndarray, fs: int) -> float | None:
+    """Short-time objective intelligibility; None if under 512 samples (at 10 kHz) are not silent."""
+    size, fft, bands, low, span = 256, 512, 15, 150, 30
+    x, y = (_at_10k(v, fs) for v in (clean, degraded))
+    x, y = _without_silence(x, y, size, size // 2)
+    if len(x) < fft:
+        return None
+    octave, w = _octaves(size, fft, bands, low)
 
     def levels(v: np.ndarray) -> np.ndarray:
         v = np.pad(v, (fft - size) // 2)
         s = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(v, fft)[:: size // 2] * w, axis=1) / w.sum()
-        return np.sqrt(np.abs(s) ** 2 @ octave.T)
+        return np.sqrt(np.abs(s) ** 2 @ octave)
 
     a, b = levels(x), levels(y)
     if len(a) > span:

@@ -56,12 +56,12 @@ register("wss", Metric(("wss",), Q.wss, 16000))
 register("stoi", Metric(("stoi",), Q.stoi))
 
 
-def evaluate(pairs: DataFrame, metrics: list[str], fs: int, noisy: bool = False) -> DataFrame:
+def evaluate(pairs: DataFrame, metrics: list[str], fs: int, noisy: bool = False, at_least: int = 0) -> DataFrame:
     """filename, variant, metric, value, error: the chosen metrics of enhanced (and noisy) against clean signals.
 
     Signals are read once per pair and brought to each metric's rate; lengths are cut to the shorter one. A metric that fails for a
     pair has a null value and its message in error, and the job goes on. Pairs are dealt so that all tasks have about as many samples, and a
-    pair without a signal has errors and no values.
+    pair without a signal has errors and no values. Shorter signals are repeated to at_least samples, in the task, so that short rows travel.
     """
     chosen = {m: METRICS[m] for m in metrics}
     variants = ("enhanced", "noisy") if noisy else ("enhanced",)
@@ -71,6 +71,9 @@ def evaluate(pairs: DataFrame, metrics: list[str], fs: int, noisy: bool = False)
             rows = []
             for r in pdf.to_dict("records"):
                 at: dict[tuple, np.ndarray] = {}
+                for c in ("clean", *variants):
+                    if r[c] is not None and 0 < len(r[c]) < at_least:
+                        r[c] = np.resize(np.asarray(r[c], float), at_least)
 
                 def brought(name: str, n: int, rate: int) -> np.ndarray:
                     """n samples of a signal at a rate, made once for all metrics and variants."""
@@ -81,20 +84,21 @@ def evaluate(pairs: DataFrame, metrics: list[str], fs: int, noisy: bool = False)
                         at[name, n, rate] = audio.resample(x, fs, rate)
                     return at[name, n, rate]
 
-                for variant in variants:
-                    for m in chosen.values():
-                        try:
-                            n = min(len(r["clean"]), len(r[variant]))
-                            rate = m.rate or fs
-                            got = m.fn(brought("clean", n, rate), brought(variant, n, rate), rate)
-                            got = got if isinstance(got, tuple) else (got,)
-                            rows += [(r["filename"], variant, k, None if v is None or np.isnan(v) else float(v), None) for k, v in zip(m.names, got)]
-                        except Exception as e:  # noqa: BLE001
-                            rows += [(r["filename"], variant, k, None, str(e)[:200]) for k in m.names]
+                with Q.shared():
+                    for variant in variants:
+                        for m in chosen.values():
+                            try:
+                                n = min(len(r["clean"]), len(r[variant]))
+                                rate = m.rate or fs
+                                got = m.fn(brought("clean", n, rate), brought(variant, n, rate), rate)
+                                got = got if isinstance(got, tuple) else (got,)
+                                rows += [(r["filename"], variant, k, None if v is None or np.isnan(v) else float(v), None) for k, v in zip(m.names, got)]
+                            except Exception as e:  # noqa: BLE001
+                                rows += [(r["filename"], variant, k, None, str(e)[:200]) for k in m.names]
             yield pd.DataFrame(rows, columns=["filename", "variant", "metric", "value", "error"])
 
     kind = pairs.schema["filename"].dataType.simpleString()
-    dealt = balanced(pairs.select("filename", "clean", *variants), "filename", F.size("clean"))
+    dealt = balanced(pairs.select("filename", "clean", *variants), "filename", F.greatest(F.size("clean"), F.lit(at_least)))
     return dealt.mapInPandas(run, f"filename {kind}, variant string, metric string, value double, error string")
 
 

@@ -191,20 +191,24 @@ def _at_least(x: str, n: int):
 
 
 def _long_pairs(spark, d):
-    """Pairs, shorter ones repeated to half a second at 16 kHz."""
+    """Pairs, shorter ones repeated to half a second at 16 kHz: the signals that `_scored` scores."""
     p = pairs(spark, d)
     return p.select(F.col("clip_id").alias("filename"), *[_at_least(c, 8000).alias(c) for c in ("clean", "noisy", "enhanced")])
 
 
+def _scored(spark, d, metrics):
+    return Q.evaluate(pairs(spark, d).withColumnRenamed("clip_id", "filename"), metrics, 16000, noisy=True, at_least=8000)
+
+
 @query()
 def q11_evaluate(spark, d):
-    e = Q.evaluate(_long_pairs(spark, d), ["si_sdr", "ssnr", "fw_ssnr", "llr", "wss", "stoi"], 16000, noisy=True)
+    e = _scored(spark, d, ["si_sdr", "ssnr", "fw_ssnr", "llr", "wss", "stoi"])
     return e.select("filename", "variant", "metric", r("value", 4).alias("value"), "error")
 
 
 def _one(metric):
     def run(spark, d):
-        return Q.evaluate(_long_pairs(spark, d), [metric], 16000, noisy=True).select("filename", "variant", r("value", 4).alias("value"))
+        return _scored(spark, d, [metric]).select("filename", "variant", r("value", 4).alias("value"))
 
     return run
 
